@@ -57,7 +57,7 @@ def word_count(text: Column | str) -> Column:
     return (F.size(parts) - blank - last).cast("long")
 
 
-def running_offset(df: DataFrame, group: list[str], bucket: str, order: list[Column], value: str, out: str) -> DataFrame:
+def running_offset(df: DataFrame, group: list[str], bucket: str, order: list[Column], value: str, out: str, kind: str = "long") -> DataFrame:
     """Exclusive running sum of value within each group, along bucket and then order, as column out.
 
     Two levels: sums per (group, bucket) give each bucket's start, and only rows of one bucket are ordered together, so
@@ -68,7 +68,7 @@ def running_offset(df: DataFrame, group: list[str], bucket: str, order: list[Col
     inside = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     renamed = starts.select(*(F.col(k).alias(f"_{k}") for k in key), "_start")
     joined = df.join(renamed, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key], "left").drop(*(f"_{k}" for k in key))
-    return joined.withColumn(out, (F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long")).drop("_start")
+    return joined.withColumn(out, (F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast(kind)).drop("_start")
 
 
 # Words and hashes of them in numpy, for tasks that read Arrow batches.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adspark.llm import quality_rules
+from adspark.llm import chat_formatting, quality_rules, sharding
 from adspark.llm.common import read
 
 
@@ -43,5 +43,63 @@ q AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {' AND '.join(bounds)} AS kept FROM q"""
 
 
-QUERIES = {"op8_quality_rules": op8_quality_rules}
-ORACLES = {"op8_quality_rules": _op8_sql()}
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard among 40, its slot there, and its shard among 41."""
+    placed = sharding.number_slots(sharding.assign_shards(read(spark, sf_dir, "documents").select("doc_id", "text"), 40).drop("text"))
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+_CRC_TABLE = """crc AS (
+  SELECT list(c ORDER BY n) AS tab FROM (
+    SELECT n, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) AS c
+    FROM range(256) AS t(n)))"""
+
+
+def _op7_sql() -> str:
+    def jump(n: int) -> str:
+        return f"""(SELECT r, min(b) FILTER (WHERE nxt >= {n})::INT AS shard FROM steps GROUP BY r)"""
+
+    step = f"((key * {sharding.MULTIPLIER}::HUGEINT + 1) % 18446744073709551616::HUGEINT)"
+    further = "floor((b + 1) * (2147483648.0::DOUBLE / ((key >> 33) + 1)::DOUBLE))::BIGINT"
+    return f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS bytes, md5(coalesce(doc_id::VARCHAR, '')) AS m FROM documents),
+h AS (SELECT r, hex(bytes) AS x, octet_length(bytes) AS n FROM d),
+c AS (
+  SELECT r, n, xor(list_reduce(range(n), lambda a, i: xor(a >> 8, tab[xor(a & 255, ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) + 1]), 4294967295), 4294967295) AS crc
+  FROM h, crc),
+steps AS (
+  SELECT r, b, key, {further} AS nxt FROM (
+    SELECT r, 0::BIGINT AS b, {step.replace("key *", "k0 *")} AS key FROM (SELECT r, ('0x' || substr(m, 1, 16))::UBIGINT::HUGEINT AS k0 FROM d))
+  UNION ALL
+  SELECT r, b, key, {further} FROM (SELECT r, nxt AS b, {step} AS key FROM steps WHERE nxt < 41)),
+p AS (
+  SELECT d.doc_id, (c.n + 16)::BIGINT AS size, c.crc::BIGINT AS text_crc32, s.shard, g.shard AS grown_shard,
+    ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || '|' || c.crc || '|' || (c.n + 16)), 1, 8))::BIGINT % {sharding.PARTS} AS part
+  FROM d JOIN c USING (r) JOIN {jump(40)} AS s USING (r) JOIN {jump(41)} AS g USING (r))
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY part, doc_id) - 1)::BIGINT AS slot, grown_shard FROM p"""
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every maximal conversation, rendered."""
+    return chat_formatting.format_chats(read(spark, sf_dir, "conversations"))
+
+
+OP5_SQL = """
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+u AS (SELECT *, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY pos) AS prefix FROM t),
+e AS (SELECT prefix, n, min(conv_id) AS conv_id, count(*) AS n_copies FROM u WHERE pos = n GROUP BY ALL),
+k AS (SELECT * FROM e WHERE prefix NOT IN (SELECT prefix FROM u WHERE pos < n))
+SELECT k.conv_id, 0 AS part, k.n AS n_turns, k.n_copies, length(x.text) AS n_chars, x.text
+FROM k JOIN (SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY pos) AS text FROM t GROUP BY conv_id) AS x USING (conv_id)"""
+
+
+QUERIES = {
+    "op5_chat_formatting": op5_chat_formatting,
+    "op7_sharding": op7_sharding,
+    "op8_quality_rules": op8_quality_rules,
+}
+ORACLES = {"op5_chat_formatting": OP5_SQL, "op7_sharding": _op7_sql(), "op8_quality_rules": _op8_sql()}
