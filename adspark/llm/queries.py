@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adspark.llm import chat_formatting, quality_rules, sharding
+from adspark.llm import chat_formatting, mixing, quality_rules, sharding
 from adspark.llm.common import read
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that the mix of all sources takes."""
+    texts, slots = mixing.mix_sources(read(spark, sf_dir, "documents"))
+    return mixing.taken_words(texts, slots).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's figures and verdict under the production rules."""
     judged = quality_rules.apply_rules(read(spark, sf_dir, "documents"))
@@ -98,6 +104,7 @@ FROM k JOIN (SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || text
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op5_chat_formatting": op5_chat_formatting,
     "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
