@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from adspark.llm import chat_formatting, mixing, quality_rules, sharding
+from adspark.llm import chat_formatting, decontamination, mixing, quality_rules, sharding
 from adspark.llm.common import read
 
 
@@ -103,10 +104,32 @@ SELECT k.conv_id, 0 AS part, k.n AS n_turns, k.n_copies, length(x.text) AS n_cha
 FROM k JOIN (SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY pos) AS text FROM t GROUP BY conv_id) AS x USING (conv_id)"""
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside occurrences of benchmark windows."""
+    found = decontamination.match_benchmark(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontamination.contaminated().alias("contaminated"))
+
+
+_ITEM_WORDS = f"""list_filter(string_split_regex(translate(coalesce(text, ''), '{decontamination.UPPER}', '{decontamination.UPPER.lower()}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"""
+OP10_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ITEM_WORDS} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {_ITEM_WORDS} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS s FROM b, unnest(range(1, greatest(len(w) - 11, 2))) AS u(i) WHERE len(w) > 0),
+dw AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM d, (SELECT DISTINCT n FROM bw), unnest(range(1, len(w) - n + 2)) AS u(i)),
+hit AS (SELECT r, i, n, item FROM dw JOIN bw USING (n, s)),
+span AS (SELECT r, i, i + n AS e, max(i + n) OVER (PARTITION BY r ORDER BY i, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM (SELECT DISTINCT r, i, n FROM hit)),
+words AS (SELECT r, sum(greatest(0, e - greatest(i, coalesce(p, 0))))::BIGINT AS n_hit FROM span GROUP BY r),
+items AS (SELECT r, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
+
+
 QUERIES = {
+    "op10_decontamination": op10_decontamination,
     "op1_mixing": op1_mixing,
     "op5_chat_formatting": op5_chat_formatting,
     "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
 }
-ORACLES = {"op5_chat_formatting": OP5_SQL, "op7_sharding": _op7_sql(), "op8_quality_rules": _op8_sql()}
+ORACLES = {"op10_decontamination": OP10_SQL, "op5_chat_formatting": OP5_SQL, "op7_sharding": _op7_sql(), "op8_quality_rules": _op8_sql()}
