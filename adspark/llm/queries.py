@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adspark.llm import chat_formatting, decontamination, mixing, quality_rules, sharding
+from adspark.llm import chat_formatting, decontamination, jaccard_join, mixing, quality_rules, sharding
 from adspark.llm.common import read
 
 
@@ -15,6 +15,25 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(texts, slots).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under links of 4-word shingle sets at 0.85."""
+    found = jaccard_join.jaccard_components(read(spark, sf_dir, "documents"), width=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+OP2_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 2, 2))) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.v)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.c) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.v = d.doc_id GROUP BY ALL"""
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's figures and verdict under the production rules."""
     judged = quality_rules.apply_rules(read(spark, sf_dir, "documents"))
@@ -128,8 +147,9 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
 QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op1_mixing": op1_mixing,
+    "op2_jaccard_join": op2_jaccard_join,
     "op5_chat_formatting": op5_chat_formatting,
     "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
 }
-ORACLES = {"op10_decontamination": OP10_SQL, "op5_chat_formatting": OP5_SQL, "op7_sharding": _op7_sql(), "op8_quality_rules": _op8_sql()}
+ORACLES = {"op2_jaccard_join": OP2_SQL, "op10_decontamination": OP10_SQL, "op5_chat_formatting": OP5_SQL, "op7_sharding": _op7_sql(), "op8_quality_rules": _op8_sql()}
