@@ -30,16 +30,21 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and return the written table: lost executors then cost no recomputation.
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in this application's part of the shared folder, which goes when the file system handles close."""
+    root = f"{shared_folder(spark)}/stages-{spark.sparkContext.applicationId}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop)
+    files.deleteOnExit(hadoop)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
 
-    The files are marked for deletion when the application's file system handles close."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and return the written table: lost executors then cost no recomputation."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def words_of(text: Column | str) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adspark.llm import chat_formatting, decontamination, jaccard_join, mixing, quality_rules, sharding
-from adspark.llm.common import read
+from adspark.llm import chat_formatting, decontamination, jaccard_join, mixing, quality_rules, sharding, token_output
+from adspark.llm.common import new_path, read
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,15 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.c) AS component_i
 FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.v = d.doc_id GROUP BY ALL"""
 
 
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, written and read back."""
+    import public_tokenizers
+
+    path = new_path(spark, "tokens")
+    token_output.write_tokens(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_output.token_digests(spark.read.parquet(path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's figures and verdict under the production rules."""
     judged = quality_rules.apply_rules(read(spark, sf_dir, "documents"))
@@ -148,6 +157,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op1_mixing": op1_mixing,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_token_output": op3_token_output,
     "op5_chat_formatting": op5_chat_formatting,
     "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
