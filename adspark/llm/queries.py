@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adspark.llm import chat_formatting, decontamination, jaccard_join, mixing, quality_rules, sharding, token_output
+from adspark.llm import chat_formatting, decontamination, jaccard_join, language_id, mixing, quality_rules, sharding, token_output
 from adspark.llm.common import new_path, read
 
 
@@ -153,6 +153,18 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
 
 
+def fold(folds: int) -> Column:
+    """Remainder of a document's key hash, by which folds are told apart; 0 for a null key."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those of the other folds."""
+    docs = read(spark, sf_dir, "documents")
+    found = language_id.identify(docs, fold(4) != 2)
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
 QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op1_mixing": op1_mixing,
@@ -161,5 +173,6 @@ QUERIES = {
     "op5_chat_formatting": op5_chat_formatting,
     "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
+    "op9_language_id": op9_language_id,
 }
 ORACLES = {"op2_jaccard_join": OP2_SQL, "op10_decontamination": OP10_SQL, "op5_chat_formatting": OP5_SQL, "op7_sharding": _op7_sql(), "op8_quality_rules": _op8_sql()}
