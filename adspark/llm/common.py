@@ -43,7 +43,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and return the written table: lost executors then cost no recomputation."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -117,15 +117,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each word in bytes of UTF-8."""
+#: Bytes between words where punctuation parts them too.
+IS_PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_spans(data: np.ndarray, apart: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word in bytes of UTF-8; apart says which bytes stand between words."""
     inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_IS_SPACE[data]
+    inside[1:-1] = ~apart[data]
     edge = np.diff(inside)
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(texts: list[bytes | None], apart: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word with A-Z lowered, words of each text) over all texts, in order."""
     out, counts = [], np.zeros(len(texts), np.int64)
     held: list[bytes] = []
@@ -136,7 +140,7 @@ def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         nonlocal size
         if held:
             data = _LOWER[np.frombuffer(b"\n".join(held), np.uint8)]
-            start, end = word_spans(data)
+            start, end = word_spans(data, apart)
             out.append(span_hash(data, start, end))
             ends = np.cumsum([len(h) + 1 for h in held])
             np.add.at(counts, which, np.diff(np.searchsorted(start, np.concatenate([[0], ends]))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adspark.llm import chat_formatting, decontamination, jaccard_join, language_id, mixing, quality_rules, sharding, token_output
+from adspark.llm import chat_formatting, decontamination, jaccard_join, language_id, mixing, quality_rules, sharding, token_output, toxicity
 from adspark.llm.common import new_path, read
 
 
@@ -158,6 +158,14 @@ def fold(folds: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from the labels of the other folds."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    index, vectors = toxicity.fit(docs, labels, fold(5) != 0)
+    found = toxicity.score_vectors(vectors, index)
+    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those of the other folds."""
     docs = read(spark, sf_dir, "documents")
@@ -170,6 +178,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_token_output": op3_token_output,
+    "op4_toxicity": op4_toxicity,
     "op5_chat_formatting": op5_chat_formatting,
     "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
