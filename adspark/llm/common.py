@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -129,9 +130,10 @@ def word_spans(data: np.ndarray, apart: np.ndarray = _IS_SPACE) -> tuple[np.ndar
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def hashed_words(texts: list[bytes | None], apart: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word with A-Z lowered, words of each text) over all texts, in order."""
-    out, counts = [], np.zeros(len(texts), np.int64)
+def hashed_words(texts: list[bytes | None], apart: np.ndarray = _IS_SPACE, also: Callable | None = None) -> tuple:
+    """(hash of each word with A-Z lowered, words of each text) over all texts, in order. also is called with bytes, starts
+    and ends of words, and what it returns for each word is put together as a third value."""
+    out, counts, more = [], np.zeros(len(texts), np.int64), []
     held: list[bytes] = []
     which: list[int] = []
     size = 0
@@ -142,6 +144,8 @@ def hashed_words(texts: list[bytes | None], apart: np.ndarray = _IS_SPACE) -> tu
             data = _LOWER[np.frombuffer(b"\n".join(held), np.uint8)]
             start, end = word_spans(data, apart)
             out.append(span_hash(data, start, end))
+            if also:
+                more.append(also(data, start, end))
             ends = np.cumsum([len(h) + 1 for h in held])
             np.add.at(counts, which, np.diff(np.searchsorted(start, np.concatenate([[0], ends]))))
             held.clear()
@@ -156,7 +160,8 @@ def hashed_words(texts: list[bytes | None], apart: np.ndarray = _IS_SPACE) -> tu
             if size >= PIECE:
                 flush()
     flush()
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), counts
+    found = np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return (found, counts, np.concatenate(more) if more else np.zeros(0, np.int64)) if also else (found, counts)
 
 
 def pieces(text: bytes, most: int = PIECE) -> list[bytes]:

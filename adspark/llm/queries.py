@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adspark.llm import chat_formatting, decontamination, jaccard_join, language_id, mixing, quality_rules, sharding, token_output, toxicity
+from adspark.llm import chat_formatting, decontamination, jaccard_join, language_id, lm_scoring, mixing, quality_rules, sharding, token_output, toxicity
 from adspark.llm.common import new_path, read
 
 
@@ -166,6 +166,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log-probability of every document under the model and the unigram baseline, learned from the other folds."""
+    docs = read(spark, sf_dir, "documents")
+    model, counts, least = lm_scoring.fit(docs, fold(5) != 1)
+    found = lm_scoring.score_texts(docs, model, counts, least)
+    return found.select("doc_id", (fold(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those of the other folds."""
     docs = read(spark, sf_dir, "documents")
@@ -180,6 +188,7 @@ QUERIES = {
     "op3_token_output": op3_token_output,
     "op4_toxicity": op4_toxicity,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
