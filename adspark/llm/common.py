@@ -41,9 +41,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and return the written table: lost executors then cost no recomputation."""
+_made: list[str] = []
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete the tables that stage() wrote so far. For a pipeline whose earlier results have been written elsewhere."""
+    for path in _made:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _made.clear()
+
+
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df to the shared folder and return the written table: lost executors then cost no recomputation. drop_stages
+    deletes it, unless it is to be kept."""
     path = new_path(df.sparkSession, name)
+    if not keep:
+        _made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -7,7 +7,7 @@ that place must leave room before and after (length and positional bounds), and
 
 Defined cases: null texts have no words; an item without words has no windows; equal windows of several items are
 compared once for each; repeated rows are judged alike; empty tables give zero hits or an empty result; of the input only
-the key and the text are read. The shingles of the benchmark are broadcast only below a checked number.
+the key, the text and columns asked for are read. The shingles of the benchmark are broadcast only below a checked number.
 """
 
 from __future__ import annotations
@@ -98,10 +98,11 @@ def _covered(found: Column) -> Column:
     return F.aggregate(spans, start, add, lambda a: a["n"])
 
 
-def match_benchmark(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 13, shingle: int = 5) -> DataFrame:
-    """A row for each row of docs: key, text, n_words, n_hit (words inside an occurrence of a window) and items (ids as
+def match_benchmark(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 13, shingle: int = 5, others: list[str] | None = None) -> DataFrame:
+    """A row for each row of docs: key, text, the other columns asked for, n_words, n_hit (words inside an occurrence of a window) and items (ids as
     strings, sorted, of the items with occurring windows)."""
-    rows = docs.select(F.col(key), F.col(text).alias("_text")).withColumns({"_digest": F.sha2(F.coalesce("_text", F.lit("")), 256), "_w": item_words(F.col("_text"))})
+    others = others or []
+    rows = docs.select(F.col(key), F.col(text).alias("_text"), *others).withColumns({"_digest": F.sha2(F.coalesce("_text", F.lit("")), 256), "_w": item_words(F.col("_text"))})
     shingles = stage(window_shingles(windows_of(items, item_key, item_text, window), shingle), "windows")
     shared = stage(shared_shingles(rows, shingles), "shared")
     prefix = prefix_shingles(shared, shingles).select("width", "h", "item", "offset", "words")
@@ -116,6 +117,7 @@ def match_benchmark(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
     return judged.select(
         F.col(key),
         F.col("_text").alias(text),
+        *others,
         F.size("_w").cast("long").alias("n_words"),
         F.coalesce(_covered(F.col("_found")), F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.array_sort(F.array_distinct(F.transform("_found", lambda c: c["item"]))), none).alias("items"),

@@ -37,6 +37,8 @@ LEAST_FREQUENT = 16
 #: Shingles whose repeats a task counts together.
 COUNTED = 1 << 22
 MOST_ROUNDS = 6
+#: Classes whose digests may be broadcast, to pick their texts: about 60 bytes each.
+BROADCAST_ROWS = 400_000
 
 
 def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
@@ -280,13 +282,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of docs, one of each component: that of the smallest doc_id, of its texts the one with the smallest digest.
-    Rows without words all stay."""
-    found = stage(jaccard_components(docs, width, percent), "components")
+    """Rows of docs, one of each component: that of the smallest doc_id (not null, if there is one), of its texts the one
+    with the smallest digest. Rows without words all stay."""
+    found = stage(jaccard_components(docs, width, percent).where("n_shingles > 0"), "components")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unset"), F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")))
-    first = found.where(F.col("n_shingles") > 0).groupBy("component_id").agg(least.alias("k")).select("k._doc", "k._digest")
-    named = with_digest(docs).withColumnRenamed("digest", "_own")
-    on = (F.col("_own") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
-    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = named.where(worded).join(first, on, "left_semi").dropDuplicates(["_own", "doc_id"])
-    return kept.unionByName(named.where(~worded)).select(*docs.columns)
+    first = found.groupBy("component_id").agg(least.alias("k")).select("k._doc", "k._digest")
+    key = lambda other: (F.col("digest") == other["_digest"]) & F.col("doc_id").eqNullSafe(other["_doc"])
+    gone = found.join(first, key(first), "left_anti").select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")).distinct()
+    gone = stage(gone, "gone")
+    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    named = with_digest(docs)
+    kept = named.join(gone, key(gone), "left_anti")
+    again = found.groupBy(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")).count().where("count > 1").drop("count")
+    if again.limit(1).count():  # rows alike in key and text: one of them stays
+        kept = kept.join(again, key(again), "left_anti").unionByName(kept.join(again, key(again), "left_semi").dropDuplicates(["doc_id", "digest"]))
+    return kept.select(*docs.columns)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adspark.llm.common import mix, running_offset, stage, word_count
+from adspark.llm.common import mix, running_offset, stage, word_count, word_spans
 
 #: A source's words are taken so many times at most.
 MOST_PASSES = 3
@@ -132,12 +132,15 @@ def mix_sources(
     block_words: int = 64,
     shards: int = 64,
     seed: int = 0,
+    keep_hash: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(texts, slots). texts: a row for each row of df with key, source, size, source_size, target, index and start. slots:
-    (shard, slot, index, block), a row for each slot of the mix; block b of a source holds its words b * block_words on."""
+    (shard, slot, index, block), a row for each slot of the mix; block b of a source holds its words b * block_words on.
+    keep_hash: texts also has _text, a hash of the text."""
     sized = stage(df.select(key, "source", word_count(text).alias("size"), F.xxhash64(text).alias("_text")), "sizes")
     sources = source_targets(sized, weights)
-    texts = stage(lay_out(sized, sources, key).drop("_text"), "texts")
+    texts = lay_out(sized, sources, key)
+    texts = stage(texts if keep_hash else texts.drop("_text"), "texts")
     slots = deal_slots(plan_slots(df, sources, block_words, shards, seed), seed)
     return texts, slots
 
@@ -158,3 +161,50 @@ def taken_words(texts: DataFrame, slots: DataFrame, block_words: int = 64) -> Da
     named = whole.withColumnRenamed("index", "_index").withColumnRenamed("start", "_start")
     on = (F.col("index") == F.col("_index")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0)
     return texts.join(named, on, "left").withColumn("taken", F.coalesce(F.col("_taken"), F.lit(0)).cast("long")).drop("_index", "_start", "_taken")
+
+
+def _cut(text: bytes, places: list[dict]) -> list[bytes]:
+    """The parts of a text that blocks take: for each pass, the words of neighbouring taken blocks in one part."""
+    start, end = word_spans(np.frombuffer(text, np.uint8))
+    out = []
+    for turn in range(1, max(p["times"] for p in places) + 1):
+        run: list[int] | None = None
+        for p in [*sorted((p for p in places if p["times"] >= turn), key=lambda p: p["begin"]), None]:
+            if run and (p is None or p["begin"] != run[1]):
+                whole = run[0] == 0 and run[1] == len(start)
+                out.append(text if whole else text[start[run[0]] : end[run[1] - 1]])
+                run = None
+            if p is not None:
+                run = [run[0] if run else p["begin"], p["begin"] + p["n"]]
+    return out
+
+
+def mixed_documents(df: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), key: str = "doc_id", text: str = "text", block_words: int = 256, shards: int = 64, seed: int = 0) -> DataFrame:
+    """The mix as rows of df's columns: text holds the words that a pass of the mix takes of a row, as far as they are
+    connected; a row that is taken whole n times comes n times. n_chars, where there is such a column, is set anew.
+    White space within a part is the text's own. Rows alike in key, source and text count as often as they come."""
+    texts, slots = mix_sources(df, weights, key, text, block_words, shards, seed, keep_hash=True)
+    times = slots.groupBy("index", "block").agg(F.count(F.lit(1)).alias("times"))
+    places = pieces(texts, block_words).join(times, ["index", "block"])
+    mine = places.groupBy(F.col(key).alias("_key"), F.col("_text").alias("_hash"), F.col("source").alias("_source")).agg(F.collect_list(F.struct("start", "begin", "n", "times")).alias("_places"))
+    on = F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_hash")) & F.col("source").eqNullSafe(F.col("_source"))
+    rows = df.join(mine, on).drop("_key", "_source").dropDuplicates([key, "_hash", "source"]).drop("_hash")
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, parts = [], []
+            for i, (t, places) in enumerate(zip(batch.column(text), batch.column("_places"), strict=True)):
+                own: dict[int, list[dict]] = {}
+                for p in places.as_py():
+                    own.setdefault(p["start"], []).append(p)
+                raw = t.as_py().encode()
+                for _, ps in sorted(own.items()):
+                    cut = _cut(raw, ps)
+                    parts += [c.decode() for c in cut]
+                    which += [i] * len(cut)
+            out = batch.drop_columns(["_places"]).take(pa.array(which, pa.int64()))
+            new = {text: pa.array(parts, batch.schema.field(text).type), "n_chars": pa.array([len(p) for p in parts], pa.int64())}
+            yield pa.RecordBatch.from_arrays([new.get(name, column) for name, column in zip(out.schema.names, out.columns, strict=True)], names=out.schema.names)
+
+    kinds = ", ".join(f"`{f.name}` {'bigint' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in df.schema)
+    return rows.mapInArrow(taken, kinds)

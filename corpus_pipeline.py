@@ -1,11 +1,14 @@
-"""A corpus pipeline: each stage is a function (spark, docs, sf_dir) -> DataFrame over all that the one before kept."""
+"""A corpus pipeline: each stage is a function (spark, docs, sf_dir) -> DataFrame over all that the one before kept.
+
+A stage's result must be written before the next stage is called, which deletes what the one before laid aside."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from adspark.llm import quality_rules
-from adspark.llm.common import stage
+from adspark.llm import decontamination, jaccard_join, mixing, quality_rules, token_output
+from adspark.llm.common import drop_stages, new_path, read, stage
 
 #: Columns of documents, which all stages but the last return.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -13,10 +16,46 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules.apply_rules(docs).where("kept").select(*COLUMNS)
+    drop_stages(spark)
+    return quality_rules.apply_rules(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a Jaccard similarity of 0.8 of five-word shingles."""
+    drop_stages(spark)
+    return jaccard_join.keep_one(docs.select(*COLUMNS), width=5, percent=80)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated with benchmark items."""
+    drop_stages(spark)
+    rows = docs.select(*COLUMNS)
+    found = decontamination.match_benchmark(rows, read(spark, sf_dir, "benchmark"), others=["lang", "source", "n_chars"])
+    return found.where(~decontamination.contaminated()).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix of sources, weighing 1, 2, 3, takes of the documents."""
+    drop_stages(spark)
+    return mixing.mixed_documents(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token table of the mix: doc_id, start, n_tokens and ids_crc32 of each of its rows, read back from it."""
+    drop_stages(spark)
+    path = new_path(spark, "tokens")
+    token_output.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    found = token_output.token_digests(spark.read.parquet(path))
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-STAGES = [("quality_rules", filter_quality)]
+STAGES = [
+    ("quality_rules", filter_quality),
+    ("jaccard_join", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token_output", write_tokens),
+]
 
 #: SQL has no hash permutation and no tokenizer; the stages are tested against brute force instead.
 ORACLE_SQL = None
@@ -24,9 +63,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; what one stage returns is written, and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for k, (name, function) in enumerate(STAGES):
         docs = function(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = stage(docs, name)
+            docs = stage(docs, name, keep=True)
     return docs
