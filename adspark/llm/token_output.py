@@ -16,6 +16,7 @@ each distinct piece is encoded once a batch by the tokenizers library.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -29,18 +30,30 @@ from pyspark.sql import functions as F
 from adspark.llm.common import PIECE, running_offset, span_hash
 
 BLOCK = 128
+#: Blocks of one width that are packed or unpacked together.
+TOGETHER = 512
 #: Share of a block's differences that fit the packed width.
 PERCENTILE = 0.9
 #: A segment is closed with the document that reaches so many ids.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
+#: New pieces that are encoded in one call.
+JOINED = 4096
 #: Pieces whose ids a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 
 _HEAD = np.dtype([("magic", "S4"), ("n", "<u8"), ("blocks", "<u4"), ("exceptions", "<u4")])
 _INDEX = np.dtype([("start", "<u4"), ("least", "<u4"), ("width", "u1"), ("first", "<u4")])
 _EXCEPTION = np.dtype([("place", "u1"), ("value", "<u4")])
 
 
+def _by_width(width: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(width, blocks) of blocks that need bits, TOGETHER at most at once."""
+    for w in np.flatnonzero(np.bincount(width)).tolist():
+        rows = np.flatnonzero(width == w)
+        for i in range(0, len(rows) if w else 0, TOGETHER):
+            yield w, rows[i : i + TOGETHER]
+
+
 def pack(ids: np.ndarray) -> bytes:
     """One segment's ids as bytes: head, block index, exceptions, packed bits."""
     n = len(ids)
@@ -68,8 +81,7 @@ def pack(ids: np.ndarray) -> bytes:
     index["start"], index["least"], index["width"] = np.cumsum(size) - size, least, width
     index["first"] = np.cumsum(beyond.sum(axis=1)) - beyond.sum(axis=1)
     packed = np.zeros(int(size.sum()), np.uint8)
-    for w in np.unique(width[width > 0]):
-        own = np.flatnonzero(width == w)
+    for w, own in _by_width(width):
         bits = (rest[own][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
         to = index["start"][own].astype(np.int64)[:, None] + np.arange(int(w) * (BLOCK // 8))
         packed[to] = np.packbits(bits.astype(np.uint8).reshape(len(own), -1), axis=1, bitorder="little")
@@ -93,8 +105,7 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     last = len(index) if last is None else min(last, len(index))
     own = index[first:last]
     out = np.zeros((len(own), BLOCK), np.uint32)
-    for w in np.unique(own["width"][own["width"] > 0]):
-        rows = np.flatnonzero(own["width"] == w)
+    for w, rows in _by_width(own["width"]):
         at = own["start"][rows].astype(np.int64)[:, None] + np.arange(int(w) * (BLOCK // 8))
         bits = np.unpackbits(packed[at], axis=1, bitorder="little").reshape(len(rows), BLOCK, int(w)).astype(np.uint32)
         out[rows] = (bits << np.arange(w, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
@@ -118,41 +129,93 @@ def safe_cuts(data: np.ndarray) -> np.ndarray:
     before = _PLAIN[data[:-2]]
     before[1:] |= (data[1:-2] >= 0x80) & (data[:-3] == 0xC3)
     fits = before & (_PLAIN[data[2:]] | (data[2:] == 0xC3))
-    space = np.flatnonzero(fits & (middle == 0x20)) + 1
-    line = np.flatnonzero(fits & (middle == 0x0A)) + 1
-    return np.unique(np.concatenate([space, line, line + 1]))
+    line = fits & (middle == 0x0A)
+    cut = np.zeros(len(data), bool)
+    cut[1:-1] = line | (fits & (middle == 0x20))
+    cut[2:] |= line
+    return np.flatnonzero(cut)
 
 
 class Encoder:
-    """Token ids of texts; a text's ids are those that encoding it as one piece gives."""
+    """Token ids of texts; a text's ids are those that encoding it as one piece gives. Ids of pieces met before are kept
+    in flat arrays beside the pieces' sorted hashes."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, list[int]] = {}
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.begins, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [e.ids for e in many(texts, add_special_tokens=False)]
+
+    def _learn(self, data: bytes, raw: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Remember the ids of new pieces. Those without line ends that begin (after one space at most) and end with plain
+        characters are encoded many at a time with a line end between them, which is always a token of its own."""
+        lead = raw[start] == 0x20
+        second = raw[np.minimum(start + lead, len(raw) - 1)]
+        before = raw[np.maximum(end - 2, 0)]
+        ends_well = _PLAIN[raw[end - 1]] | ((raw[end - 1] >= 0x80) & (before == 0xC3) & (end - start >= 2))
+        lines = np.concatenate([[0], np.cumsum(raw == 0x0A)])
+        alike = (start + lead < end) & (_PLAIN[second] | (second == 0xC3)) & ends_well & (lines[end] == lines[start]) & (self.line is not None)
+        size = np.zeros(len(hashes), np.int64)
+        parts: list[np.ndarray] = []
+        rows = np.flatnonzero(alike)
+        spans = list(zip(start.tolist(), end.tolist(), strict=True))
+        joined = [b"\n".join(data[spans[i][0] : spans[i][1]] for i in rows[k : k + JOINED].tolist()).decode() for k in range(0, len(rows), JOINED)]
+        for k, ids in enumerate(self._encoded(joined)):
+            ids = np.array(ids, np.uint32)
+            at = np.flatnonzero(ids == self.line)
+            own = np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
+            mine = rows[k * JOINED : (k + 1) * JOINED]
+            if len(own) != len(mine):
+                raise ValueError("a line end was not a token of its own")
+            size[mine] = own
+            parts.append(ids[ids != self.line])
+        others = np.flatnonzero(~alike)
+        lists = self._encoded([data[spans[i][0] : spans[i][1]].decode("utf-8", "replace") for i in others.tolist()])
+        size[others] = [len(x) for x in lists]
+        parts.append(np.fromiter(chain.from_iterable(lists), np.uint32))
+        order = np.concatenate([rows, others])
+        begin = np.zeros(len(hashes), np.int64)
+        begin[order] = len(self.flat) + np.cumsum(size[order]) - size[order]
+        at = np.searchsorted(self.hashes, hashes)
+        self.begins, self.sizes, self.hashes = np.insert(self.begins, at, begin), np.insert(self.sizes, at, size), np.insert(self.hashes, at, hashes)
+        self.flat = np.concatenate([self.flat, *parts])
+
+    def _unknown(self, found: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.arange(len(found))
+        return np.flatnonzero(self.hashes[np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)] != found)
 
     def encode(self, data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids of each text) of texts laid end to end; ends are their ends in bytes."""
         raw = np.frombuffer(data, np.uint8)
-        edges = np.unique(np.concatenate([[0], safe_cuts(raw), ends]))
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[0] = True
+        edge[safe_cuts(raw)] = True
+        edge[ends] = True
+        edges = np.flatnonzero(edge)
         start, end = edges[:-1], edges[1:]
         found, first, which = np.unique(span_hash(raw, start, end), return_index=True, return_inverse=True)
-        new = [i for i, h in enumerate(found.tolist()) if h not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(range(len(found)))
-        if new:
-            texts = [data[start[first[i]] : end[first[i]]].decode("utf-8", "replace") for i in new]
-            for i, e in zip(new, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-                self.known[int(found[i])] = e.ids
-        lists = [self.known[h] for h in found.tolist()]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))
-        begin = np.cumsum(size) - size
-        each = size[which]
+        new = self._unknown(found)
+        if len(self.hashes) + len(new) > REMEMBERED:
+            self._forget()
+            new = self._unknown(found)
+        if len(new):
+            self._learn(data, raw, found[new], start[first[new]], end[first[new]])
+        at = np.searchsorted(self.hashes, found)[which]
+        each = self.sizes[at]
         to = np.cumsum(each)
-        ids = flat[np.repeat(begin[which] - (to - each), each) + np.arange(int(to[-1]) if len(to) else 0)]
+        ids = self.flat[np.repeat(self.begins[at] - (to - each), each) + np.arange(int(to[-1]) if len(to) else 0)]
         upto = np.concatenate([[0], to])[np.searchsorted(end, ends, "right")]
         return ids, np.diff(upto, prepend=0)
 
