@@ -1,7 +1,580 @@
-"""The registered queries over the driver's tables and their SQL."""
+"""The registered queries over the driver's tables, and the SQL that other engines answer them with."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from adspark.functions.expressions import stable_hash
+from adspark.operators import auction, audit, features, metrics, profile, recall, sampling, windows
+from adspark.operators.normalize import number_rows
+from adspark.plans import funnel
+from adspark.sources.adapters import IMPRESSIONS_SQL, INTERACTIONS_SQL, PREDICTIONS_SQL, impressions, interactions, predictions, table
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 FLAGSHIP = "popularity_topk"
+COHORT = 20
+CATEGORIES = ["product_brand", "product_category_1", "device_type"]
+
+# Parts of the SQL texts.
+SPLIT_SQL = f"""{INTERACTIONS_SQL}, bound AS (
+  SELECT min(ts) AS t FROM (SELECT ts, sum(n) OVER (ORDER BY ts) AS upto, sum(n) OVER () AS total FROM (SELECT click_timestamp AS ts, count(*) AS n FROM interactions GROUP BY 1)) WHERE upto > ceil(0.8::DOUBLE * (total - 1))),
+past AS (SELECT * FROM interactions WHERE click_timestamp <= (SELECT t FROM bound)),
+future AS (SELECT * FROM interactions WHERE click_timestamp > (SELECT t FROM bound)),
+positives AS (SELECT DISTINCT user_id, product_id FROM future)"""
+PAIRS_SQL = "pairs AS (SELECT user_id, product_id, sum(CASE WHEN conversion_label = 1 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END) AS weight FROM past GROUP BY ALL)"
+COHORT_SQL = f"""cohort AS (SELECT user_id FROM (SELECT DISTINCT user_id FROM past WHERE user_id IN (SELECT user_id FROM future)) ORDER BY ('0x' || substr(md5('7' || chr(31) || user_id), 1, 15))::BIGINT, user_id LIMIT {COHORT})"""
+ITEMCF_SQL = f"""{SPLIT_SQL}, {PAIRS_SQL}, {COHORT_SQL},
+norms AS (SELECT product_id, sqrt(sum(weight * weight)) AS norm FROM pairs GROUP BY 1),
+history AS (SELECT * FROM pairs WHERE user_id IN (SELECT user_id FROM cohort)),
+dots AS (SELECT a.product_id AS item, b.product_id AS other, sum(a.weight * b.weight) AS dot FROM pairs a JOIN pairs b ON a.user_id = b.user_id AND a.product_id <> b.product_id WHERE a.product_id IN (SELECT product_id FROM history) GROUP BY ALL),
+sims AS (SELECT item, other, dot / (x.norm * y.norm) AS similarity FROM dots JOIN norms x ON x.product_id = item JOIN norms y ON y.product_id = other),
+scores AS (SELECT user_id, other AS candidate_ad_id, round(sum(weight * similarity), 9) AS itemcf_score FROM history JOIN sims ON item = product_id GROUP BY ALL),
+itemcf AS (SELECT user_id, candidate_ad_id, itemcf_score, row_number() OVER (PARTITION BY user_id ORDER BY itemcf_score DESC, candidate_ad_id) AS rank FROM scores ANTI JOIN (SELECT user_id, product_id AS candidate_ad_id FROM history) USING (user_id, candidate_ad_id) WHERE itemcf_score <> 0 QUALIFY rank <= 50),
+popular AS (SELECT product_id AS candidate_ad_id, sum(weight) AS popularity_score, row_number() OVER (ORDER BY sum(weight) DESC, product_id) AS rank FROM pairs GROUP BY 1 QUALIFY rank <= 50)"""
+LISTS_SQL = f"""{ITEMCF_SQL}, lists AS (
+  SELECT user_id, candidate_ad_id, 'itemcf' AS source, rank FROM itemcf
+  UNION ALL SELECT user_id, candidate_ad_id, 'popularity', rank FROM (SELECT DISTINCT user_id FROM itemcf), popular)"""
+FUSED_SQL = f"""{LISTS_SQL}, fused AS (
+  SELECT user_id, candidate_ad_id, round(sum(CASE WHEN source = 'itemcf' THEN 2.0::DOUBLE ELSE 2.0::DOUBLE END / (100.0::DOUBLE + rank)), 12) AS rrf_score, count(*)::INT AS source_count FROM lists GROUP BY ALL)"""
+GROUPED_SQL = f"""{PREDICTIONS_SQL}, scored AS (
+  SELECT *, least(greatest(raw_pctr, 1e-7), 1 - 1e-7) AS score_pctr, least(greatest(raw_pctcvr, 1e-7), 1 - 1e-7) AS score_pctcvr,
+    least(greatest(least(greatest(raw_pctcvr, 1e-7), 1 - 1e-7) / least(greatest(raw_pctr, 1e-7), 1 - 1e-7), 0), 1) AS score_pcvr FROM predictions),
+auctions AS (SELECT *, ((row_number() OVER (ORDER BY ('0x' || substr(md5('2026' || chr(31) || event_id), 1, 15))::BIGINT, event_id) - 1) // 5)::BIGINT AS auction_id FROM scored),
+bids AS (SELECT *, score_pctr AS quality, 10.0::DOUBLE * score_pctcvr AS bid, score_pctr * (10.0::DOUBLE * score_pctcvr) AS rank_score FROM auctions),
+cleared AS (
+  SELECT auction_id, event_id AS winner, quality, bid AS winning_bid, rank_score, least(bid, coalesce(nxt, rank_score) / greatest(quality, 1e-12)) AS second_price
+  FROM (SELECT *, row_number() OVER w AS r, lead(rank_score) OVER w AS nxt FROM bids WINDOW w AS (PARTITION BY auction_id ORDER BY rank_score DESC, event_id)) WHERE r = 1)"""
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _past_future(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return funnel.temporal_split(interactions(spark, sf_dir))
+
+
+def _pairs(past: DataFrame) -> DataFrame:
+    return recall.weighted_pairs(past, recall.label_weight(F.col("conversion_label").cast("string"), {"0": 1.0, "1": 3.0}))
+
+
+def _cohort(past: DataFrame, future: DataFrame) -> DataFrame:
+    both = past.select("user_id").distinct().join(future.select("user_id").distinct(), "user_id", "left_semi")
+    return windows.hashed_users(both, 7, COHORT)
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(all lists, past, positives)."""
+    past, future = _past_future(spark, sf_dir)
+    lists = funnel.recall_lists(past, _cohort(past, future))
+    return recall.personalised({"itemcf": lists["itemcf"]}, lists["popularity"]), past, funnel.positives(future)
+
+
+# --- profiles -------------------------------------------------------------------------------------------------------
+
+
+@query("eda_missing", f"WITH {INTERACTIONS_SQL} SELECT 'conversion_value_eur' AS column, count(*) AS rows, count(*) - count(conversion_value_eur) AS missing, (count(*) - count(conversion_value_eur))::DOUBLE / count(*) AS missing_rate FROM interactions UNION ALL SELECT 'product_brand', count(*), count(*) - count(product_brand), (count(*) - count(product_brand))::DOUBLE / count(*) FROM interactions")
+def eda_missing(spark, sf_dir):
+    return profile.missing_profile(interactions(spark, sf_dir), ["conversion_value_eur", "product_brand"])
+
+
+_NUMBERS = ["conversion_value_eur", "product_price", "clicks_last_7d"]
+
+
+@query("eda_numeric", f"WITH {INTERACTIONS_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS column, count({c}) AS count, round(avg({c}), 6) AS mean, min({c}) AS min, max({c}) AS max FROM interactions" for c in _NUMBERS))
+def eda_numeric(spark, sf_dir):
+    return rounded(profile.numeric_profile(interactions(spark, sf_dir), _NUMBERS), "mean")
+
+
+@query("eda_topk_categories", f"WITH {INTERACTIONS_SQL} SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column, coalesce({c}, '__MISSING__') AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {c}) AS rank FROM interactions GROUP BY {c}" for c in CATEGORIES) + ") WHERE rank <= 5")
+def eda_topk_categories(spark, sf_dir):
+    return profile.top_categories(interactions(spark, sf_dir), CATEGORIES, 5)
+
+
+@query("schema_types", "SELECT 'event_id' AS column, 'int64' AS type UNION ALL SELECT 'cost', 'float64' UNION ALL SELECT 'campaign_id', 'int64'")
+def schema_types(spark, sf_dir):
+    return profile.inferred_types(impressions(spark, sf_dir), ["event_id", "cost", "campaign_id"])
+
+
+@query("label_cross_table", f"""WITH {IMPRESSIONS_SQL} SELECT count(*) AS rows,
+  count(*) FILTER (click = 0 AND conversion = 0) AS click0_conversion0, count(*) FILTER (click = 0 AND conversion = 1) AS click0_conversion1,
+  count(*) FILTER (click = 1 AND conversion = 0) AS click1_conversion0, count(*) FILTER (click = 1 AND conversion = 1) AS click1_conversion1,
+  sum(click)::DOUBLE / count(*) AS ctr, sum(click_and_conversion)::DOUBLE / sum(click) AS cvr, sum(click_and_conversion)::DOUBLE / count(*) AS ctcvr,
+  min(timestamp) AS min_timestamp, max(timestamp) AS max_timestamp, count(DISTINCT user_id) AS users, count(DISTINCT campaign_id) AS campaigns FROM impressions""")
+def label_cross_table(spark, sf_dir):
+    return profile.label_statistics(impressions(spark, sf_dir))
+
+
+@query("value_quantiles", f"WITH {INTERACTIONS_SQL} SELECT device_type, count(conversion_value_eur) AS n, round(avg(conversion_value_eur), 6) AS mean, " + ", ".join(f"round(quantile_cont(conversion_value_eur, {q}), 6) AS p{round(q * 100)}" for q in (0.5, 0.9, 0.95, 0.99)) + " FROM interactions GROUP BY 1")
+def value_quantiles(spark, sf_dir):
+    return rounded(profile.quantiles(interactions(spark, sf_dir), "conversion_value_eur", group=["device_type"]), "mean", "p50", "p90", "p95", "p99")
+
+
+@query("approximate_distinct")
+def approximate_distinct(spark, sf_dir):
+    return profile.approximate_distinct(interactions(spark, sf_dir), ["user_id", "product_id"])
+
+
+# --- features -------------------------------------------------------------------------------------------------------
+
+
+@query("feature_engineering", f"""WITH {INTERACTIONS_SQL} SELECT event_id, conversion_label, (conversion_value_eur IS NOT NULL)::INT AS has_conversion_value, round(coalesce(conversion_value_eur, 0), 6) AS conversion_value_eur,
+  ((click_timestamp % 86400) // 3600)::INT AS click_hour_utc, ((click_timestamp // 86400 + 3) % 7)::INT AS click_day_of_week_utc, (click_timestamp IS NULL)::INT AS click_timestamp_missing,
+  (product_price IS NULL)::INT AS product_price_missing, coalesce(product_price, 0) AS product_price, round(ln(1 + greatest(coalesce(product_price, 0), 0)), 6) AS log_product_price,
+  (clicks_last_7d IS NULL)::INT AS clicks_last_7d_missing, coalesce(clicks_last_7d, 0) AS clicks_last_7d, round(ln(1 + greatest(coalesce(clicks_last_7d, 0), 0)), 6) AS log_clicks_last_7d,
+  product_brand AS cat_product_brand, product_category_1 AS cat_product_category_1, device_type AS cat_device_type FROM interactions""")
+def feature_engineering(spark, sf_dir):
+    return rounded(features.engineer(interactions(spark, sf_dir), CATEGORIES), "conversion_value_eur", "log_product_price", "log_clicks_last_7d")
+
+
+_HASH = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+
+
+@query("fine_features", f"""WITH {INTERACTIONS_SQL} SELECT event_id, user_id, product_id, 0.0::DOUBLE AS dense__rrf_score, 0.0::DOUBLE AS dense__coarse_score, 0.0::DOUBLE AS dense__source_count, 1.0::DOUBLE AS dense__inverse_coarse_rank,
+  round(least(ln(1 + greatest(product_price, 0)), 10) / 5, 6) AS dense__product_price, round(least(ln(1 + greatest(clicks_last_7d, 0)), 10) / 5, 6) AS dense__clicks_last_7d,
+  round(((click_timestamp % 86400) // 3600) / 23, 6) AS dense__click_hour_utc, round((click_timestamp // 86400 % 7) / 6, 6) AS dense__click_day_of_week_utc,
+  0.0::DOUBLE AS dense__product_price_missing, 0.0::DOUBLE AS dense__clicks_missing, 0.0::DOUBLE AS dense__timestamp_missing,
+  """ + ", ".join(f"{_HASH.format(f'''({2026 + i})::VARCHAR || chr(31) || ''' + (c if c != 'candidate_ad_id' else chr(39) + '__MISSING__' + chr(39)))} % {n} AS sparse__{c}" for i, (c, n) in enumerate(features.FINE_BUCKETS.items())) + """,
+  conversion_label, (conversion_label = 1 AND conversion_value_eur >= 0)::INT AS value_mask, CASE WHEN conversion_label = 1 AND conversion_value_eur >= 0 THEN round(ln(1 + conversion_value_eur), 6) END AS log_conversion_value FROM interactions""")
+def fine_features(spark, sf_dir):
+    out = features.fine_features(interactions(spark, sf_dir))
+    return rounded(out, *[c for c in out.columns if c.startswith("dense__")], "log_conversion_value")
+
+
+@query("coarse_features", f"""WITH {INTERACTIONS_SQL} SELECT user_id, product_id AS candidate_ad_id, 0.5::DOUBLE AS rrf_score, 1.0::DOUBLE AS source_count, product_price, clicks_last_7d,
+  {', '.join(f"round({_HASH.format(c)} % 1000003 / 1000003, 9) AS hash_{c}" for c in CATEGORIES)} FROM interactions""")
+def coarse_features(spark, sf_dir):
+    rows = interactions(spark, sf_dir).withColumns({"candidate_ad_id": F.col("product_id"), "rrf_score": F.lit(0.5), "source_count": F.lit(1.0)})
+    return rounded(features.coarse_features(rows, CATEGORIES), *(f"hash_{c}" for c in CATEGORIES), digits=9)
+
+
+@query("z_scores", f"WITH {SPLIT_SQL}, m AS (SELECT avg(product_price) AS a, greatest(stddev_pop(product_price), 1e-6) AS s FROM past) SELECT event_id, round((product_price - a) / s, 6) AS z_product_price FROM future, m")
+def z_scores(spark, sf_dir):
+    past, future = _past_future(spark, sf_dir)
+    return rounded(features.z_scores(future, past, ["product_price"]), "z_product_price").select("event_id", "z_product_price")
+
+
+@query("vocabulary", f"WITH {SPLIT_SQL}, v AS (SELECT product_brand AS value, (row_number() OVER (ORDER BY product_brand) + 1)::INT AS code FROM (SELECT DISTINCT product_brand FROM past)) SELECT event_id, coalesce(code, 1) AS code_product_brand FROM future LEFT JOIN v ON value = product_brand")
+def vocabulary(spark, sf_dir):
+    past, future = _past_future(spark, sf_dir)
+    return features.encode(future, "product_brand", features.vocabulary(past, "product_brand")).select("event_id", "code_product_brand")
+
+
+@query("price_sanitising", f"""WITH {INTERACTIONS_SQL}, p AS (SELECT event_id, CASE WHEN clicks_last_7d < 5 THEN -product_price WHEN clicks_last_7d < 10 THEN NULL ELSE product_price END AS price FROM interactions)
+SELECT event_id, round(ln(1 + greatest(coalesce(price, 0), 0)), 6) AS log_price, (price IS NOT NULL)::INT AS valid FROM p""")
+def price_sanitising(spark, sf_dir):
+    price = F.when(F.col("clicks_last_7d") < 5, -F.col("product_price")).when(F.col("clicks_last_7d") >= 10, F.col("product_price"))
+    log, valid = features.sanitised_price(price)
+    return interactions(spark, sf_dir).select("event_id", F.round(log, 6).alias("log_price"), valid.alias("valid"))
+
+
+@query("value_transform", f"""WITH {INTERACTIONS_SQL}, v AS (SELECT ln(1 + conversion_value_eur) AS l FROM interactions WHERE conversion_label = 1), m AS (SELECT count(l) AS n, avg(l) AS mean, stddev_pop(l) AS std, max(l) AS max_log FROM v)
+SELECT n, round(mean, 6) AS mean, round(std, 6) AS std, round(max_log, 6) AS max_log, round(least(20.0::DOUBLE, greatest(0, max_log + 3 * std)), 6) AS prediction_log_max FROM m""")
+def value_transform(spark, sf_dir):
+    return rounded(features.value_transform(features.fine_features(interactions(spark, sf_dir))), "mean", "std", "max_log", "prediction_log_max")
+
+
+# --- windows --------------------------------------------------------------------------------------------------------
+
+
+@query("split_search_bounds", f"WITH {SPLIT_SQL} SELECT t AS threshold FROM bound")
+def split_search_bounds(spark, sf_dir):
+    return windows.higher_quantile(interactions(spark, sf_dir), "click_timestamp", 0.8)
+
+
+_BASE = "(SELECT min(ts) FROM r WHERE upto > greatest(floor(total * {q}::DOUBLE) - 1, 0))"
+STRICT_SQL = f"""{IMPRESSIONS_SQL}, r AS (SELECT ts, sum(n) OVER (ORDER BY ts) AS upto, sum(n) OVER () AS total FROM (SELECT timestamp AS ts, count(*) AS n FROM impressions GROUP BY 1)),
+bounds AS (SELECT (SELECT min(ts) FROM r WHERE ts > {_BASE.format(q=0.5)}) AS start_0, (SELECT min(ts) FROM r WHERE ts > {_BASE.format(q=0.75)}) AS start_1)"""
+
+
+@query("split_attribution_bounds", f"WITH {STRICT_SQL} SELECT start_0, start_1 FROM bounds")
+def split_attribution_bounds(spark, sf_dir):
+    return windows.strict_boundaries(impressions(spark, sf_dir), "timestamp", [0.5, 0.75])
+
+
+@query("three_windows", f"""WITH {STRICT_SQL} SELECT CASE WHEN timestamp < start_0 THEN 'past' WHEN timestamp < start_1 THEN 'future_a' ELSE 'future_b' END AS window, count(*) AS n, sum(click)::BIGINT AS clicks, min(timestamp) AS min_timestamp, max(timestamp) AS max_timestamp FROM impressions, bounds GROUP BY 1""")
+def three_windows(spark, sf_dir):
+    rows = windows.split_three(impressions(spark, sf_dir), "timestamp", 0.5, 0.5)
+    return rows.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.sum("click").cast("long").alias("clicks"), F.min("timestamp").alias("min_timestamp"), F.max("timestamp").alias("max_timestamp"))
+
+
+@query("eligible_users", f"WITH {SPLIT_SQL} SELECT DISTINCT user_id FROM past WHERE user_id IN (SELECT user_id FROM future)")
+def eligible_users(spark, sf_dir):
+    return windows.eligible_users(windows.split(interactions(spark, sf_dir), "click_timestamp", 0.8))
+
+
+@query("window_stats", f"""WITH {SPLIT_SQL}, w AS (SELECT *, 'past' AS "window" FROM past UNION ALL SELECT *, 'future' FROM future)
+SELECT "window", count(*) AS rows, count(DISTINCT user_id) AS users, count(DISTINCT product_id) AS products, count(DISTINCT user_id || '-' || product_id) AS pairs, sum(conversion_label)::BIGINT AS conversions, min(click_timestamp) AS min_timestamp, max(click_timestamp) AS max_timestamp FROM w GROUP BY 1""")
+def window_stats(spark, sf_dir):
+    return windows.window_stats(windows.split(interactions(spark, sf_dir), "click_timestamp", 0.8))
+
+
+@query("order_violations", f"WITH {IMPRESSIONS_SQL} SELECT count(*) FILTER (timestamp < b) AS violations FROM (SELECT timestamp, lag(timestamp) OVER (ORDER BY event_id) AS b FROM impressions)")
+def order_violations(spark, sf_dir):
+    return windows.order_violations(impressions(spark, sf_dir), "event_id", "timestamp")
+
+
+# --- recall ---------------------------------------------------------------------------------------------------------
+
+
+@query("popularity_topk", f"""WITH {INTERACTIONS_SQL} SELECT product_id AS candidate_ad_id, sum(CASE WHEN conversion_label = 1 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END) AS popularity_score,
+  row_number() OVER (ORDER BY sum(CASE WHEN conversion_label = 1 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END) DESC, product_id) AS rank FROM interactions GROUP BY 1 QUALIFY rank <= 100""")
+def popularity_topk(spark, sf_dir):
+    return recall.popularity(interactions(spark, sf_dir), 100)
+
+
+@query("weighted_interactions", f"WITH {SPLIT_SQL}, {PAIRS_SQL} SELECT * FROM pairs")
+def weighted_interactions(spark, sf_dir):
+    return _pairs(_past_future(spark, sf_dir)[0])
+
+
+@query("itemcf_similarity", f"""WITH {SPLIT_SQL}, {PAIRS_SQL}, norms AS (SELECT product_id, sqrt(sum(weight * weight)) AS norm FROM pairs GROUP BY 1),
+dots AS (SELECT a.product_id AS item, b.product_id AS other, sum(a.weight * b.weight) AS dot FROM pairs a JOIN pairs b ON a.user_id = b.user_id AND a.product_id <> b.product_id GROUP BY ALL)
+SELECT item, count(*) AS neighbours, round(max(dot / (x.norm * y.norm)), 6) AS best, round(sum(dot / (x.norm * y.norm)), 6) AS total FROM dots JOIN norms x ON x.product_id = item JOIN norms y ON y.product_id = other GROUP BY 1""")
+def itemcf_similarity(spark, sf_dir):
+    sims = recall.item_similarity(_pairs(_past_future(spark, sf_dir)[0]))
+    return rounded(sims.groupBy("item").agg(F.count(F.lit(1)).alias("neighbours"), F.max("similarity").alias("best"), F.sum("similarity").alias("total")), "best", "total")
+
+
+@query("itemcf_topk", f"WITH {ITEMCF_SQL} SELECT user_id, candidate_ad_id, round(itemcf_score, 6) AS itemcf_score, rank FROM itemcf")
+def itemcf_topk(spark, sf_dir):
+    past, future = _past_future(spark, sf_dir)
+    return rounded(funnel.recall_lists(past, _cohort(past, future))["itemcf"], "itemcf_score")
+
+
+@query("rrf_fusion", f"WITH {FUSED_SQL} SELECT user_id, candidate_ad_id, rrf_score, source_count FROM fused QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rrf_score DESC, candidate_ad_id) <= 100")
+def rrf_fusion(spark, sf_dir):
+    return recall.rrf(_lists(spark, sf_dir)[0], {"itemcf": 2.0, "two_tower": 1.0, "popularity": 2.0}, 100, 100)
+
+
+@query("rrf_quota")
+def rrf_quota(spark, sf_dir):
+    return rounded(recall.rrf_with_quotas(_lists(spark, sf_dir)[0], {"itemcf": 2.0, "two_tower": 1.0, "popularity": 0.5}, {"popularity": 10}, 100, 40), "rrf_score", digits=9)
+
+
+_SWEEP = recall.fusion_variants()
+
+
+@query("fusion_sweep", f"""WITH {LISTS_SQL}, variants AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {k}::DOUBLE, {a}::DOUBLE, {p}::DOUBLE)" for n, k, a, _, p in _SWEEP)}) AS v(variant, k, a, p)),
+scored AS (SELECT variant, user_id, candidate_ad_id, round(sum(CASE WHEN source = 'itemcf' THEN a ELSE p END / (k + rank)), 12) AS score FROM lists, variants GROUP BY ALL),
+top AS (SELECT variant, user_id, candidate_ad_id, row_number() OVER (PARTITION BY variant, user_id ORDER BY score DESC, candidate_ad_id) AS rank FROM scored),
+size AS (SELECT user_id, count(*) AS size FROM positives GROUP BY 1),
+h AS (SELECT variant, t.user_id, count(*) FILTER (rank <= 10) AS h10, count(*) FILTER (rank <= 50) AS h50 FROM top t JOIN positives p ON p.user_id = t.user_id AND p.product_id = t.candidate_ad_id GROUP BY ALL),
+u AS (SELECT v.variant, size, coalesce(h10, 0) AS h10, coalesce(h50, 0) AS h50 FROM size, variants v LEFT JOIN h ON h.variant = v.variant AND h.user_id = size.user_id)
+SELECT variant, 10 AS cutoff, round(avg(h10 / size), 9) AS recall, round(avg((h10 > 0)::INT), 9) AS hit_rate FROM u GROUP BY 1 UNION ALL SELECT variant, 50, round(avg(h50 / size), 9), round(avg((h50 > 0)::INT), 9) FROM u GROUP BY 1""")
+def fusion_sweep(spark, sf_dir):
+    every, _, positives = _lists(spark, sf_dir)
+    return rounded(recall.fusion_sweep(every, positives, _SWEEP), "recall", "hit_rate", digits=9)
+
+
+_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2]))"
+
+
+@query("vector_topk", f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v)
+SELECT query, item, round(score, 6) AS score, rank FROM (SELECT q.vec_id AS query, i.vec_id AS item, round({_DOT.format(a='q.e', b='i.e')}, 9) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DOT.format(a='q.e', b='i.e')}, 9) DESC, i.vec_id) AS rank FROM u q JOIN u i ON q.vec_id <> i.vec_id WHERE q.vec_id % 20 = 0) WHERE rank <= 10""")
+def vector_topk(spark, sf_dir):
+    unit = recall.unit_vectors(table(spark, sf_dir, "embeddings"))
+    return rounded(recall.vector_top_k(unit.where("vec_id % 20 = 0"), unit, 10), "score")
+
+
+@query("latest_catalogue", f"WITH {SPLIT_SQL} SELECT product_id, arg_max(device_type, (click_timestamp, event_id)) AS device_type, arg_max(conversion_value_eur, (click_timestamp, event_id)) FILTER (conversion_value_eur IS NOT NULL) AS conversion_value_eur FROM past GROUP BY 1")
+def latest_catalogue(spark, sf_dir):
+    return recall.latest_catalogue(_past_future(spark, sf_dir)[0], ["device_type", "conversion_value_eur"], ["click_timestamp", "event_id"])
+
+
+@query("first_product_features", f"WITH {SPLIT_SQL} SELECT product_id, arg_min(device_type, event_id) AS device_type, arg_min(clicks_last_7d, event_id) AS clicks_last_7d FROM past GROUP BY 1")
+def first_product_features(spark, sf_dir):
+    return recall.first_features(_past_future(spark, sf_dir)[0], ["device_type", "clicks_last_7d"], ["event_id"])
+
+
+@query("latest_user_features", f"WITH {SPLIT_SQL} SELECT user_id, arg_max(device_type, (click_timestamp, event_id)) AS device_type, arg_max(partner_id, (click_timestamp, event_id)) AS partner_id FROM past GROUP BY 1")
+def latest_user_features(spark, sf_dir):
+    return recall.latest_users(_past_future(spark, sf_dir)[0], ["device_type", "partner_id"], ["click_timestamp", "event_id"])
+
+
+# --- sampling -------------------------------------------------------------------------------------------------------
+
+
+@query("coarse_training_rows", f"""WITH {FUSED_SQL}, i AS (SELECT user_id, product_id AS candidate_ad_id, max(click_timestamp) AS ts, max(conversion_label) AS converted FROM interactions GROUP BY ALL),
+l AS (SELECT user_id, candidate_ad_id, (converted IS NOT NULL)::INT AS label, converted, ts FROM fused LEFT JOIN i USING (user_id, candidate_ad_id)),
+w AS (SELECT *, sum(label) OVER (PARTITION BY user_id) AS n, coalesce(max(ts) OVER (PARTITION BY user_id), -1) AS group_ts, row_number() OVER (PARTITION BY user_id, label ORDER BY {_HASH.format("'2026' || chr(31) || user_id || chr(31) || candidate_ad_id")}, candidate_ad_id) AS k FROM l)
+SELECT user_id, candidate_ad_id, label, CASE WHEN converted = 1 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS sample_weight, group_ts FROM w WHERE n > 0 AND (label = 1 OR k <= n * 3)""")
+def coarse_training_rows(spark, sf_dir):
+    every = _lists(spark, sf_dir)[0]
+    fused = recall.rrf(every, {"itemcf": 2.0, "two_tower": 1.0, "popularity": 2.0}, 100, 1000)
+    return sampling.labelled_candidates(fused.select("user_id", "candidate_ad_id"), sampling.interaction_pairs(interactions(spark, sf_dir)), 3)
+
+
+@query("past_pool", f"WITH {SPLIT_SQL} SELECT product_id AS candidate_ad_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, product_id) - 1 AS pos FROM past GROUP BY 1")
+def past_pool(spark, sf_dir):
+    return sampling.past_pool(_past_future(spark, sf_dir)[0])
+
+
+@query("pool_negatives", f"""WITH {SPLIT_SQL}, pool AS (SELECT product_id AS candidate_ad_id, row_number() OVER (ORDER BY count(*) DESC, product_id) - 1 AS pos, count(*) OVER () AS size FROM past GROUP BY 1),
+u AS (SELECT user_id, count(*) AS n FROM positives GROUP BY 1),
+v AS (SELECT user_id, n, candidate_ad_id, pos, ((pos - {_HASH.format("'2026' || chr(31) || user_id")} % size) % size + size) % size AS step FROM u, pool),
+f AS (SELECT v.* FROM v ANTI JOIN positives p ON p.user_id = v.user_id AND p.product_id = v.candidate_ad_id)
+SELECT user_id, candidate_ad_id, pos FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY step) <= n * 2""")
+def pool_negatives(spark, sf_dir):
+    past, future = _past_future(spark, sf_dir)
+    return sampling.pool_negatives(funnel.positives(future), sampling.past_pool(past), 2)
+
+
+@query("hash_validation", f"WITH {INTERACTIONS_SQL} SELECT event_id, {_HASH.format("'2026' || chr(31) || event_id")} % 10000 < 2000 AS validation FROM interactions")
+def hash_validation(spark, sf_dir):
+    return interactions(spark, sf_dir).select("event_id", sampling.is_validation(F.col("event_id")).alias("validation"))
+
+
+# --- evaluation -----------------------------------------------------------------------------------------------------
+
+
+@query("recall_at_k", f"""WITH {FUSED_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rrf_score DESC, candidate_ad_id) AS rank FROM fused), size AS (SELECT user_id, count(*) AS size FROM positives GROUP BY 1),
+h AS (SELECT f.user_id, count(*) FILTER (rank <= 10) AS h10, count(*) FILTER (rank <= 50) AS h50 FROM f JOIN positives p ON p.user_id = f.user_id AND p.product_id = f.candidate_ad_id GROUP BY 1),
+u AS (SELECT size, coalesce(h10, 0) AS h10, coalesce(h50, 0) AS h50 FROM size LEFT JOIN h USING (user_id))
+SELECT 10 AS cutoff, count(*) AS users, round(avg(h10 / size), 9) AS recall, round(avg((h10 > 0)::INT), 9) AS hit_rate FROM u UNION ALL SELECT 50, count(*), round(avg(h50 / size), 9), round(avg((h50 > 0)::INT), 9) FROM u""")
+def recall_at_k(spark, sf_dir):
+    every, _, positives = _lists(spark, sf_dir)
+    fused = recall.rrf(every, {"itemcf": 2.0, "two_tower": 1.0, "popularity": 2.0}, 100, 100)
+    ranked = recall.ranked(fused, ["user_id"], [F.desc("rrf_score"), F.col("candidate_ad_id")])
+    return rounded(metrics.recall_at(ranked, positives, (10, 50)), "recall", "hit_rate", digits=9)
+
+
+@query("popularity_recall", f"""WITH {SPLIT_SQL}, {PAIRS_SQL}, popular AS (SELECT product_id, row_number() OVER (ORDER BY sum(weight) DESC, product_id) AS rank FROM pairs GROUP BY 1 QUALIFY rank <= 100),
+u AS (SELECT user_id, count(*) AS size, count(*) FILTER (rank <= 10) AS h10, count(*) FILTER (rank <= 100) AS h100 FROM positives LEFT JOIN popular USING (product_id) GROUP BY 1)
+SELECT 10 AS cutoff, count(*) AS users, round(avg(h10 / size), 9) AS recall, round(avg((h10 > 0)::INT), 9) AS hit_rate FROM u UNION ALL SELECT 100, count(*), round(avg(h100 / size), 9), round(avg((h100 > 0)::INT), 9) FROM u""")
+def popularity_recall(spark, sf_dir):
+    past, future = _past_future(spark, sf_dir)
+    return rounded(metrics.global_recall_at(recall.popularity(past, 100), funnel.positives(future), (10, 100)), "recall", "hit_rate", digits=9)
+
+
+@query("source_overlap", f"""WITH {LISTS_SQL}, h AS (SELECT l.* FROM lists l JOIN positives p ON p.user_id = l.user_id AND p.product_id = l.candidate_ad_id),
+p AS (SELECT user_id, candidate_ad_id, list(source ORDER BY source) AS srcs FROM h GROUP BY ALL)
+SELECT s AS source, count(*) AS hits, count(*) FILTER (len(srcs) = 1) AS alone, count(*) FILTER (srcs[1] = s) AS incremental FROM p, unnest(srcs) AS x(s) GROUP BY 1""")
+def source_overlap(spark, sf_dir):
+    every, _, positives = _lists(spark, sf_dir)
+    return metrics.source_overlap(every, positives, ("itemcf", "popularity"), 50)
+
+
+@query("cold_start", f"""WITH {SPLIT_SQL} SELECT count(*) AS rows, round(avg((user_id NOT IN (SELECT user_id FROM past))::INT), 9) AS unseen_user, round(avg((product_id NOT IN (SELECT product_id FROM past))::INT), 9) AS unseen_product,
+  round(avg((p.user_id IS NULL)::INT), 9) AS unseen_pair FROM future LEFT JOIN (SELECT DISTINCT user_id, product_id FROM past) p USING (user_id, product_id)""".replace("p.user_id IS NULL", "p.u IS NULL").replace("SELECT DISTINCT user_id, product_id FROM past) p", "SELECT DISTINCT user_id, product_id, 1 AS u FROM past) p"))
+def cold_start(spark, sf_dir):
+    past, future = _past_future(spark, sf_dir)
+    return rounded(metrics.cold_start(past, future), "unseen_user", "unseen_product", "unseen_pair", digits=9)
+
+
+@query("ranking_quality", f"""WITH {PREDICTIONS_SQL}, s AS (SELECT raw_pctr AS s, sum(click)::DOUBLE AS tp, count(*)::DOUBLE AS n FROM predictions GROUP BY 1), r AS (SELECT *, sum(tp) OVER (ORDER BY s DESC) AS ctp, sum(n) OVER (ORDER BY s DESC) AS cn FROM s),
+t AS (SELECT sum(n) AS n, sum(tp) AS p, sum((n - tp) * (ctp - tp) + 0.5::DOUBLE * tp * (n - tp)) AS a, sum(tp * ctp / cn) AS ap FROM r)
+SELECT n::BIGINT AS rows, p::BIGINT AS positives, round(a / (p * (n - p)), 9) AS roc_auc, round(ap / p, 9) AS average_precision FROM t""")
+def ranking_quality(spark, sf_dir):
+    return rounded(metrics.ranking_quality(predictions(spark, sf_dir), "click", "raw_pctr"), "roc_auc", "average_precision", digits=9)
+
+
+@query("probability_losses", f"WITH {PREDICTIONS_SQL} SELECT round(avg(-(click * ln(raw_pctr) + (1 - click) * ln(1 - raw_pctr))), 9) AS log_loss, round(avg((raw_pctr - click) * (raw_pctr - click)), 9) AS brier, round(avg(click), 9) AS mean_label, round(avg(raw_pctr), 9) AS mean_score FROM predictions")
+def probability_losses(spark, sf_dir):
+    return rounded(metrics.probability_losses(predictions(spark, sf_dir), "click", "raw_pctr"), "log_loss", "brier", "mean_label", "mean_score", digits=9)
+
+
+RELIABILITY_SQL = f"""{PREDICTIONS_SQL}, b AS (SELECT least(floor(raw_pctr * 10), 9)::INT AS bin, count(*) AS n, avg(raw_pctr) AS mean_score, avg(click) AS mean_label FROM predictions GROUP BY 1),
+r AS (SELECT i::INT AS bin, coalesce(n, 0) AS n, mean_score, mean_label, coalesce(abs(mean_score - mean_label), 0) AS gap FROM range(10) AS x(i) LEFT JOIN b ON bin = i)"""
+
+
+@query("reliability_bins", f"WITH {RELIABILITY_SQL} SELECT bin, n, round(mean_score, 9) AS mean_score, round(mean_label, 9) AS mean_label, round(gap, 9) AS gap FROM r")
+def reliability_bins(spark, sf_dir):
+    return rounded(metrics.reliability(predictions(spark, sf_dir), "click", "raw_pctr", 10), "mean_score", "mean_label", "gap", digits=9)
+
+
+@query("calibration_error", f"WITH {RELIABILITY_SQL} SELECT round(sum(n * gap) / sum(n), 9) AS ece, round(max(gap), 9) AS max_gap FROM r")
+def calibration_error(spark, sf_dir):
+    return rounded(metrics.expected_calibration_error(metrics.reliability(predictions(spark, sf_dir), "click", "raw_pctr", 10)), "ece", "max_gap", digits=9)
+
+
+@query("value_errors", f"""WITH {INTERACTIONS_SQL}, v AS (SELECT conversion_value_eur AS a, product_price * clicks_last_7d AS p FROM interactions WHERE conversion_value_eur >= 0)
+SELECT count(*) AS n, round(avg(abs(p - a)), 6) AS mae, round(sqrt(avg((p - a) * (p - a))), 6) AS rmse, round(avg(abs(ln(1 + p) - ln(1 + a))), 6) AS log_mae, round(sqrt(avg((ln(1 + p) - ln(1 + a)) * (ln(1 + p) - ln(1 + a)))), 6) AS rmsle FROM v""")
+def value_errors(spark, sf_dir):
+    rows = interactions(spark, sf_dir).withColumn("predicted", F.col("product_price") * F.col("clicks_last_7d"))
+    return rounded(metrics.value_errors(rows, "conversion_value_eur", "predicted"), "mae", "rmse", "log_mae", "rmsle")
+
+
+@query("ndcg_at_k", f"""WITH {SPLIT_SQL}, f AS (SELECT user_id, product_id, max(conversion_label) AS y, max(product_price) AS s FROM future GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, product_id) AS rank, row_number() OVER (PARTITION BY user_id ORDER BY y DESC, product_id) AS ideal FROM f),
+u AS (SELECT user_id, c, sum(y) AS p, sum(CASE WHEN rank <= c THEN y / log2(rank + 1) ELSE 0 END) AS d, sum(CASE WHEN ideal <= c THEN y / log2(ideal + 1) ELSE 0 END) AS i, sum(CASE WHEN rank <= c THEN y ELSE 0 END) AS h FROM r, (VALUES (5), (10)) AS k(c) GROUP BY ALL)
+SELECT c AS cutoff, count(*) AS users, round(avg(d / i), 9) AS ndcg, round(avg(h / p), 9) AS recall, round(avg((h > 0)::INT), 9) AS hit_rate FROM u WHERE p > 0 GROUP BY 1""")
+def ndcg_at_k(spark, sf_dir):
+    rows = _past_future(spark, sf_dir)[1].groupBy("user_id", "product_id").agg(F.max("conversion_label").alias("y"), F.max("product_price").alias("s"))
+    return rounded(metrics.ndcg_at(rows, "s", "y", (5, 10)), "ndcg", "recall", "hit_rate", digits=9)
+
+
+@query("score_deciles", f"""WITH {PREDICTIONS_SQL}, d AS (SELECT ntile(10) OVER (ORDER BY raw_pctr DESC, event_id)::INT AS decile, click, cost FROM predictions), s AS (SELECT decile, count(*) AS n, sum(click)::BIGINT AS labels, sum(cost) AS value FROM d GROUP BY 1)
+SELECT decile, n, labels, round(value, 6) AS value, round(sum(labels) OVER (ORDER BY decile) / sum(labels) OVER (), 9) AS captured FROM s""")
+def score_deciles(spark, sf_dir):
+    return rounded(rounded(metrics.deciles(predictions(spark, sf_dir), "raw_pctr", "click", "cost"), "value"), "captured", digits=9)
+
+
+@query("popularity_buckets", f"""WITH {SPLIT_SQL}, c AS (SELECT product_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, product_id) AS p, count(*) OVER () AS t FROM past GROUP BY 1)
+SELECT product_id, n, CASE WHEN p <= ceil(t * 0.2) THEN 'head' WHEN p <= ceil(t * 0.5) THEN 'mid' ELSE 'tail' END AS bucket FROM c""")
+def popularity_buckets(spark, sf_dir):
+    return metrics.popularity_buckets(_past_future(spark, sf_dir)[0])
+
+
+@query("serving_consistency", f"WITH {PREDICTIONS_SQL}, s AS (SELECT raw_pctr AS a, raw_pctcvr AS b FROM predictions) SELECT round(max(abs(a * least(b / a, 1) - b)), 9) AS max_error, round(avg(abs(a * least(b / a, 1) - b)), 9) AS mean_error, round(avg((b / a > 1)::INT), 9) AS clipped_fraction FROM s")
+def serving_consistency(spark, sf_dir):
+    return rounded(metrics.serving_consistency(predictions(spark, sf_dir)), "max_error", "mean_error", "clipped_fraction", digits=9)
+
+
+_LOSS = "avg(-(click * ln(raw_pctr) + (1 - click) * ln(1 - raw_pctr))) AS log_loss, avg((raw_pctr - click) * (raw_pctr - click)) AS brier"
+
+
+@query("drift_report", f"""WITH {STRICT_SQL.replace(IMPRESSIONS_SQL, PREDICTIONS_SQL)}, a AS (SELECT {_LOSS} FROM predictions, bounds WHERE timestamp < start_0), b AS (SELECT {_LOSS} FROM predictions, bounds WHERE timestamp >= start_0),
+d AS (SELECT 'log_loss' AS metric, a.log_loss AS before, b.log_loss AS after FROM a, b UNION ALL SELECT 'brier', a.brier, b.brier FROM a, b)
+SELECT metric, round(before, 9) AS before, round(after, 9) AS after, round(after - before, 9) AS delta, round((after - before) / abs(before), 6) AS relative,
+  CASE WHEN abs((after - before) / before) <= 0.05 THEN 'stable' WHEN after < before THEN 'improved' WHEN abs((after - before) / before) <= 0.15 THEN 'moderate' ELSE 'large' END AS verdict FROM d""")
+def drift_report(spark, sf_dir):
+    rows = predictions(spark, sf_dir)
+    bound = F.broadcast(windows.strict_boundaries(rows, "timestamp", [0.5]))
+    rows = rows.crossJoin(bound)
+    loss = lambda x: metrics.probability_losses(x, "click", "raw_pctr").select("log_loss", "brier")
+    out = metrics.drift(loss(rows.where("timestamp < start_0")), loss(rows.where("timestamp >= start_0")))
+    return rounded(rounded(out, "before", "after", "delta", digits=9), "relative")
+
+
+# --- audits ---------------------------------------------------------------------------------------------------------
+
+
+def _overlap_sql(name: str, columns: str) -> str:
+    return f"""SELECT '{name}' AS key, a AS train, b AS test, c AS common, round(c / (a + b - c), 9) AS jaccard, round(n / t, 9) AS test_rows_seen
+  FROM (SELECT count(*) AS a FROM (SELECT DISTINCT {columns} FROM past)), (SELECT count(*) AS b FROM (SELECT DISTINCT {columns} FROM future)),
+    (SELECT count(*) AS c, sum(k) AS n FROM (SELECT {columns}, count(*) AS k FROM future SEMI JOIN past USING ({columns}) GROUP BY ALL)), (SELECT count(*) AS t FROM future)"""
+
+
+@query("key_overlap", f"WITH {SPLIT_SQL} " + " UNION ALL ".join(_overlap_sql(n, c) for n, c in (("user", "user_id"), ("product", "product_id"), ("pair", "user_id, product_id"))))
+def key_overlap(spark, sf_dir):
+    past, future = _past_future(spark, sf_dir)
+    return rounded(audit.key_overlap(past, future, {"user": ["user_id"], "product": ["product_id"], "pair": ["user_id", "product_id"]}), "jaccard", "test_rows_seen", digits=9)
+
+
+@query("seen_unseen_slices", f"""WITH {SPLIT_SQL} SELECT (user_id IN (SELECT user_id FROM past))::INT AS seen_user, (product_id IN (SELECT product_id FROM past))::INT AS seen_product, count(*) AS n, sum(conversion_label)::BIGINT AS positives, round(avg(conversion_label), 9) AS rate FROM future GROUP BY ALL""")
+def seen_unseen_slices(spark, sf_dir):
+    return rounded(audit.seen_slices(*_past_future(spark, sf_dir)), "rate", digits=9)
+
+
+@query("strict_holdout", f"WITH {SPLIT_SQL} SELECT event_id, user_id, product_id FROM future ANTI JOIN past USING (user_id, product_id)")
+def strict_holdout(spark, sf_dir):
+    past, future = _past_future(spark, sf_dir)
+    return audit.unseen_rows(past, future, ["user_id", "product_id"]).select("event_id", "user_id", "product_id")
+
+
+@query("smoothed_priors", f"WITH {SPLIT_SQL}, g AS (SELECT avg(conversion_label) AS g FROM past) SELECT product_brand, count(*) AS n, sum(conversion_label)::BIGINT AS positives, round((sum(conversion_label) + 20 * any_value(g)) / (count(*) + 20), 9) AS rate FROM past, g GROUP BY 1")
+def smoothed_priors(spark, sf_dir):
+    return rounded(audit.smoothed_rates(_past_future(spark, sf_dir)[0], "product_brand"), "rate", digits=9)
+
+
+_RATE = "(SELECT {k}, (sum(conversion_label) + 20 * (SELECT avg(conversion_label) FROM past)) / (count(*) + 20) AS p FROM past GROUP BY 1)"
+
+
+@query("prior_predictions", f"""WITH {SPLIT_SQL}, g AS (SELECT avg(conversion_label) AS g FROM past)
+SELECT event_id, round(g, 9) AS p_global, round(coalesce(a.p, g), 9) AS p_product, round(coalesce(b.p, g), 9) AS p_brand, round((coalesce(b.p, g) + coalesce(c.p, g)) / 2, 9) AS p_brand_category
+FROM future CROSS JOIN g LEFT JOIN {_RATE.format(k='product_id')} a USING (product_id) LEFT JOIN {_RATE.format(k='product_brand')} b USING (product_brand) LEFT JOIN {_RATE.format(k='product_category_1')} c USING (product_category_1)""")
+def prior_predictions(spark, sf_dir):
+    out = audit.prior_predictions(*_past_future(spark, sf_dir))
+    names = ["p_global", "p_product", "p_brand", "p_brand_category"]
+    return rounded(out.select("event_id", *names), *names, digits=9)
+
+
+@query("user_aggregates", f"""WITH {SPLIT_SQL}, g AS (SELECT avg(conversion_label) AS g, max(click_timestamp) AS t FROM past)
+SELECT user_id, count(*) AS interactions, sum(conversion_label)::BIGINT AS conversions, round((sum(conversion_label) + 20 * any_value(g)) / (count(*) + 20), 9) AS smoothed_cvr, round(avg(ln(1 + greatest(product_price, 0))), 9) AS mean_log_price,
+  round(ln(1 + count(*)), 9) AS log_interactions, round(ln(1 + any_value(t) - max(click_timestamp)), 9) AS recency FROM past, g GROUP BY 1""")
+def user_aggregates(spark, sf_dir):
+    return rounded(audit.user_aggregates(_past_future(spark, sf_dir)[0]), "smoothed_cvr", "mean_log_price", "log_interactions", "recency", digits=9)
+
+
+@query("repeated_pairs", f"WITH {INTERACTIONS_SQL}, p AS (SELECT count(*) AS n FROM interactions GROUP BY user_id, product_id) SELECT sum(n)::BIGINT AS rows, count(*) AS pairs, round(sum(n - 1) / sum(n), 9) AS repeated_rows, round(avg((n > 1)::INT), 9) AS repeated_pairs FROM p")
+def repeated_pairs(spark, sf_dir):
+    return rounded(audit.repeated_rates(interactions(spark, sf_dir)), "repeated_rows", "repeated_pairs", digits=9)
+
+
+@query("fingerprint_overlap", f"""WITH {SPLIT_SQL}, a AS (SELECT DISTINCT user_id, product_id, device_type FROM past), b AS (SELECT DISTINCT user_id, product_id, device_type FROM future) SELECT (SELECT count(*) FROM a) AS left_rows, (SELECT count(*) FROM b) AS right_rows, (SELECT count(*) FROM a SEMI JOIN b USING (user_id, product_id, device_type)) AS common""")
+def fingerprint_overlap(spark, sf_dir):
+    return audit.fingerprint_overlap(*_past_future(spark, sf_dir), ["user_id", "product_id", "device_type"])
+
+
+@query("positive_histogram", f"""WITH {SPLIT_SQL}, k AS (SELECT u.user_id, count(p.product_id) AS k FROM (SELECT DISTINCT user_id FROM interactions) u LEFT JOIN positives p USING (user_id) GROUP BY 1) SELECT CASE WHEN k = 0 THEN '0' WHEN k = 1 THEN '1' WHEN k <= 5 THEN '2-5' ELSE '>5' END AS bucket, count(*) AS users FROM k GROUP BY 1""")
+def positive_histogram(spark, sf_dir):
+    return audit.positive_histogram(interactions(spark, sf_dir), funnel.positives(_past_future(spark, sf_dir)[1]))
+
+
+@query("exclusion_reasons", f"""WITH {SPLIT_SQL}, c AS (SELECT user_id, product_id, max(1) AS one FROM future GROUP BY ALL)
+SELECT CASE WHEN user_id NOT IN (SELECT user_id FROM past) THEN 'unknown_user' WHEN product_id NOT IN (SELECT product_id FROM past) THEN 'unknown_product' WHEN p.x IS NULL THEN 'no_interaction' ELSE 'positive' END AS reason, count(*) AS rows FROM c LEFT JOIN (SELECT DISTINCT user_id, product_id, 1 AS x FROM past) p USING (user_id, product_id) GROUP BY 1""")
+def exclusion_reasons(spark, sf_dir):
+    past, future = _past_future(spark, sf_dir)
+    return audit.exclusion_reasons(funnel.positives(future).withColumnRenamed("product_id", "candidate_ad_id"), past)
+
+
+# --- auctions -------------------------------------------------------------------------------------------------------
+
+
+def _cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = auction.attribution_scores(predictions(spark, sf_dir))
+    grouped = number_rows(scored.withColumn("_h", stable_hash(F.lit(2026), F.col("event_id"))), ["_h", "event_id"]).withColumn("auction_id", F.floor(F.col("source_row_number") / 5).cast("long"))
+    rows = grouped.withColumns({"quality": F.col("score_pctr"), "bid": auction.target_cpa_bid(F.col("score_pctcvr"), 10.0)})
+    return auction.clear_auctions(rows, "quality", "bid")
+
+
+@query("auction_second_price", f"WITH {GROUPED_SQL} SELECT auction_id, winner, round(quality, 9) AS quality, round(winning_bid, 9) AS winning_bid, round(rank_score, 9) AS rank_score, round(second_price, 9) AS second_price FROM cleared")
+def auction_second_price(spark, sf_dir):
+    return rounded(_cleared(spark, sf_dir), "quality", "winning_bid", "rank_score", "second_price", digits=9)
+
+
+@query("attribution_scores", f"WITH {GROUPED_SQL} SELECT event_id, round(score_pctr, 9) AS score_pctr, round(score_pctcvr, 9) AS score_pctcvr, round(score_pcvr, 9) AS score_pcvr FROM scored")
+def attribution_scores(spark, sf_dir):
+    out = auction.attribution_scores(predictions(spark, sf_dir)).select("event_id", "score_pctr", "score_pctcvr", "score_pcvr")
+    return rounded(out, "score_pctr", "score_pctcvr", "score_pcvr", digits=9)
+
+
+@query("policy_bids", f"""WITH {GROUPED_SQL}, q AS (SELECT quantile_cont(cost, 0.95) AS q FROM predictions) SELECT event_id, 2.0::DOUBLE AS bid_fixed, round(2 * score_pctr, 9) AS bid_ctr, round(2 * score_pctcvr, 9) AS bid_ctcvr, round(2 * least(greatest(cost / q, 0), 1), 9) AS bid_value FROM scored, q""")
+def policy_bids(spark, sf_dir):
+    out = auction.policy_bids(auction.attribution_scores(predictions(spark, sf_dir)), 2.0, "cost")
+    return rounded(out.select("event_id", "bid_fixed", "bid_ctr", "bid_ctcvr", "bid_value"), "bid_ctr", "bid_ctcvr", "bid_value", digits=9)
+
+
+@query("budget_fold", f"""WITH RECURSIVE {GROUPED_SQL}, o AS MATERIALIZED (SELECT auction_id, second_price AS p, row_number() OVER (ORDER BY auction_id) AS i FROM cleared), b AS (SELECT 'target_cpa' AS policy, 20.0::DOUBLE AS budget),
+f AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS auction_id, 0 AS won, 0.0::DOUBLE AS payment, 0.0::DOUBLE AS total, budget FROM b
+  UNION ALL SELECT o.i, o.auction_id, (total + p <= budget + 1e-12)::INT, CASE WHEN total + p <= budget + 1e-12 THEN p ELSE 0 END, CASE WHEN total + p <= budget + 1e-12 THEN total + p ELSE total END, budget FROM f JOIN o ON o.i = f.i + 1)
+SELECT 'target_cpa' AS policy, budget, auction_id, won, round(payment, 9) AS payment, round(total, 6) AS cumulative_spend, 1.0::DOUBLE AS pacing_multiplier FROM f WHERE i > 0""")
+def budget_fold(spark, sf_dir):
+    cleared = _cleared(spark, sf_dir).withColumn("policy", F.lit("target_cpa"))
+    out = auction.spend(cleared, spark.createDataFrame([(20.0,)], "budget double"))
+    return rounded(rounded(out, "payment", digits=9), "cumulative_spend")
+
+
+@query("feedback_pacing")
+def feedback_pacing(spark, sf_dir):
+    cleared = _cleared(spark, sf_dir).withColumn("policy", F.lit("target_cpa"))
+    curve = auction.spend(cleared, spark.createDataFrame([(20.0,), (60.0,)], "budget double"), pacing=(0.1, 3.0, 0.1))
+    return rounded(auction.spend_summary(curve), "win_rate", "spend", "exhausted_at", "utilisation")
+
+
+@query("spend_trajectory")
+def spend_trajectory(spark, sf_dir):
+    cleared = _cleared(spark, sf_dir).withColumn("policy", F.lit("target_cpa"))
+    return rounded(auction.spend_trajectory(auction.spend(cleared, spark.createDataFrame([(60.0,)], "budget double"))), "cumulative_spend")
+
+
+_SELECTED = {"price": "product_price", "clicks": "clicks_last_7d", "value": "product_price * clicks_last_7d"}
+
+
+@query("search_selection", f"WITH {INTERACTIONS_SQL}, t AS (SELECT count(*) AS n, sum(conversion_label) AS c FROM interactions), " + ", ".join(f"r_{p} AS (SELECT *, row_number() OVER (ORDER BY round({e}, 9) DESC, event_id) AS r FROM interactions)" for p, e in _SELECTED.items()) + " " + " UNION ALL ".join(f"SELECT '{p}' AS policy, {f}::DOUBLE AS fraction, count(*) AS selected, sum(conversion_label)::BIGINT AS conversions, round(sum(coalesce(conversion_value_eur, 0)), 4) AS value, round(sum(conversion_label) / any_value(c), 9) AS capture, round((sum(conversion_label) / count(*)) / (any_value(c) / any_value(n)), 9) AS lift FROM r_{p}, t WHERE r <= ceil(n * {f}::DOUBLE)" for p in _SELECTED for f in (0.1, 0.25)))
+def search_selection(spark, sf_dir):
+    policies = {p: F.expr(e) for p, e in _SELECTED.items()}
+    return rounded(rounded(auction.selection(interactions(spark, sf_dir), policies, (0.1, 0.25)), "value", digits=4), "capture", "lift", digits=9)
