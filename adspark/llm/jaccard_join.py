@@ -6,12 +6,13 @@ first n - ceil(threshold * n) + 1 of each (their prefixes). The steps:
 
 1. equal sets become one class; classes with identical prefix and size become one group;
 2. groups are posted under their prefix shingles, and only shingles that two groups share go on;
-3. those are expanded to the groups' members, and pairs within length and positional bounds are verified on their sets.
+3. those are expanded to the groups' members; pairs within length and positional bounds that share as many prefix
+   shingles as they must are verified on their whole sets.
 
 Large groups of near copies have links without number, and components need only some of them. So each shingle first
 compares its members with one of them (the one with most copies, later others of the largest component there), links
-found so far are contracted, and only pairs of different components remain. When few remain, or after MOST_ROUNDS, all
-of them are verified: no link between different components is left out.
+found so far are contracted, and only pairs of different components remain. When few remain, when a round finds
+hardly any link, or after MOST_ROUNDS, all of them are verified: none between components is left out.
 
 Defined cases: null and empty texts, and texts without words, have empty sets, are linked with nothing and form their
 own component; a text of fewer words than a shingle is one shingle; repeated rows are copies; a null doc_id never counts
@@ -25,15 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adspark.llm.common import hashed_words, mix, stage
 
 #: Frequent shingles that the order tells apart. A shingle counts as frequent from 1 / ORDERED of all shingles on, so
 #: there cannot be more of them.
-ORDERED = 1 << 19
-LEAST_FREQUENT = 16
+ORDERED = 1 << 22
+LEAST_FREQUENT = 8
 #: Shingles whose repeats a task counts together.
 COUNTED = 1 << 22
 MOST_ROUNDS = 6
@@ -52,7 +53,8 @@ def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
             whole = mix(whole * np.uint64(31) + words[k : k + len(whole)])
         for end, n in zip(ends.tolist(), counts.tolist(), strict=True):
             if n >= width:
-                out.append(np.unique(whole[end - n : end - width + 1]))
+                h = np.sort(whole[end - n : end - width + 1])
+                out.append(h[np.append(True, h[1:] != h[:-1])])
             else:
                 h = np.zeros(min(n, 1), np.uint64)
                 for k in range(n):
@@ -108,12 +110,13 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
 
 def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """A row for each row of docs: doc_id, digest (of the text), n, cls (of equal sets), grp (of equal prefix and size)
-    and prefix, the first shingles in order. cls, grp and prefix are null for empty sets."""
+    and prefix, the first shingles in order, which a task gives once for a group. All three are null for empty sets."""
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, width))
 
     def prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, often = frequent.value
+        given: set[bytes] = set()
         for rows, sets in _batched(batches, width):
             cls, grp, prefix = [], [], []
             for s in sets:
@@ -133,7 +136,8 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     also = [np.bitwise_xor.reduce(mix(first + np.uint64(len(s)))), np.add.reduce(mix(first ^ np.uint64(0x14057B7EF767814F)))]
                 cls.append(np.array([*both, len(s)], np.uint64).tobytes()[:20])
                 grp.append(np.array([*also, len(s)], np.uint64).tobytes()[:20])
-                prefix.append(first.view(np.int64))
+                prefix.append(None if grp[-1] in given else first.view(np.int64))
+                given.add(grp[-1])
             n = pa.array([len(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("digest"), n, pa.array(cls, pa.binary()), pa.array(grp, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "cls", "grp", "prefix"])
 
@@ -147,49 +151,76 @@ def with_digest(docs: DataFrame) -> DataFrame:
     return docs.withColumn("digest", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
 
 
-def shared_postings(classes: DataFrame, percent: int) -> DataFrame:
-    """(token, cid, n, pos, copies): classes under each prefix shingle that two groups of near sizes share, and under their
-    group where it has several."""
-    groups = classes.groupBy("grp", "n").agg(F.min(F.struct("cid", "prefix"))["prefix"].alias("prefix"), F.count(F.lit(1)).alias("members"), F.min("cid").alias("gid"))
-    groups = stage(groups, "groups")
-    posted = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    under = Window.partitionBy("token").orderBy("n", "gid")
-    before, after = F.lag("n").over(under), F.lead("n").over(under)
-    near = F.coalesce(100 * before >= percent * F.col("n"), F.lit(False)) | F.coalesce(100 * F.col("n") >= percent * after, F.lit(False))
-    tokens = posted.withColumn("_near", near).where("_near").select("token", "gid", "pos")
-    member = classes.join(groups.select("grp", "n", "gid", "members"), ["grp", "n"]).select("cid", "n", "copies", "gid", "members")
-    across = tokens.join(member, "gid").select("token", "cid", "n", "pos", "copies")
-    within = member.where(F.col("members") > 1).select(F.xxhash64("gid", F.lit("group")).alias("token"), "cid", "n", F.lit(0).alias("pos"), "copies")
+def shared_postings(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(token, cid, gid, n, pos, copies): classes under each prefix shingle that two groups of near sizes share, and under their
+    group where it has several. rows has lid, which numbers them; several rows can give one group's prefix."""
+
+    def near(who: str):
+        under = Window.partitionBy("token").orderBy("n", who)
+        before, after = F.lag("n").over(under), F.lead("n").over(under)
+        return F.coalesce(100 * before >= percent * F.col("n"), F.lit(False)) | F.coalesce(100 * F.col("n") >= percent * after, F.lit(False))
+
+    given = rows.where(F.col("prefix").isNotNull())
+    posted = given.select("lid", "n", F.posexplode("prefix").alias("pos", "token"))
+    tokens = posted.withColumn("_near", near("lid")).where("_near").select("token", "lid", "pos")
+    groups = classes.groupBy("grp").agg(F.min("cid").alias("gid"), F.count(F.lit(1)).alias("members"))
+    member = classes.join(groups, "grp").select("grp", "cid", "n", "copies", "gid", "members")
+    across = tokens.join(given.select("lid", "grp").join(member, "grp"), "lid").select("token", "cid", "gid", "n", "pos", "copies").distinct()
+    across = across.withColumn("_near", near("cid")).where("_near").drop("_near")
+    within = member.where(F.col("members") > 1).select(F.xxhash64("gid", F.lit("group")).alias("token"), "cid", "gid", "n", F.lit(-1).alias("pos"), "copies")
     return across.unionByName(within)
 
 
-def _possible(percent: int, a: str, b: str):
-    """Length and positional bounds of a pair of postings given as structs of n and pos."""
-    na, nb, pa_, pb = (F.col(f"{x}.{y}") for y in ("n", "pos") for x in (a, b))
-    most = F.least(pa_, pb) + F.least(na - pa_, nb - pb)
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (most * (100 + percent) >= percent * (na + nb))
+def _possible(percent: int, a: str, b: str) -> Column:
+    """Length and positional bounds of a pair of postings given as structs of n and pos. A linked pair meets them under its
+    first common shingle: from there on each set must still hold all that they need in common."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    left = F.least(*(F.col(f"{x}.n") - F.greatest(F.col(f"{x}.pos"), F.lit(0)) for x in (a, b)))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (left * (100 + percent) >= percent * (na + nb))
+
+
+def _pairs(rows: DataFrame, other: str) -> DataFrame:
+    """(a, b, n_a, n_b, alike): distinct pairs of the structs me and `other`; alike if they are of one group."""
+    low = F.when(F.col("me.cid") < F.col(f"{other}.cid"), F.col("me")).otherwise(F.col(other)).alias("l")
+    high = F.when(F.col("me.cid") < F.col(f"{other}.cid"), F.col(other)).otherwise(F.col("me")).alias("h")
+    return rows.select(low, high).select(F.col("l.cid").alias("a"), F.col("h.cid").alias("b"), F.col("l.n").alias("n_a"), F.col("h.n").alias("n_b"), (F.col("l.gid") == F.col("h.gid")).alias("alike")).distinct()
+
+
+def _member() -> Column:
+    return F.struct("cid", "gid", "n", "pos", "comp")
 
 
 def star_pairs(labelled: DataFrame, percent: int, turn: int) -> DataFrame:
-    """(a, b): each posting against one of its token, unless both are in one component already. Turn 0 takes the class
-    with most copies, a later turn some class of the token's largest component."""
-    me = F.struct("cid", "n", "pos", "comp").alias("me")
+    """Pairs of each posting with one of its token, unless both are in one component already. Turn 0 takes the class with
+    most copies, a later turn some class of the token's largest component."""
     if turn == 0:
-        pick = F.max(F.struct("copies", "cid", F.struct("cid", "n", "pos", "comp").alias("p")))["p"]
-        chosen = labelled.groupBy("token").agg(pick.alias("hub"))
+        chosen = labelled.groupBy("token").agg(F.max(F.struct("copies", "cid", _member().alias("p")))["p"].alias("hub"))
     else:
-        sizes = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct(F.xxhash64("cid", "token", F.lit(turn)).alias("x"), F.struct("cid", "n", "pos", "comp").alias("p")))["p"].alias("p"))
+        some = F.max(F.struct(F.xxhash64("cid", "token", F.lit(turn)).alias("x"), _member().alias("p")))["p"]
+        sizes = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"), some.alias("p"))
         chosen = sizes.groupBy("token").agg(F.max(F.struct("k", "comp", "p"))["p"].alias("hub"), F.count(F.lit(1)).alias("comps")).where(F.col("comps") > 1)
-    pairs = labelled.select("token", me).join(chosen.select("token", "hub"), "token").where((F.col("me.comp") != F.col("hub.comp")) & _possible(percent, "me", "hub"))
-    return pairs.select(F.least("me.cid", "hub.cid").alias("a"), F.greatest("me.cid", "hub.cid").alias("b")).distinct()
+    rows = labelled.select("token", _member().alias("me")).join(chosen.select("token", "hub"), "token")
+    return _pairs(rows.where((F.col("me.comp") != F.col("hub.comp")) & _possible(percent, "me", "hub")), "hub")
 
 
 def cross_pairs(labelled: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of postings of one token that are in different components."""
+    """All pairs of postings of one token that are in different components."""
     several = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
-    rows = labelled.join(several, "token", "left_semi").select("token", F.struct("cid", "n", "pos", "comp").alias("me"))
-    pairs = rows.join(rows.withColumnRenamed("me", "other"), "token").where((F.col("me.comp") < F.col("other.comp")) & _possible(percent, "me", "other"))
-    return pairs.select(F.least("me.cid", "other.cid").alias("a"), F.greatest("me.cid", "other.cid").alias("b")).distinct()
+    rows = labelled.join(several, "token", "left_semi").select("token", _member().alias("me"))
+    both = rows.join(rows.withColumnRenamed("me", "other"), "token")
+    return _pairs(both.where((F.col("me.comp") < F.col("other.comp")) & _possible(percent, "me", "other")), "other")
+
+
+def enough_shared(pairs: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs that share as many prefix shingles as they need. Shingles in common beyond the prefix that ends first
+    are at most as many as that set has there, so a pair needs the rest among those that both prefixes have. Groups of
+    one prefix share it whole."""
+    own = postings.where("pos >= 0").groupBy("cid").agg(F.collect_list("token").alias("tokens"))
+    of = lambda side: own.select(F.col("cid").alias(side), F.col("tokens").alias(f"t_{side}"))
+    rows = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    shared = F.coalesce(F.size(F.array_intersect("t_a", "t_b")), F.lit(0))
+    beyond = F.ceil(F.greatest("n_a", "n_b") * percent / 100.0) - 1
+    return rows.where(F.col("alike") | ((100 + percent) * (shared + beyond) >= percent * (F.col("n_a") + F.col("n_b")))).select("a", "b")
 
 
 def cross_count(labelled: DataFrame) -> tuple[int, int]:
@@ -200,16 +231,21 @@ def cross_count(labelled: DataFrame) -> tuple[int, int]:
     return int(r["m"] or 0), int(r["p"] or 0)
 
 
-def candidate_sets(docs: DataFrame, classes: DataFrame, postings: DataFrame, width: int) -> DataFrame:
-    """(cid, set): the shingle set, as bytes, of each class that is posted."""
-    wanted = classes.join(postings.select("cid").distinct(), "cid", "left_semi").select("cid", F.col("digest").alias("_digest"))
-    texts = docs.select("digest", "text").join(wanted, F.col("digest") == F.col("_digest")).select("cid", "text")
+def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(cid, set): the shingle set, as bytes, of each wanted class, made from the text of one of its rows."""
+    wanted = classes.join(wanted, "cid", "left_semi").select("cid", F.col("digest").alias("_digest"), F.col("doc_id").alias("_doc"))
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    texts = docs.join(wanted, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("cid", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, found in _batched(batches, width):
             yield pa.RecordBatch.from_arrays([rows.column("cid"), pa.array([s.tobytes() for s in found], pa.binary())], names=["cid", "set"])
 
-    return texts.mapInArrow(sets, "cid long, set binary").groupBy("cid").agg(F.min("set").alias("set"))
+    made = stage(texts.mapInArrow(sets, "cid long, set binary"), "sets")
+    if made.groupBy("cid").count().where("count > 1").limit(1).count():  # rows alike in key and text
+        made = made.groupBy("cid").agg(F.min("set").alias("set"))
+    return made
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -255,21 +291,26 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     """A row for each row of docs (doc_id, text): doc_id, digest, n_shingles, and component_id, the smallest doc_id that
     links of at least percent / 100 Jaccard similarity reach."""
     docs = with_digest(docs.select("doc_id", "text"))
-    rows = stage(prefixes(docs, width, percent), "prefixes")
-    classes = rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("digest", "n", "grp", "prefix")).alias("one"))
-    classes = stage(classes.select("cls", "doc_id", "copies", "one.*").withColumn("cid", F.monotonically_increasing_id()), "classes")
-    postings = stage(shared_postings(classes, percent), "postings")
-    sets = stage(candidate_sets(docs, classes, postings, width), "sets")
-    labelled, links, turn = postings.withColumn("comp", F.col("cid")), None, 0
+    rows = stage(prefixes(docs, width, percent).withColumn("lid", F.monotonically_increasing_id()), "prefixes")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("unset"), "doc_id", "digest", "n", "grp")).alias("one")
+    classes = rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), one)
+    classes = stage(classes.select("cls", "copies", "one.doc_id", "one.digest", "one.n", "one.grp").withColumn("cid", F.monotonically_increasing_id()), "classes")
+    postings = stage(shared_postings(rows, classes, percent), "postings")
+    labelled, links, sets, turn, useful = postings.withColumn("comp", F.col("cid")), None, None, 0, True
     while True:
         posted, left = cross_count(labelled)
-        last = turn > 0 and left <= 4 * posted or turn >= MOST_ROUNDS
+        last = turn > 0 and (left <= 4 * posted or not useful) or turn >= MOST_ROUNDS
         pairs = cross_pairs(labelled, percent) if last else star_pairs(labelled, percent, turn)
+        pairs = stage(enough_shared(pairs, postings, percent), "pairs")
+        wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+        new = class_sets(docs, classes, wanted if sets is None else wanted.join(sets, "cid", "left_anti"), width)
+        sets = new if sets is None else sets.unionByName(new)
         found = stage(verified(pairs, sets, percent).select("a", "b"), "links")
         links = found if links is None else links.unionByName(found)
         comps = components(links)
         if last:
             break
+        useful = 20 * found.count() >= pairs.count()
         named = comps.select(F.col("node").alias("cid"), F.col("comp").alias("_comp"))
         labelled = stage(postings.join(named, "cid", "left").withColumn("comp", F.coalesce("_comp", "cid")).drop("_comp"), "labelled")
         turn += 1
