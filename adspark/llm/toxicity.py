@@ -198,6 +198,20 @@ def term_vectors(df: DataFrame, terms: np.ndarray, key: str, text: str) -> DataF
     return rows.mapInArrow(counted, f"{key} {kind}, terms array<int>, counts array<int>")
 
 
+def document_frequency(vectors: DataFrame) -> dict[int, int]:
+    """Rows with each term. Each task adds up its own rows first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(MOST_TERMS, np.int64)
+        for batch in batches:
+            n += np.bincount(batch.column("terms").flatten().to_numpy(), minlength=MOST_TERMS)
+        found = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[found])], names=["term", "n"])
+
+    sums = vectors.select("terms").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return {r["term"]: r["n"] for r in sums.collect()}
+
+
 def fit(df: DataFrame, labels: DataFrame, trained: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[Index, DataFrame]:
     """(index of examples, term vectors of all rows). Learned from labelled rows for which `trained` holds: terms on a
     sample of them; examples are a sample of those with a chosen term, where the labels of all decide how much each
@@ -205,7 +219,7 @@ def fit(df: DataFrame, labels: DataFrame, trained: Column, key: str = "doc_id",
     marks = stage(_marks(labels, trained, key, label), "labels")
     terms = learn_terms(df, marks, key, text)
     vectors = stage(term_vectors(df, terms, key, text), "vectors")
-    often = {r["term"]: r["n"] for r in vectors.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+    often = document_frequency(vectors)
     docs = vectors.count()
     labelled = stage(vectors.join(marks, F.col(key) == F.col("_own")).drop("_own"), "labelled")
     chosen, count = _sampled(labelled.where(F.size("terms") > 0), key)
