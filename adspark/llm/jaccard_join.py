@@ -234,7 +234,7 @@ def cross_count(labelled: DataFrame) -> tuple[int, int]:
 def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(cid, set): the shingle set, as bytes, of each wanted class, made from the text of one of its rows."""
     wanted = classes.join(wanted, "cid", "left_semi").select("cid", F.col("digest").alias("_digest"), F.col("doc_id").alias("_doc"))
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = docs.join(wanted, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("cid", "text")
 
@@ -331,7 +331,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     key = lambda other: (F.col("digest") == other["_digest"]) & F.col("doc_id").eqNullSafe(other["_doc"])
     gone = found.join(first, key(first), "left_anti").select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")).distinct()
     gone = stage(gone, "gone")
-    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     named = with_digest(docs)
     kept = named.join(gone, key(gone), "left_anti")
