@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -204,29 +202,61 @@ def unit_vectors(df: DataFrame, column: str = "embedding") -> DataFrame:
     return df.withColumn("_v", v).withColumn("_n", norm).withColumn(column, F.transform("_v", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(x))).drop("_v", "_n")
 
 
-def vector_top_k(queries: DataFrame, items: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", seen: DataFrame | None = None, most: int = 200_000) -> DataFrame:
-    """(query, item, score, rank) of the k items of largest inner product, ties by id. Each task multiplies its items with
-    the query matrix and keeps k candidates a query, which a ranking then merges. The query side is collected, so its
-    number is checked; more queries go in several calls."""
-    rows = queries.select(key, column).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} query vectors")
-    names = [r[key] for r in rows]
-    matrix = queries.sparkSession.sparkContext.broadcast(np.array([r[column] for r in rows], float))
-    extra = 0 if seen is None else int(seen.groupBy("query").count().agg(F.max("count")).first()[0] or 0)
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf) or not names:
-                continue
-            scores = np.round(np.stack(pdf[column].to_numpy()).astype(float) @ matrix.value.T, 9)
-            ids = pdf[key].to_numpy()
-            for q in range(len(names)):
-                at = np.lexsort((ids, -scores[:, q]))[: k + extra + 1]  # one more, as a query may meet itself
-                yield pd.DataFrame({"query": names[q], "item": ids[at], "score": scores[at, q]})
-
-    kind = items.schema[key].dataType.simpleString()
-    found = items.select(key, column).mapInPandas(best, f"query {kind}, item {kind}, score double").where("query <> item")
+#: Query vectors and items that meet in a task, about.
+BLOCK_QUERIES, BLOCK_ITEMS = 1 << 16, 1 << 15
+
+
+def _best(queries: tuple[np.ndarray, np.ndarray], items: tuple[np.ndarray, np.ndarray], k: int, same: bool) -> pd.DataFrame:
+    """(query, item, score): the k items of largest inner product of each query, ties by id; an item of the query's own id
+    is passed over if they are the same things."""
+    names, ids = queries[0], items[0]
+    order = np.argsort(ids, kind="stable")
+    ids, matrix = ids[order], items[1][order]
+    scores = np.round(queries[1] @ matrix.T, 9)
+    if same:
+        scores[names[:, None] == ids[None, :]] = -np.inf
+    k = min(k, len(ids))
+    least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+    row, at = np.nonzero((scores >= least) & (scores > -np.inf))
+    found = scores[row, at]
+    order = np.lexsort((at, -found, row))
+    row, at, found = row[order], at[order], found[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return pd.DataFrame({"query": names[row[first]], "item": ids[at[first]], "score": found[first]})
+
+
+def vector_top_k(queries: DataFrame, items: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", seen: DataFrame | None = None, same: bool = True) -> DataFrame:
+    """(query, item, score, rank) of the k items of largest inner product, ties by id, for any number of queries. Queries and
+    items are dealt into blocks by hash; each pair of blocks meets in a task, which multiplies them and keeps k candidates a
+    query, and a ranking merges these. Nothing is collected. same: queries and items have ids of one kind, and none finds
+    itself. seen has (query, item) that are left out; each query has as many candidates more as it has seen items."""
+    n = lambda df, size: df.count() // size + 1
+    blocks, parts = n(queries, BLOCK_QUERIES), n(items, BLOCK_ITEMS)
+    block = lambda count: F.pmod(F.xxhash64(key), F.lit(count))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    more = queries.select(key, column, F.lit(0).cast("long").alias("_more"))
+    if seen is not None:
+        counts = seen.groupBy(F.col("query").alias(key)).agg(F.count(F.lit(1)).alias("_seen"))
+        more = queries.select(key, column).join(counts, key, "left").select(key, column, F.coalesce("_seen", F.lit(0)).cast("long").alias("_more"))
+    left = more.select(block(blocks).alias("_q"), every(parts).alias("_i"), F.col(key).alias("_id"), F.col(column).alias("_v"), "_more")
+    right = items.select(every(blocks).alias("_q"), block(parts).alias("_i"), F.col(key).alias("_id"), F.col(column).alias("_v"))
+
+    def packed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return pdf["_id"].to_numpy(), np.stack(pdf["_v"].to_numpy()).astype(float)
+
+    def meet(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query": [], "item": [], "score": []})]
+        if len(mine) and len(theirs):
+            all_items = packed(theirs)
+            level = np.ceil(np.log2(mine["_more"].to_numpy() + 1)).astype(int)  # queries with like numbers of seen items together
+            for x in np.unique(level):
+                of = mine[level == x]
+                for at in range(0, len(of), 256):
+                    found.append(_best(packed(of[at : at + 256]), all_items, k + int(of["_more"].max()), same))
+        return pd.concat(found[1:] or found, ignore_index=True)
+
+    kinds = f"query {queries.schema[key].dataType.simpleString()}, item {items.schema[key].dataType.simpleString()}, score double"
+    found = left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInPandas(meet, kinds)
     if seen is not None:
         found = found.join(seen, ["query", "item"], "left_anti")
     return ranked(found, ["query"], [F.desc("score"), F.col("item")], k)
