@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from adspark.functions.expressions import clip, logit, sigmoid
 from adspark.operators.features import assert_no_leakage, decoded_value
 from adspark.operators.metrics import expected_calibration_error, probability_losses, reliability
+from adspark.operators.recall import vector_top_k
 
 
 def _two_classes(df: DataFrame, label: str) -> bool:
@@ -126,3 +127,13 @@ def fit_factors(pairs: DataFrame, rank: int = 16, seed: int = 2026) -> ALSModel:
     """Implicit-feedback factors of integer user and product ids."""
     rows = pairs.select(F.col("user_id").cast("int").alias("u"), F.col("product_id").cast("int").alias("i"), F.col("weight").cast("float").alias("w"))
     return ALS(userCol="u", itemCol="i", ratingCol="w", implicitPrefs=True, rank=rank, maxIter=5, regParam=0.05, seed=seed).fit(rows)
+
+
+def factor_lists(pairs: DataFrame, users: DataFrame, k: int, rank: int = 16, seed: int = 2026) -> DataFrame:
+    """(user_id, candidate_ad_id, two_tower_score, rank): the k unseen products of largest inner product of factors."""
+    model = fit_factors(pairs, rank, seed)
+    named = lambda df: df.select(F.col("id").cast("string").alias("id"), F.transform("features", lambda x: x.cast("double")).alias("v"))
+    asked = named(model.userFactors).join(users.select(F.col("user_id").alias("id")).distinct(), "id", "left_semi")
+    seen = pairs.join(users.select("user_id").distinct(), "user_id", "left_semi").select(F.col("user_id").alias("query"), F.col("product_id").alias("item"))
+    found = vector_top_k(asked, named(model.itemFactors), k, "id", "v", seen, same=False)
+    return found.select(F.col("query").alias("user_id"), F.col("item").alias("candidate_ad_id"), F.col("score").alias("two_tower_score"), "rank")

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adspark.operators import recall, windows
+from adspark.operators import models, recall, windows
 
 
 def temporal_split(rows: DataFrame, ratio: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -23,11 +23,12 @@ def positives(future: DataFrame, conversions_only: bool = False) -> DataFrame:
     return rows.select("user_id", "product_id").distinct()
 
 
-def recall_lists(past: DataFrame, users: DataFrame, top_k: int = 50) -> dict[str, DataFrame]:
-    """itemcf lists of a cohort and the popular products, from past interactions only."""
+def recall_lists(past: DataFrame, users: DataFrame, top_k: int = 50, towers: bool = False) -> dict[str, DataFrame]:
+    """itemcf lists of users, with towers also those of ALS factors, and the popular products, from past interactions only."""
     weight = recall.label_weight(F.col("conversion_label").cast("string"), {"0": 1.0, "1": 3.0})
     pairs = recall.weighted_pairs(past, weight)
-    return {"itemcf": recall.itemcf(pairs, users, top_k), "popularity": recall.popularity(past, top_k)}
+    lists = {"itemcf": recall.itemcf(pairs, users, top_k), "popularity": recall.popularity(past, top_k)}
+    return lists | ({"two_tower": models.factor_lists(pairs, users, top_k)} if towers else {})
 
 
 def fused(lists: dict[str, DataFrame], weights: dict[str, float], k: float = 100, top_k: int = 100) -> DataFrame:

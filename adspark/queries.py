@@ -79,11 +79,12 @@ def _everyone(past: DataFrame, future: DataFrame) -> DataFrame:
     return past.select("user_id").distinct().join(future.select("user_id").distinct(), "user_id", "left_semi")
 
 
-def _lists(spark: SparkSession, sf_dir: str, users=_cohort) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _lists(spark: SparkSession, sf_dir: str, users=_cohort, towers: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(all lists, past, positives)."""
     past, future = _past_future(spark, sf_dir)
-    lists = funnel.recall_lists(past, users(past, future))
-    return recall.personalised({"itemcf": lists["itemcf"]}, lists["popularity"]), past, funnel.positives(future)
+    lists = funnel.recall_lists(past, users(past, future), towers=towers)
+    popular = lists.pop("popularity")
+    return recall.personalised(lists, popular), past, funnel.positives(future)
 
 
 # --- profiles -------------------------------------------------------------------------------------------------------
@@ -259,13 +260,13 @@ def itemcf_topk(spark, sf_dir, users=_cohort):
 
 
 @query("rrf_fusion", f"WITH {FUSED_SQL} SELECT user_id, candidate_ad_id, rrf_score, source_count FROM fused QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rrf_score DESC, candidate_ad_id) <= 100")
-def rrf_fusion(spark, sf_dir, users=_cohort):
-    return recall.rrf(_lists(spark, sf_dir, users)[0], {"itemcf": 2.0, "two_tower": 1.0, "popularity": 2.0}, 100, 100)
+def rrf_fusion(spark, sf_dir, users=_cohort, towers=False):
+    return recall.rrf(_lists(spark, sf_dir, users, towers)[0], {"itemcf": 2.0, "two_tower": 1.0, "popularity": 2.0}, 100, 100)
 
 
 @query("rrf_quota")
 def rrf_quota(spark, sf_dir):
-    return rounded(recall.rrf_with_quotas(_lists(spark, sf_dir, _everyone)[0], {"itemcf": 2.0, "two_tower": 1.0, "popularity": 0.5}, {"popularity": 10}, 100, 40), "rrf_score", digits=9)
+    return rounded(recall.rrf_with_quotas(_lists(spark, sf_dir, _everyone, towers=True)[0], {"itemcf": 2.0, "two_tower": 1.0, "popularity": 0.5}, {"popularity": 10}, 100, 40), "rrf_score", digits=9)
 
 
 _SWEEP = recall.fusion_variants()
@@ -278,8 +279,8 @@ size AS (SELECT user_id, count(*) AS size FROM positives GROUP BY 1),
 h AS (SELECT variant, t.user_id, count(*) FILTER (rank <= 10) AS h10, count(*) FILTER (rank <= 50) AS h50 FROM top t JOIN positives p ON p.user_id = t.user_id AND p.product_id = t.candidate_ad_id GROUP BY ALL),
 u AS (SELECT v.variant, size, coalesce(h10, 0) AS h10, coalesce(h50, 0) AS h50 FROM size, variants v LEFT JOIN h ON h.variant = v.variant AND h.user_id = size.user_id)
 SELECT variant, 10 AS cutoff, round(avg(h10 / size), 9) AS recall, round(avg((h10 > 0)::INT), 9) AS hit_rate FROM u GROUP BY 1 UNION ALL SELECT variant, 50, round(avg(h50 / size), 9), round(avg((h50 > 0)::INT), 9) FROM u GROUP BY 1""")
-def fusion_sweep(spark, sf_dir, users=_cohort):
-    every, _, positives = _lists(spark, sf_dir, users)
+def fusion_sweep(spark, sf_dir, users=_cohort, towers=False):
+    every, _, positives = _lists(spark, sf_dir, users, towers)
     return rounded(recall.fusion_sweep(every, positives, _SWEEP), "recall", "hit_rate", digits=9)
 
 
@@ -315,8 +316,8 @@ def latest_user_features(spark, sf_dir):
 l AS (SELECT user_id, candidate_ad_id, (converted IS NOT NULL)::INT AS label, converted, ts FROM fused LEFT JOIN i USING (user_id, candidate_ad_id)),
 w AS (SELECT *, sum(label) OVER (PARTITION BY user_id) AS n, coalesce(max(ts) OVER (PARTITION BY user_id), -1) AS group_ts, row_number() OVER (PARTITION BY user_id, label ORDER BY {_HASH.format("'2026' || chr(31) || user_id || chr(31) || candidate_ad_id")}, candidate_ad_id) AS k FROM l)
 SELECT user_id, candidate_ad_id, label, CASE WHEN converted = 1 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS sample_weight, group_ts FROM w WHERE n > 0 AND (label = 1 OR k <= n * 3)""")
-def coarse_training_rows(spark, sf_dir, users=_cohort):
-    every = _lists(spark, sf_dir, users)[0]
+def coarse_training_rows(spark, sf_dir, users=_cohort, towers=False):
+    every = _lists(spark, sf_dir, users, towers)[0]
     fused = recall.rrf(every, {"itemcf": 2.0, "two_tower": 1.0, "popularity": 2.0}, 100, 1000)
     return sampling.labelled_candidates(fused.select("user_id", "candidate_ad_id"), sampling.interaction_pairs(interactions(spark, sf_dir)), 3)
 
@@ -348,8 +349,8 @@ def hash_validation(spark, sf_dir):
 h AS (SELECT f.user_id, count(*) FILTER (rank <= 10) AS h10, count(*) FILTER (rank <= 50) AS h50 FROM f JOIN positives p ON p.user_id = f.user_id AND p.product_id = f.candidate_ad_id GROUP BY 1),
 u AS (SELECT size, coalesce(h10, 0) AS h10, coalesce(h50, 0) AS h50 FROM size LEFT JOIN h USING (user_id))
 SELECT 10 AS cutoff, count(*) AS users, round(avg(h10 / size), 9) AS recall, round(avg((h10 > 0)::INT), 9) AS hit_rate FROM u UNION ALL SELECT 50, count(*), round(avg(h50 / size), 9), round(avg((h50 > 0)::INT), 9) FROM u""")
-def recall_at_k(spark, sf_dir, users=_cohort):
-    every, _, positives = _lists(spark, sf_dir, users)
+def recall_at_k(spark, sf_dir, users=_cohort, towers=False):
+    every, _, positives = _lists(spark, sf_dir, users, towers)
     fused = recall.rrf(every, {"itemcf": 2.0, "two_tower": 1.0, "popularity": 2.0}, 100, 100)
     ranked = recall.ranked(fused, ["user_id"], [F.desc("rrf_score"), F.col("candidate_ad_id")])
     return rounded(metrics.recall_at(ranked, positives, (10, 50)), "recall", "hit_rate", digits=9)
@@ -366,9 +367,9 @@ def popularity_recall(spark, sf_dir):
 @query("source_overlap", f"""WITH {LISTS_SQL}, h AS (SELECT l.* FROM lists l JOIN positives p ON p.user_id = l.user_id AND p.product_id = l.candidate_ad_id),
 p AS (SELECT user_id, candidate_ad_id, list(source ORDER BY source) AS srcs FROM h GROUP BY ALL)
 SELECT s AS source, count(*) AS hits, count(*) FILTER (len(srcs) = 1) AS alone, count(*) FILTER (srcs[1] = s) AS incremental FROM p, unnest(srcs) AS x(s) GROUP BY 1""")
-def source_overlap(spark, sf_dir, users=_cohort):
-    every, _, positives = _lists(spark, sf_dir, users)
-    return metrics.source_overlap(every, positives, ("itemcf", "popularity"), 50)
+def source_overlap(spark, sf_dir, users=_cohort, towers=False, sources=("itemcf", "popularity")):
+    every, _, positives = _lists(spark, sf_dir, users, towers)
+    return metrics.source_overlap(every, positives, sources, 50)
 
 
 @query("cold_start", f"""WITH {SPLIT_SQL} SELECT count(*) AS rows, round(avg((user_id NOT IN (SELECT user_id FROM past))::INT), 9) AS unseen_user, round(avg((product_id NOT IN (SELECT product_id FROM past))::INT), 9) AS unseen_product,
@@ -453,15 +454,18 @@ def drift_report(spark, sf_dir):
     return rounded(rounded(out, "before", "after", "delta", digits=9), "relative")
 
 
-# The queries whose SQL asks for COHORT users, for all users of both windows; the SQL does not say this, so they have none.
+# The queries whose SQL asks for COHORT users and two sources, for all users of both windows and, but for itemcf_topk, with
+# the lists of ALS factors as a third source; the SQL does not say this, so they have none.
 
 
-def _for_all(f):
-    return lambda spark, sf_dir: f(spark, sf_dir, _everyone)
+def _for_all(f, **more):
+    return lambda spark, sf_dir: f(spark, sf_dir, _everyone, **more)
 
 
-for _f in (itemcf_topk, rrf_fusion, fusion_sweep, coarse_training_rows, recall_at_k, source_overlap):
-    query(f"{_f.__name__}_all")(_for_all(_f))
+query("itemcf_topk_all")(_for_all(itemcf_topk))
+for _f in (rrf_fusion, fusion_sweep, coarse_training_rows, recall_at_k):
+    query(f"{_f.__name__}_all")(_for_all(_f, towers=True))
+query("source_overlap_all")(_for_all(source_overlap, towers=True, sources=recall.SOURCES))
 
 
 # --- audits ---------------------------------------------------------------------------------------------------------
