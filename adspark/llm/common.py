@@ -7,9 +7,12 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,42 +25,63 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where it is unset, a local one that goes with the process."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a local folder that goes with the process will do for a
+    local master; on a cluster, whose executors see different disks, it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         root = "file://" + tempfile.mkdtemp(prefix="stages-")
         atexit.register(shutil.rmtree, root.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A new path in this application's part of the shared folder, which goes when the file system handles close."""
     root = f"{shared_folder(spark)}/stages-{spark.sparkContext.applicationId}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
-    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    hadoop, files = _files(spark, root)
     files.mkdirs(hadoop)
     files.deleteOnExit(hadoop)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    for made in _recorded.get():
+        made.append(path)
+    return path
+
+
+#: Lists of the scopes that are open in this thread or task; each notes the paths made inside it.
+_recorded: ContextVar[tuple[list[str], ...]] = ContextVar("recorded", default=())
 
 
-_made: list[str] = []
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that new_path gives, and so the tables that stage writes, inside the with block. Scopes nest, and what other
+    threads make is not noted, so a caller can delete its own tables and no others."""
+    made: list[str] = []
+    token = _recorded.set((*_recorded.get(), made))
+    try:
+        yield made
+    finally:
+        _recorded.reset(token)
 
 
-def drop_stages(spark: SparkSession) -> None:
-    """Delete the tables that stage() wrote so far. For a pipeline whose earlier results have been written elsewhere."""
-    for path in _made:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    _made.clear()
+def delete(spark: SparkSession, paths: list[str], but: tuple[str, ...] = ()) -> None:
+    """Delete staged tables, but for those whose names begin with one of `but`; what is deleted leaves the list."""
+    for path in [p for p in paths if not p.rsplit("/", 1)[1].startswith(but)] if but else list(paths):
+        hadoop, files = _files(spark, path)
+        files.delete(hadoop, True)
+        paths.remove(path)
 
 
-def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write df to the shared folder and return the written table: lost executors then cost no recomputation. drop_stages
-    deletes it, unless it is to be kept."""
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and return the written table: lost executors then cost no recomputation."""
     path = new_path(df.sparkSession, name)
-    if not keep:
-        _made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -94,8 +118,10 @@ def running_offset(df: DataFrame, group: list[str], bucket: str, order: list[Col
 # Words and hashes of them in numpy, for tasks that read Arrow batches.
 
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15 | 1)
-_INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
+#: Spans of at most so many bytes are hashed eight bytes at a time, all together.
+SHORT = 64
+#: By length, the bits of a chunk of eight bytes that belong to a span that ends in it.
+_WITHIN = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Bytes that are looked at together; texts are cut there between words, so long texts need no more memory.
 PIECE = 1 << 20
 
@@ -108,22 +134,23 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> _U(31))
 
 
-def _powers(n: int, base: np.uint64, held: dict = {}) -> np.ndarray:  # noqa: B006
-    have = held.get(base)
-    if have is None or len(have) < n:
-        with np.errstate(over="ignore"):
-            have = np.full(max(n, PIECE + 1), base, np.uint64)
-            have[0] = 1
-            have = held[base] = np.multiply.accumulate(have)
-    return have[:n]
-
-
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes; equal spans have equal hashes wherever they stand."""
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + _U(1)) * _powers(len(data), _BASE), out=sums[1:])
-        return mix((sums[end] - sums[start]) * _powers(len(data) + 1, _INVERSE)[start] + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    """64-bit hash of each span of bytes: equal spans have equal hashes wherever they stand. Each chunk of eight bytes is mixed
+    into what the chunks before it gave; a span longer than SHORT takes xxHash of its bytes."""
+    size = end - start
+    value = size.astype(np.uint64) * _U(0xD6E8FEB86659FD93)
+    chunks = np.ndarray(len(data), "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,)) if len(data) else np.zeros(0, np.uint64)
+    todo = np.flatnonzero(size <= SHORT)
+    at = 0
+    while len(todo):
+        left = size[todo] - at
+        todo, left = (todo, left) if at == 0 else (todo[left > 0], left[left > 0])
+        held = chunks[np.minimum(start[todo] + at, max(len(data) - 1, 0))] & _WITHIN[np.clip(left, 0, 8)] if len(data) else np.zeros(len(todo), np.uint64)
+        value[todo] = mix(value[todo] ^ held)
+        at += 8
+    for i in np.flatnonzero(size > SHORT).tolist():
+        value[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return value
 
 
 _IS_SPACE = np.zeros(256, bool)

@@ -10,12 +10,14 @@ Documents stand in ascending key order, null first, equal keys by a hash of the
 segment. Defined cases: null and empty texts are encoded as the end id alone; repeated rows are written again; an empty
 table gives no segments; other columns are not read; texts of any length are encoded whole.
 
-Texts are cut where the tokenizer always parts them (around single spaces and line ends between plain characters) and
-each distinct piece is encoded once a batch by the tokenizers library.
+Texts are cut where the tokenizer always parts them (around single spaces and line ends between plain characters, and
+between a letter and punctuation) and each distinct piece is encoded once by the tokenizers library, as long as a Python
+worker remembers it.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -39,7 +41,7 @@ SEGMENT = 1 << 18
 #: New pieces that are encoded in one call.
 JOINED = 4096
 #: Pieces whose ids a task remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 
 _HEAD = np.dtype([("magic", "S4"), ("n", "<u8"), ("blocks", "<u4"), ("exceptions", "<u4")])
 _INDEX = np.dtype([("start", "<u4"), ("least", "<u4"), ("width", "u1"), ("first", "<u4")])
@@ -54,6 +56,38 @@ def _by_width(width: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield w, rows[i : i + TOGETHER]
 
 
+def _place(slot: int, width: int) -> tuple[int, np.uint64, bool]:
+    """Where a block's slot begins: 64-bit word, bit within it, and whether the slot goes on in the next word."""
+    word, bit = divmod(slot * width, 64)
+    return word, np.uint64(bit), bit + width > 64
+
+
+def _packed(rest: np.ndarray, width: int) -> np.ndarray:
+    """The low bits of blocks of values, as bytes; a slot of all blocks is put in at a time."""
+    low = np.ascontiguousarray(rest.T).astype(np.uint64) & np.uint64((1 << width) - 1)
+    words = np.zeros((BLOCK * width // 64, rest.shape[0]), np.uint64)
+    for slot in range(BLOCK):
+        word, bit, on = _place(slot, width)
+        words[word] |= low[slot] << bit
+        if on:
+            words[word + 1] |= low[slot] >> (np.uint64(64) - bit)
+    return np.ascontiguousarray(words.T).astype("<u8").view(np.uint8)
+
+
+def _unpacked(data: np.ndarray, width: int) -> np.ndarray:
+    """The blocks of values that _packed gave as bytes."""
+    words = np.ascontiguousarray(data.view("<u8").T)
+    out = np.empty((BLOCK, data.shape[0]), np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for slot in range(BLOCK):
+        word, bit, on = _place(slot, width)
+        value = words[word] >> bit
+        if on:
+            value |= words[word + 1] << (np.uint64(64) - bit)
+        out[slot] = value & mask
+    return out.T
+
+
 def pack(ids: np.ndarray) -> bytes:
     """One segment's ids as bytes: head, block index, exceptions, packed bits."""
     n = len(ids)
@@ -64,12 +98,7 @@ def pack(ids: np.ndarray) -> bytes:
     held = held.reshape(blocks, BLOCK)
     least = held.min(axis=1, initial=np.iinfo(np.uint32).max) if blocks else np.zeros(0, np.uint32)
     rest = held - least[:, None]
-    need = np.zeros(rest.shape, np.uint8)
-    for b in range(32):
-        more = rest >> np.uint32(b) != 0
-        if not more.any():
-            break
-        need += more
+    need = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)  # bits: values below 2^53 are exact
     at = int(np.ceil(PERCENTILE * BLOCK)) - 1
     width = np.partition(need, at, axis=1)[:, at] if blocks else np.zeros(0, np.uint8)
     beyond = need > width[:, None]
@@ -82,9 +111,8 @@ def pack(ids: np.ndarray) -> bytes:
     index["first"] = np.cumsum(beyond.sum(axis=1)) - beyond.sum(axis=1)
     packed = np.zeros(int(size.sum()), np.uint8)
     for w, own in _by_width(width):
-        bits = (rest[own][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
-        to = index["start"][own].astype(np.int64)[:, None] + np.arange(int(w) * (BLOCK // 8))
-        packed[to] = np.packbits(bits.astype(np.uint8).reshape(len(own), -1), axis=1, bitorder="little")
+        to = index["start"][own].astype(np.int64)[:, None] + np.arange(w * (BLOCK // 8))
+        packed[to] = _packed(rest[own], w)
     head = np.array([(b"PFOR", n, blocks, len(exceptions))], _HEAD)
     return b"".join(x.tobytes() for x in (head, index, exceptions, packed))
 
@@ -106,9 +134,8 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     own = index[first:last]
     out = np.zeros((len(own), BLOCK), np.uint32)
     for w, rows in _by_width(own["width"]):
-        at = own["start"][rows].astype(np.int64)[:, None] + np.arange(int(w) * (BLOCK // 8))
-        bits = np.unpackbits(packed[at], axis=1, bitorder="little").reshape(len(rows), BLOCK, int(w)).astype(np.uint32)
-        out[rows] = (bits << np.arange(w, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
+        at = own["start"][rows].astype(np.int64)[:, None] + np.arange(w * (BLOCK // 8))
+        out[rows] = _unpacked(packed[at], w)
     ends = np.append(index["first"][1:], len(exceptions)).astype(np.int64)
     count = ends[first:last] - own["first"].astype(np.int64)
     mine = exceptions[int(own["first"][0]) : int(ends[last - 1])] if len(own) else exceptions[:0]
@@ -118,11 +145,17 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
 
 _PLAIN = np.zeros(256, bool)
 _PLAIN[0x21:0x7F] = True
+_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+#: Bytes of ASCII letters and of U+00C0 to U+00FF, where × and ÷ are no letters.
+_LETTERS = _LETTER.copy()
+_LETTERS[[0xC3, *(b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7))]] = True
+_MARK = _PLAIN & np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-def safe_cuts(data: np.ndarray) -> np.ndarray:
+def safe_cuts(data: np.ndarray, marks: np.ndarray | None = None) -> np.ndarray:
     """Places in UTF-8 bytes at which byte-level tokenizing always begins a new piece: before a single space, and before
-    and after a single line end, that stand between characters known to be no white space (ASCII or U+00C0 to U+00FF)."""
+    and after a single line end, that stand between characters known to be no white space (ASCII or U+00C0 to U+00FF); and
+    before those ASCII punctuation marks that follow an ASCII letter, where a run of letters ends."""
     if len(data) < 3:
         return np.zeros(0, np.int64)
     middle = data[1:-1]
@@ -133,12 +166,15 @@ def safe_cuts(data: np.ndarray) -> np.ndarray:
     cut = np.zeros(len(data), bool)
     cut[1:-1] = line | (fits & (middle == 0x20))
     cut[2:] |= line
+    if marks is not None:
+        cut[1:] |= _LETTER[data[:-1]] & marks[data[1:]]
     return np.flatnonzero(cut)
 
 
 class Encoder:
-    """Token ids of texts; a text's ids are those that encoding it as one piece gives. Ids of pieces met before are kept
-    in flat arrays beside the pieces' sorted hashes."""
+    """Token ids of texts; a text's ids are those that encoding it as one piece gives. Ids and bytes of pieces met before are
+    kept in flat arrays beside the pieces' hashes: a large sorted level, and a small one that is merged into it when it has
+    grown to a part of its size. A piece is found by its hash, and its bytes are compared before its ids are taken."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -147,29 +183,60 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
+        self.marks, self.letters = _MARK.copy(), self._letter_table()
+        for token in self.tokenizer.get_added_tokens_decoder().values():  # these are found before texts are parted
+            held = np.frombuffer(token.content.encode(), np.uint8)
+            self.marks[held[1:][_LETTER[held[:-1]]]] = False
+            if token.content.strip().isalpha():
+                self.letters = None
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes, self.begins, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        # A level: sorted hashes, and the place of each among the pieces in the order in which they were learned.
+        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.uint32)) for _ in range(2)]
+        self.begins, self.sizes, self.flat = _Growing(np.uint32), _Growing(np.uint32), _Growing(np.uint32)
+        self.from_, self.raw = _Growing(np.uint32), _Growing(np.uint8)
+
+    def _letter_table(self) -> dict | None:
+        """How the tokenizer spells a space and the letters of U+00C0 to U+00FF, if it takes a run of letters, after one space at
+        most, as one word; None otherwise."""
+        parts = json.loads(self.tokenizer.to_str())
+        split = parts["pre_tokenizer"] or {}
+        if parts["normalizer"] is not None or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex"):
+            return None
+        spelled = lambda c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0]
+        return {ord(" "): spelled(" a")[:-1], **{c: spelled(chr(c)) for c in range(0xC0, 0x100) if chr(c).isalpha()}}
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [e.ids for e in many(texts, add_special_tokens=False)]
 
     def _learn(self, data: bytes, raw: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        """Remember the ids of new pieces. Those without line ends that begin (after one space at most) and end with plain
-        characters are encoded many at a time with a line end between them, which is always a token of its own."""
+        """Remember the ids of new pieces. Runs of letters are words by themselves, for the tokenizer's model. Other pieces
+        without line ends that begin (after one space at most) and end with plain characters are encoded many at a time with
+        a line end between them, which is always a token of its own."""
         lead = raw[start] == 0x20
         second = raw[np.minimum(start + lead, len(raw) - 1)]
         before = raw[np.maximum(end - 2, 0)]
         ends_well = _PLAIN[raw[end - 1]] | ((raw[end - 1] >= 0x80) & (before == 0xC3) & (end - start >= 2))
-        lines = np.concatenate([[0], np.cumsum(raw == 0x0A)])
-        alike = (start + lead < end) & (_PLAIN[second] | (second == 0xC3)) & ends_well & (lines[end] == lines[start]) & (self.line is not None)
+        upto = lambda flags: np.concatenate([[0], np.cumsum(flags)])
+        lines, follows = upto(raw == 0x0A), np.append(False, raw[:-1] == 0xC3)
+        apart = upto(~_LETTERS[raw] | ((raw >= 0x80) & (raw < 0xC0) & ~follows))
+        word = (start + lead < end) & (apart[end] == apart[np.minimum(start + lead, end)]) & (self.letters is not None)
+        alike = ~word & (start + lead < end) & (_PLAIN[second] | (second == 0xC3)) & ends_well & (lines[end] == lines[start]) & (self.line is not None)
         size = np.zeros(len(hashes), np.int64)
         parts: list[np.ndarray] = []
-        rows = np.flatnonzero(alike)
         spans = list(zip(start.tolist(), end.tolist(), strict=True))
+        wide, model = upto(raw >= 0x80), self.tokenizer.model
+        plain, words = np.flatnonzero(word & (wide[end] == wide[start])), np.flatnonzero(word & (wide[end] > wide[start]))
+        for own, table in ((plain, None), (words, self.letters)):
+            if len(own):
+                spelled = b"\n".join(data[spans[i][0] : spans[i][1]] for i in own.tolist()).decode()
+                spelled = spelled.translate(table) if table else spelled.replace(" ", self.letters[ord(" ")])
+                lists = [[t.id for t in model.tokenize(w)] for w in spelled.split("\n")]
+                size[own] = [len(x) for x in lists]
+                parts.append(np.fromiter(chain.from_iterable(lists), np.uint32))
+        rows = np.flatnonzero(alike)
         joined = [b"\n".join(data[spans[i][0] : spans[i][1]] for i in rows[k : k + JOINED].tolist()).decode() for k in range(0, len(rows), JOINED)]
         for k, ids in enumerate(self._encoded(joined)):
             ids = np.array(ids, np.uint32)
@@ -180,45 +247,96 @@ class Encoder:
                 raise ValueError("a line end was not a token of its own")
             size[mine] = own
             parts.append(ids[ids != self.line])
-        others = np.flatnonzero(~alike)
+        others = np.flatnonzero(~alike & ~word)
         lists = self._encoded([data[spans[i][0] : spans[i][1]].decode("utf-8", "replace") for i in others.tolist()])
         size[others] = [len(x) for x in lists]
         parts.append(np.fromiter(chain.from_iterable(lists), np.uint32))
-        order = np.concatenate([rows, others])
+        order = np.concatenate([plain, words, rows, others])
         begin = np.zeros(len(hashes), np.int64)
-        begin[order] = len(self.flat) + np.cumsum(size[order]) - size[order]
-        at = np.searchsorted(self.hashes, hashes)
-        self.begins, self.sizes, self.hashes = np.insert(self.begins, at, begin), np.insert(self.sizes, at, size), np.insert(self.hashes, at, hashes)
-        self.flat = np.concatenate([self.flat, *parts])
-
-    def _unknown(self, found: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.arange(len(found))
-        return np.flatnonzero(self.hashes[np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)] != found)
+        begin[order] = len(self.flat.held) + np.cumsum(size[order]) - size[order]
+        length = end - start
+        place = (len(self.sizes.held) + np.arange(len(hashes))).astype(np.uint32)
+        self.begins.add(begin)
+        self.sizes.add(size)
+        self.from_.add(len(self.raw.held) + np.cumsum(length) - length)
+        self.flat.add(np.concatenate(parts))
+        self.raw.add(raw[_ranges(start, length)])
+        large, small = self.levels
+        small = _merged(small, (hashes, place))
+        self.levels = [_merged(large, small), (small[0][:0], small[1][:0])] if 4 * len(small[0]) > len(large[0]) else [large, small]
+
+    def _places(self, found: np.ndarray) -> np.ndarray:
+        """Place of each hash among the pieces, -1 where it is unknown."""
+        out = np.full(len(found), -1, np.int64)
+        for hashes, place in self.levels:
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+                out = np.where(hashes[at] == found, place[at], out)
+        return out
 
     def encode(self, data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids of each text) of texts laid end to end; ends are their ends in bytes."""
         raw = np.frombuffer(data, np.uint8)
         edge = np.zeros(len(raw) + 1, bool)
         edge[0] = True
-        edge[safe_cuts(raw)] = True
+        edge[safe_cuts(raw, self.marks)] = True
         edge[ends] = True
         edges = np.flatnonzero(edge)
         start, end = edges[:-1], edges[1:]
         found, first, which = np.unique(span_hash(raw, start, end), return_index=True, return_inverse=True)
-        new = self._unknown(found)
-        if len(self.hashes) + len(new) > REMEMBERED:
+        if len(self.sizes.held) + len(found) > REMEMBERED:
             self._forget()
-            new = self._unknown(found)
+        new = np.flatnonzero(self._places(found) < 0)
         if len(new):
             self._learn(data, raw, found[new], start[first[new]], end[first[new]])
-        at = np.searchsorted(self.hashes, found)[which]
-        each = self.sizes[at]
-        to = np.cumsum(each)
-        ids = self.flat[np.repeat(self.begins[at] - (to - each), each) + np.arange(int(to[-1]) if len(to) else 0)]
-        upto = np.concatenate([[0], to])[np.searchsorted(end, ends, "right")]
+        at = self._places(found)[which]
+        if not np.array_equal(self.raw.held[_ranges(self.from_.held[at].astype(np.int64), end - start)], raw):  # two pieces of one hash
+            return self._whole(data, ends)
+        each = self.sizes.held[at].astype(np.int64)
+        ids = self.flat.held[_ranges(self.begins.held[at].astype(np.int64), each)]
+        upto = np.concatenate([[0], np.cumsum(each)])[np.searchsorted(end, ends, "right")]
         return ids, np.diff(upto, prepend=0)
 
+    def _whole(self, data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, each text in one piece."""
+        lists = self._encoded([data[a:b].decode() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)])
+        return np.fromiter(chain.from_iterable(lists), np.uint32), np.array([len(x) for x in lists], np.int64)
+
+
+class _Growing:
+    """An array that is added to at its end, with room to spare so that few additions copy it."""
+
+    def __init__(self, kind: type) -> None:
+        self.room, self.held = np.zeros(0, kind), np.zeros(0, kind)
+
+    def add(self, more: np.ndarray) -> None:
+        n = len(self.held) + len(more)
+        if n > len(self.room):
+            self.room = np.concatenate([self.held, np.zeros(n, self.room.dtype)])
+        self.room[len(self.held) : n] = more
+        self.held = self.room[:n]
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from begin on, size of them, of each range after the other."""
+    upto = np.cumsum(size)
+    return np.repeat(begin - (upto - size), size) + np.arange(int(upto[-1]) if len(upto) else 0)
+
+
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    at = np.searchsorted(a[0], b[0])
+    return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def held_encoder(path: str) -> Encoder:
+    """This Python worker's encoder: what it remembers serves all tasks that the worker runs."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
 
 def _safe_pieces(text: bytes) -> list[bytes]:
     """A text in pieces of at most 2 * PIECE bytes where safe cuts are that near."""
@@ -237,7 +355,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str
     """Write the ids of every text, each followed by end_id, to path: part, seq, n_ids, keys, lengths, payload."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, seq = held_encoder(tokenizer), TaskContext.get().partitionId(), 0
         keys: list = []
         ids: list[np.ndarray] = []
         lengths: list[int] = []
