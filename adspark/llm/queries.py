@@ -161,8 +161,7 @@ def fold(folds: int) -> Column:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learned from the labels of the other folds."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    index, vectors = toxicity.fit(docs, labels, fold(5) != 0)
-    found = toxicity.score_vectors(vectors, index)
+    found = toxicity.score_texts(docs, toxicity.fit(docs, labels, fold(5) != 0))
     return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted", "evidence")
 
 

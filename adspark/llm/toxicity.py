@@ -1,16 +1,21 @@
-"""Toxicity: nearest labelled examples by exact TF-IDF cosine, found with a block-max inverted index.
-
-Terms are chosen by a chi-squared test on labelled examples, weighted by their document frequency in all documents, and
-texts are compared over them. Examples stand in blocks; for each term a block's largest weight is kept, so that most
-blocks can be passed over: a block is opened only while its bound exceeds the k-th best cosine so far, which leaves the
-result exact. The nearest examples vote with a weight that falls with distance; a logistic curve, fitted on the examples
-without their own votes, turns votes into probabilities. The nearest examples are returned as evidence.
-
-Defined cases: null and empty texts, and texts without any chosen term, get the rate of toxic texts among such examples;
-repeated rows are scored alike; ties of cosine go to the earlier example; several labels of one key count as toxic if one
-is; without labels of both kinds the score is the rate of toxic labels (0 where there are none); an empty table gives an
-empty result; other columns are not read; texts are read whole. Terms and examples come each from a sample of about
-EXAMPLES toxic and EXAMPLES other labelled rows, chosen by key hash: the classifier's documented bound, and its index's.
+"""Toxicity: nearest labelled examples by exact cosine of TF-IDF vectors, found with a block-max inverted index.
+
+Vectors hold every word of a text that some example has. A word weighs (1 + log count) * idf * phi, where idf comes from
+all documents and phi is the correlation of the word's presence with the label among the examples: without it, cosines
+find texts of like subject, not of like label. No word is left out by it.
+
+Examples stand in blocks; for each word the largest weight in each block with it is kept, so that most blocks can be
+passed over: a block is opened only while its bound exceeds the k-th best cosine so far, which leaves the result exact.
+The nearest examples vote with a weight that falls with distance; a logistic curve, fitted on the examples without their
+own votes, turns votes into probabilities. The nearest examples are returned as evidence.
+
+Defined cases: null and empty texts, and texts without any word of an example, get the score of a vote at the rate of toxic
+labels; repeated rows are scored alike; ties of cosine go to the earlier example; several labels of one key count as toxic
+if one is; several texts of one labelled key give one example; without labels of both kinds the score is the rate of toxic
+labels (0 where there are none); an empty table gives an empty result; other columns are not read; texts are read whole.
+
+Examples are a sample, chosen by key hash, of about EXAMPLES toxic and EXAMPLES other labelled rows whose texts have at
+most LONGEST bytes: the classifier's documented bound, and its index's. Everything else covers all documents.
 """
 
 from __future__ import annotations
@@ -26,115 +31,127 @@ from pyspark.sql import functions as F
 from adspark.llm.common import IS_PUNCTUATION, hashed_words, stage
 
 EXAMPLES = 1500
-#: Least chi-squared value of a chosen term, and the least number of examples with it.
-CHI_SQUARED = 24.0
-LEAST = 3
-MOST_TERMS = 4096
+LONGEST = 1 << 20
 NEAREST = 15
-IN_BLOCK = 64
+#: Examples of a block, and blocks that are opened together.
+IN_BLOCK, OPENED = 32, 8
+
+Vector = tuple[np.ndarray, np.ndarray]
 
 
-def term_counts(texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+def term_counts(texts: list[bytes | None]) -> list[Vector]:
     """(term hashes, counts) of each text."""
     words, counts = hashed_words(texts, IS_PUNCTUATION)
     return [np.unique(w, return_counts=True) for w in np.split(words, np.cumsum(counts)[:-1])] if len(texts) else []
 
 
-def choose_terms(found: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.ndarray:
-    """Sorted terms whose presence depends on the label."""
-    if not len(found):
-        return np.zeros(0, np.uint64)
+def label_correlation(found: list[Vector], toxic: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Absolute phi coefficient, 0 to 1, of each term's presence and the label."""
+    at = np.searchsorted(terms, np.concatenate([h for h, _ in found])) if found else np.zeros(0, np.int64)
     which = np.repeat(toxic, [len(h) for h, _ in found])
-    terms, at = np.unique(np.concatenate([h for h, _ in found]), return_inverse=True)
     a, b = np.bincount(at, which == 1, len(terms)), np.bincount(at, which == 0, len(terms))
-    n1, n0 = max((toxic == 1).sum(), 1), max((toxic == 0).sum(), 1)
-    c, d = n1 - a, n0 - b
-    chi = (n1 + n0) * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * n1 * n0, 1e-9)
-    good = np.flatnonzero((chi >= CHI_SQUARED) & (a + b >= LEAST))
-    return np.sort(terms[good[np.lexsort((terms[good], -chi[good]))[:MOST_TERMS]]])
+    n1, n0 = float((toxic == 1).sum()), float((toxic == 0).sum())
+    spread = (a + b) * (n1 + n0 - a - b) * n1 * n0
+    return np.abs(a * (n0 - b) - b * (n1 - a)) / np.sqrt(np.maximum(spread, 1e-9))
 
 
 @dataclass
 class Index:
-    """Examples over chosen terms. Postings are in order of term, block and example."""
+    """Examples over their terms. A cell is a term in a block; cells stand in order of term and block, and postings in order
+    of cell and example."""
 
     terms: np.ndarray
-    idf: np.ndarray
+    weights: np.ndarray
     keys: list
     toxic: np.ndarray
-    weight: np.ndarray
-    base: float = 0.0
+    share: np.ndarray
     curve: tuple[float, float] = (0.0, 1.0)
-    vectors: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    vectors: list[Vector] = field(default_factory=list)
+    blocks: int = 0
+    #: By term, where its cells begin; by cell, its block, largest weight and where its postings begin.
+    cells: np.ndarray | None = None
+    cell_block: np.ndarray | None = None
+    most: np.ndarray | None = None
     starts: np.ndarray | None = None
     examples: np.ndarray | None = None
     values: np.ndarray | None = None
-    most: np.ndarray | None = None
 
-    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, weights) of a text, of length 1."""
-        value = (1 + np.log(counts)) * self.idf[terms]
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> Vector:
+        """(places of terms, weights) of a text, of length 1."""
+        value = (1 + np.log(counts)) * self.weights[terms]
         return terms, value / max(float(np.sqrt((value * value).sum())), 1e-12)
 
-    def build(self, found: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    def build(self, found: list[Vector]) -> None:
         """Put the examples in: those with the same strongest term stand together, which keeps block bounds tight."""
         vectors = [self.vector(*f) for f in found]
         order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1, str(self.keys[i])))
         self.keys = [self.keys[i] for i in order]
-        self.toxic, self.weight = self.toxic[order], self.weight[order]
+        self.toxic, self.share = self.toxic[order], self.share[order]
         self.vectors = [vectors[i] for i in order]
-        blocks = -(-len(order) // IN_BLOCK)
+        self.blocks = max(1, -(-len(order) // IN_BLOCK))
         example = np.repeat(np.arange(len(order)), [len(t) for t, _ in self.vectors]) if order else np.zeros(0, np.int64)
         term = np.concatenate([t for t, _ in self.vectors]) if order else np.zeros(0, np.int64)
         value = np.concatenate([v for _, v in self.vectors]) if order else np.zeros(0)
         by = np.lexsort((example, term))
-        self.examples, self.values = example[by], value[by]
-        cell = term[by] * blocks + self.examples // IN_BLOCK
-        self.starts = np.searchsorted(cell, np.arange(len(self.terms) * blocks + 1))
-        self.most = np.zeros((len(self.terms), blocks))
-        np.maximum.at(self.most, (term, example // IN_BLOCK), value)
+        self.examples, self.values = example[by].astype(np.int32), value[by]
+        cell, first = np.unique(term[by] * self.blocks + self.examples // IN_BLOCK, return_index=True)
+        self.starts = np.append(first, len(by))
+        self.most = np.maximum.reduceat(self.values, first) if len(first) else np.zeros(0)
+        self.cell_block = (cell % self.blocks).astype(np.int32)
+        self.cells = np.searchsorted(cell, np.arange(len(self.terms) + 1) * self.blocks)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the NEAREST examples of positive cosine, best first."""
-        blocks = self.most.shape[1]
-        bound = weights @ self.most[terms]
-        best = np.zeros(0)
-        who = np.zeros(0, np.int64)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == NEAREST and bound[b] < best[-1] - 1e-12:
+        own = _ranges(self.cells[terms], self.cells[terms + 1])
+        by = np.repeat(weights, self.cells[terms + 1] - self.cells[terms])
+        block = self.cell_block[own]
+        bound = np.bincount(block, by * self.most[own], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        best, who = np.zeros(0), np.zeros(0, np.int64)
+        for at in range(0, len(order), OPENED):
+            if len(best) == NEAREST and bound[order[at]] < best[-1] - 1e-12:
                 break
-            sums = np.zeros(IN_BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                i, j = self.starts[t * blocks + b], self.starts[t * blocks + b + 1]
-                sums[self.examples[i:j] - b * IN_BLOCK] += w * self.values[i:j]
-            if b * IN_BLOCK <= without < (b + 1) * IN_BLOCK:
-                sums[without - b * IN_BLOCK] = 0
+            opened = np.zeros(self.blocks, bool)
+            opened[order[at : at + OPENED]] = True
+            mine = opened[block]
+            first, last = self.starts[own[mine]], self.starts[own[mine] + 1]
+            postings = _ranges(first, last)
+            sums = np.bincount(self.examples[postings], np.repeat(by[mine], last - first) * self.values[postings], len(self.keys))
+            if without >= 0:
+                sums[without] = 0
             got = np.flatnonzero(sums > 0)
-            best, who = np.concatenate([best, np.minimum(sums[got], 1.0)]), np.concatenate([who, got + b * IN_BLOCK])
+            best, who = np.concatenate([best, np.minimum(sums[got], 1.0)]), np.concatenate([who, got])
             keep = np.lexsort((who, -np.round(best, 12)))[:NEAREST]
             best, who = best[keep], who[keep]
         return who, best
 
+    @property
+    def rate(self) -> float:
+        """Share of toxic labels among all labelled rows."""
+        return float((self.share * self.toxic).sum() / max(self.share.sum(), 1e-9))
+
     def vote(self, who: np.ndarray, cosine: np.ndarray) -> float:
         """Share of toxic votes: an example votes by its part of all labelled rows, more the nearer it is. A vote of
         little weight for the overall rate is added, so that far examples alone decide nothing."""
-        each = self.weight[who] * cosine / (1.05 - cosine)
-        prior = 0.05 * float(self.weight.mean())
-        rate = float((self.weight * self.toxic).sum() / max(self.weight.sum(), 1e-9))
-        return float(((each * self.toxic[who]).sum() + prior * rate) / (each.sum() + prior))
+        if not len(self.share):
+            return 0.0
+        each = self.share[who] * cosine / (1.05 - cosine)
+        prior = 0.05 * float(self.share.mean())
+        return float(((each * self.toxic[who]).sum() + prior * self.rate) / (each.sum() + prior))
 
     def score(self, vote: float) -> float:
         """The probability that belongs to a vote."""
-        x = np.log(np.clip(vote, 1e-4, 1 - 1e-4) / (1 - np.clip(vote, 1e-4, 1 - 1e-4)))
-        return float(1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * x, -30, 30))))
+        if not 0 < self.rate < 1:
+            return self.rate
+        return float(1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * _logit(vote), -30, 30))))
 
     def calibrate(self) -> None:
         """Fit the curve on the examples, each without its own vote."""
-        x = np.array([self.vote(*self.nearest(t, v, i)) for i, (t, v) in enumerate(self.vectors)])
-        y, w = self.toxic.astype(float), self.weight
-        if len(set(y.tolist())) < 2:
+        if not 0 < self.rate < 1:
             return
-        x = np.log(np.clip(x, 1e-4, 1 - 1e-4) / (1 - np.clip(x, 1e-4, 1 - 1e-4)))
+        x = _logit(np.array([self.vote(*self.nearest(t, v, i)) for i, (t, v) in enumerate(self.vectors)]))
+        y, w = self.toxic.astype(float), self.share
         rows, theta = np.stack([np.ones(len(x)), x], 1), np.array([0.0, 1.0])
 
         def loss(theta: np.ndarray) -> float:
@@ -153,104 +170,114 @@ class Index:
         self.curve = (float(theta[0]), float(max(theta[1], 1e-3)))
 
 
-def _marks(labels: DataFrame, trained: Column, key: str, label: str) -> DataFrame:
-    """(_own, _toxic): one label a key."""
-    return labels.where(trained & F.col(label).isNotNull()).groupBy(F.col(key).alias("_own")).agg(F.max(label).cast("int").alias("_toxic"))
+def _logit(vote: np.ndarray | float) -> np.ndarray:
+    held = np.clip(vote, 1e-4, 1 - 1e-4)
+    return np.log(held / (1 - held))
+
 
+def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The numbers from first to last - 1 of each range after the other."""
+    size = last - first
+    upto = np.cumsum(size)
+    return np.repeat(first - (upto - size), size) + np.arange(int(upto[-1]) if len(upto) else 0)
 
-def _sampled(rows: DataFrame, key: str, most: int = EXAMPLES) -> tuple[DataFrame, dict[int, int]]:
-    """About `most` rows of each kind, by key hash, and how many there are of each."""
-    count = {r["_toxic"]: r["n"] for r in rows.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+def _sampled(marks: DataFrame, most: int = EXAMPLES) -> tuple[DataFrame, dict[int, int]]:
+    """About `most` marks of each kind, by key hash, and how many there are of each."""
+    count = {r["_toxic"]: r["n"] for r in marks.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(0.0)
     for kind, n in count.items():
         share = F.when(F.col("_toxic") == kind, min(1.0, most / n)).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) / (1 << 30) <= share), count
-
-
-def learn_terms(df: DataFrame, marks: DataFrame, key: str, text: str) -> np.ndarray:
-    """Terms chosen on a sample of labelled rows. The sample is drawn from the labels, so few texts move."""
-    chosen, _ = _sampled(marks, "_own")
-    rows = df.where(F.col(text).isNotNull()).join(F.broadcast(chosen), F.col(key) == F.col("_own")).select(key, "_toxic", text)
-    held = [(r["_toxic"], r[text].encode()) for r in rows.orderBy(key).toLocalIterator()]
-    return choose_terms(term_counts([t for _, t in held]), np.array([y for y, _ in held], np.int64))
+    return marks.where(F.pmod(F.xxhash64("_own"), F.lit(1 << 30)) / (1 << 30) <= share), count
 
 
-def term_vectors(df: DataFrame, terms: np.ndarray, key: str, text: str) -> DataFrame:
-    """key, terms (places in `terms`) and counts of every row."""
-    shared = df.sparkSession.sparkContext.broadcast(terms)
+def find_examples(df: DataFrame, marks: DataFrame, key: str, text: str) -> tuple[list, np.ndarray, np.ndarray, list[Vector]]:
+    """(keys, labels, shares, term counts) of the examples, in order of the key. The sample is drawn from the labels, so few
+    texts move, and of a key with several texts that of the smallest hash is taken."""
+    chosen, count = _sampled(marks)
+    fits = F.octet_length(text) <= LONGEST
+    rows = df.where(fits).join(F.broadcast(chosen), F.col(key) == F.col("_own")).select(F.col(key).alias("_key"), "_toxic", F.col(text).alias("_text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
         for batch in batches:
-            words, counts = hashed_words(batch.column("_text").cast(pa.binary()).to_pylist(), IS_PUNCTUATION)
-            found = np.zeros(len(batch) + 1, np.int32)
-            hit, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            if len(held) and len(words):
-                at = np.minimum(np.searchsorted(held, words), len(held) - 1)
-                own = held[at] == words
-                hit, times = np.unique(np.repeat(np.arange(len(batch)), counts)[own] * len(held) + at[own], return_counts=True)
-                found[1:] = np.cumsum(np.bincount(hit // len(held), minlength=len(batch)))
-            lists = [pa.ListArray.from_arrays(pa.array(found), pa.array(v.astype(np.int32))) for v in (hit % max(len(held), 1), times)]
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), *lists], names=[key, "terms", "counts"])
+            found = term_counts(batch.column("_text").cast(pa.binary()).to_pylist())
+            lists = [pa.array([v.astype(np.int64) if k else v.view(np.int64) for v in held], pa.list_(pa.int64())) for k, held in enumerate(zip(*found, strict=True))]
+            hashed = pa.array([int(h.view(np.int64)[0]) if len(h) else 0 for h, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_toxic"), hashed, *lists], names=["_key", "_toxic", "_first", "terms", "counts"])
 
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    return rows.mapInArrow(counted, f"{key} {kind}, terms array<int>, counts array<int>")
+    made = rows.mapInArrow(counted, f"_key {kind}, _toxic int, _first long, terms array<long>, counts array<long>")
+    one = F.min(F.struct("_first", "terms", "counts", "_toxic")).alias("one")
+    held = made.groupBy("_key").agg(one).orderBy("_key").collect()
+    toxic = np.array([r["one"]["_toxic"] for r in held], np.int64)
+    part = {kind: n / max(int((toxic == kind).sum()), 1) for kind, n in count.items()}
+    found = [(np.array(r["one"]["terms"], np.int64).view(np.uint64), np.array(r["one"]["counts"], np.int64)) for r in held]
+    return [r["_key"] for r in held], toxic, np.array([part[t] for t in toxic.tolist()], float), found
+
+
+def _known(texts: list[bytes | None], terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place of the term, count), in order, of the terms that texts hold."""
+    words, counts = hashed_words(texts, IS_PUNCTUATION)
+    if not len(terms) or not len(words):
+        return (np.zeros(0, np.int64),) * 3
+    at = np.minimum(np.searchsorted(terms, words), len(terms) - 1)
+    own = terms[at] == words
+    both, times = np.unique(np.repeat(np.arange(len(texts)), counts)[own] * len(terms) + at[own], return_counts=True)
+    return both // len(terms), both % len(terms), times
 
 
-def document_frequency(vectors: DataFrame) -> dict[int, int]:
-    """Rows with each term. Each task adds up its own rows first."""
+def document_frequency(df: DataFrame, terms: np.ndarray, text: str) -> tuple[int, np.ndarray]:
+    """(rows of df, rows with each term). Each task adds up its own rows first."""
+    shared = df.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(MOST_TERMS, np.int64)
+        held, rows = shared.value, 0
+        n = np.zeros(len(held), np.int64)
         for batch in batches:
-            n += np.bincount(batch.column("terms").flatten().to_numpy(), minlength=MOST_TERMS)
+            rows += len(batch)
+            n += np.bincount(_known(batch.column("_text").cast(pa.binary()).to_pylist(), held)[1], minlength=len(held))
         found = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[found])], names=["term", "n"])
-
-    sums = vectors.select("terms").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return {r["term"]: r["n"] for r in sums.collect()}
-
-
-def fit(df: DataFrame, labels: DataFrame, trained: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[Index, DataFrame]:
-    """(index of examples, term vectors of all rows). Learned from labelled rows for which `trained` holds: terms on a
-    sample of them; examples are a sample of those with a chosen term, where the labels of all decide how much each
-    counts; the rate among the others is counted over all of them."""
-    marks = stage(_marks(labels, trained, key, label), "labels")
-    terms = learn_terms(df, marks, key, text)
-    vectors = stage(term_vectors(df, terms, key, text), "vectors")
-    often = document_frequency(vectors)
-    docs = vectors.count()
-    labelled = stage(vectors.join(marks, F.col(key) == F.col("_own")).drop("_own"), "labelled")
-    chosen, count = _sampled(labelled.where(F.size("terms") > 0), key)
-    rows = chosen.orderBy(key, "terms").collect()
-    toxic = np.array([r["_toxic"] for r in rows], np.int64)
-    part = {kind: n / max(int((toxic == kind).sum()), 1) for kind, n in count.items()}
-    idf = np.log((1 + docs) / (1 + np.array([often.get(i, 0) for i in range(len(terms))], float))) + 1
-    index = Index(terms, idf, [r[key] for r in rows], toxic, np.array([part[t] for t in toxic.tolist()], float))
-    index.build([(np.array(r["terms"], np.int64), np.array(r["counts"], np.int64)) for r in rows])
-    rest = labelled.where(F.size("terms") == 0).agg(F.count(F.lit(1)).alias("n"), F.sum("_toxic").alias("toxic")).first()
-    index.base = float((rest["toxic"] or 0) / rest["n"]) if rest["n"] else 0.0
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(n[found], rows))], names=["term", "n"])
+
+    sums = df.select(F.col(text).alias("_text")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    at, n = sums.column("term").to_numpy(), sums.column("n").to_numpy()
+    often = np.zeros(len(terms), np.int64)
+    often[at[at >= 0]] = n[at >= 0]
+    return int(n[at < 0].sum()), often
+
+
+def fit(df: DataFrame, labels: DataFrame, trained: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Index:
+    """The index of examples from labelled rows for which `trained` holds."""
+    known = labels.where(trained & F.col(label).isNotNull())
+    marks = stage(known.groupBy(F.col(key).alias("_own")).agg(F.max(label).cast("int").alias("_toxic")), "labels")
+    keys, toxic, share, found = find_examples(df, marks, key, text)
+    terms = np.unique(np.concatenate([h for h, _ in found])) if found else np.zeros(0, np.uint64)
+    rows, often = document_frequency(df, terms, text)
+    idf = np.log((1 + rows) / (1 + often)) + 1
+    index = Index(terms, idf * label_correlation(found, toxic, terms), keys, toxic, share)
+    index.build([(np.searchsorted(terms, h), n) for h, n in found])
     index.calibrate()
-    return index, vectors
+    return index
 
 
-def score_vectors(vectors: DataFrame, index: Index, key: str = "doc_id") -> DataFrame:
+def score_texts(df: DataFrame, index: Index, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score (0 to 1), predicted (1 from 0.5 on) and evidence (nearest examples: key, cosine, toxic) of every row."""
-    shared = vectors.sparkSession.sparkContext.broadcast(index)
+    shared = df.sparkSession.sparkContext.broadcast(index)
     kinds = pa.list_(pa.struct([("key", pa.string()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for batch in batches:
-            score, evidence = np.full(len(batch), held.base), [[] for _ in range(len(batch))]
-            for d, (t, n) in enumerate(zip(batch.column("terms"), batch.column("counts"), strict=True)):
-                if len(t):
-                    at, weights = held.vector(t.values.to_numpy().astype(np.int64), n.values.to_numpy())
-                    who, cosine = held.nearest(at, weights)
-                    score[d] = held.score(held.vote(who, cosine))
-                    evidence[d] = [{"key": str(held.keys[e]), "cosine": float(c), "toxic": int(held.toxic[e])} for e, c in zip(who.tolist(), cosine.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(evidence, kinds)], names=[key, "score", "predicted", "evidence"])
-
-    kind = vectors.schema[key].dataType.simpleString()
-    return vectors.mapInArrow(scored, f"{key} {kind}, score double, predicted int, evidence array<struct<key: string, cosine: double, toxic: int>>")
+            row, term, times = _known(batch.column("_text").cast(pa.binary()).to_pylist(), held.terms)
+            ends = np.searchsorted(row, np.arange(len(batch) + 1))
+            score, evidence = np.zeros(len(batch)), []
+            for d in range(len(batch)):
+                own = slice(ends[d], ends[d + 1])
+                who, cosine = held.nearest(*held.vector(term[own], times[own])) if held.keys else (term[:0], times[:0])
+                score[d] = held.score(held.vote(who, cosine))
+                evidence.append([{"key": str(held.keys[e]), "cosine": float(c), "toxic": int(held.toxic[e])} for e, c in zip(who.tolist(), cosine.tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(evidence, kinds)], names=[key, "score", "predicted", "evidence"])
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    return rows.mapInArrow(scored, f"{key} {kind}, score double, predicted int, evidence array<struct<key: string, cosine: double, toxic: int>>")

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from adspark.llm import chat_formatting, decontamination, jaccard_join, language_id, lm_scoring, mixing, quality_rules, queries, sharding, token_output, toxicity
+from adspark.llm import chat_formatting, common, decontamination, jaccard_join, language_id, lm_scoring, mixing, quality_rules, queries, sharding, token_output, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, score string, n string, part string, words string, h string, rank string"
 random.seed(5)
@@ -337,32 +337,130 @@ def test_language_model_is_a_distribution():
         assert total <= 1.02
 
 
+def toxic_words(t):
+    return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t)) if w]
+
+
+def brute_toxicity(rows, marks, trained):
+    """{doc_id: (cosines of the nearest examples, vote)} from whole texts, all words and all pairs."""
+    texts = {i: Counter(toxic_words(t)) for i, t in rows}
+    label = {}
+    for i, y in marks:
+        if y is not None and i is not None and trained(i):
+            label[i] = max(y, label.get(i, 0))
+    examples = sorted(i for i in label if i in dict(rows) and dict(rows)[i] is not None)
+    toxic = [label[i] for i in examples]
+    share = [sum(v == y for v in label.values()) / toxic.count(y) for y in toxic]
+    weight = {}
+    for w in {w for i in examples for w in texts[i]}:
+        a = sum(w in texts[i] for i, y in zip(examples, toxic, strict=True) if y)
+        b = sum(w in texts[i] for i, y in zip(examples, toxic, strict=True) if not y)
+        n1, n0, n = toxic.count(1), toxic.count(0), len(toxic)
+        spread = math.sqrt(max((a + b) * (n - a - b) * n1 * n0, 1e-9))
+        phi = abs(a * (n0 - b) - b * (n1 - a)) / spread
+        weight[w] = phi * (math.log((1 + len(rows)) / (1 + sum(w in c for c in texts.values()))) + 1)
+
+    def vector(i):
+        v = {w: (1 + math.log(n)) * weight[w] for w, n in texts[i].items() if w in weight}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()} if size else {}
+
+    held = {i: vector(i) for i in texts}
+    rate = sum(s * y for s, y in zip(share, toxic, strict=True)) / sum(share)
+    prior = 0.05 * sum(share) / len(share)
+    out = {}
+    for i, v in held.items():
+        near = [(min(1.0, sum(x * held[e].get(w, 0) for w, x in v.items())), k) for k, e in enumerate(examples)]
+        near = sorted(((c, k) for c, k in near if c > 1e-15), key=lambda p: -p[0])[: toxicity.NEAREST]
+        each = [(share[k] * c / (1.05 - c), toxic[k]) for c, k in near]
+        out[i] = ([c for c, _ in near], (sum(z * y for z, y in each) + prior * rate) / (sum(z for z, _ in each) + prior))
+    return out
+
+
 def test_toxicity(spark, docs, empty):
     rows, marks = [], []
     for i in range(240):
         bad = i % 3 == 0
         rows.append((i, text(40, 1000 + i) + (" " + " ".join(random.Random(i).choices(["idiot,", "Moron", "scum."], k=3)) if bad else ""), "x"))
         marks += [(i, int(bad))] * (1 + (i == 5))
-    df = spark.createDataFrame(rows + [(500, None, "x"), (501, "", "x"), (None, "moron scum", "x"), (502, text(20_000, 77), "x")], "doc_id long, text string, toxic string")
-    labels = spark.createDataFrame(marks + [(9999, 1), (None, 1), (7, None)], "doc_id long, toxic int")
-    index, vectors = toxicity.fit(df, labels, F.col("doc_id") % 5 != 0)
-    got = {r.doc_id: r for r in toxicity.score_vectors(vectors, index).collect()}
+    more = [(500, None, "x"), (501, "", "x"), (502, "moron scum", "x"), (503, text(20_000, 77), "x"), (504, "neverseen", "x")]
+    df = spark.createDataFrame(rows + more, "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame(marks + [(9999, 1), (None, 1), (7, None), (7, 0)], "doc_id long, toxic int")
+    index = toxicity.fit(df, labels, F.col("doc_id") % 5 != 0)
+    got = {r.doc_id: r for r in toxicity.score_texts(df, index).collect()}
     held = [i for i in range(240) if i % 5 == 0]
     assert all(got[i].predicted == int(i % 3 == 0) for i in held)
-    assert got[500].score == got[501].score == index.base < 0.5 and got[None].predicted == 1 and got[None].evidence
+    assert got[500].score == got[501].score == got[504].score < 0.5 and got[502].predicted == 1 and got[502].evidence and not got[504].evidence
     assert not any(int(e.key) % 5 == 0 for r in got.values() for e in r.evidence)
-    dense = np.zeros((len(index.keys), len(index.terms)))
-    for i, (t, w) in enumerate(index.vectors):
-        dense[i, t] = w
-    for t, w in index.vectors[::7]:
-        q = np.zeros(len(index.terms))
-        q[t] = w
-        best = np.sort(np.minimum(dense @ q, 1))[::-1][: toxicity.NEAREST]
-        assert np.allclose(index.nearest(t, w)[1], best[best > 0])
-    nothing, none = toxicity.fit(docs, labels.where("false"), F.lit(True))
-    assert {r.score for r in toxicity.score_vectors(none, nothing).collect()} == {0.0}
-    index, vectors = toxicity.fit(empty, labels, F.lit(True))
-    assert toxicity.score_vectors(vectors, index).count() == 0
+    want = brute_toxicity([r[:2] for r in rows + more], [*marks, (9999, 1), (7, None), (7, 0)], lambda i: i % 5 != 0)
+    for i, (cosines, vote) in want.items():
+        assert np.allclose([e.cosine for e in got[i].evidence], cosines) and math.isclose(got[i].score, index.score(vote), rel_tol=1e-6), i
+    nothing = toxicity.fit(docs, labels.where("false"), F.lit(True))
+    assert {r.score for r in toxicity.score_texts(docs, nothing).collect()} == {0.0}
+    assert {r.score for r in toxicity.score_texts(docs, toxicity.fit(docs, labels.where("toxic = 1"), F.lit(True))).collect()} == {1.0}
+    assert toxicity.score_texts(empty, toxicity.fit(empty, labels, F.lit(True))).count() == 0
+
+
+def test_toxicity_ties_go_to_the_earlier_example(spark):
+    df = spark.createDataFrame([(i, "bad word" if i % 2 else "good word") for i in range(60)], "doc_id long, text string")
+    index = toxicity.fit(df, df.selectExpr("doc_id", "cast(doc_id % 2 as int) AS toxic"), F.lit(True))
+    who, cosine = index.nearest(*index.vectors[-1])
+    assert np.allclose(cosine, 1) and who.tolist() == sorted(who.tolist()) and len(who) == toxicity.NEAREST
+    assert [index.keys[e] for e in who] == sorted(index.keys[e] for e in who) or len(set(index.toxic[who].tolist())) == 1
+
+
+def thue_morse(n, first="a", other="b"):
+    return "".join((first, other)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_polynomials_confuse(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    a, b = (thue_morse(4096, *x) for x in ("ab", "ba"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    e, plain = token_output.Encoder(path), Tokenizer.from_file(path)
+    for t in (a, b):
+        assert e.encode(t.encode(), np.array([len(t)]))[0].tolist() == plain.encode(t, add_special_tokens=False).ids
+    df = spark.createDataFrame([(1, a), (2, b), (3, a.upper())], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df, 4, 85).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(token_output, "span_hash", lambda data, start, end: (end - start).astype(np.uint64))
+    e = token_output.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for t in ("one two six", "ten old men", "one"):
+        assert e.encode(t.encode(), np.array([len(t)]))[0].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_span_hash_depends_on_the_bytes_alone():
+    words = [b"x" * n for n in range(1, 150)] + [b"a", b"ab", b"abc" * 30, b"abc" * 29 + b"abd"]
+    for lead in (b"", b"zz "):
+        data = np.frombuffer(lead + b" ".join(words), np.uint8)
+        start, end = common.word_spans(data)
+        h = common.span_hash(data, start, end)[len(lead) // 3 :].tolist()
+        assert len(set(h)) == len(words) and h == [common.span_hash(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] for w in words]
+
+
+def test_stages_of_others_stay(spark, docs):
+    mine = docs.select("doc_id")
+    with common.recorded() as outer:
+        a = common.stage(mine, "kept")
+        with common.recorded() as inner:
+            b = common.stage(mine, "gone")
+        common.delete(spark, inner)
+        assert len(outer) == 2 and not inner and a.count() == docs.count()
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        b.count()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    bare = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None, set=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(ValueError, match="share"):
+        common.shared_folder(bare("spark://host:7077"))
+    assert common.shared_folder(bare("local[2]")).startswith("file:")
 
 
 def test_registered_queries_cover_the_operators():
