@@ -27,8 +27,8 @@ from adspark.llm.common import mix, running_offset, stage, word_count, word_span
 MOST_PASSES = 3
 #: Parts of a source that are laid out apart from each other.
 PARTS = 1024
-#: Slots that one row of the slot plan stands for.
-CHUNK = 1 << 14
+#: Slots that one row of the slot plan stands for, and rows that a task deals, about.
+CHUNK, DEALT = 1 << 14, 4
 
 
 def water_fill(sizes: list[int], weights: list[float], most: int = MOST_PASSES) -> list[float]:
@@ -113,7 +113,8 @@ def plan_slots(df: DataFrame, sources: list[dict], block_words: int, shards: int
     plan = df.sparkSession.createDataFrame(rows, "shard int, index int, blocks long, first long, slot long, n long")
     cut = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long"))).alias("o")
     plan = plan.select("*", cut).select("shard", "index", "blocks", (F.col("first") + F.col("o")).alias("first"), (F.col("slot") + F.col("o")).alias("slot"), F.least(F.col("n") - F.col("o"), F.lit(CHUNK)).cast("long").alias("n"))
-    return plan.repartition("shard", "first", "index")
+    tasks = int(counts.sum()) // (DEALT * CHUNK) + 1  # a number of its own: small plan rows stand for many slots
+    return plan.repartition(tasks, "shard", "first", "index")
 
 
 def lay_out(df: DataFrame, sources: list[dict], key: str) -> DataFrame:
