@@ -1,10 +1,10 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Texts are lowered, and each run of other characters than letters becomes one space. For each language the character
+Texts are lowered, and each run of other characters than letters and combining marks becomes one space. For each language the character
 n-grams of a sample give Kneser-Ney estimates, interpolated down to single characters. The tables of all languages are
 kept as sorted arrays of n-gram hashes beside a matrix of log-probabilities, so one search serves all languages. The
 language of lowest cross-entropy a character is chosen; a choice is rejected, in a column of its own, when its entropy
-is higher than that of nearly all training texts of the language.
+is higher than that of nearly all of the language's training texts that a model for this purpose was not fitted on.
 
 Defined cases: null texts and texts without a letter are "und" with score 0; repeated rows are predicted alike; ties go to
 the first language in code point order; without training texts everything is "und"; an empty table gives an empty
@@ -14,12 +14,12 @@ SAMPLED texts a language, those with the lowest key hashes, each whole; its tabl
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +32,16 @@ SAMPLED = 400
 ACCEPTED = 0.995
 #: Characters that are looked up together.
 SLICE = 1 << 19
-_OTHER = re.compile(r"[\W\d_]+")
+#: Training texts of a language that bounds of rejection are set on, one in so many; the model for that leaves them out.
+LEFT_OUT = 5
+_LETTER, _OTHER = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def normal(text: str) -> str:
-    """Letters in lower case, everything else as single spaces, with one space before and after."""
+    """Letters (Unicode category L) in lower case with their combining marks, everything else as single spaces, with one space
+    before and after; nothing between these where there is no letter."""
+    if not _LETTER.search(text):
+        return "  "
     return f" {_OTHER.sub(' ', text.lower()).strip()} "
 
 
@@ -91,8 +96,18 @@ class Model:
 
 
 def fit(rows: list[tuple[str, list[str]]]) -> Model:
-    """The models of (language, texts)."""
+    """The models of (language, texts). Bounds of rejection are set on texts that a second fit leaves out."""
     rows = sorted(rows)
+    model = _fitted(rows)
+    kept = [(lang, [t for i, t in enumerate(texts) if i % LEFT_OUT or len(texts) < LEFT_OUT]) for lang, texts in rows]
+    judge = _fitted(kept)
+    for i, (_, texts) in enumerate(rows):
+        cost = entropies(judge, [normal(t) for t in texts[::LEFT_OUT]])[:, i]
+        model.bounds[i] = np.quantile(cost, ACCEPTED) if len(cost) else np.inf
+    return model
+
+
+def _fitted(rows: list[tuple[str, list[str]]]) -> Model:
     names = [lang for lang, _ in rows]
     tables = []
     for _, texts in rows:
@@ -141,9 +156,6 @@ def fit(rows: list[tuple[str, list[str]]]) -> Model:
         backs.append(back)
     model = Model(names, keys, logs, contexts, backs, float(floor), np.zeros(len(names)))
     _fill(model, rows)
-    for i, (_, texts) in enumerate(rows):
-        cost = entropies(model, [normal(t) for t in texts])[:, i]
-        model.bounds[i] = np.quantile(cost, ACCEPTED) if len(cost) else np.inf
     return model
 
 
