@@ -314,8 +314,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         named = comps.select(F.col("node").alias("cid"), F.col("comp").alias("_comp"))
         labelled = stage(postings.join(named, "cid", "left").withColumn("comp", F.coalesce("_comp", "cid")).drop("_comp"), "labelled")
         turn += 1
-    grouped = classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left").select("cls", "doc_id", F.coalesce("comp", "cid").alias("comp"))
-    smallest = grouped.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    # Both sides of the join on comp are written, so that a component with many classes can be dealt over several tasks.
+    named = comps.withColumnRenamed("node", "cid")
+    grouped = stage(classes.select("cls", "doc_id", "cid").join(named, "cid", "left").select("cls", "doc_id", F.coalesce("comp", "cid").alias("comp")), "grouped")
+    smallest = stage(grouped.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "smallest")
     by_class = grouped.select("cls", "comp").join(smallest, "comp").select(F.col("cls").alias("_cls"), "component_id", F.lit(True).alias("_set"))
     out = rows.select("doc_id", "digest", "n", "cls").join(by_class, F.col("cls") == F.col("_cls"), "left")
     own = F.when(F.col("_set"), F.col("component_id")).otherwise(F.col("doc_id"))
