@@ -205,8 +205,9 @@ def hashed_words(texts: list[bytes | None], apart: np.ndarray = _IS_SPACE, also:
     return (found, counts, np.concatenate(more) if more else np.zeros(0, np.int64)) if also else (found, counts)
 
 
-def pieces(text: bytes, most: int = PIECE) -> list[bytes]:
-    """The text cut between words into pieces of about the given size; a longer word stays whole."""
+def pieces(text: bytes, most: int | None = None) -> list[bytes]:
+    """The text cut between words into pieces of about the given size, PIECE by default; a longer word stays whole."""
+    most = PIECE if most is None else most
     cut, at = [], 0
     while len(text) - at > most:
         near = np.flatnonzero(_IS_SPACE[np.frombuffer(text, np.uint8, most, at)])

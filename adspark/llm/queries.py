@@ -121,15 +121,17 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_formatting.format_chats(read(spark, sf_dir, "conversations"))
 
 
-OP5_SQL = """
+OP5_SQL = f"""
 WITH t AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
     coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
 u AS (SELECT *, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY pos) AS prefix FROM t),
 e AS (SELECT prefix, n, min(conv_id) AS conv_id, count(*) AS n_copies FROM u WHERE pos = n GROUP BY ALL),
 k AS (SELECT * FROM e WHERE prefix NOT IN (SELECT prefix FROM u WHERE pos < n))
-SELECT k.conv_id, 0 AS part, k.n AS n_turns, k.n_copies, length(x.text) AS n_chars, x.text
-FROM k JOIN (SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY pos) AS text FROM t GROUP BY conv_id) AS x USING (conv_id)"""
+SELECT k.conv_id, x.part, k.n AS n_turns, k.n_copies, length(x.text) AS n_chars, x.text
+FROM k JOIN (
+  SELECT conv_id, ((pos - 1) // {chat_formatting.BLOCK})::INT AS part, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY pos) AS text
+  FROM t GROUP BY ALL) AS x ON x.conv_id IS NOT DISTINCT FROM k.conv_id"""
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

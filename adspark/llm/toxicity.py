@@ -4,8 +4,9 @@ Vectors hold every word of a text that some example has. A word weighs (1 + log
 all documents and phi is the correlation of the word's presence with the label among the examples: without it, cosines
 find texts of like subject, not of like label. No word is left out by it.
 
-Examples stand in blocks; for each word the largest weight in each block with it is kept, so that most blocks can be
-passed over: a block is opened only while its bound exceeds the k-th best cosine so far, which leaves the result exact.
+Examples stand in blocks; for each word the largest weight in each block with it is kept. A text's words are taken from the
+one that can add most on; when the rest cannot lift an example without any of them to the k-th best sum so far, only blocks
+whose bounds on the rest still can are opened, which leaves the result exact.
 The nearest examples vote with a weight that falls with distance; a logistic curve, fitted on the examples without their
 own votes, turns votes into probabilities. The nearest examples are returned as evidence.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,8 @@ from adspark.llm.common import IS_PUNCTUATION, hashed_words, stage
 EXAMPLES = 1500
 LONGEST = 1 << 20
 NEAREST = 15
-#: Examples of a block, and blocks that are opened together.
-IN_BLOCK, OPENED = 32, 8
+#: Examples of a block, and postings that are taken before there is a threshold.
+IN_BLOCK, FIRST = 32, 512
 
 Vector = tuple[np.ndarray, np.ndarray]
 
@@ -68,10 +70,11 @@ class Index:
     curve: tuple[float, float] = (0.0, 1.0)
     vectors: list[Vector] = field(default_factory=list)
     blocks: int = 0
-    #: By term, where its cells begin; by cell, its block, largest weight and where its postings begin.
+    #: By term, where its cells begin and its largest weight; by cell, its block, largest weight and where its postings begin.
     cells: np.ndarray | None = None
     cell_block: np.ndarray | None = None
     most: np.ndarray | None = None
+    top: np.ndarray | None = None
     starts: np.ndarray | None = None
     examples: np.ndarray | None = None
     values: np.ndarray | None = None
@@ -97,36 +100,62 @@ class Index:
         cell, first = np.unique(term[by] * self.blocks + self.examples // IN_BLOCK, return_index=True)
         self.starts = np.append(first, len(by))
         self.most = np.maximum.reduceat(self.values, first) if len(first) else np.zeros(0)
+        self.top = np.zeros(len(self.terms))
+        np.maximum.at(self.top, term, value)
         self.cell_block = (cell % self.blocks).astype(np.int32)
         self.cells = np.searchsorted(cell, np.arange(len(self.terms) + 1) * self.blocks)
 
+    def _add(self, sums: np.ndarray, first: np.ndarray, last: np.ndarray, weights: np.ndarray) -> None:
+        """Add weights times the postings from first to last to the sums of their examples."""
+        at = _ranges(first, last)
+        sums += np.bincount(self.examples.take(at), np.repeat(weights, last - first) * self.values.take(at), len(sums))
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the NEAREST examples of positive cosine, best first."""
-        own = _ranges(self.cells[terms], self.cells[terms + 1])
-        by = np.repeat(weights, self.cells[terms + 1] - self.cells[terms])
-        block = self.cell_block[own]
-        bound = np.bincount(block, by * self.most[own], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best, who = np.zeros(0), np.zeros(0, np.int64)
-        for at in range(0, len(order), OPENED):
-            if len(best) == NEAREST and bound[order[at]] < best[-1] - 1e-12:
+        """(examples, cosines) of the NEAREST examples of positive cosine, best first.
+
+        Terms are taken by how much they can add at most. Sums so far are lower bounds, so the k-th best of them is a threshold;
+        once all further terms together cannot reach it, an example without any term so far is none of the best. Of the
+        others, only blocks in which some sum and the block's bounds on the further terms reach the threshold are opened."""
+        most = weights * self.top[terms]
+        order = np.argsort(-most, kind="stable")
+        terms, weights, most = terms[order], weights[order], most[order]
+        first, last = self.starts[self.cells[terms]], self.starts[self.cells[terms + 1]]
+        further = np.append(np.cumsum(most[::-1])[::-1], 0.0)
+        sums = np.zeros(len(self.keys))
+        done, upto = 0, int(np.searchsorted(np.cumsum(last - first), FIRST)) + 1
+        while done < len(terms):
+            self._add(sums, first[done:upto], last[done:upto], weights[done:upto])
+            done = min(upto, len(terms))
+            if without >= 0:
+                sums[without] = 0
+            least = np.partition(sums, len(sums) - NEAREST)[len(sums) - NEAREST] - 1e-12 if len(sums) > NEAREST else -1.0
+            enough = np.flatnonzero(further[done:] < least)
+            upto = done + int(enough[0]) if len(enough) else len(terms)
+            if upto == done:
                 break
-            opened = np.zeros(self.blocks, bool)
-            opened[order[at : at + OPENED]] = True
-            mine = opened[block]
-            first, last = self.starts[own[mine]], self.starts[own[mine] + 1]
-            postings = _ranges(first, last)
-            sums = np.bincount(self.examples[postings], np.repeat(by[mine], last - first) * self.values[postings], len(self.keys))
+        opened = sums > 0
+        if done < len(terms):
+            cells = _ranges(self.cells[terms[done:]], self.cells[terms[done:] + 1])
+            by = np.repeat(weights[done:], self.cells[terms[done:] + 1] - self.cells[terms[done:]])
+            bound = np.bincount(self.cell_block[cells], by * self.most[cells], self.blocks)
+            reach = opened & (sums + bound[np.arange(len(sums)) // IN_BLOCK] >= least)
+            blocks = np.zeros(self.blocks, bool)
+            blocks[np.flatnonzero(reach) // IN_BLOCK] = True
+            mine = blocks[self.cell_block[cells]]
+            self._add(sums, self.starts[cells[mine]], self.starts[cells[mine] + 1], by[mine])
+            opened = reach
             if without >= 0:
                 sums[without] = 0
-            got = np.flatnonzero(sums > 0)
-            best, who = np.concatenate([best, np.minimum(sums[got], 1.0)]), np.concatenate([who, got])
-            keep = np.lexsort((who, -np.round(best, 12)))[:NEAREST]
-            best, who = best[keep], who[keep]
-        return who, best
+        who = np.flatnonzero(opened & (sums > 0))
+        best = np.minimum(sums[who], 1.0)
+        keep = np.lexsort((who, -np.round(best, 12)))[:NEAREST]
+        return who[keep], best[keep]
+
+    @cached_property
+    def mean_share(self) -> float:
+        return float(self.share.mean())
 
-    @property
+    @cached_property
     def rate(self) -> float:
         """Share of toxic labels among all labelled rows."""
         return float((self.share * self.toxic).sum() / max(self.share.sum(), 1e-9))
@@ -137,7 +166,7 @@ class Index:
         if not len(self.share):
             return 0.0
         each = self.share[who] * cosine / (1.05 - cosine)
-        prior = 0.05 * float(self.share.mean())
+        prior = 0.05 * self.mean_share
         return float(((each * self.toxic[who]).sum() + prior * self.rate) / (each.sum() + prior))
 
     def score(self, vote: float) -> float:
@@ -263,20 +292,22 @@ def fit(df: DataFrame, labels: DataFrame, trained: Column, key: str = "doc_id",
 def score_texts(df: DataFrame, index: Index, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score (0 to 1), predicted (1 from 0.5 on) and evidence (nearest examples: key, cosine, toxic) of every row."""
     shared = df.sparkSession.sparkContext.broadcast(index)
-    kinds = pa.list_(pa.struct([("key", pa.string()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for batch in batches:
             row, term, times = _known(batch.column("_text").cast(pa.binary()).to_pylist(), held.terms)
             ends = np.searchsorted(row, np.arange(len(batch) + 1))
-            score, evidence = np.zeros(len(batch)), []
+            score, near = np.zeros(len(batch)), []
             for d in range(len(batch)):
                 own = slice(ends[d], ends[d + 1])
-                who, cosine = held.nearest(*held.vector(term[own], times[own])) if held.keys else (term[:0], times[:0])
-                score[d] = held.score(held.vote(who, cosine))
-                evidence.append([{"key": str(held.keys[e]), "cosine": float(c), "toxic": int(held.toxic[e])} for e, c in zip(who.tolist(), cosine.tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(evidence, kinds)], names=[key, "score", "predicted", "evidence"])
+                near.append(held.nearest(*held.vector(term[own], times[own])) if held.keys else (term[:0], np.zeros(0)))
+                score[d] = held.score(held.vote(*near[d]))
+            who, cosine = (np.concatenate(x) for x in zip(*near, strict=True)) if near else (term[:0], np.zeros(0))
+            names = pa.array([str(k) for k in held.keys], pa.string()).take(pa.array(who.astype(np.int64)))
+            of = pa.StructArray.from_arrays([names, pa.array(cosine, pa.float64()), pa.array(held.toxic[who].astype(np.int32))], ["key", "cosine", "toxic"])
+            evidence = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(w) for w, _ in near)]).astype(np.int32)), of)
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), evidence], names=[key, "score", "predicted", "evidence"])
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))

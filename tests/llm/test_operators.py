@@ -328,13 +328,66 @@ def test_language_id(spark, docs, empty):
     assert {r.lang_pred for r in language_id.identify(docs, F.lit(False)).collect()} == {"und"}
 
 
+def test_letters_by_category():
+    for t in ("½ ² ①", "123 ..", "", "Ⅷ ⅓", "\u0301 \u0308", "_"):
+        assert language_id.normal(t) == "  "
+    assert language_id.normal("E\u0301a-ÑB²c") == " e\u0301a ñb c "
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    model = language_id.fit([(lang, [lang_text(lang, 40, i) for i in range(12)]) for lang in LETTERS])
+    texts = [language_id.normal(lang_text("bb", 3000, 4)), language_id.normal(lang_text("aa", 5, 1)), language_id.normal("q" * 5000)]
+    want = language_id.entropies(model, texts)
+    monkeypatch.setattr(language_id, "SLICE", 501)
+    assert np.allclose(language_id.entropies(model, texts), want, rtol=1e-4)
+
+
+def test_language_ties_go_to_the_first():
+    model = language_id.fit([("xx", ["abc abd"]), ("ww", ["abc abd"])])
+    cost = language_id.entropies(model, [language_id.normal("abc")])[0]
+    assert model.languages == ["ww", "xx"] and cost[0] == cost[1] and int(np.argmin(cost)) == 0
+
+
+def brute_kneser_ney(texts, text):
+    """Cross-entropy of a text by interpolated Kneser-Ney over dictionaries, in nats a character."""
+    counts = [Counter() for _ in range(language_id.ORDER + 1)]
+    for t in map(language_id.normal, texts):
+        for n in range(1, language_id.ORDER + 1):
+            counts[n].update(t[i : i + n] for i in range(len(t) - n + 1))
+    letters = len(counts[1]) + 1
+    use = {language_id.ORDER: counts[language_id.ORDER]}
+    for n in range(1, language_id.ORDER):
+        lead = Counter(g[1:] for g in counts[n + 1])
+        use[n] = {g: lead[g] or 1 for g in counts[n]}
+
+    def chance(g):
+        n = len(g)
+        under = {h: c for h, c in use[n].items() if h[:-1] == g[:-1]}
+        shorter = chance(g[1:]) if n > 1 else 1 / letters
+        if not under:
+            return shorter
+        total = sum(under.values())
+        return max(under.get(g, 0) - language_id.DISCOUNT, 0) / total + language_id.DISCOUNT * len(under) / total * shorter
+
+    t = language_id.normal(text)
+    return -sum(math.log(chance(t[max(0, i + 1 - language_id.ORDER) : i + 1])) for i in range(1, len(t))) / (len(t) - 1)
+
+
+def test_entropies_are_those_of_kneser_ney():
+    texts = [lang_text("aa", 6, i) for i in range(4)]
+    model = language_id.fit([("aa", texts)])
+    for t in (texts[0], lang_text("aa", 9, 50), "edcba aaaa bcd"):
+        found = language_id.entropies(model, [language_id.normal(t)])[0, 0]
+        assert math.isclose(found, brute_kneser_ney(texts, t), rel_tol=1e-3), t
+
+
 def test_language_model_is_a_distribution():
     model = language_id.fit([("aa", [lang_text("aa", 200, 1)]), ("bb", [lang_text("bb", 200, 2)])])
     letters = " " + "abcde"
     for context in ("abc", "aab", "zzz"):
         codes = [language_id._codes(context + c) for c in letters]
         total = sum(math.exp(float(model.costs(c)[-1, 0])) for c in codes)
-        assert total <= 1.02
+        assert 0.9 <= total <= 1.02
 
 
 def toxic_words(t):
@@ -433,6 +486,16 @@ def test_pieces_of_one_hash_are_told_apart(monkeypatch):
         assert e.encode(t.encode(), np.array([len(t)]))[0].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_words_of_long_texts(monkeypatch):
+    texts = [text(4000, 3).encode(), b"x" * 9000, b"", None, b"a " * 3000 + "é".encode()]
+    want = common.hashed_words(texts)
+    monkeypatch.setattr(common, "PIECE", 1000)
+    found = common.hashed_words(texts)
+    assert (found[0] == want[0]).all() and (found[1] == want[1]).all()
+    assert all(b"".join(common.pieces(t, 1000)) == t for t in texts if t)
+    assert [len(s) for s in jaccard_join.shingle_sets(texts, 5)] == [len({tuple(split(lower((t or b"").decode()))[i : i + 5]) for i in range(max(1, len(split((t or b"").decode())) - 4))}) if t else 0 for t in texts]
+
+
 def test_span_hash_depends_on_the_bytes_alone():
     words = [b"x" * n for n in range(1, 150)] + [b"a", b"ab", b"abc" * 30, b"abc" * 29 + b"abd"]
     for lead in (b"", b"zz "):
