@@ -22,6 +22,8 @@ from adspark.llm.common import stage
 
 #: Anything but ASCII digits and letters and non-ASCII characters parts words; A-Z are lowered before.
 PARTING = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before A-Z are lowered.
+PARTING_CASED = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Hashes of shingles or digests of texts that may be broadcast: 16 to 100 bytes each.
 BROADCAST_ROWS = 1_000_000
@@ -50,7 +52,7 @@ def shingle_hashes(words: Column, width: int) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of item_words as a long."""
-    parts = F.split(F.coalesce(text, F.lit("")), PARTING)
+    parts = F.split(F.coalesce(text, F.lit("")), PARTING_CASED)
     first = F.when(F.element_at(parts, 1) == "", 1).otherwise(0)
     last = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
     return (F.size(parts) - first - last).cast("long")
