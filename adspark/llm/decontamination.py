@@ -52,10 +52,13 @@ def shingle_hashes(words: Column, width: int) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of item_words as a long."""
-    parts = F.split(F.coalesce(text, F.lit("")), PARTING_CASED)
-    first = F.when(F.element_at(parts, 1) == "", 1).otherwise(0)
-    last = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
-    return (F.size(parts) - first - last).cast("long")
+
+    def counted(parts: Column) -> Column:
+        first = F.when(F.element_at(parts, 1) == "", 1).otherwise(0)
+        last = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+        return (F.size(parts) - first - last).cast("long")
+
+    return _let(F.split(F.coalesce(text, F.lit("")), PARTING_CASED), counted)
 
 
 def windows_of(items: DataFrame, key: str, text: str, window: int) -> DataFrame:
@@ -117,12 +120,13 @@ def _covered(found: Column) -> Column:
 
 
 def _verified(rows: DataFrame, possible: DataFrame) -> DataFrame:
-    """(text, n_words, n_hit, wids): distinct texts, by digest, in which some of the possible windows stand."""
+    """(text, n_words, n_hit, wids): distinct texts, by digest, with possible windows, and which of these stand in them. Texts
+    without any are left to the reader of the written table: a filter here would be moved before the splitting of words."""
     wanted = _checked_broadcast(possible.select("text"))
     texts = rows.join(wanted, F.col("_digest") == F.col("text"), "left_semi").select("_digest", "_text").dropDuplicates(["_digest"])
     judged = texts.join(possible, F.col("_digest") == F.col("text")).withColumn("_w", item_words(F.col("_text")))
     same = F.filter(F.col("_possible"), lambda c: F.slice(F.col("_w"), (c["begin"] + 1).cast("int"), c["n"].cast("int")) == c["words"])
-    judged = judged.select("text", F.size("_w").cast("long").alias("n_words"), same.alias("_found")).where(F.size("_found") > 0)
+    judged = judged.select("text", F.size("_w").cast("long").alias("n_words"), same.alias("_found"))
     wids = F.array_distinct(F.transform("_found", lambda c: c["wid"]))
     return judged.select("text", "n_words", _covered(F.col("_found")).cast("long").alias("n_hit"), wids.alias("wids"))
 
@@ -138,7 +142,7 @@ def find_hits(rows: DataFrame, items: DataFrame, item_key: str, item_text: str,
     candidates = shared.join(prefix, ["width", "h"]).withColumn("begin", begin).where((F.col("begin") >= 0) & (F.col("begin") + F.size("words") <= F.col("n_words")))
     window_at = F.struct("begin", F.size("words").cast("long").alias("n"), "wid", "words")
     possible = stage(candidates.groupBy("text").agg(F.collect_set(window_at).alias("_possible")), "possible")
-    found = stage(_verified(rows, possible), "found")
+    found = stage(_verified(rows, possible), "found").where("n_hit > 0")
     named = found.select("text", F.explode("wids").alias("wid")).join(windows.select("wid", "items"), "wid")
     lists = named.select("text", F.explode("items").alias("item")).groupBy("text").agg(F.array_sort(F.collect_set("item")).alias("_items"))
     hits = found.select("text", F.col("n_words").alias("_n_words"), F.col("n_hit").alias("_n_hit")).join(lists, "text")
