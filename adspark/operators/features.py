@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adspark.functions.expressions import MISSING, clip, hour_utc, positive_log, signed_log, stable_hash, weekday_monday0, weekday_thursday0
+from adspark.operators.ordering import numbered
 
 #: Fixed value: names that must never be features, as they are known only after the event.
-FORBIDDEN = frozenset({"conversion_label", "conversion_value_eur", "conversion_delay_seconds", "conversion_delay_hours", "conversion", "click_and_conversion", "attribution", "conversion_timestamp", "conversion_id", "cost", "cpo"})
+FORBIDDEN = frozenset({"conversion_label", "conversion_value_eur", "conversion_delay_seconds", "conversion_delay_hours", "conversion", "click_and_conversion", "attribution", "conversion_timestamp", "conversion_id", "cost", "cpo", "click_timestamp"})
+#: Fixed value: what the names of columns made from a later window begin with.
+FORBIDDEN_PREFIX = "future_"
 #: Buckets of the hashed features of the fine ranker.
 FINE_BUCKETS = {"user_id": 1 << 18, "candidate_ad_id": 1 << 18, "product_brand": 1 << 16, "product_category_1": 1 << 12, "device_type": 64}
 
 
 def assert_no_leakage(columns: list[str], forbidden: frozenset[str] = FORBIDDEN) -> None:
     """An error if a feature is known only after the event."""
-    if bad := sorted(set(columns) & forbidden):
+    if bad := sorted(c for c in set(columns) if c in forbidden or c.startswith(FORBIDDEN_PREFIX)):
         raise ValueError(f"features that leak the outcome: {bad}")
 
 
@@ -95,10 +98,9 @@ def z_scores(df: DataFrame, fit_on: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def vocabulary(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): distinct values in order from 2 on; 0 pads, 1 is unknown. The ranks come from a sort of the distinct
-    values in one task, as any dense order does."""
+    """(value, code): distinct values in order from 2 on; 0 pads, 1 is unknown."""
     values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    return values.withColumn("code", (F.row_number().over(Window.orderBy("value")) + 1).cast("int"))
+    return numbered(values, [F.col("value")], "_at").select("value", (F.col("_at") + 2).cast("int").alias("code"))
 
 
 def encode(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:

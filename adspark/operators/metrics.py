@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adspark.functions.expressions import clip, safe_divide
+from adspark.operators.ordering import numbered, running
 
 
 def recall_at(candidates: DataFrame, positives: DataFrame, cutoffs: tuple[int, ...]) -> DataFrame:
@@ -45,11 +46,9 @@ def cold_start(past: DataFrame, future: DataFrame) -> DataFrame:
 
 
 def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Positives and rows of each distinct score, with running totals from the highest score on. As many rows are ordered
-    as there are distinct scores."""
+    """Positives and rows of each distinct score, with running totals from the highest score on."""
     counts = df.groupBy(F.col(score).alias("s")).agg(F.sum(label).cast("double").alias("tp"), F.count(F.lit(1)).cast("double").alias("n"))
-    down = Window.orderBy(F.desc("s"))
-    return counts.withColumns({"ctp": F.sum("tp").over(down), "cn": F.sum("n").over(down)})
+    return running(counts, [F.desc("s")], {"ctp": "tp", "cn": "n"})
 
 
 def ranking_quality(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -112,26 +111,24 @@ def reciprocal_rank(candidates: DataFrame, positives: DataFrame, cutoff: int) ->
 
 
 def deciles(df: DataFrame, score: str, label: str, value: str, key: str = "event_id", n: int = 10) -> DataFrame:
-    """(decile, n, labels, value, captured): equal parts by falling score, the first ones larger by one where rows do not
-    divide; captured is the running share of labels. A row's place is found range by range, so no task sorts all rows."""
-    from adspark.operators.normalize import number_rows
-
-    placed = number_rows(df.withColumn("_down", -F.col(score)), ["_down", key]).crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_all"))))
+    """(decile, n, mean_score, labels, value, captured): equal parts by falling score, the first ones larger by one where rows do
+    not divide; captured is the running share of the value (not below 0)."""
+    placed = numbered(df.withColumn(value, F.greatest(F.coalesce(F.col(value), F.lit(0.0)), F.lit(0.0))), [F.desc(score), F.col(key)])
+    placed = placed.crossJoin(F.broadcast(placed.agg(F.count(F.lit(1)).alias("_all"))))
     small, more = F.floor(F.col("_all") / n), F.col("_all") % n
     at = F.col("source_row_number")
     part = F.when(at < more * (small + 1), F.floor(at / (small + 1))).otherwise(more + F.floor((at - more * (small + 1)) / F.greatest(small, F.lit(1)))) + 1
-    sums = placed.groupBy(part.cast("int").alias("decile")).agg(F.count(F.lit(1)).alias("n"), F.sum(label).cast("long").alias("labels"), F.sum(value).alias("value"))
+    sums = placed.groupBy(part.cast("int").alias("decile")).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"), F.sum(label).cast("long").alias("labels"), F.sum(value).alias("value"))
     upto = Window.orderBy("decile")
-    return sums.withColumn("captured", safe_divide(F.sum("labels").over(upto), F.sum("labels").over(upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    return sums.withColumn("captured", safe_divide(F.sum("value").over(upto), F.sum("value").over(upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
 
 
 def popularity_buckets(train: DataFrame) -> DataFrame:
-    """(product_id, n, bucket): the 20 % of products with most rows are head, the next 30 % mid, the others tail. One row a
-    product is ordered."""
+    """(product_id, n, bucket): the 20 % of products with most rows are head, the next 30 % mid, the others tail."""
     counts = train.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
-    every = Window.orderBy(F.desc("n"), "product_id")
-    place, total = F.row_number().over(every), F.count(F.lit(1)).over(Window.partitionBy())
-    return counts.withColumns({"_p": place, "_t": total}).select("product_id", "n", F.when(F.col("_p") <= F.ceil(F.col("_t") * 0.2), "head").when(F.col("_p") <= F.ceil(F.col("_t") * 0.5), "mid").otherwise("tail").alias("bucket"))
+    placed = numbered(counts, [F.desc("n"), F.col("product_id")], "_at")
+    total = F.broadcast(placed.agg(F.count(F.lit(1)).alias("_t")))
+    return placed.crossJoin(total).withColumn("_p", F.col("_at") + 1).select("product_id", "n", F.when(F.col("_p") <= F.ceil(F.col("_t") * 0.2), "head").when(F.col("_p") <= F.ceil(F.col("_t") * 0.5), "mid").otherwise("tail").alias("bucket"))
 
 
 # Whether more is better.
@@ -139,14 +136,16 @@ DIRECTIONS = {"roc_auc": 1, "average_precision": 1, "recall": 1, "ndcg": 1, "log
 
 
 def drift(before: DataFrame, after: DataFrame, stable: float = 0.05, moderate: float = 0.15) -> DataFrame:
-    """(metric, before, after, delta, relative, verdict) of one-row tables with the same columns."""
+    """(metric, before, after, delta, relative, verdict) of one-row tables with the same columns. Every gain is "improved"; a
+    loss is "stable" up to the first bound, then "moderate", and "large" beyond the second; without a former value, or where
+    it is 0 and changes, the verdict is "n/a"."""
     names = [c for c in before.columns if c in after.columns and c in DIRECTIONS]
     rows = lambda df, n: df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias(n), F.lit(DIRECTIONS[c]).alias("d")) for c in names))).alias("x")).select("x.metric", f"x.{n}", "x.d")
     both = rows(before, "before").join(rows(after, "after").drop("d"), "metric")
     delta = F.col("after") - F.col("before")
     relative = F.try_divide(delta, F.abs("before"))
-    size = F.abs(relative)
-    verdict = F.when(relative.isNull(), "n/a").when(size <= stable, "stable").when(delta * F.col("d") > 0, "improved").when(size <= moderate, "moderate").otherwise("large")
+    gain = relative * F.col("d")
+    verdict = F.when(delta == 0, "stable").when(relative.isNull(), "n/a").when(gain > 0, "improved").when(gain >= -stable, "stable").when(gain >= -moderate, "moderate").otherwise("large")
     return both.select("metric", "before", "after", delta.alias("delta"), relative.alias("relative"), verdict.alias("verdict"))
 
 

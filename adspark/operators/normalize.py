@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adspark.functions.expressions import mask_tokens, normal_id
+from adspark.operators.ordering import numbered
 
 # Columns of the raw click log, their names in the unified table, and how they are typed.
 SEARCH_COLUMNS = {
@@ -41,17 +42,13 @@ IMPRESSION_DOUBLES = ("cost", "cpo")
 IMPRESSION_IDS = {"uid": "user_id", "campaign": "campaign_id", **{f"cat{i}": f"cat{i}" for i in range(1, 10)}}
 
 
-def number_rows(df: DataFrame, order: list[str], parts: int = 256) -> DataFrame:
-    """df with source_row_number, from 0 in the given total order, whose first column is a number. Rows are dealt over ranges
-    of that column, cut at approximate quantiles; a range's rows are numbered after those of the ranges before it."""
-    levels = [(i + 1) / parts for i in range(parts - 1)]
-    cuts = df.agg(F.percentile_approx(order[0], levels, 10_000).alias("q")).first()["q"] or []
-    bounds = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
-    dealt = df.withColumn("_part", F.size(F.filter(bounds, lambda x: x <= F.col(order[0]))))
-    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return dealt.join(F.broadcast(starts), "_part").withColumn("source_row_number", (F.col("_before") + inside - 1).cast("long")).drop("_part", "_before")
+# What event ids of the two logs begin with.
+SEARCH_PREFIX, IMPRESSION_PREFIX = "criteo-", "criteo-attribution-"
+
+
+def number_rows(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with source_row_number, from 0 in the given total order."""
+    return numbered(df, [F.col(c) for c in order])
 
 
 def _checked(value: Column, bad: Column, message: str) -> Column:
@@ -64,7 +61,7 @@ def binary_label(c: Column | str, name: str) -> Column:
     return _checked(number.cast("long"), number.isNull() | ~number.isin(0.0, 1.0), f"{name} must be 0 or 1").cast("byte")
 
 
-def normalize_search(raw: DataFrame, missing: tuple[str, ...] = ("", "-1"), by_column: dict[str, tuple[str, ...]] | None = None, prefix: str = "criteo-") -> DataFrame:
+def normalize_search(raw: DataFrame, missing: tuple[str, ...] = ("", "-1"), by_column: dict[str, tuple[str, ...]] | None = None, prefix: str = SEARCH_PREFIX) -> DataFrame:
     """The unified interaction table from raw text columns with source_row_number."""
     by_column = {"click_timestamp": ("0",)} if by_column is None else by_column
     out = [F.concat(F.lit(prefix), F.lpad(F.col("source_row_number").cast("string"), 12, "0")).alias("event_id"), "source_row_number"]
@@ -81,7 +78,7 @@ def normalize_search(raw: DataFrame, missing: tuple[str, ...] = ("", "-1"), by_c
     return raw.select(*out)
 
 
-def normalize_impressions(raw: DataFrame, missing: tuple[str, ...] = ("", "-1"), prefix: str = "criteo-attribution-") -> DataFrame:
+def normalize_impressions(raw: DataFrame, missing: tuple[str, ...] = ("", "-1"), prefix: str = IMPRESSION_PREFIX) -> DataFrame:
     """The impression table from raw text columns with source_row_number; bad integers and labels are errors."""
 
     def whole(name: str, required: bool) -> Column:

@@ -38,6 +38,12 @@ def popularity(df: DataFrame, k: int, click: float = 1.0, conversion: float = 3.
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("popularity_score"), "candidate_ad_id")))
 
 
+def popular_pairs(pairs: DataFrame, k: int) -> DataFrame:
+    """popularity of weighted pairs."""
+    top = pairs.groupBy(F.col("product_id").alias("candidate_ad_id")).agg(F.sum("weight").alias("popularity_score")).orderBy(F.desc("popularity_score"), "candidate_ad_id").limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("popularity_score"), "candidate_ad_id")))
+
+
 def item_similarity(pairs: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """(item, other, similarity): cosine of products over users' weights, without the diagonal. items, if given, restricts
     `item`. Products of one user meet in a join on the user, where Spark splits users with many of them."""
@@ -175,18 +181,40 @@ def first_users(df: DataFrame, n: int) -> DataFrame:
 
 
 def fusion_variants() -> list[tuple[str, float, float, float, float]]:
-    """(name, k, weight of itemcf, of two_tower, of popularity): each k with each set of weights."""
-    sets = {"equal": (1, 1, 1), "default": (1, 1, 0.5), "itemcf": (2, 1, 0.5), "two_tower": (1, 2, 0.5), "popular": (2, 1, 2)}
-    return [(f"k{k}_{name}", float(k), *map(float, w)) for k in (10, 30, 60, 100) for name, w in sets.items()]
+    """(name, k, weight of itemcf, of two_tower, of popularity): each k with each set of weights, and the baseline."""
+    # The grid's weights of itemcf, two_tower and popularity.
+    sets = ((1, 1, 1), (1, 1, 2), (1, 1, 3), (1, 2, 2), (2, 1, 2))
+    grid = [(f"rrf_k{k}_i{a}_t{b}_p{c}", float(k), float(a), float(b), float(c)) for k in (10, 30, 60, 100) for a, b, c in sets]
+    return [*grid, ("rrf_baseline", 60.0, 1.0, 1.0, 1.0)]
+
+
+#: Variants of the sweep that hold places for sources, with quotas of 25 and 20 of 100.
+PROTECTED = {"rrf_popularity_protected": {"popularity": 25}, "rrf_balanced_protected": {"itemcf": 20, "two_tower": 20, "popularity": 20}}
 
 
-def fusion_sweep(every: DataFrame, positives: DataFrame, variants: list[tuple], cutoffs: tuple[int, ...] = (10, 50)) -> DataFrame:
+def protected_fusion(every: DataFrame, positives: DataFrame, cutoffs: tuple[int, ...]) -> DataFrame:
+    """fusion_sweep of the variants with quotas, all weights 1 and k 60."""
+    out = None
+    for name, quotas in PROTECTED.items():
+        chosen = rrf_with_quotas(every, dict.fromkeys(SOURCES, 1.0), quotas, 60, 100)
+        top = ranked(chosen, ["user_id"], [F.desc("rrf_score"), F.col("candidate_ad_id")]).withColumn("variant", F.lit(name))
+        out = top if out is None else out.unionByName(top)
+    return _sweep_recall(out, positives, [(n,) for n in PROTECTED], cutoffs)
+
+
+def fusion_sweep(every: DataFrame, positives: DataFrame, variants: list[tuple], cutoffs: tuple[int, ...] = (10, 20, 50, 100)) -> DataFrame:
     """(variant, cutoff, recall, hit_rate) over all users with positives, all variants in one pass."""
     spark = every.sparkSession
     table = F.broadcast(spark.createDataFrame(variants, "variant string, k double, itemcf double, two_tower double, popularity double"))
     weight = F.when(F.col("source") == "itemcf", F.col("itemcf")).when(F.col("source") == "two_tower", F.col("two_tower")).otherwise(F.col("popularity"))
     scored = every.crossJoin(table).groupBy("variant", "user_id", "candidate_ad_id").agg(F.round(F.sum(weight / (F.col("k") + F.col("rank"))), 12).alias("score"))
     top = ranked(scored, ["variant", "user_id"], [F.desc("score"), F.col("candidate_ad_id")], max(cutoffs))
+    return _sweep_recall(top, positives, [v[:1] for v in variants], cutoffs)
+
+
+def _sweep_recall(top: DataFrame, positives: DataFrame, variants: list[tuple[str]], cutoffs: tuple[int, ...]) -> DataFrame:
+    """(variant, cutoff, recall, hit_rate) over all users with positives."""
+    table = F.broadcast(top.sparkSession.createDataFrame(variants, "variant string"))
     size = positives.groupBy("user_id").agg(F.count(F.lit(1)).alias("size"))
     hits = top.join(positives.withColumnRenamed("product_id", "candidate_ad_id"), ["user_id", "candidate_ad_id"])
     per_user = hits.groupBy("variant", "user_id").agg(*(F.count_if(F.col("rank") <= c).alias(f"h{c}") for c in cutoffs))

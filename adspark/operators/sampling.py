@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adspark.functions.expressions import stable_hash
+from adspark.operators.ordering import numbered, numbered_by_hash
 
 
 def interaction_pairs(df: DataFrame) -> DataFrame:
@@ -38,9 +39,9 @@ def time_validation(rows: DataFrame, ratio: float = 0.8) -> DataFrame:
 
 
 def past_pool(past: DataFrame) -> DataFrame:
-    """(candidate_ad_id, n, pos): products by count, then id; pos from 0. One row a product is ordered."""
+    """(candidate_ad_id, n, pos): products by count, then id; pos from 0."""
     counts = past.groupBy(F.col("product_id").alias("candidate_ad_id")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("pos", (F.row_number().over(Window.orderBy(F.desc("n"), "candidate_ad_id")) - 1).cast("long"))
+    return numbered(counts, [F.desc("n"), F.col("candidate_ad_id")], "pos")
 
 
 def pool_negatives(positives: DataFrame, pool: DataFrame, per_positive: int, seed: int = 2026) -> DataFrame:
@@ -64,9 +65,7 @@ def hard_negatives(similar: DataFrame, positives: DataFrame, skip: int, n: int)
     return free.withColumn("rank", rank).where((F.col("rank") > skip) & (F.col("rank") <= skip + n))
 
 
-def synthetic_auctions(df: DataFrame, per_auction: int, seed: int = 2026, key: str = "event_id", parts: int = 256) -> DataFrame:
-    """df with auction_id: rows in hash order, per_auction in a row together. Places are numbered range by range."""
-    from adspark.operators.normalize import number_rows
-
-    hashed = df.withColumn("_h", stable_hash(F.lit(seed), F.col(key)))
-    return number_rows(hashed, ["_h", key], parts).withColumn("auction_id", F.floor(F.col("source_row_number") / per_auction).cast("long")).drop("_h", "source_row_number")
+def synthetic_auctions(df: DataFrame, per_auction: int, seed: int = 2026, key: str = "event_id") -> DataFrame:
+    """df with auction_id: rows in hash order, per_auction in a row together."""
+    placed = numbered_by_hash(df, stable_hash(F.lit(seed), F.col(key)), key, "_place")
+    return placed.withColumn("auction_id", F.floor(F.col("_place") / per_auction).cast("long")).drop("_place")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adspark.operators import models, recall, windows
+from adspark.sources.delimited import report
 
 
 def temporal_split(rows: DataFrame, ratio: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -23,11 +24,10 @@ def positives(future: DataFrame, conversions_only: bool = False) -> DataFrame:
     return rows.select("user_id", "product_id").distinct()
 
 
-def recall_lists(past: DataFrame, users: DataFrame, top_k: int = 50, towers: bool = False) -> dict[str, DataFrame]:
-    """itemcf lists of users, with towers also those of ALS factors, and the popular products, from past interactions only."""
-    weight = recall.label_weight(F.col("conversion_label").cast("string"), {"0": 1.0, "1": 3.0})
-    pairs = recall.weighted_pairs(past, weight)
-    lists = {"itemcf": recall.itemcf(pairs, users, top_k), "popularity": recall.popularity(past, top_k)}
+def recall_lists(pairs: DataFrame, users: DataFrame, top_k: int = 50, towers: bool = False) -> dict[str, DataFrame]:
+    """itemcf lists of users, with towers also those of ALS factors, and the popular products, from past pairs and their weights
+    only."""
+    lists = {"itemcf": recall.itemcf(pairs, users, top_k), "popularity": recall.popular_pairs(pairs, top_k)}
     return lists | ({"two_tower": models.factor_lists(pairs, users, top_k)} if towers else {})
 
 
@@ -56,7 +56,7 @@ class FinalHoldout:
         self.marker.write_text(json.dumps({"artefacts": frozen}))
 
     def record(self, metrics: DataFrame) -> None:
-        self.results.write_text(json.dumps([r.asDict() for r in metrics.limit(1000).collect()], default=str))
+        self.results.write_text(report(metrics))
 
     def render(self) -> list[dict]:
         """The recorded metrics, without reading the window."""

@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adspark.functions.expressions import stable_hash
 from adspark.operators import auction, audit, features, metrics, profile, recall, sampling, windows
-from adspark.operators.normalize import number_rows
 from adspark.plans import funnel
 from adspark.sources.adapters import IMPRESSIONS_SQL, INTERACTIONS_SQL, PREDICTIONS_SQL, impressions, interactions, predictions, table
+from adspark.sources.staging import staged
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 FLAGSHIP = "popularity_topk"
-COHORT = 20
 CATEGORIES = ["product_brand", "product_category_1", "device_type"]
 
 # Parts of the SQL texts.
@@ -24,7 +22,7 @@ past AS (SELECT * FROM interactions WHERE click_timestamp <= (SELECT t FROM boun
 future AS (SELECT * FROM interactions WHERE click_timestamp > (SELECT t FROM bound)),
 positives AS (SELECT DISTINCT user_id, product_id FROM future)"""
 PAIRS_SQL = "pairs AS (SELECT user_id, product_id, sum(CASE WHEN conversion_label = 1 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END) AS weight FROM past GROUP BY ALL)"
-COHORT_SQL = f"""cohort AS (SELECT user_id FROM (SELECT DISTINCT user_id FROM past WHERE user_id IN (SELECT user_id FROM future)) ORDER BY ('0x' || substr(md5('7' || chr(31) || user_id), 1, 15))::BIGINT, user_id LIMIT {COHORT})"""
+COHORT_SQL = "cohort AS (SELECT DISTINCT user_id FROM past WHERE user_id IN (SELECT user_id FROM future))"
 ITEMCF_SQL = f"""{SPLIT_SQL}, {PAIRS_SQL}, {COHORT_SQL},
 norms AS (SELECT product_id, sqrt(sum(weight * weight)) AS norm FROM pairs GROUP BY 1),
 history AS (SELECT * FROM pairs WHERE user_id IN (SELECT user_id FROM cohort)),
@@ -70,21 +68,19 @@ def _pairs(past: DataFrame) -> DataFrame:
     return recall.weighted_pairs(past, recall.label_weight(F.col("conversion_label").cast("string"), {"0": 1.0, "1": 3.0}))
 
 
-def _cohort(past: DataFrame, future: DataFrame) -> DataFrame:
-    return windows.hashed_users(_everyone(past, future), 7, COHORT)
-
-
 def _everyone(past: DataFrame, future: DataFrame) -> DataFrame:
     """All users of both windows."""
     return past.select("user_id").distinct().join(future.select("user_id").distinct(), "user_id", "left_semi")
 
 
-def _lists(spark: SparkSession, sf_dir: str, users=_cohort, towers: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(all lists, past, positives)."""
+def _lists(spark: SparkSession, sf_dir: str, towers: bool = False, popular_to_all: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(all lists, positives) of every user of both windows, each written once. The popular products go to users with an
+    itemcf list, or to all users with positives."""
     past, future = _past_future(spark, sf_dir)
-    lists = funnel.recall_lists(past, users(past, future), towers=towers)
+    pairs, positives = staged(_pairs(past), "pairs"), staged(funnel.positives(future), "positives")
+    lists = funnel.recall_lists(pairs, _everyone(pairs, positives), towers=towers)
     popular = lists.pop("popularity")
-    return recall.personalised(lists, popular), past, funnel.positives(future)
+    return staged(recall.personalised(lists, popular, positives if popular_to_all else None), "lists"), positives
 
 
 # --- profiles -------------------------------------------------------------------------------------------------------
@@ -253,37 +249,48 @@ def itemcf_similarity(spark, sf_dir):
     return rounded(sims.groupBy("item").agg(F.count(F.lit(1)).alias("neighbours"), F.max("similarity").alias("best"), F.sum("similarity").alias("total")), "best", "total")
 
 
-@query("itemcf_topk", f"WITH {ITEMCF_SQL} SELECT user_id, candidate_ad_id, round(itemcf_score, 6) AS itemcf_score, rank FROM itemcf")
-def itemcf_topk(spark, sf_dir, users=_cohort):
+@query("itemcf_topk", f"WITH {ITEMCF_SQL} SELECT user_id, candidate_ad_id, itemcf_score, rank FROM itemcf")
+def itemcf_topk(spark, sf_dir):
     past, future = _past_future(spark, sf_dir)
-    return rounded(funnel.recall_lists(past, users(past, future))["itemcf"], "itemcf_score")
+    pairs = staged(_pairs(past), "pairs")
+    return recall.itemcf(pairs, _everyone(pairs, future), 50)
 
 
 @query("rrf_fusion", f"WITH {FUSED_SQL} SELECT user_id, candidate_ad_id, rrf_score, source_count FROM fused QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rrf_score DESC, candidate_ad_id) <= 100")
-def rrf_fusion(spark, sf_dir, users=_cohort, towers=False):
-    return recall.rrf(_lists(spark, sf_dir, users, towers)[0], {"itemcf": 2.0, "two_tower": 1.0, "popularity": 2.0}, 100, 100)
+def rrf_fusion(spark, sf_dir, towers=False):
+    return recall.rrf(_lists(spark, sf_dir, towers)[0], {"itemcf": 2.0, "two_tower": 1.0, "popularity": 2.0}, 100, 100)
 
 
 @query("rrf_quota")
 def rrf_quota(spark, sf_dir):
-    return rounded(recall.rrf_with_quotas(_lists(spark, sf_dir, _everyone, towers=True)[0], {"itemcf": 2.0, "two_tower": 1.0, "popularity": 0.5}, {"popularity": 10}, 100, 40), "rrf_score", digits=9)
+    return rounded(recall.rrf_with_quotas(_lists(spark, sf_dir, towers=True)[0], {"itemcf": 2.0, "two_tower": 1.0, "popularity": 0.5}, {"popularity": 10}, 100, 40), "rrf_score", digits=9)
 
 
 _SWEEP = recall.fusion_variants()
 
 
-@query("fusion_sweep", f"""WITH {LISTS_SQL}, variants AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {k}::DOUBLE, {a}::DOUBLE, {p}::DOUBLE)" for n, k, a, _, p in _SWEEP)}) AS v(variant, k, a, p)),
+@query("fusion_sweep", f"""WITH {ITEMCF_SQL}, lists AS (
+  SELECT user_id, candidate_ad_id, 'itemcf' AS source, rank FROM itemcf
+  UNION ALL SELECT user_id, candidate_ad_id, 'popularity', rank FROM (SELECT DISTINCT user_id FROM positives), popular), variants AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {k}::DOUBLE, {a}::DOUBLE, {p}::DOUBLE)" for n, k, a, _, p in _SWEEP)}) AS v(variant, k, a, p)),
 scored AS (SELECT variant, user_id, candidate_ad_id, round(sum(CASE WHEN source = 'itemcf' THEN a ELSE p END / (k + rank)), 12) AS score FROM lists, variants GROUP BY ALL),
 top AS (SELECT variant, user_id, candidate_ad_id, row_number() OVER (PARTITION BY variant, user_id ORDER BY score DESC, candidate_ad_id) AS rank FROM scored),
 size AS (SELECT user_id, count(*) AS size FROM positives GROUP BY 1),
-h AS (SELECT variant, t.user_id, count(*) FILTER (rank <= 10) AS h10, count(*) FILTER (rank <= 50) AS h50 FROM top t JOIN positives p ON p.user_id = t.user_id AND p.product_id = t.candidate_ad_id GROUP BY ALL),
-u AS (SELECT v.variant, size, coalesce(h10, 0) AS h10, coalesce(h50, 0) AS h50 FROM size, variants v LEFT JOIN h ON h.variant = v.variant AND h.user_id = size.user_id)
-SELECT variant, 10 AS cutoff, round(avg(h10 / size), 9) AS recall, round(avg((h10 > 0)::INT), 9) AS hit_rate FROM u GROUP BY 1 UNION ALL SELECT variant, 50, round(avg(h50 / size), 9), round(avg((h50 > 0)::INT), 9) FROM u GROUP BY 1""")
-def fusion_sweep(spark, sf_dir, users=_cohort, towers=False):
-    every, _, positives = _lists(spark, sf_dir, users, towers)
+h AS (SELECT variant, t.user_id, cutoff, count(*) AS hits FROM top t JOIN positives p ON p.user_id = t.user_id AND p.product_id = t.candidate_ad_id, (VALUES (10), (20), (50), (100)) AS c(cutoff)
+  WHERE rank <= cutoff GROUP BY ALL),
+u AS (SELECT v.variant, c.cutoff, size, coalesce(hits, 0) AS hits FROM size CROSS JOIN variants v CROSS JOIN (VALUES (10), (20), (50), (100)) AS c(cutoff)
+  LEFT JOIN h ON h.variant = v.variant AND h.user_id = size.user_id AND h.cutoff = c.cutoff)
+SELECT variant, cutoff, round(avg(hits / size), 9) AS recall, round(avg((hits > 0)::INT), 9) AS hit_rate FROM u GROUP BY ALL""")
+def fusion_sweep(spark, sf_dir, towers=False):
+    every, positives = _lists(spark, sf_dir, towers, popular_to_all=True)
     return rounded(recall.fusion_sweep(every, positives, _SWEEP), "recall", "hit_rate", digits=9)
 
 
+@query("fusion_protected")
+def fusion_protected(spark, sf_dir):
+    every, positives = _lists(spark, sf_dir, towers=True, popular_to_all=True)
+    return rounded(recall.protected_fusion(every, positives, (10, 20, 50, 100)), "recall", "hit_rate", digits=9)
+
+
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2]))"
 
 
@@ -316,8 +323,8 @@ def latest_user_features(spark, sf_dir):
 l AS (SELECT user_id, candidate_ad_id, (converted IS NOT NULL)::INT AS label, converted, ts FROM fused LEFT JOIN i USING (user_id, candidate_ad_id)),
 w AS (SELECT *, sum(label) OVER (PARTITION BY user_id) AS n, coalesce(max(ts) OVER (PARTITION BY user_id), -1) AS group_ts, row_number() OVER (PARTITION BY user_id, label ORDER BY {_HASH.format("'2026' || chr(31) || user_id || chr(31) || candidate_ad_id")}, candidate_ad_id) AS k FROM l)
 SELECT user_id, candidate_ad_id, label, CASE WHEN converted = 1 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS sample_weight, group_ts FROM w WHERE n > 0 AND (label = 1 OR k <= n * 3)""")
-def coarse_training_rows(spark, sf_dir, users=_cohort, towers=False):
-    every = _lists(spark, sf_dir, users, towers)[0]
+def coarse_training_rows(spark, sf_dir, towers=False):
+    every = _lists(spark, sf_dir, towers)[0]
     fused = recall.rrf(every, {"itemcf": 2.0, "two_tower": 1.0, "popularity": 2.0}, 100, 1000)
     return sampling.labelled_candidates(fused.select("user_id", "candidate_ad_id"), sampling.interaction_pairs(interactions(spark, sf_dir)), 3)
 
@@ -349,8 +356,8 @@ def hash_validation(spark, sf_dir):
 h AS (SELECT f.user_id, count(*) FILTER (rank <= 10) AS h10, count(*) FILTER (rank <= 50) AS h50 FROM f JOIN positives p ON p.user_id = f.user_id AND p.product_id = f.candidate_ad_id GROUP BY 1),
 u AS (SELECT size, coalesce(h10, 0) AS h10, coalesce(h50, 0) AS h50 FROM size LEFT JOIN h USING (user_id))
 SELECT 10 AS cutoff, count(*) AS users, round(avg(h10 / size), 9) AS recall, round(avg((h10 > 0)::INT), 9) AS hit_rate FROM u UNION ALL SELECT 50, count(*), round(avg(h50 / size), 9), round(avg((h50 > 0)::INT), 9) FROM u""")
-def recall_at_k(spark, sf_dir, users=_cohort, towers=False):
-    every, _, positives = _lists(spark, sf_dir, users, towers)
+def recall_at_k(spark, sf_dir, towers=False):
+    every, positives = _lists(spark, sf_dir, towers)
     fused = recall.rrf(every, {"itemcf": 2.0, "two_tower": 1.0, "popularity": 2.0}, 100, 100)
     ranked = recall.ranked(fused, ["user_id"], [F.desc("rrf_score"), F.col("candidate_ad_id")])
     return rounded(metrics.recall_at(ranked, positives, (10, 50)), "recall", "hit_rate", digits=9)
@@ -367,8 +374,8 @@ def popularity_recall(spark, sf_dir):
 @query("source_overlap", f"""WITH {LISTS_SQL}, h AS (SELECT l.* FROM lists l JOIN positives p ON p.user_id = l.user_id AND p.product_id = l.candidate_ad_id),
 p AS (SELECT user_id, candidate_ad_id, list(source ORDER BY source) AS srcs FROM h GROUP BY ALL)
 SELECT s AS source, count(*) AS hits, count(*) FILTER (len(srcs) = 1) AS alone, count(*) FILTER (srcs[1] = s) AS incremental FROM p, unnest(srcs) AS x(s) GROUP BY 1""")
-def source_overlap(spark, sf_dir, users=_cohort, towers=False, sources=("itemcf", "popularity")):
-    every, _, positives = _lists(spark, sf_dir, users, towers)
+def source_overlap(spark, sf_dir, towers=False, sources=("itemcf", "popularity")):
+    every, positives = _lists(spark, sf_dir, towers)
     return metrics.source_overlap(every, positives, sources, 50)
 
 
@@ -421,10 +428,11 @@ def ndcg_at_k(spark, sf_dir):
     return rounded(metrics.ndcg_at(rows, "s", "y", (5, 10)), "ndcg", "recall", "hit_rate", digits=9)
 
 
-@query("score_deciles", f"""WITH {PREDICTIONS_SQL}, d AS (SELECT ntile(10) OVER (ORDER BY raw_pctr DESC, event_id)::INT AS decile, click, cost FROM predictions), s AS (SELECT decile, count(*) AS n, sum(click)::BIGINT AS labels, sum(cost) AS value FROM d GROUP BY 1)
-SELECT decile, n, labels, round(value, 6) AS value, round(sum(labels) OVER (ORDER BY decile) / sum(labels) OVER (), 9) AS captured FROM s""")
+@query("score_deciles", f"""WITH {PREDICTIONS_SQL}, d AS (SELECT ntile(10) OVER (ORDER BY raw_pctr DESC, event_id)::INT AS decile, click, raw_pctr, greatest(coalesce(cost, 0), 0) AS cost FROM predictions),
+s AS (SELECT decile, count(*) AS n, avg(raw_pctr) AS mean_score, sum(click)::BIGINT AS labels, sum(cost) AS value FROM d GROUP BY 1)
+SELECT decile, n, round(mean_score, 9) AS mean_score, labels, round(value, 6) AS value, round(sum(value) OVER (ORDER BY decile) / sum(value) OVER (), 9) AS captured FROM s""")
 def score_deciles(spark, sf_dir):
-    return rounded(rounded(metrics.deciles(predictions(spark, sf_dir), "raw_pctr", "click", "cost"), "value"), "captured", digits=9)
+    return rounded(rounded(metrics.deciles(predictions(spark, sf_dir), "raw_pctr", "click", "cost"), "value"), "captured", "mean_score", digits=9)
 
 
 @query("popularity_buckets", f"""WITH {SPLIT_SQL}, c AS (SELECT product_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, product_id) AS p, count(*) OVER () AS t FROM past GROUP BY 1)
@@ -444,7 +452,7 @@ _LOSS = "avg(-(click * ln(raw_pctr) + (1 - click) * ln(1 - raw_pctr))) AS log_lo
 @query("drift_report", f"""WITH {STRICT_SQL.replace(IMPRESSIONS_SQL, PREDICTIONS_SQL)}, a AS (SELECT {_LOSS} FROM predictions, bounds WHERE timestamp < start_0), b AS (SELECT {_LOSS} FROM predictions, bounds WHERE timestamp >= start_0),
 d AS (SELECT 'log_loss' AS metric, a.log_loss AS before, b.log_loss AS after FROM a, b UNION ALL SELECT 'brier', a.brier, b.brier FROM a, b)
 SELECT metric, round(before, 9) AS before, round(after, 9) AS after, round(after - before, 9) AS delta, round((after - before) / abs(before), 6) AS relative,
-  CASE WHEN abs((after - before) / before) <= 0.05 THEN 'stable' WHEN after < before THEN 'improved' WHEN abs((after - before) / before) <= 0.15 THEN 'moderate' ELSE 'large' END AS verdict FROM d""")
+  CASE WHEN after = before THEN 'stable' WHEN after < before THEN 'improved' WHEN (after - before) / before <= 0.05 THEN 'stable' WHEN (after - before) / before <= 0.15 THEN 'moderate' ELSE 'large' END AS verdict FROM d""")
 def drift_report(spark, sf_dir):
     rows = predictions(spark, sf_dir)
     bound = F.broadcast(windows.strict_boundaries(rows, "timestamp", [0.5]))
@@ -454,18 +462,17 @@ def drift_report(spark, sf_dir):
     return rounded(rounded(out, "before", "after", "delta", digits=9), "relative")
 
 
-# The queries whose SQL asks for COHORT users and two sources, for all users of both windows and, but for itemcf_topk, with
-# the lists of ALS factors as a third source; the SQL does not say this, so they have none.
+# The same with the lists of ALS factors as a third source, which SQL does not have.
 
 
-def _for_all(f, **more):
-    return lambda spark, sf_dir: f(spark, sf_dir, _everyone, **more)
+def _with_towers(f, **more):
+    return lambda spark, sf_dir: f(spark, sf_dir, towers=True, **more)
 
 
-query("itemcf_topk_all")(_for_all(itemcf_topk))
+query("itemcf_topk_all")(itemcf_topk)
 for _f in (rrf_fusion, fusion_sweep, coarse_training_rows, recall_at_k):
-    query(f"{_f.__name__}_all")(_for_all(_f, towers=True))
-query("source_overlap_all")(_for_all(source_overlap, towers=True, sources=recall.SOURCES))
+    query(f"{_f.__name__}_all")(_with_towers(_f))
+query("source_overlap_all")(_with_towers(source_overlap, sources=recall.SOURCES))
 
 
 # --- audits ---------------------------------------------------------------------------------------------------------
@@ -543,16 +550,18 @@ def exclusion_reasons(spark, sf_dir):
 # --- auctions -------------------------------------------------------------------------------------------------------
 
 
+def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.synthetic_auctions(auction.attribution_scores(predictions(spark, sf_dir)), 5)
+
+
 def _cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = auction.attribution_scores(predictions(spark, sf_dir))
-    grouped = number_rows(scored.withColumn("_h", stable_hash(F.lit(2026), F.col("event_id"))), ["_h", "event_id"]).withColumn("auction_id", F.floor(F.col("source_row_number") / 5).cast("long"))
-    rows = grouped.withColumns({"quality": F.col("score_pctr"), "bid": auction.target_cpa_bid(F.col("score_pctcvr"), 10.0)})
-    return auction.clear_auctions(rows, "quality", "bid")
+    rows = _grouped(spark, sf_dir).withColumns({"quality": F.col("score_pctr"), "bid": auction.target_cpa_bid(F.col("score_pctcvr"), 10.0)})
+    return auction.clear_auctions(rows, "quality", "bid").withColumn("policy", F.lit("target_cpa"))
 
 
 @query("auction_second_price", f"WITH {GROUPED_SQL} SELECT auction_id, winner, round(quality, 9) AS quality, round(winning_bid, 9) AS winning_bid, round(rank_score, 9) AS rank_score, round(second_price, 9) AS second_price FROM cleared")
 def auction_second_price(spark, sf_dir):
-    return rounded(_cleared(spark, sf_dir), "quality", "winning_bid", "rank_score", "second_price", digits=9)
+    return rounded(_cleared(spark, sf_dir).drop("policy"), "quality", "winning_bid", "rank_score", "second_price", digits=9)
 
 
 @query("attribution_scores", f"WITH {GROUPED_SQL} SELECT event_id, round(score_pctr, 9) AS score_pctr, round(score_pctcvr, 9) AS score_pctcvr, round(score_pcvr, 9) AS score_pcvr FROM scored")
@@ -561,39 +570,96 @@ def attribution_scores(spark, sf_dir):
     return rounded(out, "score_pctr", "score_pctcvr", "score_pcvr", digits=9)
 
 
-@query("policy_bids", f"""WITH {GROUPED_SQL}, q AS (SELECT quantile_cont(cost, 0.95) AS q FROM predictions) SELECT event_id, 2.0::DOUBLE AS bid_fixed, round(2 * score_pctr, 9) AS bid_ctr, round(2 * score_pctcvr, 9) AS bid_ctcvr, round(2 * least(greatest(cost / q, 0), 1), 9) AS bid_value FROM scored, q""")
+@query("policy_bids", f"""WITH {GROUPED_SQL}, q AS (SELECT quantile_cont(greatest(coalesce(cost, 0), 0), 0.95) AS q FROM predictions) SELECT event_id, 2.0::DOUBLE AS bid_fixed, round(2 * score_pctr, 9) AS bid_ctr, round(2 * score_pctcvr, 9) AS bid_ctcvr, round(2 * least(greatest(cost / q, 0), 1), 9) AS bid_value FROM scored, q""")
 def policy_bids(spark, sf_dir):
     out = auction.policy_bids(auction.attribution_scores(predictions(spark, sf_dir)), 2.0, "cost")
     return rounded(out.select("event_id", "bid_fixed", "bid_ctr", "bid_ctcvr", "bid_value"), "bid_ctr", "bid_ctcvr", "bid_value", digits=9)
 
 
-@query("budget_fold", f"""WITH RECURSIVE {GROUPED_SQL}, o AS MATERIALIZED (SELECT auction_id, second_price AS p, row_number() OVER (ORDER BY auction_id) AS i FROM cleared), b AS (SELECT 'target_cpa' AS policy, 20.0::DOUBLE AS budget),
-f AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS auction_id, 0 AS won, 0.0::DOUBLE AS payment, 0.0::DOUBLE AS total, budget FROM b
-  UNION ALL SELECT o.i, o.auction_id, (total + p <= budget + 1e-12)::INT, CASE WHEN total + p <= budget + 1e-12 THEN p ELSE 0 END, CASE WHEN total + p <= budget + 1e-12 THEN total + p ELSE total END, budget FROM f JOIN o ON o.i = f.i + 1)
+def _fold_sql(budgets: tuple[float, ...]) -> str:
+    return f"""RECURSIVE {GROUPED_SQL}, o AS MATERIALIZED (SELECT auction_id, second_price AS p, row_number() OVER (ORDER BY auction_id) AS i FROM cleared),
+b AS (SELECT * FROM (VALUES {', '.join(f'({x}::DOUBLE)' for x in budgets)}) AS v(budget)),
+f AS (
+  SELECT 0::BIGINT AS i, NULL::BIGINT AS auction_id, 0 AS won, 0.0::DOUBLE AS payment, 0.0::DOUBLE AS total, budget FROM b
+  UNION ALL
+  SELECT o.i, o.auction_id, (total + p <= budget + 1e-12)::INT, CASE WHEN total + p <= budget + 1e-12 THEN p ELSE 0 END, CASE WHEN total + p <= budget + 1e-12 THEN total + p ELSE total END, budget
+  FROM f JOIN o ON o.i = f.i + 1)"""
+
+
+_SUMMARY_SQL = """SELECT 'target_cpa' AS policy, budget, count(*) AS auctions, round(avg(won), 6) AS win_rate, round(max(total), 6) AS spend, round(min(i) FILTER (total >= budget * 0.99) / count(*), 6) AS exhausted_at,
+  round(max(total) / budget, 6) AS utilisation, coalesce(min(i) FILTER (total >= budget * 0.99) / count(*) < 0.9, false) AS exhausted_early FROM f WHERE i > 0 GROUP BY budget"""
+
+
+@query("budget_fold", f"""WITH {_fold_sql((20.0,))}
 SELECT 'target_cpa' AS policy, budget, auction_id, won, round(payment, 9) AS payment, round(total, 6) AS cumulative_spend, 1.0::DOUBLE AS pacing_multiplier FROM f WHERE i > 0""")
 def budget_fold(spark, sf_dir):
-    cleared = _cleared(spark, sf_dir).withColumn("policy", F.lit("target_cpa"))
-    out = auction.spend(cleared, spark.createDataFrame([(20.0,)], "budget double"))
-    return rounded(rounded(out, "payment", digits=9), "cumulative_spend")
+    return rounded(rounded(auction.spend(_cleared(spark, sf_dir), [20.0]), "payment", digits=9), "cumulative_spend")
+
 
+@query("spend_summary", f"WITH {_fold_sql((5.0, 20.0, 100000.0))} {_SUMMARY_SQL}")
+def spend_summary(spark, sf_dir):
+    curve = auction.spend(_cleared(spark, sf_dir), [5.0, 20.0, 100000.0])
+    return rounded(auction.spend_summary(curve), "win_rate", "spend", "exhausted_at", "utilisation")
 
-@query("feedback_pacing")
+
+@query("feedback_pacing", f"""WITH RECURSIVE {GROUPED_SQL}, o AS MATERIALIZED (SELECT auction_id, second_price AS p, row_number() OVER (ORDER BY auction_id) AS i, count(*) OVER () AS n FROM cleared),
+f AS (
+  SELECT 0::BIGINT AS i, 0 AS won, 0.0::DOUBLE AS total, 1.0::DOUBLE AS m, budget FROM (VALUES (20.0::DOUBLE), (60.0::DOUBLE)) AS v(budget)
+  UNION ALL
+  SELECT i, won, total, least(3.0::DOUBLE, greatest(0.1::DOUBLE, m * pow((i::DOUBLE / n) / greatest(total / budget, 1e-12::DOUBLE), 0.1::DOUBLE))), budget
+  FROM (SELECT o.i, o.n, (total + p * m <= budget + 1e-12)::INT AS won, CASE WHEN total + p * m <= budget + 1e-12 THEN total + p * m ELSE total END AS total, m, budget FROM f JOIN o ON o.i = f.i + 1))
+{_SUMMARY_SQL}""")
 def feedback_pacing(spark, sf_dir):
-    cleared = _cleared(spark, sf_dir).withColumn("policy", F.lit("target_cpa"))
-    curve = auction.spend(cleared, spark.createDataFrame([(20.0,), (60.0,)], "budget double"), pacing=(0.1, 3.0, 0.1))
+    curve = auction.spend(_cleared(spark, sf_dir), [20.0, 60.0], pacing=(0.1, 3.0, 0.1))
     return rounded(auction.spend_summary(curve), "win_rate", "spend", "exhausted_at", "utilisation")
 
 
-@query("spend_trajectory")
+@query("static_pacing", f"""WITH RECURSIVE {GROUPED_SQL}, o AS MATERIALIZED (SELECT auction_id, second_price AS p, row_number() OVER (ORDER BY auction_id) AS i, count(*) OVER () AS n FROM cleared),
+f AS (
+  SELECT 0::BIGINT AS i, NULL::BIGINT AS auction_id, 0.0::DOUBLE AS total, 1.0::DOUBLE AS m
+  UNION ALL
+  SELECT i, auction_id, total + p * m, m FROM (SELECT o.i, o.auction_id, o.p, total, least(3.0::DOUBLE, greatest(0.5::DOUBLE, 20.0::DOUBLE * o.i / o.n / greatest(total, 1e-12::DOUBLE))) AS m FROM f JOIN o ON o.i = f.i + 1))
+SELECT auction_id, round(m, 6) AS pacing_multiplier, round(total, 6) AS cumulative_spend FROM f WHERE i > 0""")
+def static_pacing(spark, sf_dir):
+    out = auction.static_pacing(_cleared(spark, sf_dir), [20.0], 0.5, 3.0)
+    return rounded(out.select("auction_id", "pacing_multiplier", "cumulative_spend"), "pacing_multiplier", "cumulative_spend")
+
+
+@query("spend_trajectory", f"""WITH {_fold_sql((60.0,))}, t AS (SELECT count(*) AS n, sum(won) AS w FROM f WHERE i > 0), e AS (SELECT bucket::INT AS bucket, ceil(n * bucket / 10)::BIGINT AS last, n, w FROM t, range(1, 11) AS r(bucket)),
+s AS (SELECT budget, bucket, any_value(last / n) AS horizon, max(total) / budget AS spent, sum(won) / any_value(greatest(w, 1)) AS impressions, greatest(budget - max(total), 0) / budget AS remaining FROM f, e WHERE i > 0 AND i <= last GROUP BY budget, bucket)
+SELECT 'target_cpa' AS policy, budget, bucket, round(horizon, 6) AS horizon, round(spent, 6) AS spent, round(impressions, 6) AS impressions, round(remaining, 6) AS remaining, round(avg(abs(spent - horizon)) OVER (PARTITION BY budget), 6) AS smoothness FROM s""")
 def spend_trajectory(spark, sf_dir):
-    cleared = _cleared(spark, sf_dir).withColumn("policy", F.lit("target_cpa"))
-    return rounded(auction.spend_trajectory(auction.spend(cleared, spark.createDataFrame([(60.0,)], "budget double"))), "cumulative_spend")
+    out = auction.spend_trajectory(auction.spend(_cleared(spark, sf_dir), [60.0]))
+    return rounded(out, "horizon", "spent", "impressions", "remaining", "smoothness")
+
+
+@query("policy_evaluation", f"""WITH {_fold_sql((5.0, 20.0))},
+w AS (SELECT f.budget, f.payment, p.click, p.conversion, p.cost FROM f JOIN cleared c ON c.auction_id = f.auction_id JOIN predictions p ON p.event_id = c.winner WHERE won = 1),
+m AS (SELECT budget, count(*) AS impressions, round(avg(click), 6) AS click_rate, round(avg(conversion), 6) AS conversion_rate, round(sum(payment) / nullif(sum(conversion), 0), 6) AS cpa, round(sum(cost), 4) AS observed_cost FROM w GROUP BY 1)
+SELECT * FROM ({_SUMMARY_SQL}) JOIN m USING (budget)""")
+def policy_evaluation(spark, sf_dir):
+    cleared = _cleared(spark, sf_dir)
+    out = auction.won_metrics(auction.spend(cleared, [5.0, 20.0]), cleared, predictions(spark, sf_dir))
+    return rounded(rounded(out, "win_rate", "spend", "exhausted_at", "utilisation", "click_rate", "conversion_rate", "cpa"), "observed_cost", digits=4)
 
 
 _SELECTED = {"price": "product_price", "clicks": "clicks_last_7d", "value": "product_price * clicks_last_7d"}
+_FRACTIONS = (0.1, 0.25, 0.5, 0.75, 1.0)
+
+
+def _selection_sql() -> str:
+    orders = {"random_baseline": f"{_HASH.format("'2026' || chr(31) || event_id")}, event_id", **{p: f"round({e}, 9) DESC, event_id" for p, e in _SELECTED.items()}}
+    ranks = " UNION ALL ".join(f"SELECT '{p}' AS policy, conversion_label AS y, greatest(coalesce(conversion_value_eur, 0), 0) AS v, row_number() OVER (ORDER BY {o}) AS r FROM interactions" for p, o in orders.items())
+    return f"""WITH {INTERACTIONS_SQL}, t AS (SELECT count(*) AS n, sum(conversion_label) AS c, sum(greatest(coalesce(conversion_value_eur, 0), 0)) AS total FROM interactions),
+r AS ({ranks}), k AS (SELECT * FROM (VALUES {', '.join(f'({f}::DOUBLE)' for f in _FRACTIONS)}) AS v(fraction)),
+s AS (SELECT policy, fraction, count(*) AS selected, sum(y)::BIGINT AS conversions, sum(v) AS value, any_value(c) AS c, any_value(total) AS total FROM r, t, k WHERE r <= ceil(n * fraction) GROUP BY ALL),
+x AS (SELECT *, max(value / selected) FILTER (policy = 'random_baseline') OVER (PARTITION BY fraction) AS b, max(value / total) FILTER (policy = 'random_baseline') OVER (PARTITION BY fraction) AS d FROM s)
+SELECT policy, fraction, selected, conversions, round(conversions / selected, 9) AS conversion_rate, round(value, 4) AS value, round(value / selected, 6) AS value_per_click, round(value / total, 9) AS value_capture,
+  round(conversions / c, 9) AS conversion_capture, round(value / selected / b, 9) AS value_lift, round(value / total / d, 9) AS capture_lift FROM x"""
 
 
-@query("search_selection", f"WITH {INTERACTIONS_SQL}, t AS (SELECT count(*) AS n, sum(conversion_label) AS c FROM interactions), " + ", ".join(f"r_{p} AS (SELECT *, row_number() OVER (ORDER BY round({e}, 9) DESC, event_id) AS r FROM interactions)" for p, e in _SELECTED.items()) + " " + " UNION ALL ".join(f"SELECT '{p}' AS policy, {f}::DOUBLE AS fraction, count(*) AS selected, sum(conversion_label)::BIGINT AS conversions, round(sum(coalesce(conversion_value_eur, 0)), 4) AS value, round(sum(conversion_label) / any_value(c), 9) AS capture, round((sum(conversion_label) / count(*)) / (any_value(c) / any_value(n)), 9) AS lift FROM r_{p}, t WHERE r <= ceil(n * {f}::DOUBLE)" for p in _SELECTED for f in (0.1, 0.25)))
+@query("search_selection", _selection_sql())
 def search_selection(spark, sf_dir):
     policies = {p: F.expr(e) for p, e in _SELECTED.items()}
-    return rounded(rounded(auction.selection(interactions(spark, sf_dir), policies, (0.1, 0.25)), "value", digits=4), "capture", "lift", digits=9)
+    out = rounded(auction.selection(interactions(spark, sf_dir), policies, _FRACTIONS), "value", digits=4)
+    return rounded(rounded(out, "value_per_click"), "conversion_rate", "value_capture", "conversion_capture", "value_lift", "capture_lift", digits=9)

@@ -58,8 +58,9 @@ def require_columns(df: DataFrame, columns: list[str]) -> None:
 
 
 def write_table(df: DataFrame, path: str, columns: list[str] | None = None, overwrite: bool = False, partition_by: list[str] | None = None) -> None:
-    """Write Parquet; a table that exists is an error unless overwrite is set, and columns must match if given."""
-    if columns is not None and sorted(df.columns) != sorted(columns):
+    """Write Parquet; a table that exists is an error unless overwrite is set, and columns must match in
+    name and order if given."""
+    if columns is not None and df.columns != columns:
         raise ValueError(f"expected columns {columns}, got {df.columns}")
     writer = df.select(*(columns or df.columns)).write.mode("overwrite" if overwrite else "errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
@@ -84,14 +85,25 @@ def before_cutoff(df: DataFrame, path: str, as_of: int, cutoff: int, timestamp:
     return df.where(F.col(timestamp) <= cutoff)
 
 
+#: Rows of a report. A larger table is an error, never cut: it is no report, and write_table is for it.
+REPORTED = 10_000
+
+
+def _small(df: DataFrame) -> list:
+    rows = df.limit(REPORTED + 1).collect()
+    if len(rows) > REPORTED:
+        raise ValueError(f"more than {REPORTED} rows for a report")
+    return rows
+
+
 def report(df: DataFrame) -> str:
-    """A small table of results as JSON."""
-    rows: list[dict[str, Any]] = [r.asDict(recursive=True) for r in df.limit(10_000).collect()]
+    """A table of results, of REPORTED rows at most, as JSON."""
+    rows: list[dict[str, Any]] = [r.asDict(recursive=True) for r in _small(df)]
     return json.dumps(rows, indent=2, sort_keys=True, default=str)
 
 
 def markdown(df: DataFrame) -> str:
-    """A small table of results as Markdown."""
-    rows = df.limit(10_000).collect()
+    """A table of results, of REPORTED rows at most, as Markdown."""
+    rows = _small(df)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join("n/a" if v is None else str(v) for v in r) + " |" for r in rows])

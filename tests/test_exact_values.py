@@ -1,12 +1,13 @@
 """Exact expectations on small tables."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from adspark.functions.expressions import blake_hash, weekday_monday0, weekday_sunday0, weekday_thursday0
-from adspark.operators import auction, audit, features, metrics, models, normalize, profile, recall, sampling, windows
+from adspark.operators import auction, audit, features, metrics, models, normalize, ordering, profile, recall, sampling, windows
 from adspark.plans import funnel
 from adspark.sources import delimited
 
@@ -69,50 +70,54 @@ def test_weekday_conventions(spark):
 
 
 def test_itemcf_order(spark):
-    data = [("u1", "a", "click"), ("u1", "b", "conversion"), ("u2", "a", "click"), ("u2", "c", "click"), ("u3", "b", "click"), ("u3", "d", "click")]
+    data = [("m", "s", "click"), ("m", "t", "conversion"), ("n", "s", "click"), ("n", "v", "conversion"), ("o", "t", "click"), ("o", "w", "click")]
     df = spark.createDataFrame(data, "user_id string, product_id string, label string")
-    pairs = recall.weighted_pairs(df, recall.label_weight("label", {"click": 1, "conversion": 2}))
-    found = recall.itemcf(pairs, spark.createDataFrame([("u1",)], "user_id string"), 10)
-    assert [(r[1], r[3]) for r in rows(found, "rank")] == [("d", 1), ("c", 2)]
+    pairs = recall.weighted_pairs(df, recall.label_weight("label", {"click": 1, "conversion": 4}))
+    found = rows(recall.itemcf(pairs, spark.createDataFrame([("m",)], "user_id string"), 10), "rank")
+    # w: 4 * (1 * 1) / (sqrt(17) * 1); v: 1 * (1 * 4) / (sqrt(2) * 4)
+    assert [(r[1], r[3]) for r in found] == [("w", 1), ("v", 2)]
+    assert [r[2] for r in found] == pytest.approx([4 / 17**0.5, 1 / 2**0.5])
 
 
 def test_popularity_ties(spark):
-    df = spark.createDataFrame([("u1", "a", 0), ("u2", "a", 1), ("u3", "b", 1), ("u4", "b", 0)], "user_id string, product_id string, conversion_label int")
-    assert rows(recall.popularity(df, 5), "rank") == [("a", 4.0, 1), ("b", 4.0, 2)]
+    data = [("m", "k1", 0), ("n", "k1", 1), *((f"u{i}", "k2", 0) for i in range(4)), ("o", "k0", 0)]
+    df = spark.createDataFrame(data, "user_id string, product_id string, conversion_label int")
+    assert rows(recall.popularity(df, 5), "rank") == [("k1", 4.0, 1), ("k2", 4.0, 2), ("k0", 1.0, 3)]
 
 
 def test_rrf_formula_dedup_and_quota(spark):
-    item = spark.createDataFrame([("u1", "a", 1), ("u1", "b", 2), ("u2", "z", 1)], "user_id string, candidate_ad_id string, rank int")
-    tower = spark.createDataFrame([("u1", "a", 2), ("u1", "c", 1)], "user_id string, candidate_ad_id string, rank int")
-    top = spark.createDataFrame([("a", 4.0, 1), ("d", 3.0, 2)], "candidate_ad_id string, popularity_score double, rank int")
+    item = spark.createDataFrame([("m", "s", 1), ("m", "t", 3), ("n", "y", 2)], "user_id string, candidate_ad_id string, rank int")
+    tower = spark.createDataFrame([("m", "t", 1), ("m", "t", 5), ("m", "w", 2)], "user_id string, candidate_ad_id string, rank int")
+    top = spark.createDataFrame([("t", 9.0, 1), ("q", 2.0, 2)], "candidate_ad_id string, popularity_score double, rank int")
     every = recall.personalised({"itemcf": item, "two_tower": tower}, top)
-    got = {(r[0], r[1]): r for r in rows(recall.rrf(every, {"itemcf": 1, "two_tower": 1, "popularity": 0.5}, 60, 10))}
-    assert got["u1", "a"][2] == pytest.approx(1 / 61 + 1 / 62 + 0.5 / 61) and got["u1", "a"][3] == 3
-    assert got["u1", "c"][2] == pytest.approx(1 / 61)
-    two = recall.rrf(every, {"itemcf": 1, "two_tower": 1, "popularity": 0.5}, 60, 2)
-    assert {r[1] for r in rows(two) if r[0] == "u1"} == {"a", "c"}
-    quota = recall.rrf_with_quotas(every, {"itemcf": 1, "two_tower": 1, "popularity": 0.5}, {"popularity": 2}, 60, 2)
-    assert {r[1] for r in rows(quota) if r[0] == "u1"} == {"a", "d"}
+    weights = {"itemcf": 2, "two_tower": 1, "popularity": 1}
+    got = {(r[0], r[1]): r for r in rows(recall.rrf(every, weights, 10, 10))}
+    assert got["m", "t"][2] == pytest.approx(2 / 13 + 1 / 11 + 1 / 11) and got["m", "t"][3] == 3
+    assert got["m", "w"][2] == pytest.approx(1 / 12) and got["n", "q"][3] == 1
+    assert {r[1] for r in rows(recall.rrf(every, weights, 10, 2)) if r[0] == "m"} == {"s", "t"}
+    quota = recall.rrf_with_quotas(every, weights, {"popularity": 2}, 10, 2)
+    assert {r[1] for r in rows(quota) if r[0] == "m"} == {"q", "t"}
 
 
 def test_recall_counts_users_without_candidates(spark):
-    cands = spark.createDataFrame([("u1", "c", 1), ("u1", "x", 2), ("u1", "d", 3)], "user_id string, candidate_ad_id string, rank int")
-    pos = spark.createDataFrame([("u1", "c"), ("u1", "d")], "user_id string, product_id string")
-    assert [(r[0], r[2]) for r in rows(metrics.recall_at(cands, pos, (1, 3)), "cutoff")] == [(1, 0.5), (3, 1.0)]
-    more = pos.union(spark.createDataFrame([("u2", "c")], pos.schema))
-    assert rows(metrics.recall_at(cands, more, (3,)))[0][2] == 0.5
+    cands = spark.createDataFrame([("m", c, i + 1) for i, c in enumerate("klno")], "user_id string, candidate_ad_id string, rank int")
+    pos = spark.createDataFrame([("m", c) for c in "loz"], "user_id string, product_id string")
+    assert [(r[0], r[2]) for r in rows(metrics.recall_at(cands, pos, (2, 4)), "cutoff")] == [(2, pytest.approx(1 / 3)), (4, pytest.approx(2 / 3))]
+    more = pos.union(spark.createDataFrame([("n", "k")], pos.schema))
+    assert rows(metrics.recall_at(cands, more, (4,)))[0][2] == pytest.approx(1 / 3)
 
 
 def test_reciprocal_rank(spark):
-    cands = spark.createDataFrame([("u1", "a", 1), ("u1", "x", 2), ("u2", "x", 1), ("u2", "b", 2)], "user_id string, candidate_ad_id string, rank int")
-    pos = spark.createDataFrame([("u1", "a"), ("u1", "z"), ("u2", "b")], "user_id string, product_id string")
-    assert metrics.reciprocal_rank(cands, pos, 100).first()["mrr"] == 0.75
+    cands = spark.createDataFrame([("m", "x", 1), ("m", "a", 2)] + [("n", c, i + 1) for i, c in enumerate("xyzb")], "user_id string, candidate_ad_id string, rank int")
+    pos = spark.createDataFrame([("m", "a"), ("n", "b"), ("o", "a")], "user_id string, product_id string")
+    assert metrics.reciprocal_rank(cands, pos, 100).first()["mrr"] == pytest.approx((1 / 2 + 1 / 4 + 0) / 3)
 
 
 def test_calibration_points(spark):
-    df = spark.createDataFrame([(0, 0.25), (1, 0.75)], "y int, p double")
-    assert metrics.probability_losses(df, "y", "p").first()["brier"] == pytest.approx(0.0625)
-    assert metrics.expected_calibration_error(metrics.reliability(df, "y", "p", 2)).first()["ece"] == pytest.approx(0.25)
+    df = spark.createDataFrame([(0, 0.1), (1, 0.9), (1, 0.4)], "y int, p double")
+    assert metrics.probability_losses(df, "y", "p").first()["brier"] == pytest.approx((0.01 + 0.01 + 0.36) / 3)
+    # bins 0.1 and 0.4 (mean 0.25, rate 0.5) and 0.9 (rate 1)
+    assert metrics.expected_calibration_error(metrics.reliability(df, "y", "p", 2)).first()["ece"] == pytest.approx((2 * 0.25 + 0.1) / 3)
 
 
 def test_single_class_has_no_auc(spark):
@@ -137,17 +142,90 @@ def test_serving_ratio(spark):
 
 
 def test_prices_and_budget(spark):
-    df = spark.createDataFrame([(0, 1, 1.0, 5.0), (0, 2, 1.0, 3.0)], "auction_id long, event_id long, quality double, bid double")
+    df = spark.createDataFrame([(7, 1, 0.5, 8.0), (7, 2, 1.0, 3.0), (7, 3, 0.2, 10.0)], "auction_id long, event_id long, quality double, bid double")
     won = auction.clear_auctions(df, "quality", "bid")
-    assert [(r["winning_bid"], r["second_price"]) for r in won.collect()] == [(5.0, 3.0)]
-    spent = auction.spend(won.withColumn("policy", F.lit("p")), spark.createDataFrame([(4.0,)], "budget double"), price="winning_bid")
+    assert [(r["winner"], r["winning_bid"], r["second_price"]) for r in won.collect()] == [(1, 8.0, 6.0)]
+    spent = auction.spend(won.withColumn("policy", F.lit("p")), [7.0], price="winning_bid")
     assert [(r["won"], r["payment"]) for r in spent.collect()] == [(0, 0.0)]
 
 
 def test_cheaper_auctions_win_after_a_lost_one(spark):
-    cleared = spark.createDataFrame([("p", 0, 3.0), ("p", 1, 5.0), ("p", 2, 1.0)], "policy string, auction_id long, second_price double")
-    got = rows(auction.spend(cleared, spark.createDataFrame([(4.0,)], "budget double")).select("won", "cumulative_spend", "auction_id"), "auction_id")
-    assert [g[:2] for g in got] == [(1, 3.0), (0, 3.0), (1, 4.0)]
+    cleared = spark.createDataFrame([("p", 0, 2.5), ("p", 1, 4.0), ("p", 2, 1.25)], "policy string, auction_id long, second_price double")
+    got = rows(auction.spend(cleared, [4.0]).select("won", "cumulative_spend", "auction_id"), "auction_id")
+    assert [g[:2] for g in got] == [(1, 2.5), (0, 2.5), (1, 3.75)]
+
+
+@pytest.mark.parametrize("folded", [7, 1 << 18])
+def test_spend_is_the_fold(spark, monkeypatch, folded):
+    monkeypatch.setattr(auction, "FOLDED", folded)
+    rng = random.Random(3)
+    prices = [rng.choice([0.0, 0.25, 1.0, 3.0, 8.0]) for _ in range(120)]
+    cleared = spark.createDataFrame([("p", i, x) for i, x in enumerate(prices)] + [("q", 500 + i, 1.0) for i in range(3)], "policy string, auction_id long, second_price double")
+    for budget in (0.0, 2.0, 40.0, 1000.0):
+        total, want = 0.0, []
+        for p in prices:
+            ok = total + p <= budget + auction.EPSILON
+            total += p if ok else 0
+            want.append((int(ok), total))
+        got = rows(auction.spend(cleared, [budget]).where("policy = 'p'").select("auction_id", "won", "cumulative_spend"), "auction_id")
+        assert [g[1:] for g in got] == want, budget
+    now, total, want = 1.0, 0.0, []
+    for i, p in enumerate(prices):
+        ok = total + p * now <= 20 + auction.EPSILON
+        total += p * now if ok else 0
+        want.append((int(ok), total, now))
+        now = min(3.0, max(0.1, now * ((i + 1) / 120 / max(total / 20, 1e-12)) ** 0.1))
+    paced = auction.spend(cleared, [20.0], pacing=(0.1, 3.0, 0.1)).where("policy = 'p'")
+    got = [g[1:] for g in rows(paced.select("auction_id", "won", "cumulative_spend", "pacing_multiplier"), "auction_id")]
+    assert len(got) == len(want) and all(g == pytest.approx(w) for g, w in zip(got, want, strict=True))
+
+
+def test_static_pacing_follows_the_line(spark):
+    cleared = spark.createDataFrame([("p", i, 2.0) for i in range(3)], "policy string, auction_id long, second_price double")
+    got = rows(auction.static_pacing(cleared, [6.0], 0.5, 1.25).select("auction_id", "pacing_multiplier"), "auction_id")
+    # nothing spent: the upper bound; then 4 / 2.5 over the bound again; then 6 / 5
+    assert [g[1] for g in got] == pytest.approx([1.25, 1.25, 1.2])
+
+
+def test_exhaustion_and_trajectory(spark):
+    prices = [10.0] * 9 + [9.5] + [5.0] * 5
+    cleared = spark.createDataFrame([("p", i, x) for i, x in enumerate(prices)], "policy string, auction_id long, second_price double")
+    curve = auction.spend(cleared, [100.0])
+    r = auction.spend_summary(curve).first()  # 90 after nine, 99.5 after ten: 0.99 of the budget is reached there
+    assert r["exhausted_at"] == pytest.approx(10 / 15) and r["exhausted_early"] and r["spend"] == 99.5
+    t = auction.spend_trajectory(curve, 10).orderBy("bucket").collect()  # ends at ceil(1.5 b): 2, 3, 5, 6, 8, 9, 11, 12, 14, 15
+    assert [x["horizon"] for x in t] == pytest.approx([k / 15 for k in (2, 3, 5, 6, 8, 9, 11, 12, 14, 15)])
+    spent = [0.2, 0.3, 0.5, 0.6, 0.8, 0.9, 0.995, 0.995, 0.995, 0.995]
+    assert [x["spent"] for x in t] == pytest.approx(spent) and [x["remaining"] for x in t] == pytest.approx([1 - x for x in spent])
+    assert t[0]["impressions"] == pytest.approx(2 / 10) and t[0]["smoothness"] == pytest.approx(sum(abs(x["spent"] - x["horizon"]) for x in t) / 10)
+    few = auction.spend_trajectory(curve.where("auction_id < 3"), 10).orderBy("bucket").collect()
+    assert [x["horizon"] for x in few] == pytest.approx([1 / 3] * 3 + [2 / 3] * 3 + [1] * 4)
+
+
+def test_drift_verdicts(spark):
+    a = spark.createDataFrame([(0.5, 0.5, 0.5, 0.5, 0.0)], "log_loss double, brier double, roc_auc double, ece double, mae double")
+    b = spark.createDataFrame([(0.485, 0.52, 0.44, 0.7, 0.1)], a.schema)
+    got = {r["metric"]: r["verdict"] for r in metrics.drift(a, b).collect()}
+    assert got == {"log_loss": "improved", "brier": "stable", "roc_auc": "moderate", "ece": "large", "mae": "n/a"}
+
+
+def test_places_and_quantiles(spark):
+    df = spark.createDataFrame([(i, float(i * 7 % 10)) for i in range(100)] + [(100, None)], "k long, v double").repartition(7)
+    got = [(r["v"], r["k"]) for r in ordering.numbered(df, [F.col("v").desc(), F.col("k")], "at").orderBy("at").collect()]
+    assert got == sorted(got, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    sums = ordering.running(df.where("v IS NOT NULL"), [F.col("v"), F.col("k")], {"upto": "v"}).orderBy("v", "k").collect()
+    assert [r["upto"] for r in sums] == pytest.approx([sum(r["v"] for r in sums[: i + 1]) for i in range(len(sums))])
+    q = {r["level"]: r["value"] for r in ordering.exact_quantiles(df, "v", (0.0, 0.25, 0.5, 0.95, 1.0)).collect()}
+    want = df.where("v IS NOT NULL").selectExpr("percentile(v, array(0.0, 0.25, 0.5, 0.95, 1.0)) AS q").first()["q"]
+    assert [q[x] for x in (0.0, 0.25, 0.5, 0.95, 1.0)] == pytest.approx(want)
+
+
+def test_reports_are_never_cut(spark, monkeypatch):
+    monkeypatch.setattr(delimited, "REPORTED", 3)
+    assert "| 2 |" in delimited.markdown(spark.range(3)) and '"id": 2' in delimited.report(spark.range(3))
+    for f in (delimited.markdown, delimited.report):
+        with pytest.raises(ValueError, match="more than 3"):
+            f(spark.range(4))
 
 
 def test_feedback_moves_against_the_lead():
@@ -173,6 +251,8 @@ def test_negative_samples_are_deterministic(spark):
 def test_leakage_guards():
     with pytest.raises(ValueError):
         features.assert_no_leakage(["product_price", "conversion_label"])
+    with pytest.raises(ValueError):
+        features.assert_no_leakage(["future_clicks"])
     with pytest.raises(ValueError):
         windows.refuse_later_window("/data/future-b/part-0")
     with pytest.raises(ValueError):

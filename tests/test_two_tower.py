@@ -33,4 +33,4 @@ def test_fused_lists_have_the_source(spark):
     by = defaultdict(list)
     for r in queries.QUERIES["fusion_sweep_all"](spark, DATA).collect():
         by[r["variant"]].append((r["cutoff"], r["recall"]))
-    assert any(sorted(by[f"k{k}_default"]) != sorted(by[f"k{k}_two_tower"]) for k in (10, 30, 60, 100))
+    assert any(sorted(by[f"rrf_k{k}_i2_t1_p2"]) != sorted(by[f"rrf_k{k}_i1_t2_p2"]) for k in (10, 30, 60, 100))
