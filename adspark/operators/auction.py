@@ -111,6 +111,15 @@ def budget_phases(rows: DataFrame, budget: float) -> tuple[list[tuple[int, int,
         at, left = first["place"] + 1, left - before - first["s"]
 
 
+def won_places(rows: DataFrame, phases: list[tuple[int, int, float]], places: list[int]) -> DataFrame:
+    """rows with won, by what budget_phases gave."""
+    fits = F.lit(False)
+    for first, last, left in phases:
+        fits = fits | (F.col("place").between(first, last - 1) & (F.col("price") <= left + EPSILON))
+    late = rows.sparkSession.createDataFrame([(p,) for p in places], "place long").withColumn("_late", F.lit(1))
+    return rows.join(F.broadcast(late), "place", "left").withColumn("won", (fits | F.col("_late").isNotNull()).cast("int")).drop("_late")
+
+
 def spend(cleared: DataFrame, budgets: list[float], price: str = "second_price", pacing: tuple[float, float, float] | None = None) -> DataFrame:
     """(policy, budget, auction_id, won, payment, cumulative_spend, pacing_multiplier). Auctions are taken in order; one
     whose price exceeds what is left of the budget is lost and costs nothing, and later, cheaper ones may still be won.
@@ -123,12 +132,7 @@ def spend(cleared: DataFrame, budgets: list[float], price: str = "second_price",
     for policy in [r["policy"] for r in rows.select("policy").distinct().orderBy("policy").collect()]:  # few by definition
         mine = rows.where(F.col("policy") == policy)
         for budget in budgets:
-            phases, places = budget_phases(mine, budget)
-            fits = F.lit(False)
-            for first, last, left in phases:
-                fits = fits | (F.col("place").between(first, last - 1) & (F.col("price") <= left + EPSILON))
-            late = rows.sparkSession.createDataFrame([(p,) for p in places], "place long").withColumn("_late", F.lit(1))
-            won = mine.join(F.broadcast(late), "place", "left").withColumn("won", (fits | F.col("_late").isNotNull()).cast("int"))
+            won = won_places(mine, *budget_phases(mine, budget))
             won = won.withColumns({"budget": F.lit(float(budget)), "payment": F.when(F.col("won") == 1, F.col("price")).otherwise(0.0)})
             summed = running(won, [F.col("place")], {"cumulative_spend": "payment"}, dealt_before=True)
             one = summed.select("policy", "budget", "auction_id", "won", "payment", "cumulative_spend", F.lit(1.0).alias("pacing_multiplier"))

@@ -13,7 +13,10 @@ FORBIDDEN = frozenset({"conversion_label", "conversion_value_eur", "conversion_d
 #: Fixed value: what the names of columns made from a later window begin with.
 FORBIDDEN_PREFIX = "future_"
 #: Buckets of the hashed features of the fine ranker.
-FINE_BUCKETS = {"user_id": 1 << 18, "candidate_ad_id": 1 << 18, "product_brand": 1 << 16, "product_category_1": 1 << 12, "device_type": 64}
+FINE_BUCKETS = {
+    "user_id": 1_000_003, "product_id": 1_000_003, "product_age_group": 10_007, "device_type": 10_007, "product_gender": 10_007,
+    "product_brand": 100_003, "product_category_1": 100_003, "product_category_2": 100_003, "product_category_3": 100_003, "product_country": 10_007,
+}
 
 
 def assert_no_leakage(columns: list[str], forbidden: frozenset[str] = FORBIDDEN) -> None:
@@ -66,11 +69,13 @@ def fine_features(df: DataFrame, buckets: dict[str, int] | None = None, seed: in
         "source_count": positive_log(number("source_count")),
         "inverse_coarse_rank": bounded(clip(1 / F.greatest(number("rank"), F.lit(1.0)), 0.0, 1.0)),
         "product_price": positive_log(number("product_price")) / 5,
+        "log_product_price": positive_log(number("product_price")),
         "clicks_last_7d": positive_log(number("clicks_last_7d")) / 5,
+        "log_clicks_last_7d": positive_log(number("clicks_last_7d")),
         "click_hour_utc": bounded(hour_utc(ts) / 23),
         "click_day_of_week_utc": bounded(weekday_thursday0(ts) / 6),
         "product_price_missing": flag("product_price"),
-        "clicks_missing": flag("clicks_last_7d"),
+        "clicks_last_7d_missing": flag("clicks_last_7d"),
         "timestamp_missing": flag("click_timestamp"),
     }
     sparse = {}
@@ -89,6 +94,19 @@ def fine_features(df: DataFrame, buckets: dict[str, int] | None = None, seed: in
     )
 
 
+def esmm_features(df: DataFrame, fit_on: DataFrame, categories: dict[str, int], number: str) -> DataFrame:
+    """Encoded impressions: hashed categories, the standardised log1p of a number that is not negative (0 where it is missing or
+    negative) with a flag for that, and the labels; click_and_conversion must be the product of click and conversion."""
+    valid = F.coalesce(F.col(number) >= 0, F.lit(False))
+    log = F.when(valid, F.log1p(F.col(number).cast("double")))
+    moments = F.broadcast(fit_on.agg(F.avg(log).alias("_m"), F.greatest(F.stddev_pop(log), F.lit(1e-6)).alias("_s")))  # one row
+    both = F.col("click") * F.col("conversion")
+    checked = F.when(F.col("click_and_conversion") == both, both).otherwise(F.raise_error(F.lit("click_and_conversion must be click and conversion")).cast("int"))
+    hashed = [(stable_hash(F.coalesce(F.col(c).cast("string"), F.lit(MISSING))) % n).alias(f"sparse__{c}") for c, n in categories.items()]
+    scaled = F.coalesce((log - F.col("_m")) / F.col("_s"), F.lit(0.0))
+    return df.crossJoin(moments).select("event_id", *hashed, scaled.alias(f"dense__{number}"), (~valid).cast("int").alias(f"dense__{number}_missing"), "click", "conversion", checked.alias("click_and_conversion"))
+
+
 def z_scores(df: DataFrame, fit_on: DataFrame, columns: list[str]) -> DataFrame:
     """Columns z_<c>, standardised by population moments of fit_on with a deviation of at least 1e-6."""
     moments = fit_on.agg(*(f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))))

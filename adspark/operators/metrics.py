@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adspark.functions.expressions import clip, safe_divide
-from adspark.operators.ordering import numbered, running
+from adspark.operators.ordering import exact_quantiles, numbered, running
 
 
 def recall_at(candidates: DataFrame, positives: DataFrame, cutoffs: tuple[int, ...]) -> DataFrame:
@@ -157,5 +157,17 @@ def serving_consistency(df: DataFrame, epsilon: float = 1e-7) -> DataFrame:
     return df.agg(F.max(error).alias("max_error"), F.avg(error).alias("mean_error"), F.avg((ratio > 1).cast("double")).alias("clipped_fraction"))
 
 
+def output_diagnostics(ranked: DataFrame, levels: tuple[float, float] = (0.9, 0.99)) -> DataFrame:
+    """One row on ranked predictions: rows, those with a pCVR above each level, its median, the 99 % quantile of the expected
+    value, first places and those of them above it."""
+    quantile = lambda c, q, name: F.broadcast(exact_quantiles(ranked, c, (q,)).select(F.col("value").alias(name)))
+    rows = ranked.crossJoin(quantile("pCVR", 0.5, "median_pcvr")).crossJoin(quantile("expected_value_score", 0.99, "value_p99"))  # single rows
+    first = F.col("rank") == 1
+    return rows.groupBy("median_pcvr", "value_p99").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("pCVR") > levels[0]).alias("high"), F.count_if(F.col("pCVR") > levels[1]).alias("very_high"),
+        F.count_if(first).alias("firsts"), F.count_if(first & (F.col("expected_value_score") > F.col("value_p99"))).alias("firsts_above"),
+    )
+
+
 def share_of(column: Column) -> Column:
     return F.avg(column.cast("double"))

@@ -54,9 +54,11 @@ def numbered_by_hash(df: DataFrame, hashed: Column, key: str, out: str = "source
     return placed.withColumn(out, (F.col(out) - 1).cast("long")).drop("_h", "_part")
 
 
-def exact_quantiles(df: DataFrame, value: str, levels: tuple[float, ...]) -> DataFrame:
-    """(level, value): quantiles of the non-null values, linear between order statistics. Values are counted first, and as many
-    rows are ordered as there are distinct values."""
+def exact_quantiles(df: DataFrame, value: str, levels: tuple[float, ...], group: str | None = None) -> DataFrame:
+    """(level, value), after the group if there is one: quantiles of the non-null values, linear between order statistics.
+    Values are counted first, and as many rows are ordered as there are distinct values."""
+    if group is not None:
+        return _grouped_quantiles(df, value, levels, group)
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     placed = running(counts, [F.col("v")], {"upto": "n"})
     total = placed.agg(F.sum("n").alias("total"))
@@ -66,3 +68,15 @@ def exact_quantiles(df: DataFrame, value: str, levels: tuple[float, ...]) -> Dat
     found = placed.crossJoin(F.broadcast(ask)).where((F.col("upto") > F.floor("at")) & (F.col("upto") - F.col("n") <= F.ceil("at")))
     both = found.groupBy("level", "at").agg(F.min_by("v", "upto").alias("low"), F.max_by("v", "upto").alias("high"))
     return both.select("level", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("value"))
+
+
+def _grouped_quantiles(df: DataFrame, value: str, levels: tuple[float, ...], group: str) -> DataFrame:
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    placed = staged(running(counts, [F.col("_g"), F.col("v")], {"upto": "n"}), "placed")
+    groups = placed.groupBy("_g").agg(F.min(F.col("upto") - F.col("n")).alias("_first"), F.sum("n").alias("_total")).withColumnRenamed("_g", "_h")
+    wanted = F.explode(F.array(*(F.lit(float(q)) for q in levels))).alias("level")
+    ask = groups.select("_h", "_first", "_total", wanted).withColumn("at", F.col("level") * (F.col("_total") - 1))
+    rows = placed.join(ask, F.col("_g").eqNullSafe(F.col("_h"))).withColumn("upto", F.col("upto") - F.col("_first"))
+    found = rows.where((F.col("upto") > F.floor("at")) & (F.col("upto") - F.col("n") <= F.ceil("at")))
+    both = found.groupBy(F.col("_g").alias(group), "level", "at").agg(F.min_by("v", "upto").alias("low"), F.max_by("v", "upto").alias("high"))
+    return both.select(group, "level", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("value"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adspark.functions.expressions import MISSING, safe_divide
+from adspark.operators.ordering import exact_quantiles
 
 
 def _long(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -61,10 +62,14 @@ def label_statistics(df: DataFrame) -> DataFrame:
     )
 
 
-def quantiles(df: DataFrame, column: str, levels: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99), group: list[str] | None = None) -> DataFrame:
-    """Exact quantiles by linear interpolation, as columns p50, p90, ..."""
-    aggs = [F.percentile(column, F.lit(q)).alias(f"p{round(q * 100)}") for q in levels]
-    return df.groupBy(*(group or [])).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), *aggs)
+def quantiles(df: DataFrame, column: str, levels: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99), group: str | None = None) -> DataFrame:
+    """Exact quantiles by linear interpolation, as columns p50, p90, ..., of all rows or of each group."""
+    rows = df.withColumn("_g", F.lit(0) if group is None else F.col(group))
+    found = exact_quantiles(rows, column, levels, "_g")
+    wide = found.groupBy("_g").agg(*(F.max(F.when(F.col("level") == q, F.col("value"))).alias(f"p{round(q * 100)}") for q in levels)).withColumnRenamed("_g", "_h")
+    sums = rows.groupBy("_g").agg(F.count(column).alias("n"), F.avg(column).alias("mean"))
+    out = sums.join(wide, F.col("_g").eqNullSafe(F.col("_h")), "left").drop("_h")
+    return out.drop("_g") if group is None else out.withColumnRenamed("_g", group)
 
 
 def approximate_distinct(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -120,7 +120,7 @@ def label_cross_table(spark, sf_dir):
 
 @query("value_quantiles", f"WITH {INTERACTIONS_SQL} SELECT device_type, count(conversion_value_eur) AS n, round(avg(conversion_value_eur), 6) AS mean, " + ", ".join(f"round(quantile_cont(conversion_value_eur, {q}), 6) AS p{round(q * 100)}" for q in (0.5, 0.9, 0.95, 0.99)) + " FROM interactions GROUP BY 1")
 def value_quantiles(spark, sf_dir):
-    return rounded(profile.quantiles(interactions(spark, sf_dir), "conversion_value_eur", group=["device_type"]), "mean", "p50", "p90", "p95", "p99")
+    return rounded(profile.quantiles(interactions(spark, sf_dir), "conversion_value_eur", group="device_type"), "mean", "p50", "p90", "p95", "p99")
 
 
 @query("approximate_distinct")
@@ -143,11 +143,20 @@ def feature_engineering(spark, sf_dir):
 _HASH = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 
 
-@query("fine_features", f"""WITH {INTERACTIONS_SQL} SELECT event_id, user_id, product_id, 0.0::DOUBLE AS dense__rrf_score, 0.0::DOUBLE AS dense__coarse_score, 0.0::DOUBLE AS dense__source_count, 1.0::DOUBLE AS dense__inverse_coarse_rank,
-  round(least(ln(1 + greatest(product_price, 0)), 10) / 5, 6) AS dense__product_price, round(least(ln(1 + greatest(clicks_last_7d, 0)), 10) / 5, 6) AS dense__clicks_last_7d,
+_DENSE_SQL = """0.0::DOUBLE AS dense__rrf_score, 0.0::DOUBLE AS dense__coarse_score, 0.0::DOUBLE AS dense__source_count, 1.0::DOUBLE AS dense__inverse_coarse_rank,
+  round(least(ln(1 + greatest(product_price, 0)), 10) / 5, 6) AS dense__product_price, round(least(ln(1 + greatest(product_price, 0)), 10), 6) AS dense__log_product_price,
+  round(least(ln(1 + greatest(clicks_last_7d, 0)), 10) / 5, 6) AS dense__clicks_last_7d, round(least(ln(1 + greatest(clicks_last_7d, 0)), 10), 6) AS dense__log_clicks_last_7d,
   round(((click_timestamp % 86400) // 3600) / 23, 6) AS dense__click_hour_utc, round((click_timestamp // 86400 % 7) / 6, 6) AS dense__click_day_of_week_utc,
-  0.0::DOUBLE AS dense__product_price_missing, 0.0::DOUBLE AS dense__clicks_missing, 0.0::DOUBLE AS dense__timestamp_missing,
-  """ + ", ".join(f"{_HASH.format(f'''({2026 + i})::VARCHAR || chr(31) || ''' + (c if c != 'candidate_ad_id' else chr(39) + '__MISSING__' + chr(39)))} % {n} AS sparse__{c}" for i, (c, n) in enumerate(features.FINE_BUCKETS.items())) + """,
+  0.0::DOUBLE AS dense__product_price_missing, 0.0::DOUBLE AS dense__clicks_last_7d_missing, 0.0::DOUBLE AS dense__timestamp_missing"""
+_PRESENT = {"user_id", "product_id", "device_type", "product_brand", "product_category_1"}
+
+
+def _sparse_sql() -> str:
+    text = lambda i, c: f"'{2026 + i}' || chr(31) || " + (c if c in _PRESENT else "'__MISSING__'")
+    return ", ".join(f"{_HASH.format(text(i, c))} % {n} AS sparse__{c}" for i, (c, n) in enumerate(features.FINE_BUCKETS.items()))
+
+
+@query("fine_features", f"""WITH {INTERACTIONS_SQL} SELECT event_id, user_id, product_id, {_DENSE_SQL}, {_sparse_sql()},
   conversion_label, (conversion_label = 1 AND conversion_value_eur >= 0)::INT AS value_mask, CASE WHEN conversion_label = 1 AND conversion_value_eur >= 0 THEN round(ln(1 + conversion_value_eur), 6) END AS log_conversion_value FROM interactions""")
 def fine_features(spark, sf_dir):
     out = features.fine_features(interactions(spark, sf_dir))
