@@ -20,7 +20,7 @@ def raw_clicks(spark, sf_dir) -> DataFrame:
     """Interactions as the text columns of a raw click log, with the tokens that stand for missing values."""
     rows = interactions(spark, sf_dir)
     text = {
-        "Sale": F.col("conversion_label"), "SalesAmountInEuro": F.when(F.col("conversion_value_eur").isNull(), "-1").otherwise(F.round("conversion_value_eur", 2).cast("string")),
+        "Sale": F.col("conversion_label"), "SalesAmountInEuro": F.when(F.col("conversion_value_eur").isNull(), "-1").otherwise(F.col("conversion_value_eur").cast("string")),
         "click_timestamp": F.when(F.col("clicks_last_7d") < 3, "0").otherwise(F.col("click_timestamp").cast("string")), "product_price": F.col("product_price"),
         "product_brand": F.when(F.col("product_brand") == "Brand#11", "-1").otherwise(F.col("product_brand")), "product_id": F.col("product_id"), "user_id": F.concat(F.lit(" "), "user_id", F.lit(" ")),
     }
@@ -29,11 +29,11 @@ def raw_clicks(spark, sf_dir) -> DataFrame:
 
 
 @query("normalized_search", f"""WITH {INTERACTIONS_SQL}
-SELECT 'criteo-' || substr(event_id, 1, 12) AS event_id, conversion_label, round(conversion_value_eur, 2) AS conversion_value_eur, CASE WHEN clicks_last_7d >= 3 THEN click_timestamp ELSE -1 END AS click_timestamp,
+SELECT 'criteo-' || substr(event_id, 1, 12) AS event_id, conversion_label, round(conversion_value_eur, 6) AS conversion_value_eur, CASE WHEN clicks_last_7d >= 3 THEN click_timestamp ELSE -1 END AS click_timestamp,
   CASE WHEN product_brand <> 'Brand#11' THEN product_brand END AS product_brand, NULL::VARCHAR AS device_type, product_id, user_id FROM interactions""")
 def normalized_search(spark, sf_dir):
     unified = normalize.with_ids(normalize.normalize_search(raw_clicks(spark, sf_dir).drop("_event")), "user_id", "product_id")
-    return unified.select("event_id", F.col("conversion_label").cast("int").alias("conversion_label"), "conversion_value_eur", F.coalesce("click_timestamp", F.lit(-1)).alias("click_timestamp"), "product_brand", "device_type", "product_id", "user_id")
+    return unified.select("event_id", F.col("conversion_label").cast("int").alias("conversion_label"), F.round("conversion_value_eur", 6).alias("conversion_value_eur"), F.coalesce("click_timestamp", F.lit(-1)).alias("click_timestamp"), "product_brand", "device_type", "product_id", "user_id")
 
 
 @query("normalized_impressions", f"""WITH {IMPRESSIONS_SQL} SELECT 'criteo-attribution-' || lpad(event_id::VARCHAR, 12, '0') AS event_id, timestamp, user_id, campaign_id, click, conversion, click_and_conversion, cost FROM impressions""")
