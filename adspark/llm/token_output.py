@@ -11,8 +11,8 @@ segment. Defined cases: null and empty texts are encoded as the end id alone; re
 table gives no segments; other columns are not read; texts of any length are encoded whole.
 
 Texts are cut where the tokenizer always parts them (around single spaces and line ends between plain characters, and
-between a letter and punctuation) and each distinct piece is encoded once by the tokenizers library, as long as a Python
-worker remembers it.
+between a letter and punctuation) and each distinct piece is encoded once by the tokenizers library, as long as the task
+remembers it.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ SEGMENT = 1 << 18
 #: New pieces that are encoded in one call.
 JOINED = 4096
 #: Pieces whose ids a task remembers.
-REMEMBERED = 2_000_000
+REMEMBERED = 600_000
 
 _HEAD = np.dtype([("magic", "S4"), ("n", "<u8"), ("blocks", "<u4"), ("exceptions", "<u4")])
 _INDEX = np.dtype([("start", "<u4"), ("least", "<u4"), ("width", "u1"), ("first", "<u4")])
@@ -328,16 +328,6 @@ def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def held_encoder(path: str) -> Encoder:
-    """This Python worker's encoder: what it remembers serves all tasks that the worker runs."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def _safe_pieces(text: bytes) -> list[bytes]:
     """A text in pieces of at most 2 * PIECE bytes where safe cuts are that near."""
     cut, at, reach = [], 0, 2 * PIECE
@@ -355,7 +345,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str
     """Write the ids of every text, each followed by end_id, to path: part, seq, n_ids, keys, lengths, payload."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = held_encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, seq = Encoder(tokenizer), TaskContext.get().partitionId(), 0
         keys: list = []
         ids: list[np.ndarray] = []
         lengths: list[int] = []
