@@ -211,14 +211,16 @@ class Encoder:
         many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [e.ids for e in many(texts, add_special_tokens=False)]
 
-    def _learn(self, data: bytes, raw: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        """Remember the ids of new pieces. Runs of letters are words by themselves, for the tokenizer's model. Other pieces
-        without line ends that begin (after one space at most) and end with plain characters are encoded many at a time with
-        a line end between them, which is always a token of its own."""
+    def _learn(self, raw: np.ndarray, hashes: np.ndarray, length: np.ndarray) -> None:
+        """Remember the ids of new pieces; raw holds their bytes, laid end to end. Runs of letters are words by themselves, for
+        the tokenizer's model. Other pieces without line ends that begin (after one space at most) and end with plain
+        characters are encoded many at a time with a line end between them, which is always a token of its own."""
+        end = np.cumsum(length)
+        start = end - length
         lead = raw[start] == 0x20
         second = raw[np.minimum(start + lead, len(raw) - 1)]
         before = raw[np.maximum(end - 2, 0)]
-        ends_well = _PLAIN[raw[end - 1]] | ((raw[end - 1] >= 0x80) & (before == 0xC3) & (end - start >= 2))
+        ends_well = _PLAIN[raw[end - 1]] | ((raw[end - 1] >= 0x80) & (before == 0xC3) & (length >= 2))
         upto = lambda flags: np.concatenate([[0], np.cumsum(flags)])
         lines, follows = upto(raw == 0x0A), np.append(False, raw[:-1] == 0xC3)
         apart = upto(~_LETTERS[raw] | ((raw >= 0x80) & (raw < 0xC0) & ~follows))
@@ -226,41 +228,38 @@ class Encoder:
         alike = ~word & (start + lead < end) & (_PLAIN[second] | (second == 0xC3)) & ends_well & (lines[end] == lines[start]) & (self.line is not None)
         size = np.zeros(len(hashes), np.int64)
         parts: list[np.ndarray] = []
-        spans = list(zip(start.tolist(), end.tolist(), strict=True))
         wide, model = upto(raw >= 0x80), self.tokenizer.model
         plain, words = np.flatnonzero(word & (wide[end] == wide[start])), np.flatnonzero(word & (wide[end] > wide[start]))
         for own, table in ((plain, None), (words, self.letters)):
             if len(own):
-                spelled = b"\n".join(data[spans[i][0] : spans[i][1]] for i in own.tolist()).decode()
+                spelled = _lined(raw, start[own], length[own])
                 spelled = spelled.translate(table) if table else spelled.replace(" ", self.letters[ord(" ")])
                 lists = [[t.id for t in model.tokenize(w)] for w in spelled.split("\n")]
-                size[own] = [len(x) for x in lists]
+                size[own] = list(map(len, lists))
                 parts.append(np.fromiter(chain.from_iterable(lists), np.uint32))
         rows = np.flatnonzero(alike)
-        joined = [b"\n".join(data[spans[i][0] : spans[i][1]] for i in rows[k : k + JOINED].tolist()).decode() for k in range(0, len(rows), JOINED)]
-        for k, ids in enumerate(self._encoded(joined)):
+        chunks = [rows[k : k + JOINED] for k in range(0, len(rows), JOINED)]
+        for mine, ids in zip(chunks, self._encoded([_lined(raw, start[c], length[c]) for c in chunks]), strict=True):
             ids = np.array(ids, np.uint32)
             at = np.flatnonzero(ids == self.line)
             own = np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
-            mine = rows[k * JOINED : (k + 1) * JOINED]
             if len(own) != len(mine):
                 raise ValueError("a line end was not a token of its own")
             size[mine] = own
             parts.append(ids[ids != self.line])
         others = np.flatnonzero(~alike & ~word)
-        lists = self._encoded([data[spans[i][0] : spans[i][1]].decode("utf-8", "replace") for i in others.tolist()])
-        size[others] = [len(x) for x in lists]
+        lists = self._encoded([raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[others].tolist(), end[others].tolist(), strict=True)])
+        size[others] = list(map(len, lists))
         parts.append(np.fromiter(chain.from_iterable(lists), np.uint32))
         order = np.concatenate([plain, words, rows, others])
         begin = np.zeros(len(hashes), np.int64)
         begin[order] = len(self.flat.held) + np.cumsum(size[order]) - size[order]
-        length = end - start
         place = (len(self.sizes.held) + np.arange(len(hashes))).astype(np.uint32)
         self.begins.add(begin)
         self.sizes.add(size)
-        self.from_.add(len(self.raw.held) + np.cumsum(length) - length)
+        self.from_.add(len(self.raw.held) + start)
         self.flat.add(np.concatenate(parts))
-        self.raw.add(raw[_ranges(start, length)])
+        self.raw.add(raw)
         large, small = self.levels
         small = _merged(small, (hashes, place))
         self.levels = [_merged(large, small), (small[0][:0], small[1][:0])] if 4 * len(small[0]) > len(large[0]) else [large, small]
@@ -286,10 +285,13 @@ class Encoder:
         found, first, which = np.unique(span_hash(raw, start, end), return_index=True, return_inverse=True)
         if len(self.sizes.held) + len(found) > REMEMBERED:
             self._forget()
-        new = np.flatnonzero(self._places(found) < 0)
+        place = self._places(found)
+        new = np.flatnonzero(place < 0)
         if len(new):
-            self._learn(data, raw, found[new], start[first[new]], end[first[new]])
-        at = self._places(found)[which]
+            length = (end - start)[first[new]]
+            place[new] = len(self.sizes.held) + np.arange(len(new))
+            self._learn(raw[_ranges(start[first[new]], length)], found[new], length)
+        at = place[which]
         if not np.array_equal(self.raw.held[_ranges(self.from_.held[at].astype(np.int64), end - start)], raw):  # two pieces of one hash
             return self._whole(data, ends)
         each = self.sizes.held[at].astype(np.int64)
@@ -323,6 +325,14 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (upto - size), size) + np.arange(int(upto[-1]) if len(upto) else 0)
 
 
+def _lined(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> str:
+    """Spans of UTF-8 bytes with a line end between each and the next."""
+    out = np.full(int(size.sum()) + len(size), 0x0A, np.uint8)
+    to = np.cumsum(size + 1)
+    out[_ranges(to - size - 1, size)] = raw[_ranges(start, size)]
+    return out[:-1].tobytes().decode()
+
+
 def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     at = np.searchsorted(a[0], b[0])
     return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
