@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adspark.llm import chat_formatting, decontamination, jaccard_join, language_id, lm_scoring, mixing, quality_rules, sharding, token_output, toxicity
+from adspark.llm import chat_formatting, decontamination, jaccard_join, language_id, lm_scoring, minhash, mixing, quality_rules, sharding, token_output, toxicity
 from adspark.llm.common import new_path, read
 
 
@@ -21,17 +21,31 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
-OP2_SQL = """
+def _links_sql(width: int, percent: int, more: str = "") -> str:
+    """Set sizes and smallest reachable ids under links of shingle sets; `more` is added to the columns."""
+    return f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 2, 2))) AS u(i) WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {width - 1}], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - {width - 2}, 2))) AS u(i) WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= {percent} * (x.n + y.n - k)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-r AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.v)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.c) AS component_id
-FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.v = d.doc_id GROUP BY ALL"""
+r AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.v),
+f AS (SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.c) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.v = d.doc_id GROUP BY ALL)
+SELECT doc_id, n_shingles, component_id{more} FROM f"""
+
+
+OP2_SQL = _links_sql(4, 85)
+
+
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under links of 5-word shingle sets at 0.85, and the document that each keeps."""
+    found = minhash.near_duplicates(read(spark, sf_dir, "documents"), width=5, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP11_SQL = _links_sql(5, 85, ", doc_id = component_id AS kept")
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,6 +198,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op10_decontamination": op10_decontamination,
+    "op11_minhash": op11_minhash,
     "op1_mixing": op1_mixing,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_token_output": op3_token_output,
@@ -194,4 +209,4 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
 }
-ORACLES = {"op2_jaccard_join": OP2_SQL, "op10_decontamination": OP10_SQL, "op5_chat_formatting": OP5_SQL, "op7_sharding": _op7_sql(), "op8_quality_rules": _op8_sql()}
+ORACLES = {"op2_jaccard_join": OP2_SQL, "op11_minhash": OP11_SQL, "op10_decontamination": OP10_SQL, "op5_chat_formatting": OP5_SQL, "op7_sharding": _op7_sql(), "op8_quality_rules": _op8_sql()}
