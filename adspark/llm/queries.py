@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adspark.llm import chat_formatting, decontamination, jaccard_join, language_id, lm_scoring, minhash, mixing, quality_rules, sharding, token_output, toxicity
+from adspark.llm import chat_formatting, decontamination, jaccard_join, language_id, lm_scoring, merkle, minhash, mixing, quality_rules, sharding, token_output, toxicity
 from adspark.llm.common import new_path, read
 
 
@@ -29,7 +29,7 @@ WITH RECURSIVE d AS (
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {width - 1}], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - {width - 2}, 2))) AS u(i) WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= {percent} * (x.n + y.n - k)),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= {percent} * (x.n + y.n - k)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.v),
 f AS (SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.c) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.v = d.doc_id GROUP BY ALL)
@@ -196,9 +196,70 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
+FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def tampered_text() -> Column:
+    """The text, with A-Z lowered where 3 divides the CRC-32 of the decimal doc_id (a null doc_id: as it is)."""
+    changed = F.translate("text", decontamination.UPPER, decontamination.UPPER.lower())
+    return F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, changed).otherwise(F.col("text"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, roots and proof, and whether the proof holds for what may have been tampered with."""
+    docs = read(spark, sf_dir, "documents").select(*FIELDS)
+    altered = merkle.leaf_digest([tampered_text() if f == "text" else F.col(f) for f in FIELDS])
+    found = merkle.manifest(docs, "doc_id", "lang", merkle.leaf_digest([F.col(f) for f in FIELDS]), altered)
+    found = found.withColumn("folded_root", merkle.fold(F.col("other"), F.col("path")))
+    proof = F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _op12_sql(levels: int = 8, group_levels: int = 4) -> str:
+    def leaf(text: str) -> str:
+        one = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c} END"
+        return "sha256(" + " || ".join(one(text if f == "text" else f) for f in FIELDS) + ")"
+
+    def tree(t: str, count: int) -> str:
+        """Levels of the trees over {t}0 (g, i, d, n), and the paths of {t}w0 (k, g, i, proof, folded)."""
+        out = []
+        for k in range(count):
+            out.append(f"{t}r{k} AS MATERIALIZED (SELECT g, i // 8 AS run, list(d ORDER BY i) AS ds, any_value(n) AS n FROM {t}{k} WHERE n > 1 GROUP BY ALL)")
+            out.append(f"{t}{k + 1} AS MATERIALIZED (SELECT g, run AS i, sha256(array_to_string(ds, '')) AS d, (n + 7) // 8 AS n FROM {t}r{k})")
+            left, right = "array_to_string(ds[1:i % 8], '')", "array_to_string(ds[i % 8 + 2:], '')"
+            out.append(f"""{t}w{k + 1} AS MATERIALIZED (
+  SELECT k, w.g, i // 8 AS i, CASE WHEN ds IS NULL THEN proof ELSE proof || {left} || {right} END AS proof,
+    CASE WHEN ds IS NULL THEN folded ELSE sha256({left} || folded || {right}) END AS folded
+  FROM {t}w{k} AS w LEFT JOIN {t}r{k} AS r ON r.g = w.g AND r.run = w.i // 8)""")
+        out.append(f"{t}s AS ({' UNION ALL '.join(f'SELECT g, d FROM {t}{k} WHERE n = 1' for k in range(count + 1))})")
+        return ",\n".join(out)
+
+    lower = f"translate(text, '{decontamination.UPPER}', '{decontamination.UPPER.lower()}')"
+    return f"""
+WITH {_CRC_TABLE},
+h AS (SELECT row_number() OVER () AS k, *, hex(encode(doc_id::VARCHAR)) AS x FROM documents),
+c AS (
+  SELECT h.*, xor(list_reduce(range(length(x) // 2), lambda a, i: xor(a >> 8, tab[xor(a & 255, ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) + 1]), 4294967295), 4294967295) AS crc
+  FROM h, crc),
+l AS MATERIALIZED (
+  SELECT k, doc_id, coalesce('=' || lang, '') AS g, {leaf("text")} AS d, {leaf("altered")} AS folded
+  FROM (SELECT *, CASE WHEN crc % 3 = 0 THEN {lower} ELSE text END AS altered FROM c)),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, d) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM l),
+a0 AS (SELECT g, i, d, n FROM o),
+aw0 AS (SELECT k, g, i, '' AS proof, folded FROM o),
+{tree("a", levels)},
+b0 AS (SELECT '' AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS i, d, count(*) OVER () AS n FROM as_),
+e AS (SELECT g, row_number() OVER (ORDER BY encode(g)) - 1 AS i FROM as_),
+bw0 AS (SELECT w.k, '' AS g, e.i, w.proof, w.folded FROM aw{levels} AS w JOIN e ON e.g = w.g),
+{tree("b", group_levels)}
+SELECT o.doc_id, o.d AS leaf, s.d AS subroot, r.d AS root, sha256(w.proof) AS proof_sha256, w.folded AS folded_root, w.folded = r.d AS verified
+FROM o JOIN as_ AS s ON s.g = o.g JOIN bw{group_levels} AS w ON w.k = o.k CROSS JOIN bs AS r""".replace("as AS (", "as_ AS (")
+
+
 QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_minhash": op11_minhash,
+    "op12_merkle": op12_merkle,
     "op1_mixing": op1_mixing,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_token_output": op3_token_output,
@@ -209,4 +270,4 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
 }
-ORACLES = {"op2_jaccard_join": OP2_SQL, "op11_minhash": OP11_SQL, "op10_decontamination": OP10_SQL, "op5_chat_formatting": OP5_SQL, "op7_sharding": _op7_sql(), "op8_quality_rules": _op8_sql()}
+ORACLES = {"op2_jaccard_join": OP2_SQL, "op11_minhash": OP11_SQL, "op12_merkle": _op12_sql(), "op10_decontamination": OP10_SQL, "op5_chat_formatting": OP5_SQL, "op7_sharding": _op7_sql(), "op8_quality_rules": _op8_sql()}
