@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adspark.llm import chat_formatting, decontamination, jaccard_join, language_id, lm_scoring, merkle, minhash, mixing, quality_rules, sharding, token_output, toxicity
+from adspark.llm import chat_formatting, decontamination, jaccard_join, language_id, lm_scoring, merkle, minhash, mixing, quality_rules, sharding, token_output, toxicity, vector_codes
 from adspark.llm.common import new_path, read
 
 
@@ -256,10 +256,45 @@ SELECT o.doc_id, o.d AS leaf, s.d AS subroot, r.d AS root, sha256(w.proof) AS pr
 FROM o JOIN as_ AS s ON s.g = o.g JOIN bw{group_levels} AS w ON w.k = o.k CROSS JOIN bs AS r""".replace("as AS (", "as_ AS (")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector's code, and its error under the codebooks."""
+    found = vector_codes.codes(read(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _op13_sql() -> str:
+    entries, parts = vector_codes.ENTRIES, vector_codes.PARTS
+    steps = []
+    for k in range(vector_codes.ROUNDS + 1):
+        steps.append(f"""n{k} AS MATERIALIZED (
+  SELECT r, p, arg_min(e, struct_pack(w := way, e := e)) AS e, min(way) AS way
+  FROM (SELECT c.r, c.p, b.e, list_sum(list_transform(range(1, len(c.v) + 1), lambda i: (c.v[i] - b.v[i]) * (c.v[i] - b.v[i])))::BIGINT AS way
+    FROM cut AS c JOIN book{k} AS b ON b.p = c.p) GROUP BY ALL)""")
+        if k < vector_codes.ROUNDS:
+            steps.append(f"""book{k + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{k} AS b LEFT JOIN (
+    SELECT p, e, list(s ORDER BY i) AS v FROM (
+      SELECT p, e, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS s
+      FROM (SELECT n.p, n.e, u.i, c.v[u.i] AS x FROM n{k} AS n JOIN cut AS c ON c.r = n.r AND c.p = n.p, unnest(range(1, len(c.v) + 1)) AS u(i)) GROUP BY ALL)
+    GROUP BY ALL) AS m ON m.p = b.p AND m.e = b.e)""")
+    last = vector_codes.ROUNDS
+    return f"""
+WITH rows_ AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * {vector_codes.SCALE})::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS MATERIALIZED (SELECT r, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS v FROM rows_, range({parts}) AS t(p)),
+book0 AS MATERIALIZED (SELECT p, r AS e, v FROM cut WHERE r < {entries}),
+{", ".join(steps)},
+f AS (SELECT r, string_agg(lower(lpad(to_hex(e), 2, '0')), '' ORDER BY p) AS code, sum(way)::BIGINT AS error FROM n{last} GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS books FROM book{last})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, books AS codebooks_sha256 FROM rows_ JOIN f USING (r), h"""
+
+
 QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_minhash": op11_minhash,
     "op12_merkle": op12_merkle,
+    "op13_vector_codes": op13_vector_codes,
     "op1_mixing": op1_mixing,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_token_output": op3_token_output,
@@ -270,4 +305,4 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
 }
-ORACLES = {"op2_jaccard_join": OP2_SQL, "op11_minhash": OP11_SQL, "op12_merkle": _op12_sql(), "op10_decontamination": OP10_SQL, "op5_chat_formatting": OP5_SQL, "op7_sharding": _op7_sql(), "op8_quality_rules": _op8_sql()}
+ORACLES = {"op2_jaccard_join": OP2_SQL, "op11_minhash": OP11_SQL, "op12_merkle": _op12_sql(), "op13_vector_codes": _op13_sql(), "op10_decontamination": OP10_SQL, "op5_chat_formatting": OP5_SQL, "op7_sharding": _op7_sql(), "op8_quality_rules": _op8_sql()}
