@@ -8,11 +8,13 @@ their similarity whether it was empty or not. BANDS bands of ROWS bins give a bu
 Two texts at the threshold of 0.85 agree in no band with a probability of 3e-7 (0.8: 6e-5), whatever their length.
 
 Buckets hold classes of equal sets, so copies never meet each other. A bucket's candidate edges are stars: in the first round
-its members are compared with one hub, the class of most copies; in round k with about 8 ** k hubs, which a hash picks. Only
-pairs of different components are formed, so what a hub has linked is not compared again. A bucket with no more members than
-hubs has all of them as hubs, after which nothing is left to compare in it; the rounds end when that holds for all. Every
-candidate is confirmed on the two whole sets, so similar buckets never make a link, and the links' components are those of
-alternating large and small stars.
+its members are compared with one hub, the class of most copies; in round k with about HUBS ** k hubs, which a hash picks. A
+bucket with no more members than hubs has all of them as hubs, after which nothing is left to compare in it; the rounds end
+when that holds for all. An edge is a candidate only if its ends are in different components so far (what a hub has linked is
+not compared again), if this is the first band that they agree in, if their sizes allow a link, and if the one-bit sketches of
+all bins differ in no more places than a pair at the threshold has but for one in some millions. Every candidate is confirmed
+on the two whole sets, so no likeness of buckets or sketches makes a link. The links' components are those of alternating
+large and small stars.
 
 Defined cases: null and empty texts, and texts without words, have empty sets, are linked with nothing and form their own
 component; a text of fewer words than a shingle is one shingle; repeated rows are copies; a null doc_id never counts as the
@@ -23,6 +25,7 @@ Sets of one class are told apart by 128 bits and their size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +37,14 @@ from adspark.llm.jaccard_join import _batched, class_sets, components, verified,
 
 BANDS = 32
 ROWS = 6
-BINS = BANDS * ROWS
+#: Bins of the permutation. The first BANDS * ROWS make the bands, and each gives the sketch a bit.
+BINS = 1 << 10
 #: Hubs of a bucket grow by this factor from round to round.
-HUBS = 8
+HUBS = 32
+#: Standard deviations beyond the mean that a linked pair's sketches may differ in.
+DEVIATIONS = 5.5
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.random.default_rng(11).integers(0, 2**63, BINS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def set_digest(hashes: np.ndarray) -> bytes:
@@ -46,64 +54,98 @@ def set_digest(hashes: np.ndarray) -> bytes:
     return np.array([*both, len(hashes)], np.uint64).tobytes()[:20]
 
 
-def bin_values(hashes: np.ndarray, bins: int = BINS) -> np.ndarray:
+#: Attempts that a worker holds, enough for almost all bins of the shortest texts.
+HELD = 1 << 12
+
+
+def attempts(first: int, many: int, bins: np.ndarray) -> np.ndarray:
+    """(many, bins): what the given bins try from their attempt of number `first` on."""
+    with np.errstate(over="ignore"):
+        tried = mix(bins.astype(np.uint64)[None, :] * _GOLDEN + np.arange(first + 1, first + many + 1, dtype=np.uint64)[:, None])
+    return (tried % np.uint64(BINS)).astype(np.int16)
+
+
+@cache
+def first_attempts() -> np.ndarray:
+    """The first attempts of all bins."""
+    return np.concatenate([attempts(at, 256, np.arange(BINS)) for at in range(0, HELD, 256)])
+
+
+def bin_values(hashes: np.ndarray) -> np.ndarray:
     """The value of each bin of a sorted set that is not empty; empty bins are densified."""
-    of = ((hashes >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
+    of = ((hashes >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
     first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-    value, filled = np.zeros(bins, np.uint64), np.zeros(bins, bool)
+    value, filled = np.zeros(BINS, np.uint64), np.zeros(BINS, bool)
     at = of[first].astype(np.int64)
     value[at], filled[at] = hashes[first], True
-    empty = np.flatnonzero(~filled)
-    attempt = 0
+    if len(at) == 1:
+        return np.full(BINS, value[at[0]])
+    empty, done, enough = np.flatnonzero(~filled), 0, 3 * BINS // len(at) + 1
     while len(empty):
-        attempt += 1
-        with np.errstate(over="ignore"):
-            tried = mix(empty.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(attempt))
-        source = (tried % np.uint64(bins)).astype(np.int64)
-        found = filled[source]
-        value[empty[found]] = value[source[found]]
-        empty = empty[~found]
+        tried = first_attempts()[done : done + enough, empty] if done + enough <= HELD else attempts(done, enough, empty)
+        found = filled[tried]
+        which = found.argmax(0)
+        column = np.arange(len(empty))
+        good = found[which, column]
+        value[empty[good]] = value[tried[which[good], column[good]]]
+        empty, done = empty[~good], done + enough
     return value
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """The bucket of each band, of a sorted set that is not empty."""
-    values = bin_values(hashes).reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """The bucket of each band."""
+    with np.errstate(over="ignore"):
+        sums = (values[: BANDS * ROWS] * _ODD[: BANDS * ROWS]).reshape(BANDS, ROWS).sum(1)
+        return mix(sums ^ (np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLDEN))
+
+
+def sketch(values: np.ndarray) -> np.ndarray:
+    """A bit of each bin's value, packed into longs. Bins that hold one value draw their bits apart."""
     with np.errstate(over="ignore"):
-        for r in range(ROWS):
-            key = mix(key * np.uint64(31) + values[:, r])
-    return key
+        bits = (mix(values ^ _ODD) >> np.uint64(63)).astype(np.uint8)
+    return np.packbits(bits).view(np.int64)
+
+
+def most_different(percent: int) -> int:
+    """Places in which the sketches of a pair at the threshold may differ."""
+    p = (100 - percent) / 200
+    return int(np.ceil(BINS * p + DEVIATIONS * np.sqrt(BINS * p * (1 - p))))
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """A row for each row of docs (doc_id, digest, text): doc_id, digest, n, cls (of equal sets) and buckets, which a task gives
-    once for a class. cls and buckets are null for empty sets."""
+    """A row for each row of docs (doc_id, digest, text): doc_id, digest, n, cls (of equal sets), and buckets and sketch, which
+    a task gives once for a class. The last three are null for empty sets."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given: set[bytes] = set()
+        given: set[bytes | None] = {None}
         for rows, sets in _batched(batches, width):
             cls = [set_digest(s) if len(s) else None for s in sets]
             buckets: list[np.ndarray | None] = []
+            sketches: list[np.ndarray | None] = []
             for c, s in zip(cls, sets, strict=True):
-                new = c is not None and c not in given
-                buckets.append(band_keys(s).view(np.int64) if new else None)
+                values = bin_values(s) if c not in given else None
+                buckets.append(None if values is None else band_keys(values).view(np.int64))
+                sketches.append(None if values is None else sketch(values))
                 given.add(c)
-            n = pa.array([len(s) for s in sets], pa.int64())
-            values = [rows.column("doc_id"), rows.column("digest"), n, pa.array(cls, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(values, names=["doc_id", "digest", "n", "cls", "buckets"])
+            n, longs = pa.array([len(s) for s in sets], pa.int64()), pa.list_(pa.int64())
+            values = [rows.column("doc_id"), rows.column("digest"), n, pa.array(cls, pa.binary()), pa.array(buckets, longs), pa.array(sketches, longs)]
+            yield pa.RecordBatch.from_arrays(values, names=["doc_id", "digest", "n", "cls", "buckets", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = docs.select("doc_id", "digest", "text")
-    return named.mapInArrow(signed, f"doc_id {kind}, digest binary, n long, cls binary, buckets array<long>")
+    return named.mapInArrow(signed, f"doc_id {kind}, digest binary, n long, cls binary, buckets array<long>, sketch array<long>")
 
 
 def shared_buckets(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """(bucket, cid, n, copies): the members of each bucket that several classes share."""
-    given = rows.where(F.col("buckets").isNotNull()).select("cls", F.explode("buckets").alias("bucket"))
-    posted = stage(given.join(classes.select("cls", "cid", "n", "copies"), "cls").select("bucket", "cid", "n", "copies"), "posted")
+    """(bucket, band, cid, n, copies, bands, sketch): the members of each bucket that several classes share. Bands are shorter
+    hashes of the buckets in their order."""
+    given = rows.where(F.col("buckets").isNotNull()).select("cls", "buckets", "sketch")
+    given = stage(given.join(classes.select("cls", "cid", "n", "copies"), "cls").drop("cls").dropDuplicates(["cid"]), "given")
+    posted = given.select("cid", F.posexplode("buckets").alias("band", "bucket"))
     several = posted.groupBy("bucket").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
-    return posted.join(several.select("bucket"), "bucket", "left_semi").distinct()
+    shared = posted.join(several.select("bucket"), "bucket", "left_semi")
+    bands = F.transform("buckets", lambda x: F.shiftright(x, 32).cast("int")).alias("bands")
+    return shared.join(given.select("cid", "n", "copies", bands, "sketch"), "cid")
 
 
 def open_buckets(members: DataFrame) -> DataFrame:
@@ -113,18 +155,21 @@ def open_buckets(members: DataFrame) -> DataFrame:
 
 
 def star_edges(members: DataFrame, open_: DataFrame, percent: int, turn: int) -> DataFrame:
-    """(a, b): members of each open bucket with its hubs of this turn, where the sizes allow a link."""
-    me = F.struct("cid", "n", "comp")
+    """(a, b): the candidate edges between members of each open bucket and its hubs of this turn."""
+    inside = members.join(open_, "bucket")
     if turn == 0:
-        hub = F.max(F.struct("copies", "cid", me.alias("hub")))["hub"].alias("hub")
-        hubs = members.join(open_.select("bucket"), "bucket", "left_semi").groupBy("bucket").agg(hub)
-    else:
-        drawn = F.pmod(F.xxhash64("cid", "bucket", F.lit(turn)), F.lit(1 << 40)) / float(1 << 40)
-        few = members.join(open_, "bucket").where(drawn * F.col("m") < HUBS**turn)
-        hubs = few.select("bucket", me.alias("hub"))
-    rows = members.select("bucket", me.alias("me")).join(hubs, "bucket").where("me.comp != hub.comp")
+        first = inside.groupBy("bucket").agg(F.max(F.struct("copies", "cid"))["cid"].alias("cid"))
+        hubs = inside.join(first, ["bucket", "cid"])
+    else:  # the same classes in all buckets, so that edges are found again rather than added
+        drawn = F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(1 << 40)) / float(1 << 40)
+        hubs = inside.where(drawn * F.col("m") < HUBS**turn)
+    one = F.struct("cid", "n", "comp", "band", "bands", "sketch")
+    me, hub = inside.select("bucket", one.alias("me")), hubs.select(F.col("bucket").alias("at"), one.alias("hub"))
     low, high = F.least("me.n", "hub.n"), F.greatest("me.n", "hub.n")
-    pairs = rows.where(100 * low >= percent * high)
+    different = sum((F.bit_count(F.col("me.sketch")[i].bitwiseXOR(F.col("hub.sketch")[i])) for i in range(1, BINS // 64)), F.bit_count(F.col("me.sketch")[0].bitwiseXOR(F.col("hub.sketch")[0])))
+    first = F.array_position(F.zip_with("me.bands", "hub.bands", lambda x, y: x == y), True) - 1
+    likely = (F.col("me.comp") != F.col("hub.comp")) & (100 * low >= percent * high) & (different <= most_different(percent))
+    pairs = me.join(hub, (F.col("bucket") == F.col("at")) & likely & (first == F.col("me.band")))
     return pairs.select(F.least("me.cid", "hub.cid").alias("a"), F.greatest("me.cid", "hub.cid").alias("b")).distinct()
 
 
@@ -139,6 +184,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = stage(classes, "classes")
     shared = stage(shared_buckets(rows, classes), "shared")
     members, links, sets, tested, turn = shared.withColumn("comp", F.col("cid")), None, None, None, 0
+    comps: DataFrame | None = None
     while True:
         open_ = stage(open_buckets(members), "open")
         largest = open_.agg(F.max("m")).first()[0]
@@ -152,15 +198,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         sets = new if sets is None else sets.unionByName(new)
         found = stage(verified(pairs, sets, percent).select("a", "b"), "links")
         links = found if links is None else links.unionByName(found)
+        comps = components(links)
         if turn > 0 and largest <= HUBS**turn:
             break
-        named = components(links).select(F.col("node").alias("cid"), F.col("comp").alias("_comp"))
-        members = stage(shared.join(named, "cid", "left").withColumn("comp", F.coalesce("_comp", "cid")).drop("_comp"), "members")
+        named = stage(comps.select(F.col("node").alias("cid"), F.col("comp").alias("_comp")), "named")
+        members = shared.join(named, "cid", "left").withColumn("comp", F.coalesce("_comp", "cid")).drop("_comp")
         turn += 1
     comp = F.col("cid")
     grouped = classes.select("cls", "doc_id", "cid")
-    if links is not None:
-        grouped, comp = grouped.join(components(links).withColumnRenamed("node", "cid"), "cid", "left"), F.coalesce("comp", "cid")
+    if comps is not None:
+        grouped, comp = grouped.join(comps.withColumnRenamed("node", "cid"), "cid", "left"), F.coalesce("comp", "cid")
     # Both sides of the join on comp are written, so that a component with many classes can be dealt over several tasks.
     grouped = stage(grouped.select("cls", "doc_id", comp.alias("comp")), "grouped")
     smallest = stage(grouped.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "smallest")

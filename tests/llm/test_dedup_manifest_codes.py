@@ -51,12 +51,16 @@ def test_near_duplicates_of_nothing(spark):
 def test_bins_agree_as_often_as_sets_are_alike():
     rng = np.random.default_rng(3)
     for size, shared in ((6, 5), (40, 36), (2000, 1800)):
-        agree = []
+        agree, differ = [], []
         for _ in range(200):
             h = rng.integers(0, 2**64, 2 * size - shared, dtype=np.uint64)
             a, b = np.sort(h[:size]), np.sort(h[-size:])
-            agree.append(np.mean(minhash.bin_values(a) == minhash.bin_values(b)))
-        assert abs(np.mean(agree) - shared / (2 * size - shared)) < 0.03
+            a, b = minhash.bin_values(a), minhash.bin_values(b)
+            agree.append(np.mean(a == b))
+            differ.append(np.mean(np.unpackbits((minhash.sketch(a) ^ minhash.sketch(b)).view(np.uint8))))
+        alike = shared / (2 * size - shared)
+        assert abs(np.mean(agree) - alike) < 0.03 and abs(np.mean(differ) - (1 - alike) / 2) < 0.02
+        assert max(differ) * minhash.BINS <= minhash.most_different(round(100 * alike))
 
 
 def brute_tree(leaves):
