@@ -8,13 +8,12 @@ their similarity whether it was empty or not. BANDS bands of ROWS bins give a bu
 Two texts at the threshold of 0.85 agree in no band with a probability of 3e-7 (0.8: 6e-5), whatever their length.
 
 Buckets hold classes of equal sets, so copies never meet each other. A bucket's candidate edges are stars: in the first round
-its members are compared with one hub, the class of most copies; in round k with about HUBS ** k hubs, which a hash picks. A
-bucket with no more members than hubs has all of them as hubs, after which nothing is left to compare in it; the rounds end
-when that holds for all. An edge is a candidate only if its ends are in different components so far (what a hub has linked is
-not compared again), if this is the first band that they agree in, if their sizes allow a link, and if the one-bit sketches of
-all bins differ in no more places than a pair at the threshold has but for one in some millions. Every candidate is confirmed
-on the two whole sets, so no likeness of buckets or sketches makes a link. The links' components are those of alternating
-large and small stars.
+its members are compared with one hub, the class of most copies; in round k with the first HUBS ** k classes, about, in the
+order of a hash. Hubs that have met all members leave the bucket, so after some rounds nothing is left to compare in it. An
+edge is a candidate only if its ends are in different components so far (what a hub has linked is not compared again), if this
+is the first band that they agree in, if their sizes allow a link, and if the one-bit sketches of all bins differ in no more
+places than a pair at the threshold has but for one in some millions. Every candidate is confirmed on the two whole sets, so
+no likeness of buckets or sketches makes a link. The links' components are those of alternating large and small stars.
 
 Defined cases: null and empty texts, and texts without words, have empty sets, are linked with nothing and form their own
 component; a text of fewer words than a shingle is one shingle; repeated rows are copies; a null doc_id never counts as the
@@ -148,28 +147,31 @@ def shared_buckets(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return shared.join(given.select("cid", "n", "copies", bands, "sketch"), "cid")
 
 
-def open_buckets(members: DataFrame) -> DataFrame:
-    """(bucket, m): buckets whose m members are in several components."""
+def open_buckets(members: DataFrame, turn: int) -> DataFrame:
+    """(bucket, m): buckets whose m members are in several components and have not all been hubs in earlier turns."""
     found = members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m"))
-    return found.where("low < high").select("bucket", "m")
+    compared = HUBS ** (turn - 1) if turn > 1 else 0
+    return found.where((F.col("low") < F.col("high")) & (F.col("m") > compared)).select("bucket", "m")
 
 
 def star_edges(members: DataFrame, open_: DataFrame, percent: int, turn: int) -> DataFrame:
-    """(a, b): the candidate edges between members of each open bucket and its hubs of this turn."""
+    """(a, b): the candidate edges between members of each open bucket and its hubs of this turn. Hubs of earlier turns have
+    met all members and stay away."""
     inside = members.join(open_, "bucket")
     if turn == 0:
-        first = inside.groupBy("bucket").agg(F.max(F.struct("copies", "cid"))["cid"].alias("cid"))
-        hubs = inside.join(first, ["bucket", "cid"])
-    else:  # the same classes in all buckets, so that edges are found again rather than added
-        drawn = F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(1 << 40)) / float(1 << 40)
-        hubs = inside.where(drawn * F.col("m") < HUBS**turn)
-    one = F.struct("cid", "n", "comp", "band", "bands", "sketch")
-    me, hub = inside.select("bucket", one.alias("me")), hubs.select(F.col("bucket").alias("at"), one.alias("hub"))
+        first = inside.groupBy("bucket").agg(F.max(F.struct("copies", "cid"))["cid"].alias("_hub"))
+        inside = inside.join(first.withColumnRenamed("bucket", "_at"), F.col("bucket") == F.col("_at")).withColumn("new", F.col("cid") == F.col("_hub"))
+    else:  # a hash gives the members' order, the same in all buckets
+        place = F.pmod(F.xxhash64("cid"), F.lit(1 << 40)) / float(1 << 40) * F.col("m")
+        inside = inside.where(place >= (HUBS ** (turn - 1) if turn > 1 else 0)).withColumn("new", place < HUBS**turn)
+    one = F.struct("cid", "n", "comp", "band", "bands", "sketch", "new")
+    me, hub = inside.select("bucket", one.alias("me")), inside.where("new").select(F.col("bucket").alias("at"), one.alias("hub"))
     low, high = F.least("me.n", "hub.n"), F.greatest("me.n", "hub.n")
     different = sum((F.bit_count(F.col("me.sketch")[i].bitwiseXOR(F.col("hub.sketch")[i])) for i in range(1, BINS // 64)), F.bit_count(F.col("me.sketch")[0].bitwiseXOR(F.col("hub.sketch")[0])))
     first = F.array_position(F.zip_with("me.bands", "hub.bands", lambda x, y: x == y), True) - 1
     likely = (F.col("me.comp") != F.col("hub.comp")) & (100 * low >= percent * high) & (different <= most_different(percent))
-    pairs = me.join(hub, (F.col("bucket") == F.col("at")) & likely & (first == F.col("me.band")))
+    once = ~F.col("me.new") | (F.col("me.cid") < F.col("hub.cid"))
+    pairs = me.join(hub, (F.col("bucket") == F.col("at")) & once & likely & (first == F.col("me.band")))
     return pairs.select(F.least("me.cid", "hub.cid").alias("a"), F.greatest("me.cid", "hub.cid").alias("b")).distinct()
 
 
@@ -183,24 +185,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = classes.select("cls", "copies", "one.doc_id", "one.digest", "one.n").withColumn("cid", F.monotonically_increasing_id())
     classes = stage(classes, "classes")
     shared = stage(shared_buckets(rows, classes), "shared")
-    members, links, sets, tested, turn = shared.withColumn("comp", F.col("cid")), None, None, None, 0
+    members, links, sets, turn = shared.withColumn("comp", F.col("cid")), None, None, 0
     comps: DataFrame | None = None
     while True:
-        open_ = stage(open_buckets(members), "open")
-        largest = open_.agg(F.max("m")).first()[0]
-        if largest is None:
+        open_ = stage(open_buckets(members, turn), "open")
+        if not open_.limit(1).count():
             break
-        pairs = star_edges(members, open_, percent, turn)
-        pairs = stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "edges")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        pairs = stage(star_edges(members, open_, percent, turn), "edges")
         wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
         new = class_sets(docs, classes, wanted if sets is None else wanted.join(sets, "cid", "left_anti"), width)
         sets = new if sets is None else sets.unionByName(new)
         found = stage(verified(pairs, sets, percent).select("a", "b"), "links")
         links = found if links is None else links.unionByName(found)
         comps = components(links)
-        if turn > 0 and largest <= HUBS**turn:
-            break
         named = stage(comps.select(F.col("node").alias("cid"), F.col("comp").alias("_comp")), "named")
         members = shared.join(named, "cid", "left").withColumn("comp", F.coalesce("_comp", "cid")).drop("_comp")
         turn += 1
