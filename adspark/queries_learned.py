@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from functools import cache
+import uuid
+from dataclasses import asdict, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adspark.operators import recall, towers, vector_index
+from adspark.operators import joint, metrics, recall, towers, vector_index, windows
+from adspark.operators.joint import Esmm, ValueNetwork
 from adspark.operators.metrics import recall_at
 from adspark.operators.towers import Settings, Tower
 from adspark.plans import funnel
 from adspark.queries import _past_future, query, rounded
-from adspark.sources.adapters import table
-from adspark.sources.staging import staged
+from adspark.sources import artefacts
+from adspark.sources.adapters import impressions, table
+from adspark.sources.staging import shared_folder, staged
 
 # --- vector index ---------------------------------------------------------------------------------------------------
 
@@ -57,11 +60,6 @@ TOWERS = (
 SETTINGS = Settings(epochs=1)
 
 
-@cache
-def _variants() -> dict[str, Tower]:
-    return {t.name: t for t in TOWERS}
-
-
 def _tower_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(past, future, catalogue as of the split, users): the catalogue also has the products nobody clicked so far."""
     past, future = (staged(x, "window") for x in _past_future(spark, sf_dir))
@@ -87,13 +85,13 @@ def tower_ablation(spark, sf_dir):
     positives = staged(funnel.positives(future).join(users.select("user_id"), "user_id", "left_semi"), "positives")
     cohort = positives.select("user_id").distinct()
     out, hard = None, None
-    for name, tower in _variants().items():
+    for tower in TOWERS:
         model, items, asked = _trained(past, catalogue, users, tower, hard if tower.hard else None)
-        if name == "v2_user_context_stats":
+        if tower.name == "v2_user_context_stats":
             hard = staged(towers.hard_lists(model, items, asked, past), "hard")
         found = towers.lists(model, items, asked.join(cohort, "user_id", "left_semi"), past, 50)
         measured = recall_at(staged(found, "lists"), positives, (10, 50))
-        measured = measured.select(F.lit(name).alias("variant"), "cutoff", "recall", "hit_rate", F.lit(model.losses[0] if model.losses else None).cast("double").alias("first_loss"), F.lit(model.losses[-1] if model.losses else None).cast("double").alias("last_loss"))
+        measured = measured.select(F.lit(tower.name).alias("variant"), "cutoff", "recall", "hit_rate", F.lit(model.losses[0] if model.losses else None).cast("double").alias("first_loss"), F.lit(model.losses[-1] if model.losses else None).cast("double").alias("last_loss"))
         out = measured if out is None else out.unionByName(measured)
     return rounded(out, "recall", "hit_rate", "first_loss", "last_loss", digits=4)
 
@@ -102,6 +100,54 @@ def tower_ablation(spark, sf_dir):
 def content_tower_cold_lists(spark, sf_dir):
     """The 20 best products of each user of both windows by the content tower, cold ones (never clicked before) included."""
     past, future, catalogue, users = _tower_inputs(spark, sf_dir)
-    model, items, asked = _trained(past, catalogue, users, _variants()["v1_item_content"])
+    model, items, asked = _trained(past, catalogue, users, TOWERS[1])
     found = towers.lists(model, items, asked.join(future.select("user_id").distinct(), "user_id", "left_semi"), past, 20)
     return rounded(found.join(items.select(F.col("product_id").alias("candidate_ad_id"), "cold"), "candidate_ad_id"), "two_tower_score")
+
+
+# --- joint rankers and frozen artefacts -----------------------------------------------------------------------------
+
+ESMM = Esmm(("campaign_id", "user_id", "hour"))
+VALUE = ValueNetwork(("product_brand", "product_category_1", "device_type", "partner_id"), ("log_price", "clicks_last_7d"))
+
+
+def _halves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    hour = F.floor(F.pmod("timestamp", F.lit(86_400)) / 3_600).cast("int")
+    rows = windows.split(impressions(spark, sf_dir).withColumn("hour", hour), "timestamp", 0.5, ("fit", "later"))
+    rows = staged(rows, "impressions")
+    return rows.where("window = 'fit'"), rows.where("window = 'later'")
+
+
+@query("esmm_predictions")
+def esmm_predictions(spark, sf_dir):
+    """Probabilities of the later half's impressions from the joint model of the earlier half, by way of a frozen artefact."""
+    fit, later = _halves(spark, sf_dir)
+    model = joint.fit_esmm(fit, ESMM, "event_id")
+    path = f"{shared_folder(spark)}/esmm-{uuid.uuid4().hex}"
+    meta = {"network": asdict(ESMM), "rows": artefacts.rows_fingerprint(fit), "scales": model.scales}
+    sha = artefacts.save_parameters(spark, path, model.parameters, meta)
+    parameters, found = artefacts.load_parameters(spark, path, {"network": asdict(ESMM)}, sha)
+    frozen = joint.JointModel(ESMM, parameters, {n: tuple(v) for n, v in found["scales"].items()})
+    return rounded(joint.predict(frozen, later, "event_id"), "raw_pctr", "raw_pcvr", "raw_pctcvr", digits=9)
+
+
+def _value_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    past, future = _past_future(spark, sf_dir)
+    made = lambda df: staged(df.withColumns({"log_price": F.log1p("product_price"), "log_value": F.log1p("conversion_value_eur"), "known": F.col("conversion_value_eur").isNotNull().cast("int")}), "valued")
+    return made(past), made(future)
+
+
+@query("value_networks")
+def value_networks(spark, sf_dir):
+    """(network, roc_auc, average_precision, log_loss, value_mae, first_loss, last_loss) of the cross network and of the one with
+    factors, learned from past clicks and judged on future ones."""
+    past, future = _value_rows(spark, sf_dir)
+    out = None
+    for name, network in (("crosses", VALUE), ("factors", replace(VALUE, factors=True, crosses=0))):
+        model = joint.fit_value_network(past, network, "event_id", "conversion_label", "log_value", "known")
+        scored = staged(joint.predict(model, future, "event_id").join(future.select("event_id", "conversion_label", "conversion_value_eur"), "event_id"), "scored")
+        quality = metrics.ranking_quality(scored, "conversion_label", "pCVR").crossJoin(metrics.probability_losses(scored, "conversion_label", "pCVR"))
+        error = scored.where("conversion_value_eur IS NOT NULL").agg(F.avg(F.abs(F.col("predicted_conversion_value") - F.col("conversion_value_eur"))).alias("value_mae"))
+        one = quality.crossJoin(error).select(F.lit(name).alias("network"), "roc_auc", "average_precision", "log_loss", "value_mae", F.lit(model.losses[0]).alias("first_loss"), F.lit(model.losses[-1]).alias("last_loss"))  # single rows
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, "roc_auc", "average_precision", "log_loss", "value_mae", "first_loss", "last_loss", digits=4)

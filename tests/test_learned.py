@@ -6,9 +6,12 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from adspark.operators import learning, recall, towers, vector_index
+from adspark.operators import joint, learning, recall, towers, vector_index
+from adspark.operators.joint import Esmm, ValueNetwork
 from adspark.operators.towers import Settings, Tower
+from adspark.sources import artefacts
 
 RNG = np.random.default_rng(4)
 
@@ -164,3 +167,114 @@ def test_hard_lists_are_unseen_past_products_after_the_first(spark, clicks):
     seen = {(r.user_id, r.product_id) for r in clicks.collect()}
     assert Counter(r.user_id for r in hard) == {f"u{u}": 7 for u in range(45)}
     assert all((r.user_id, r.candidate_ad_id) not in seen and int(r.candidate_ad_id[1:]) < 30 for r in hard)
+
+
+def encoded_rows(n=40):
+    return pd.DataFrame({
+        "_fields": [[int(RNG.integers(0, 10)), int(RNG.integers(10, 20)), -1 if RNG.random() < 0.2 else int(RNG.integers(20, 30))] for _ in range(n)], "_numbers": [list(RNG.normal(size=2)) for _ in range(n)],
+        "_click": (c := RNG.integers(0, 2, n)), "_both": c * RNG.integers(0, 2, n), "_y": RNG.integers(0, 2, n), "_known": (k := RNG.integers(0, 2, n)), "_target": np.where(k, RNG.normal(size=n), 99.0),
+    })
+
+
+NETWORKS = [Esmm(("a", "b", "c"), ("x", "y"), size=3, rows=30, hidden=4, joint_weight=0.7), ValueNetwork(("a", "b", "c"), ("x", "y"), size=3, rows=30, hidden=4, crosses=2), ValueNetwork(("a", "b", "c"), ("x", "y"), size=3, rows=30, hidden=4, crosses=1, factors=True, value_weight=0.5)]
+
+
+@pytest.mark.parametrize("network", NETWORKS)
+def test_joint_gradients(network):
+    p = {n: RNG.normal(0, 0.3, s) for n, s in network.shapes().items()}
+    check_gradient(joint.gradient_of(network), p, encoded_rows())
+
+
+def test_crosses_and_factors_by_hand():
+    network = NETWORKS[2]
+    p, df = {n: RNG.normal(0, 0.7, s) for n, s in network.shapes().items()}, encoded_rows(5)
+    x, _ = joint._inputs(network, p, df)
+    out = network.outputs(p, x)
+    for i, r in enumerate(df.itertuples(index=False)):
+        e = [np.zeros(3) if f < 0 else p["rows"][f] for f in r[0]]
+        x0 = np.concatenate([r[1], *e])
+        x1 = x0 * (x0 @ p["cross0"][:-1] + p["cross0"][-1]) + x0
+        h = np.maximum(x0 @ p["hidden"][:-1] + p["hidden"][-1], 0)
+        z = np.concatenate([x1, h])
+        logit = z @ p["conversion"][:-1, 0] + p["conversion"][-1, 0] + e[0] @ e[1] + e[0] @ e[2] + e[1] @ e[2]
+        assert math.isclose(out["pcvr"][i], 1 / (1 + math.exp(-logit))) and math.isclose(out["value"][i], z @ p["value"][:-1, 0] + p["value"][-1, 0])
+
+
+@pytest.fixture(scope="module")
+def impressions(spark):
+    rows = []
+    for i in range(1200):
+        good, keen = i % 3 == 0, i % 5 == 0
+        click = int(RNG.random() < (0.7 if good else 0.1))
+        sold = int(click and RNG.random() < (0.8 if keen else 0.1))
+        rows.append((i, f"c{i % 3}" if i % 97 else None, f"u{i % 5}", float(i % 7) if i % 50 else None, click, sold, 50.0 * (1 + i % 3) if sold else None))
+    return spark.createDataFrame(rows, "id long, campaign string, user string, x double, click int, click_and_conversion int, value double").cache()
+
+
+def test_esmm_multiplies_and_learns_both(spark, impressions):
+    network = Esmm(("campaign", "user"), ("x",), rows=256, epochs=12, steps=2)
+    model = joint.fit_esmm(impressions, network, "id")
+    assert model.losses[-1] < 0.9 * model.losses[0]
+    rows = joint.predict(model, impressions, "id").join(impressions, "id").toPandas()
+    assert (rows["raw_pctcvr"] == rows["raw_pctr"] * rows["raw_pcvr"]).all() and rows["raw_pcvr"].between(0, 1).all()
+    by = rows[rows["campaign"].notna()].groupby("campaign")["raw_pctr"].mean()
+    assert by["c0"] > by["c1"] + 0.3 and by["c0"] > by["c2"] + 0.3
+    keen = rows.groupby("user")["raw_pcvr"].mean()
+    assert keen["u0"] > keen.drop("u0").max() + 0.2
+    assert joint.predict(model, impressions.where("false"), "id").count() == 0
+    with pytest.raises(ValueError, match="leak"):
+        joint.fit_esmm(impressions, Esmm(("campaign", "click")), "id")
+
+
+def test_value_counts_where_it_is_known(spark, impressions):
+    rows = impressions.selectExpr("*", "log1p(value) AS log_value", "int(value IS NOT NULL) AS known")
+    network = ValueNetwork(("campaign", "user"), ("x",), rows=256, epochs=12, steps=2)
+    model = joint.fit_value_network(rows, network, "id", "click_and_conversion", "log_value", "known")
+    found = joint.predict(model, rows, "id").join(rows, "id").toPandas()
+    assert np.allclose(found["expected_value_score"], found["pCVR"] * found["predicted_conversion_value"]) and (found["predicted_conversion_value"] >= 0).all()
+    sold = found[found["value"].notna() & found["campaign"].notna()]
+    assert (abs(sold["predicted_conversion_value"] - sold["value"]) < 40).mean() > 0.7
+    spoiled = rows.withColumn("log_value", F.coalesce("log_value", F.lit(1e6)))
+    other = joint.fit_value_network(spoiled, network, "id", "click_and_conversion", "log_value", "known")
+    assert np.allclose(model.losses, other.losses)
+
+
+def test_artefacts_are_refused_when_they_differ(spark, impressions, tmp_path):
+    path = f"file://{tmp_path}/model"
+    parameters = {"a": RNG.normal(size=(3, 2)), "b": RNG.normal(size=(1, 4))}
+    meta = {"fields": ["x"], "seed": 1, "rows": artefacts.rows_fingerprint(impressions)}
+    sha = artefacts.save_parameters(spark, path, parameters, meta)
+    found, kept = artefacts.load_parameters(spark, path, {"seed": 1}, sha)
+    assert kept == meta and all((found[n] == parameters[n]).all() for n in parameters)
+    with pytest.raises(FileExistsError):
+        artefacts.save_parameters(spark, path, parameters, meta)
+    with pytest.raises(ValueError, match="other inputs"):
+        artefacts.load_parameters(spark, path, {"seed": 2})
+    with pytest.raises(ValueError, match="fingerprint"):
+        artefacts.load_parameters(spark, path, sha256="0" * 64)
+    spark.createDataFrame([("a", 0, [0.0, 0.0])], "name string, row long, v array<double>").write.mode("append").parquet(f"{path}/parameters")
+    with pytest.raises(ValueError, match="fingerprint"):
+        artefacts.load_parameters(spark, path)
+    with pytest.raises(FileNotFoundError):
+        artefacts.load_parameters(spark, f"file://{tmp_path}/none")
+    assert artefacts.rows_fingerprint(impressions.repartition(7)) == meta["rows"] != artefacts.rows_fingerprint(impressions.where("id > 0"))
+
+
+def test_datasets_are_built_once(spark, tmp_path):
+    source, root, built = str(tmp_path / "source"), f"file://{tmp_path}/sets", []
+    spark.range(10).write.parquet(source)
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(source).selectExpr("id * 2 AS twice")
+
+    first, was = artefacts.build_or_reuse(spark, root, [source], {"seed": 1}, build)
+    again, there = artefacts.build_or_reuse(spark, root, [source], {"seed": 1}, build)
+    assert (was, there, len(built)) == (False, True, 1) and sorted(r[0] for r in again.collect()) == sorted(r[0] for r in first.collect())
+    artefacts.build_or_reuse(spark, root, [source], {"seed": 2}, build)
+    spark.range(3).write.mode("append").parquet(source)
+    rows, there = artefacts.build_or_reuse(spark, root, [source], {"seed": 1}, build)
+    assert not there and rows.count() == 13 and len(built) == 3
+    with pytest.raises(ZeroDivisionError):
+        artefacts.build_or_reuse(spark, root, [source], {"seed": 9}, lambda: 1 / 0)
+    assert not list((tmp_path / "sets").glob(".building*"))
