@@ -8,7 +8,7 @@ that place must leave room before and after (length and positional bounds), and
 Equal windows of several items are one window with a list of items, and equal texts are searched and compared once; what is
 found joins the documents by a digest of their texts, which is written first, so that many copies can be dealt over tasks.
 
-Defined cases: null texts have no words; an item without words has no windows; repeated rows are judged alike; empty tables
+Defined cases: null texts have no words; an item without words has no windows; a null item id stands as the empty string; repeated rows are judged alike; empty tables
 give zero hits or an empty result; of the input only the key, the text and columns asked for are read. Tables are broadcast
 only below a checked number of rows.
 """
@@ -63,7 +63,7 @@ def word_count(text: Column) -> Column:
 
 def windows_of(items: DataFrame, key: str, text: str, window: int) -> DataFrame:
     """(wid, words, items): each distinct window with the items that have it."""
-    rows = items.select(F.col(key).cast("string").alias("item"), item_words(F.col(text)).alias("w")).where(F.size("w") > 0)
+    rows = items.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("item"), item_words(F.col(text)).alias("w")).where(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(window))
     places = rows.select("item", "w", size.alias("size"), F.explode(F.sequence(F.lit(1), F.size("w") - size + 1)).alias("place"))
     windows = places.select("item", F.slice("w", F.col("place"), F.col("size")).alias("words"))

@@ -225,7 +225,8 @@ def find_examples(df: DataFrame, marks: DataFrame, key: str, text: str) -> tuple
     texts move, and of a key with several texts that of the smallest hash is taken."""
     chosen, count = _sampled(marks)
     fits = F.octet_length(text) <= LONGEST
-    rows = df.where(fits).join(F.broadcast(chosen), F.col(key) == F.col("_own")).select(F.col(key).alias("_key"), "_toxic", F.col(text).alias("_text"))
+    rows = df.where(fits).select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_key") == F.col("_own"))
+    rows = rows.select("_key", "_toxic", "_text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

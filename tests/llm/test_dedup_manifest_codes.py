@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from adspark.llm import merkle, minhash, queries, vector_codes
+from adspark.llm import decontamination, merkle, minhash, queries, toxicity, vector_codes
 from tests.llm.test_operators import BASE, SCHEMA, TEXTS, brute_components, edited, text
 
 H = lambda x: hashlib.sha256(x.encode()).hexdigest()
@@ -203,3 +203,19 @@ def test_codes_of_nothing(spark):
     assert [(r.vec_id, r.code, r.error, r.label_error) for r in vector_codes.codes(odd).collect()] == [(1, None, None, None)]
     with pytest.raises(ValueError, match="exact"):
         vector_codes.codes(spark.createDataFrame([(1, [1e30] * 4, 4)], "vec_id long, embedding array<double>, label int"))
+
+
+def test_item_without_an_id_keeps_its_hits(spark):
+    words = " ".join(f"w{i}" for i in range(20))
+    items = spark.createDataFrame([(None, words), (5, words), (6, "other " * 20)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, words), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontamination.match_benchmark(docs, items).collect()}
+    assert got == {1: (20, 20, ["", "5"]), 2: (0, 0, [])}
+
+
+def test_toxicity_reads_no_other_columns(spark):
+    rows = [(i, ("awful nasty words " if i % 4 == 0 else "kind gentle talk ") + text(10, 300 + i), "x", 1, "y") for i in range(40)]
+    clashing = spark.createDataFrame(rows, "doc_id long, text string, _own string, _toxic int, _key string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(30)], "doc_id long, toxic int")
+    score = lambda df: sorted((r.doc_id, round(r.score, 6)) for r in toxicity.score_texts(df, toxicity.fit(df, labels, F.col("doc_id") >= 0)).collect())
+    assert score(clashing) == score(clashing.select("doc_id", "text"))
