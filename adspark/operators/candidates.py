@@ -149,3 +149,8 @@ def retention(top: DataFrame, positives: DataFrame) -> DataFrame:
     kept = positives.join(top.select("user_id", F.col("candidate_ad_id").alias("product_id"), F.lit(1).alias("_kept")).distinct(), ["user_id", "product_id"], "left")
     sums = kept.agg(F.count(F.lit(1)).alias("positives"), F.count("_kept").alias("retained"))
     return sums.withColumn("retention", F.try_divide(F.col("retained").cast("double"), F.col("positives")))
+
+
+def clicked_only(df: DataFrame, click: str = "click") -> DataFrame:
+    """Rows that were clicked; rows without a known click are none."""
+    return df.where(F.col(click) == 1)

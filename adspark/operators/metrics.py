@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,3 +173,41 @@ def output_diagnostics(ranked: DataFrame, levels: tuple[float, float] = (0.9, 0.
 
 def share_of(column: Column) -> Column:
     return F.avg(column.cast("double"))
+
+
+def sketched(df: DataFrame, value: str, group: list[str], error: float = 0.01) -> DataFrame:
+    """A mergeable sketch of a number: (*group, sign, bucket, n), rows in buckets whose bounds grow by (1 + error) / (1 - error),
+    so that a bucket's middle is within `error` of each of its values. Non-finite values are left out. There are no more buckets
+    than magnitudes of a double, whatever the number of rows; sketches merge by adding up n."""
+    gamma = (1 + error) / (1 - error)
+    x = F.col(value).cast("double")
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    bucket = F.when(x != 0, F.ceil(F.log(F.abs(x)) / F.lit(math.log(gamma))).cast("long")).otherwise(F.lit(0))
+    return df.where(finite).groupBy(*group, F.signum(x).cast("int").alias("sign"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def sketch_quantiles(sketch: DataFrame, group: list[str], levels: tuple[float, ...], error: float = 0.01) -> DataFrame:
+    """(*group, level, value): of each level the bucket that holds the order statistic at floor(level * (n - 1)), by its middle."""
+    gamma = (1 + error) / (1 - error)
+    merged = sketch.groupBy(*group, "sign", "bucket").agg(F.sum("n").alias("n"))
+    up = Window.partitionBy(*group).orderBy(F.col("sign"), F.col("sign") * F.col("bucket"))
+    middle = F.col("sign") * 2 * F.pow(F.lit(gamma), F.col("bucket")) / (gamma + 1)
+    placed = merged.withColumns({"_upto": F.sum("n").over(up), "_total": F.sum("n").over(Window.partitionBy(*group)), "_v": middle})
+    asked = placed.select("*", F.explode(F.array(*map(F.lit, levels))).alias("level")).withColumn("_at", F.floor(F.col("level") * (F.col("_total") - 1)))
+    inside = asked.where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("n") <= F.col("_at")))
+    return inside.select(*group, "level", F.col("_v").alias("value"))
+
+
+def prediction_diagnostics(df: DataFrame, columns: list[str], levels: tuple[float, ...] = (0.01, 0.5, 0.99), error: float = 0.01) -> DataFrame:
+    """A row a column of predictions: name, rows, nonfinite, zeros, mean, std, min, max and its sketched quantiles."""
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns))).alias("p")).select("p.*")
+    x = F.col("x")
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    known = F.when(finite, x)
+    stats = long.groupBy("name").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(~finite).alias("nonfinite"), F.count_if(x == 0).alias("zeros"),
+        F.avg(known).alias("mean"), F.stddev_pop(known).alias("std"), F.min(known).alias("min"), F.max(known).alias("max"),
+    )
+    found = sketch_quantiles(sketched(long, "x", ["name"], error), ["name"], levels, error)
+    named = [F.max(F.when(F.col("level") == q, F.col("value"))).alias(f"q{round(100 * q)}") for q in levels]
+    return stats.join(found.groupBy("name").agg(*named), "name", "left")

@@ -149,30 +149,30 @@ def rrf(every: DataFrame, weights: dict[str, float], k: float = 60, top_k: int =
     return ranked(fused, ["user_id"], [F.desc("rrf_score"), F.col("candidate_ad_id")], top_k).drop("rank")
 
 
-def rrf_with_quotas(every: DataFrame, weights: dict[str, float], quotas: dict[str, int], k: float = 60, top_k: int = 100) -> DataFrame:
+def rrf_with_quotas(every: DataFrame, weights: dict[str, float], quotas: dict[str, int], k: float = 60, top_k: int = 100, digits: int = 12) -> DataFrame:
     """rrf where each source, in order, first places items by its own rank until its quota is among the selected ones (items
-    that others placed count too). A user's lists are short, so one user is one group."""
-    names = list(weights)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        by: dict[str, dict[str, int]] = {n: {} for n in names}
-        for c, s, r in zip(pdf["candidate_ad_id"], pdf["source"], pdf["rank"], strict=True):
-            by[s][c] = int(r)
-        score = {c: sum(weights[n] / (k + by[n][c]) for n in names if c in by[n]) for c in set(pdf["candidate_ad_id"])}
-        chosen: dict[str, None] = {}
-        for n in names:
-            for c in sorted(by[n], key=lambda c: (by[n][c], c)):
-                if len(chosen) >= top_k or sum(x in by[n] for x in chosen) >= quotas.get(n, 0):
-                    break
-                chosen.setdefault(c)
-        for c in sorted(score, key=lambda c: (-score[c], c)):
-            if len(chosen) >= top_k:
-                break
-            chosen.setdefault(c)
-        best = sorted(chosen, key=lambda c: (-score[c], c))
-        return pd.DataFrame({"user_id": pdf["user_id"].iloc[0], "candidate_ad_id": best, "rrf_score": [score[c] for c in best], "source_count": [sum(c in by[n] for n in names) for c in best]})
-
-    return every.groupBy("user_id").applyInPandas(one, "user_id string, candidate_ad_id string, rrf_score double, source_count int")
+    that others placed count too). All windows are over a user's items, so they share one shuffle."""
+    at = {n: F.col(f"_r{i}") for i, n in enumerate(weights)}
+    ranks = [F.min(F.when(F.col("source") == n, F.col("rank"))).alias(f"_r{i}") for i, n in enumerate(weights)]
+    rows = every.where(F.col("source").isin(*weights)).groupBy("user_id", "candidate_ad_id").agg(*ranks)
+    score = sum((F.coalesce(F.lit(float(w)) / (F.lit(float(k)) + at[n]), F.lit(0.0)) for n, w in weights.items()), F.lit(0.0))
+    count = sum((at[n].isNotNull().cast("int") for n in weights), F.lit(0))
+    rows = rows.withColumns({"rrf_score": F.round(score, digits), "source_count": count, "_chosen": F.lit(False)})
+    user = Window.partitionBy("user_id")
+
+    def place(rows: DataFrame, free: Column, order: list[Column], most: Column) -> DataFrame:
+        """rows where the first `most` of the free ones, in order, are chosen too, as far as there is room."""
+        room = F.lit(top_k) - F.sum(F.col("_chosen").cast("int")).over(user)
+        nth = F.row_number().over(user.orderBy(F.when(free, 0).otherwise(1), *order, "candidate_ad_id"))
+        marked = rows.withColumns({"_free": free, "_nth": nth, "_most": F.least(most, room)})
+        return marked.withColumn("_chosen", F.col("_chosen") | (F.col("_free") & (F.col("_nth") <= F.col("_most")))).drop("_free", "_nth", "_most")
+
+    for n in weights:
+        if quota := quotas.get(n, 0):
+            held = F.sum((F.col("_chosen") & at[n].isNotNull()).cast("int")).over(user)
+            rows = place(rows, ~F.col("_chosen") & at[n].isNotNull(), [at[n].asc_nulls_last()], F.lit(quota) - held)
+    rows = place(rows, ~F.col("_chosen"), [F.desc("rrf_score")], F.lit(top_k))
+    return rows.where("_chosen").select("user_id", "candidate_ad_id", "rrf_score", "source_count")
 
 
 def first_users(df: DataFrame, n: int) -> DataFrame:

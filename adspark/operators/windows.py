@@ -96,3 +96,10 @@ def refuse_later_window(path: str, later: str = "future_b") -> None:
     """An error for paths of the final holdout."""
     if later in path.replace("-", "_").lower():
         raise ValueError(f"{path} belongs to the final holdout")
+
+
+def assert_disjoint(df: DataFrame, key: str, window: str = "window") -> None:
+    """No key may stand in two windows."""
+    shared = df.groupBy(key).agg(F.min(window).alias("a"), F.max(window).alias("b")).where("a <> b").limit(1).collect()
+    if shared:
+        raise ValueError(f"{key} {shared[0][key]!r} is in windows {shared[0]['a']!r} and {shared[0]['b']!r}")

@@ -8,14 +8,14 @@ from dataclasses import asdict, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adspark.operators import joint, metrics, recall, towers, vector_index, windows
+from adspark.operators import candidates, joint, metrics, recall, towers, vector_index, windows
 from adspark.operators.joint import Esmm, ValueNetwork
 from adspark.operators.metrics import recall_at
 from adspark.operators.towers import Settings, Tower
 from adspark.plans import funnel
-from adspark.queries import _past_future, query, rounded
+from adspark.queries import LISTS_SQL, PREDICTIONS_SQL, SPLIT_SQL, _lists, _past_future, query, rounded
 from adspark.sources import artefacts
-from adspark.sources.adapters import impressions, table
+from adspark.sources.adapters import impressions, predictions, table
 from adspark.sources.staging import shared_folder, staged
 
 # --- vector index ---------------------------------------------------------------------------------------------------
@@ -151,3 +151,76 @@ def value_networks(spark, sf_dir):
         one = quality.crossJoin(error).select(F.lit(name).alias("network"), "roc_auc", "average_precision", "log_loss", "value_mae", F.lit(model.losses[0]).alias("first_loss"), F.lit(model.losses[-1]).alias("last_loss"))  # single rows
         out = one if out is None else out.unionByName(one)
     return rounded(out, "roc_auc", "average_precision", "log_loss", "value_mae", "first_loss", "last_loss", digits=4)
+
+
+# --- fusion with quotas, diagnostics, splits ------------------------------------------------------------------------
+
+QUOTAS = {"itemcf": 8, "popularity": 10}
+
+
+def _quota_sql(weights: dict[str, float], quotas: dict[str, int], k: float, top: int) -> str:
+    """Each source in turn adds its first free items up to its quota; what room is left goes by score."""
+    rank = ", ".join(f"min(rank) FILTER (source = '{n}') AS r_{n}" for n in weights)
+    score = " + ".join(f"coalesce({w}::DOUBLE / ({k}::DOUBLE + r_{n}), 0)" for n, w in weights.items())
+    count = " + ".join(f"(r_{n} IS NOT NULL)::INT" for n in weights)
+    steps, before = [], "s0"
+    for i, (n, quota) in enumerate(quotas.items(), 1):
+        steps.append(f"""s{i} AS (SELECT * EXCLUDE (held, taken, nth), c OR (NOT c AND r_{n} IS NOT NULL AND nth <= least({quota} - held, {top} - taken)) AS c FROM (
+  SELECT *, sum((c AND r_{n} IS NOT NULL)::INT) OVER u AS held, sum(c::INT) OVER u AS taken,
+    row_number() OVER (PARTITION BY user_id ORDER BY (NOT c AND r_{n} IS NOT NULL) DESC, r_{n}, candidate_ad_id) AS nth FROM {before} WINDOW u AS (PARTITION BY user_id)))""".replace("EXCLUDE (held", "EXCLUDE (c, held"))
+        before = f"s{i}"
+    return f"""s0 AS (SELECT *, round({score}, 12) AS rrf_score, {count} AS source_count, false AS c FROM (SELECT user_id, candidate_ad_id, {rank} FROM lists GROUP BY ALL)),
+{", ".join(steps)}
+SELECT user_id, candidate_ad_id, round(rrf_score, 9) AS rrf_score, source_count FROM (
+  SELECT *, sum(c::INT) OVER (PARTITION BY user_id) AS taken, row_number() OVER (PARTITION BY user_id ORDER BY c, rrf_score DESC, candidate_ad_id) AS nth FROM {before})
+WHERE c OR nth <= {top} - taken"""
+
+
+_WEIGHTS = {"itemcf": 2.0, "popularity": 0.5}
+
+
+@query("rrf_quota_lists", f"WITH {LISTS_SQL}, {_quota_sql(_WEIGHTS, QUOTAS, 100, 40)}")
+def rrf_quota_lists(spark, sf_dir):
+    """The best 40 of the itemcf and popularity lists, with places held for each."""
+    return rounded(recall.rrf_with_quotas(_lists(spark, sf_dir)[0], _WEIGHTS, QUOTAS, 100, 40), "rrf_score", digits=9)
+
+
+def _diagnostics_sql(columns: list[str], levels: tuple[float, ...], error: float = 0.01) -> str:
+    gamma = (1 + error) / (1 - error)
+    named = ", ".join(f"max(v) FILTER (upto > floor({q}::DOUBLE * (total - 1)) AND upto - n <= floor({q}::DOUBLE * (total - 1))) AS q{round(100 * q)}" for q in levels)
+    values = " UNION ALL ".join(f"SELECT '{c}' AS name, {c}::DOUBLE AS x FROM predictions" for c in columns)
+    return f"""long AS ({values}),
+b AS (SELECT name, sign(x) AS s, CASE WHEN x = 0 THEN 0 ELSE ceil(ln(abs(x)) / ln({gamma!r}::DOUBLE))::BIGINT END AS k, count(*) AS n FROM long WHERE isfinite(x) GROUP BY ALL),
+q AS (SELECT name, n, s * 2 * pow({gamma!r}::DOUBLE, k) / ({gamma!r}::DOUBLE + 1) AS v, sum(n) OVER (PARTITION BY name ORDER BY s, s * k) AS upto, sum(n) OVER (PARTITION BY name) AS total FROM b),
+z AS (SELECT name, {named} FROM q GROUP BY name),
+t AS (SELECT name, count(*) AS rows, count(*) FILTER (x IS NULL OR NOT isfinite(x)) AS nonfinite, count(*) FILTER (x = 0) AS zeros, avg(x) FILTER (isfinite(x)) AS mean, stddev_pop(x) FILTER (isfinite(x)) AS std, min(x) FILTER (isfinite(x)) AS min, max(x) FILTER (isfinite(x)) AS max FROM long GROUP BY name)
+SELECT name, rows, nonfinite, zeros, {", ".join(f"round({c}, 6) AS {c}" for c in ("mean", "std", "min", "max", *(f"q{round(100 * q)}" for q in levels)))} FROM t LEFT JOIN z USING (name)"""
+
+
+@query("prediction_diagnostics", f"WITH {PREDICTIONS_SQL}, {_diagnostics_sql(['raw_pctr', 'raw_pctcvr', 'cost'], (0.01, 0.5, 0.99))}")
+def prediction_diagnostics(spark, sf_dir):
+    found = metrics.prediction_diagnostics(predictions(spark, sf_dir), ["raw_pctr", "raw_pctcvr", "cost"])
+    return rounded(found, "mean", "std", "min", "max", "q1", "q50", "q99")
+
+
+@query("future_halves", f"""WITH {SPLIT_SQL}, m AS (SELECT min(ts) AS m FROM (SELECT ts, sum(n) OVER (ORDER BY ts) AS upto, sum(n) OVER () AS total FROM (SELECT click_timestamp AS ts, count(*) AS n FROM future GROUP BY 1)) WHERE upto > ceil(0.5::DOUBLE * (total - 1)))
+SELECT CASE WHEN click_timestamp <= m THEN 'future_a' ELSE 'future_b' END AS "window", count(*) AS rows, count(DISTINCT user_id) AS users, min(click_timestamp) AS min_timestamp, max(click_timestamp) AS max_timestamp FROM future, m GROUP BY 1""")
+def future_halves(spark, sf_dir):
+    """The later window's halves at the median, in order and without a row in both; they are written by window in one pass."""
+    halves = windows.split(_past_future(spark, sf_dir)[1].drop("window"), "click_timestamp", 0.5, ("future_a", "future_b"))
+    path = f"{shared_folder(spark)}/halves-{uuid.uuid4().hex}"
+    artefacts.write_windows(halves, path, ["future_a", "future_b"])
+    written = spark.read.parquet(path)
+    windows.assert_disjoint(written, "event_id")
+    stats = windows.window_stats(written).select("window", "rows", "users", "min_timestamp", "max_timestamp")
+    windows.assert_window_order(stats, ["future_a", "future_b"])
+    return stats
+
+
+@query("clicked_reliability", f"""WITH {PREDICTIONS_SQL}, p AS (SELECT conversion, least(greatest(raw_pctcvr / raw_pctr, 0), 1) AS raw_pcvr FROM predictions WHERE click = 1),
+f AS (SELECT least(floor(raw_pcvr * 10), 9)::INT AS bin, count(*) AS n, avg(raw_pcvr) AS mean_score, avg(conversion) AS mean_label FROM p GROUP BY 1)
+SELECT t.bin::INT AS bin, coalesce(n, 0) AS n, round(mean_score, 9) AS mean_score, round(mean_label, 9) AS mean_label, round(coalesce(abs(mean_score - mean_label), 0), 9) AS gap FROM range(10) AS t(bin) LEFT JOIN f ON f.bin = t.bin""")
+def clicked_reliability(spark, sf_dir):
+    """Reliability of conversion given a click, over clicked rows alone."""
+    rows = candidates.clicked_only(predictions(spark, sf_dir)).withColumn("raw_pcvr", F.least(F.greatest(F.col("raw_pctcvr") / F.col("raw_pctr"), F.lit(0.0)), F.lit(1.0)))
+    return rounded(metrics.reliability(rows, "conversion", "raw_pcvr", 10), "mean_score", "mean_label", "gap", digits=9)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 FORMAT = 1
@@ -119,3 +119,26 @@ def build_or_reuse(spark: SparkSession, root: str, sources: list[str], settings:
     if exists(spark, f"{path}/manifest") or not files.rename(source, target):
         files.delete(source, True)
     return spark.read.parquet(f"{path}/rows"), False
+
+
+def write_windows(df: DataFrame, path: str, names: list[str], window: str = "window") -> dict[str, int]:
+    """Write each row to the folder of its window, in one pass, and return the windows' rows. A row of no window or of an unknown
+    one is an error, as is a total that differs from what was read; in either case nothing is published."""
+    spark = df.sparkSession
+    if exists(spark, path):
+        raise FileExistsError(f"windows exist at {path}")
+    seen, being = Observation(), f"{path.rstrip('/')}-building-{uuid.uuid4().hex}"
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.partitionBy(window).parquet(being)
+    source, files = _at(spark, being)
+    try:
+        schema = df.select(*(c for c in df.columns if c != window), window).schema
+        found = {r[window]: r["count"] for r in spark.read.schema(schema).parquet(being).groupBy(window).count().collect()}
+        if odd := sorted(str(w) for w in found if w not in names):
+            raise ValueError(f"rows outside the windows {names}: {odd}")
+        if sum(found.values()) != seen.get["rows"]:
+            raise ValueError(f"{sum(found.values())} rows written of {seen.get['rows']}")
+        if not files.rename(source, _at(spark, path)[0]):
+            raise FileExistsError(f"windows exist at {path}")
+    finally:
+        files.delete(source, True)
+    return {n: found.get(n, 0) for n in names}

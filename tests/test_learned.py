@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from adspark.operators import joint, learning, recall, towers, vector_index
+from adspark.operators import candidates, joint, learning, metrics, recall, towers, vector_index, windows
 from adspark.operators.joint import Esmm, ValueNetwork
 from adspark.operators.towers import Settings, Tower
 from adspark.sources import artefacts
@@ -278,3 +278,65 @@ def test_datasets_are_built_once(spark, tmp_path):
     with pytest.raises(ZeroDivisionError):
         artefacts.build_or_reuse(spark, root, [source], {"seed": 9}, lambda: 1 / 0)
     assert not list((tmp_path / "sets").glob(".building*"))
+
+
+def test_sketch_is_near_and_merges(spark):
+    values = [0.0] * 5 + [float(x) for x in np.concatenate([RNG.lognormal(0, 3, 700), -RNG.lognormal(0, 2, 300)])]
+    df = spark.createDataFrame([("a", x) for x in values] + [("b", 2.5), ("b", float("nan")), ("b", None), ("c", math.inf)], "name string, x double")
+    whole = metrics.sketched(df, "x", ["name"])
+    parts = metrics.sketched(df.where("x > 1"), "x", ["name"]).unionByName(metrics.sketched(df.where("x <= 1"), "x", ["name"]))
+    levels = (0.0, 0.01, 0.25, 0.301, 0.5, 0.9, 1.0)
+    found = {(r["name"], r["level"]): r["value"] for r in metrics.sketch_quantiles(whole, ["name"], levels).collect()}
+    assert found == pytest.approx({(r["name"], r["level"]): r["value"] for r in metrics.sketch_quantiles(parts, ["name"], levels).collect()})
+    order = sorted(values)
+    for q in levels:
+        exact = order[math.floor(q * (len(order) - 1))]
+        assert abs(found["a", q] - exact) <= 0.01 * abs(exact) + 1e-12 and abs(found["b", q] - 2.5) <= 0.025
+    assert not any(n == "c" for n, _ in found)
+
+
+def quota_by_hand(rows, weights, quotas, k, top):
+    out = {}
+    for user in {r[0] for r in rows}:
+        by = {n: {c: r for u, c, s, r in rows if u == user and s == n} for n in weights}
+        score = {c: round(sum(weights[n] / (k + by[n][c]) for n in weights if c in by[n]), 12) for n in weights for c in by[n]}
+        chosen = []
+        for n in weights:
+            for c in sorted(by[n], key=lambda c: (by[n][c], c)):
+                if len(chosen) < top and sum(x in by[n] for x in chosen) < quotas.get(n, 0) and c not in chosen:
+                    chosen.append(c)
+        chosen += [c for c in sorted(score, key=lambda c: (-score[c], c)) if c not in chosen][: top - len(chosen)]
+        out[user] = {c: score[c] for c in chosen}
+    return out
+
+
+@pytest.mark.parametrize(("quotas", "top"), [({"s2": 4}, 6), ({"s0": 2, "s1": 3, "s2": 5}, 8), ({"s0": 9, "s1": 9}, 7), ({}, 5)])
+def test_quotas(spark, quotas, top):
+    weights = {"s0": 1.0, "s1": 0.5, "s2": 0.1}
+    rows = [(u, f"c{int(c):02d}", s, r) for u in "abc" for s in weights for r, c in enumerate(RNG.choice(20, RNG.integers(3, 12), replace=False), 1)]
+    df = spark.createDataFrame(rows, "user_id string, candidate_ad_id string, source string, rank long")
+    got = defaultdict(dict)
+    for r in recall.rrf_with_quotas(df, weights, quotas, 10, top).collect():
+        got[r.user_id][r.candidate_ad_id] = r.rrf_score
+    assert dict(got) == quota_by_hand(rows, weights, quotas, 10, top)
+
+
+def test_windows_are_written_whole_or_not_at_all(spark, tmp_path):
+    df = spark.range(50).selectExpr("id", "CASE WHEN id < 20 THEN 'past' ELSE 'future' END AS window")
+    path = f"file://{tmp_path}/w"
+    assert artefacts.write_windows(df, path, ["past", "future", "later"]) == {"past": 20, "future": 30, "later": 0}
+    assert spark.read.parquet(f"{path}/window=past").count() == 20
+    with pytest.raises(FileExistsError):
+        artefacts.write_windows(df, path, ["past", "future"])
+    for odd in ("CASE WHEN id < 49 THEN 'past' END", "CASE WHEN id < 49 THEN 'past' ELSE 'x' END"):
+        with pytest.raises(ValueError, match="outside"):
+            artefacts.write_windows(df.selectExpr("id", f"{odd} AS window"), f"file://{tmp_path}/odd", ["past"])
+    assert {p.name for p in tmp_path.iterdir()} == {"w"}
+    windows.assert_disjoint(df, "id")
+    with pytest.raises(ValueError, match="in windows"):
+        windows.assert_disjoint(df.selectExpr("id % 25 AS id", "window"), "id")
+
+
+def test_clicked_only(spark):
+    df = spark.createDataFrame([(1, 1), (2, 0), (3, None)], "id long, click int")
+    assert [r.id for r in candidates.clicked_only(df).collect()] == [1]
