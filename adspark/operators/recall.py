@@ -202,14 +202,18 @@ def protected_fusion(every: DataFrame, positives: DataFrame, cutoffs: tuple[int,
     return _sweep_recall(out, positives, [(n,) for n in PROTECTED], cutoffs)
 
 
-def fusion_sweep(every: DataFrame, positives: DataFrame, variants: list[tuple], cutoffs: tuple[int, ...] = (10, 20, 50, 100)) -> DataFrame:
-    """(variant, cutoff, recall, hit_rate) over all users with positives, all variants in one pass."""
+def swept(every: DataFrame, variants: list[tuple], k: int) -> DataFrame:
+    """(variant, user_id, candidate_ad_id, score, rank): each variant's k best, all variants in one pass."""
     spark = every.sparkSession
     table = F.broadcast(spark.createDataFrame(variants, "variant string, k double, itemcf double, two_tower double, popularity double"))
     weight = F.when(F.col("source") == "itemcf", F.col("itemcf")).when(F.col("source") == "two_tower", F.col("two_tower")).otherwise(F.col("popularity"))
     scored = every.crossJoin(table).groupBy("variant", "user_id", "candidate_ad_id").agg(F.round(F.sum(weight / (F.col("k") + F.col("rank"))), 12).alias("score"))
-    top = ranked(scored, ["variant", "user_id"], [F.desc("score"), F.col("candidate_ad_id")], max(cutoffs))
-    return _sweep_recall(top, positives, [v[:1] for v in variants], cutoffs)
+    return ranked(scored, ["variant", "user_id"], [F.desc("score"), F.col("candidate_ad_id")], k)
+
+
+def fusion_sweep(every: DataFrame, positives: DataFrame, variants: list[tuple], cutoffs: tuple[int, ...] = (10, 20, 50, 100)) -> DataFrame:
+    """(variant, cutoff, recall, hit_rate) over all users with positives, all variants in one pass."""
+    return _sweep_recall(swept(every, variants, max(cutoffs)), positives, [v[:1] for v in variants], cutoffs)
 
 
 def _sweep_recall(top: DataFrame, positives: DataFrame, variants: list[tuple[str]], cutoffs: tuple[int, ...]) -> DataFrame:

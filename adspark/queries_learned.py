@@ -8,12 +8,12 @@ from dataclasses import asdict, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adspark.operators import candidates, joint, metrics, recall, towers, vector_index, windows
+from adspark.operators import candidates, fusion_report, joint, metrics, recall, towers, vector_index, windows
 from adspark.operators.joint import Esmm, ValueNetwork
 from adspark.operators.metrics import recall_at
 from adspark.operators.towers import Settings, Tower
 from adspark.plans import funnel
-from adspark.queries import LISTS_SQL, PREDICTIONS_SQL, SPLIT_SQL, _lists, _past_future, query, rounded
+from adspark.queries import ITEMCF_SQL, LISTS_SQL, PREDICTIONS_SQL, SPLIT_SQL, _lists, _past_future, query, rounded
 from adspark.sources import artefacts
 from adspark.sources.adapters import impressions, predictions, table
 from adspark.sources.staging import shared_folder, staged
@@ -224,3 +224,66 @@ def clicked_reliability(spark, sf_dir):
     """Reliability of conversion given a click, over clicked rows alone."""
     rows = candidates.clicked_only(predictions(spark, sf_dir)).withColumn("raw_pcvr", F.least(F.greatest(F.col("raw_pctcvr") / F.col("raw_pctr"), F.lit(0.0)), F.lit(1.0)))
     return rounded(metrics.reliability(rows, "conversion", "raw_pcvr", 10), "mean_score", "mean_label", "gap", digits=9)
+
+
+# --- coverage of sources and variants -------------------------------------------------------------------------------
+
+TWO = ("itemcf", "popularity")
+MASKS_SQL = f"""{ITEMCF_SQL}, lists AS (
+  SELECT user_id, candidate_ad_id, 'itemcf' AS source, rank FROM itemcf
+  UNION ALL SELECT user_id, candidate_ad_id, 'popularity', rank FROM (SELECT DISTINCT user_id FROM positives), popular),
+masks AS (SELECT user_id, candidate_ad_id, bit_or(CASE source WHEN 'itemcf' THEN 1 ELSE 2 END) AS mask FROM lists WHERE rank <= 100 GROUP BY ALL),
+sliced AS (SELECT user_id, product_id, CASE WHEN product_id IN (SELECT product_id FROM past) THEN 'seen' ELSE 'unseen' END AS slice FROM positives),
+hits AS (SELECT user_id, product_id, slice, mask FROM sliced JOIN masks USING (user_id) WHERE candidate_ad_id = product_id)"""
+
+
+def _masked_lists(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(all lists, masks, positives with their slice) of users with positives."""
+    every, positives = _lists(spark, sf_dir, popular_to_all=True)
+    sliced = staged(fusion_report.with_slice(positives, _past_future(spark, sf_dir)[0]), "sliced")
+    return every, staged(fusion_report.source_masks(every, TWO), "masks"), sliced
+
+
+@query("union_ceilings", f"""WITH {MASKS_SQL}, sets AS (SELECT * FROM (VALUES (1, 'itemcf'), (2, 'popularity'), (3, 'itemcf+popularity')) AS v(m, sources)),
+total AS (SELECT slice, count(*) AS positive_pairs FROM sliced GROUP BY 1),
+per_user AS (SELECT slice, user_id, m, count(*) FILTER (mask & m <> 0) AS n FROM hits, sets GROUP BY ALL),
+sums AS (SELECT slice, m, sum(n)::BIGINT AS h, sum(least(n, 100))::BIGINT AS o FROM per_user GROUP BY ALL)
+SELECT t.slice, s.sources, positive_pairs, coalesce(h, 0) AS hit_pairs, round(coalesce(h, 0) / positive_pairs, 9) AS coverage, coalesce(o, 0) AS oracle_pairs, round(coalesce(o, 0) / positive_pairs, 9) AS oracle_coverage
+FROM total t CROSS JOIN sets s LEFT JOIN sums u ON u.slice = t.slice AND u.m = s.m""")
+def union_ceilings(spark, sf_dir):
+    """What each set of sources covers of seen and unseen products' positives."""
+    _, masks, positives = _masked_lists(spark, sf_dir)
+    return rounded(fusion_report.union_ceilings(masks, positives, TWO), "coverage", "oracle_coverage", digits=9)
+
+
+@query("source_baselines", f"""WITH {MASKS_SQL}, l AS (SELECT * FROM lists WHERE rank <= 100 AND user_id IN (SELECT user_id FROM positives)),
+c AS (SELECT source, count(DISTINCT (user_id, candidate_ad_id)) AS candidate_rows, count(DISTINCT user_id) AS candidate_users, count(DISTINCT candidate_ad_id) AS unique_items FROM l GROUP BY 1),
+h AS (SELECT source, count(*) AS h, count(DISTINCT l.user_id) AS hu FROM l JOIN positives p ON p.user_id = l.user_id AND p.product_id = l.candidate_ad_id GROUP BY 1),
+z AS (SELECT count(*) AS pairs, count(DISTINCT user_id) AS users FROM positives)
+SELECT source, candidate_rows, candidate_users, unique_items, coalesce(h, 0) AS hit_pairs, coalesce(hu, 0) AS hit_users, round(coalesce(h, 0) / pairs, 9) AS coverage, round(coalesce(hu, 0) / users, 9) AS hit_rate FROM c LEFT JOIN h USING (source), z""")
+def source_baselines(spark, sf_dir):
+    _, masks, positives = _masked_lists(spark, sf_dir)
+    return rounded(fusion_report.source_baselines(masks, positives, TWO), "coverage", "hit_rate", digits=9)
+
+
+VARIANTS = recall.fusion_variants()
+
+
+@query("fusion_variant_report", f"""WITH {MASKS_SQL}, variants AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{n}', {k}::DOUBLE, {a}::DOUBLE, {p}::DOUBLE)" for i, (n, k, a, _, p) in enumerate(VARIANTS))}) AS v(place, variant, k, a, p)),
+scored AS (SELECT variant, user_id, candidate_ad_id, round(sum(CASE WHEN source = 'itemcf' THEN a ELSE p END / (k + rank)), 12) AS score FROM lists, variants GROUP BY ALL),
+best AS (SELECT * FROM scored WHERE user_id IN (SELECT user_id FROM positives) QUALIFY row_number() OVER (PARTITION BY variant, user_id ORDER BY score DESC, candidate_ad_id) <= 100),
+r AS (SELECT b.*, mask, p.product_id IS NOT NULL AS hit FROM best b JOIN masks m ON m.user_id = b.user_id AND m.candidate_ad_id = b.candidate_ad_id LEFT JOIN positives p ON p.user_id = b.user_id AND p.product_id = b.candidate_ad_id),
+s AS (SELECT variant, count(DISTINCT user_id) AS output_users, count(DISTINCT candidate_ad_id) AS unique_items, avg(bit_count(mask)::DOUBLE) AS mean_sources, count(*) FILTER (hit) AS h, count(DISTINCT user_id) FILTER (hit) AS hu,
+  avg((mask & 1)::DOUBLE) AS share_itemcf, avg(((mask >> 1) & 1)::DOUBLE) AS share_popularity, coalesce(sum(mask & 1) FILTER (hit), 0) AS k0, coalesce(sum((mask >> 1) & 1) FILTER (hit), 0) AS k1 FROM r GROUP BY 1),
+z AS (SELECT count(*) AS pairs, count(DISTINCT user_id) AS users FROM positives), l AS (SELECT sum(mask & 1) AS l0, sum((mask >> 1) & 1) AS l1 FROM hits),
+o AS (SELECT place, variant, output_users, unique_items, mean_sources, h / pairs AS coverage, hu / users AS hit_rate, share_itemcf, share_popularity, coalesce(k0 / nullif(l0, 0), 0) AS retention_itemcf, coalesce(k1 / nullif(l1, 0), 0) AS retention_popularity,
+  CASE WHEN l0 >= l1 THEN coalesce(k0 / nullif(l0, 0), 0) ELSE coalesce(k1 / nullif(l1, 0), 0) END AS tie FROM variants JOIN s USING (variant), z, l)
+SELECT variant, output_users, unique_items, round(mean_sources, 9) AS mean_sources, round(coverage, 9) AS coverage, round(hit_rate, 9) AS hit_rate, round(share_itemcf, 9) AS share_itemcf, round(share_popularity, 9) AS share_popularity,
+  round(retention_itemcf, 9) AS retention_itemcf, round(retention_popularity, 9) AS retention_popularity, (row_number() OVER (ORDER BY coverage DESC, hit_rate DESC, tie DESC, place) = 1)::INT AS best FROM o""")
+def fusion_variant_report(spark, sf_dir):
+    """Composition, coverage and retention of every variant without quotas, and which to take."""
+    every, masks, positives = _masked_lists(spark, sf_dir)
+    strongest = fusion_report.strongest_source(fusion_report.source_baselines(masks, positives, TWO), TWO)
+    top = staged(recall.swept(every, VARIANTS, 100), "top")
+    out = fusion_report.variant_report(top, masks, positives, TWO, [v[0] for v in VARIANTS], strongest)
+    return rounded(out, *(c for c, kind in out.dtypes if kind == "double"), digits=9)
