@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adspark.functions.expressions import clip, safe_divide, stable_hash
 from adspark.operators.ordering import exact_quantiles, numbered, numbered_by_hash, running
-from adspark.sources.staging import staged
+from adspark.sources.staging import shared_folder, staged
 
 EPSILON = 1e-12
 
@@ -174,17 +176,19 @@ def _fold_chunks(rows: DataFrame, budgets: list[float], step, multiplier: float)
         return pdf[["policy", "budget", "auction_id", "place"]].join(pd.DataFrame(out, columns=["won", "payment", "cumulative_spend", "pacing_multiplier", "next"]))
 
     last = rows.agg(F.max("place")).first()[0]
+    if last is None:
+        return spark.createDataFrame([], _KINDS)
     names = [r["policy"] for r in rows.select("policy").distinct().collect()]
-    state, out = [(p, float(b), 0.0, multiplier) for p in names for b in budgets], None
-    for first in range(0, (-1 if last is None else last) + 1, FOLDED):
+    state, path = [(p, float(b), 0.0, multiplier) for p in names for b in budgets], f"{shared_folder(spark)}/folded-{uuid.uuid4().hex}"
+    for chunk, first in enumerate(range(0, last + 1, FOLDED)):  # every chunk goes to one table
         held = F.broadcast(spark.createDataFrame(state, "policy string, budget double, spent double, next double"))
-        chunk = rows.where(F.col("place").between(first, first + FOLDED - 1)).join(held, "policy")
-        done = staged(chunk.groupBy("policy", "budget").applyInPandas(fold, f"{_KINDS}, place long, next double"), "chunk")
+        mine = rows.where(F.col("place").between(first, first + FOLDED - 1)).join(held, "policy")
+        mine.groupBy("policy", "budget").applyInPandas(fold, f"{_KINDS}, place long, next double").write.parquet(f"{path}/chunk={chunk}")
+        done = spark.read.parquet(f"{path}/chunk={chunk}")
         ends = done.groupBy("policy", "budget").agg(F.max_by("cumulative_spend", "place"), F.max_by("next", "place")).collect()
         going = {tuple(r)[:2]: tuple(r) for r in ends}
         state = [going.get(s[:2], s) for s in state]
-        out = done if out is None else out.unionByName(done)
-    return spark.createDataFrame([], _KINDS) if out is None else out.drop("place", "next")
+    return spark.read.parquet(path).drop("place", "next", "chunk")
 
 
 def static_pacing(cleared: DataFrame, budgets: list[float], low: float, high: float, price: str = "second_price") -> DataFrame:
@@ -264,3 +268,20 @@ def winner_changes(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: auctions, and how many have another winner under b than under a."""
     both = a.select("auction_id", F.col("winner").alias("x")).join(b.select("auction_id", F.col("winner").alias("y")), "auction_id")
     return both.agg(F.count(F.lit(1)).alias("auctions"), F.count_if(F.col("x") != F.col("y")).alias("changed"))
+
+
+def policy_grid(cleared: DataFrame, budgets: list[float], pacing: tuple[float, float, float]) -> DataFrame:
+    """spend's rows with pacing, no_pacing or feedback, of every policy and budget: all see the same auctions in one order."""
+    plain = spend(cleared, budgets).withColumn("pacing", F.lit("no_pacing"))
+    return staged(plain.unionByName(spend(cleared, budgets, pacing=pacing).withColumn("pacing", F.lit("feedback"))), "grid")
+
+
+def pacing_comparison(grid: DataFrame, buckets: int = 10) -> DataFrame:
+    """spend_summary's figures and the smoothness of every policy, budget and way of pacing."""
+    out = None
+    for mode in ("no_pacing", "feedback"):
+        curve = grid.where(F.col("pacing") == mode).drop("pacing")
+        smooth = spend_trajectory(curve, buckets).groupBy("policy", "budget").agg(F.max("smoothness").alias("smoothness"))
+        one = spend_summary(curve).join(smooth, ["policy", "budget"]).withColumn("pacing", F.lit(mode))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -8,12 +8,12 @@ from dataclasses import asdict, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adspark.operators import candidates, fusion_report, joint, metrics, recall, towers, vector_index, windows
+from adspark.operators import auction, candidates, fusion_report, joint, metrics, recall, towers, vector_index, windows
 from adspark.operators.joint import Esmm, ValueNetwork
 from adspark.operators.metrics import recall_at
 from adspark.operators.towers import Settings, Tower
 from adspark.plans import funnel
-from adspark.queries import ITEMCF_SQL, LISTS_SQL, PREDICTIONS_SQL, SPLIT_SQL, _lists, _past_future, query, rounded
+from adspark.queries import GROUPED_SQL, ITEMCF_SQL, LISTS_SQL, PREDICTIONS_SQL, SPLIT_SQL, _grouped, _lists, _past_future, query, rounded
 from adspark.sources import artefacts
 from adspark.sources.adapters import impressions, predictions, table
 from adspark.sources.staging import shared_folder, staged
@@ -287,3 +287,39 @@ def fusion_variant_report(spark, sf_dir):
     top = staged(recall.swept(every, VARIANTS, 100), "top")
     out = fusion_report.variant_report(top, masks, positives, TWO, [v[0] for v in VARIANTS], strongest)
     return rounded(out, *(c for c, kind in out.dtypes if kind == "double"), digits=9)
+
+
+# --- policies, budgets and pacing -----------------------------------------------------------------------------------
+
+POLICIES = {"fixed": (1.0, None), "ctr": (1.0, "score_pctr"), "ctcvr": (1.0, "score_pctcvr"), "target_cpa": (10.0, "score_pctcvr")}
+BUDGETS = (5.0, 60.0)
+
+
+def _policies_cleared(spark, sf_dir) -> DataFrame:
+    rows, out = staged(_grouped(spark, sf_dir).withColumn("quality", F.col("score_pctr")), "grouped"), None
+    for name, (base, score) in POLICIES.items():
+        bid = F.lit(base) if score is None else base * F.col(score)
+        one = auction.clear_auctions(rows.withColumn("bid", bid), "quality", "bid").withColumn("policy", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("pacing_comparison", f"""WITH RECURSIVE {GROUPED_SQL},
+q AS ({' UNION ALL '.join(f"SELECT '{n}' AS policy, auction_id, event_id, score_pctr AS quality, {b}::DOUBLE{'' if s is None else f' * {s}'} AS bid FROM auctions" for n, (b, s) in POLICIES.items())}),
+w AS (SELECT *, row_number() OVER v AS r, lead(quality * bid) OVER v AS nxt FROM q WINDOW v AS (PARTITION BY policy, auction_id ORDER BY quality * bid DESC, event_id)),
+o AS MATERIALIZED (SELECT policy, least(bid, coalesce(nxt, quality * bid) / greatest(quality, 1e-12)) AS p, row_number() OVER (PARTITION BY policy ORDER BY auction_id) AS i, count(*) OVER (PARTITION BY policy) AS n FROM w WHERE r = 1),
+f AS (
+  SELECT policy, budget, pacing, 0::BIGINT AS i, 0::BIGINT AS n, 0 AS won, 0.0::DOUBLE AS total, 1.0::DOUBLE AS m
+  FROM (SELECT DISTINCT policy FROM o), (VALUES {', '.join(f'({b}::DOUBLE)' for b in BUDGETS)}) AS v(budget), (VALUES ('no_pacing'), ('feedback')) AS g(pacing)
+  UNION ALL
+  SELECT policy, budget, pacing, i, n, won, total, CASE WHEN pacing = 'feedback' THEN least(3.0::DOUBLE, greatest(0.1::DOUBLE, m * pow((i::DOUBLE / n) / greatest(total / budget, 1e-12::DOUBLE), 0.1::DOUBLE))) ELSE 1.0::DOUBLE END
+  FROM (SELECT f.policy, budget, pacing, o.i, o.n, (total + p * m <= budget + 1e-12)::INT AS won, CASE WHEN total + p * m <= budget + 1e-12 THEN total + p * m ELSE total END AS total, m FROM f JOIN o ON o.policy = f.policy AND o.i = f.i + 1)),
+e AS (SELECT policy, budget, pacing, b, max(total) / budget AS spent, max(ceil(n * b / 10) / n) AS horizon FROM f, range(1, 11) AS t(b) WHERE i > 0 AND i <= ceil(n * b / 10) GROUP BY policy, budget, pacing, b),
+h AS (SELECT policy, budget, pacing, avg(abs(spent - horizon)) AS smoothness FROM e GROUP BY policy, budget, pacing)
+SELECT policy, budget, pacing, count(*) AS auctions, round(avg(won), 6) AS win_rate, round(max(total), 6) AS spend, round(min(i) FILTER (total >= budget * 0.99) / count(*), 6) AS exhausted_at,
+  round(max(total) / budget, 6) AS utilisation, coalesce(min(i) FILTER (total >= budget * 0.99) / count(*) < 0.9, false) AS exhausted_early, round(any_value(smoothness), 6) AS smoothness
+FROM f JOIN h USING (policy, budget, pacing) WHERE i > 0 GROUP BY policy, budget, pacing""")
+def pacing_comparison(spark, sf_dir):
+    """Four bidding policies, two budgets, with and without feedback pacing, side by side over the same auctions."""
+    grid = auction.policy_grid(_policies_cleared(spark, sf_dir), list(BUDGETS), (0.1, 3.0, 0.1))
+    return rounded(auction.pacing_comparison(grid), "win_rate", "spend", "exhausted_at", "utilisation", "smoothness")
