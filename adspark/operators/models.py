@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from adspark.functions.expressions import clip, logit, sigmoid
 from adspark.operators.features import assert_no_leakage, decoded_value
 from adspark.operators.metrics import expected_calibration_error, probability_losses, reliability
+from adspark.operators.ordering import numbered
 from adspark.operators.recall import vector_top_k
+from adspark.sources.staging import staged
 
 
 def _two_classes(df: DataFrame, label: str) -> bool:
@@ -123,17 +125,26 @@ def predict_value(models: tuple[PipelineModel, PipelineModel], rows: DataFrame,
     return out.select(*rows.columns, "pCVR", "predicted_conversion_value", (F.col("pCVR") * F.col("predicted_conversion_value")).alias("expected_value_score"))
 
 
-def fit_factors(pairs: DataFrame, rank: int = 16, seed: int = 2026) -> ALSModel:
-    """Implicit-feedback factors of integer user and product ids."""
-    rows = pairs.select(F.col("user_id").cast("int").alias("u"), F.col("product_id").cast("int").alias("i"), F.col("weight").cast("float").alias("w"))
-    return ALS(userCol="u", itemCol="i", ratingCol="w", implicitPrefs=True, rank=rank, maxIter=5, regParam=0.05, seed=seed).fit(rows)
+def numbered_ids(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, users, products): ids of any kind as numbers from 0 in their order, and what they stand for (user_id, u) and
+    (product_id, i)."""
+    users = staged(numbered(pairs.select("user_id").distinct(), [F.col("user_id")], "u"), "user_numbers")
+    products = staged(numbered(pairs.select("product_id").distinct(), [F.col("product_id")], "i"), "product_numbers")
+    return pairs.join(users, "user_id").join(products, "product_id").select("u", "i", "weight"), users, products
+
+
+def fit_factors(rows: DataFrame, rank: int = 16, seed: int = 2026) -> ALSModel:
+    """Implicit-feedback factors of numbered users and products (u, i, weight)."""
+    typed = rows.select(F.col("u").cast("int").alias("u"), F.col("i").cast("int").alias("i"), F.col("weight").cast("float").alias("w"))
+    return ALS(userCol="u", itemCol="i", ratingCol="w", implicitPrefs=True, rank=rank, maxIter=5, regParam=0.05, seed=seed).fit(typed)
 
 
 def factor_lists(pairs: DataFrame, users: DataFrame, k: int, rank: int = 16, seed: int = 2026) -> DataFrame:
     """(user_id, candidate_ad_id, two_tower_score, rank): the k unseen products of largest inner product of factors."""
-    model = fit_factors(pairs, rank, seed)
-    named = lambda df: df.select(F.col("id").cast("string").alias("id"), F.transform("features", lambda x: x.cast("double")).alias("v"))
-    asked = named(model.userFactors).join(users.select(F.col("user_id").alias("id")).distinct(), "id", "left_semi")
+    rows, user_numbers, product_numbers = numbered_ids(pairs)
+    model = fit_factors(rows, rank, seed)
+    of = lambda factors, names, number, key: factors.join(names, F.col("id") == F.col(number)).select(F.col(key).alias("key"), F.transform("features", lambda x: x.cast("double")).alias("v"))
+    asked = of(model.userFactors, user_numbers, "u", "user_id").join(users.select(F.col("user_id").alias("key")).distinct(), "key", "left_semi")
     seen = pairs.join(users.select("user_id").distinct(), "user_id", "left_semi").select(F.col("user_id").alias("query"), F.col("product_id").alias("item"))
-    found = vector_top_k(asked, named(model.itemFactors), k, "id", "v", seen, same=False)
+    found = vector_top_k(asked, of(model.itemFactors, product_numbers, "i", "product_id"), k, "key", "v", seen, same=False)
     return found.select(F.col("query").alias("user_id"), F.col("item").alias("candidate_ad_id"), F.col("score").alias("two_tower_score"), "rank")

@@ -135,10 +135,10 @@ def test_calibrators_improve(spark):
 
 
 def test_serving_ratio(spark):
-    df = spark.createDataFrame([(0.2, 0.1), (0.5, 0.8)], "raw_pctr double, raw_pctcvr double")
+    df = spark.createDataFrame([(0.4, 0.06), (0.25, 0.32), (0.05, 0.09), (0.7, 0.7)], "raw_pctr double, raw_pctcvr double")
     r = metrics.serving_consistency(df).first()
-    assert r["clipped_fraction"] == 0.5 and r["max_error"] == pytest.approx(0.3)
-    assert [round(x[0], 9) for x in rows(auction.attribution_scores(df).select("score_pcvr"))] == [0.5, 1.0]
+    assert r["clipped_fraction"] == 0.5 and r["max_error"] == pytest.approx(0.07) and r["mean_error"] == pytest.approx(0.11 / 4)
+    assert [round(x[0], 9) for x in rows(auction.attribution_scores(df).select("score_pcvr"))] == [0.15, 1.0, 1.0, 1.0]
 
 
 def test_prices_and_budget(spark):

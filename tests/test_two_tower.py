@@ -12,13 +12,16 @@ from tests.test_queries import DATA
 
 
 def test_lists_from_factors(spark, monkeypatch):
-    data = [(str(u), str(p), float(1 + (u + p) % 3)) for u in range(12) for p in range(15) if (u * 7 + p * 3) % 4 == 0]
+    data = [(f"u{u}", f"p{p}", float(1 + (u + p) % 3)) for u in range(12) for p in range(15) if (u * 7 + p * 3) % 4 == 0]
     pairs = spark.createDataFrame(data, "user_id string, product_id string, weight double")
-    model = models.fit_factors(pairs, 4)
+    rows, *tables = models.numbered_ids(pairs)
+    model = models.fit_factors(rows, 4)
     monkeypatch.setattr(models, "fit_factors", lambda *_: model)
-    of = lambda df: {str(r["id"]): np.array(r["features"], float) for r in df.collect()}
-    users, items, seen = of(model.userFactors), of(model.itemFactors), {x[:2] for x in data}
-    asked = ["1", "4", "5"]
+    names = [{r[number]: r[key] for r in t.collect()} for t, number, key in zip(tables, "ui", ("user_id", "product_id"), strict=True)]
+    assert [sorted(n) for n in names] == [list(range(12)), list(range(15))]
+    of = lambda df, name: {name[r["id"]]: np.array(r["features"], float) for r in df.collect()}
+    users, items, seen = of(model.userFactors, names[0]), of(model.itemFactors, names[1]), {x[:2] for x in data}
+    asked = ["u1", "u4", "u5"]
     want = []
     for u in asked:
         best = sorted((-round(float(users[u] @ v), 9), i) for i, v in items.items() if (u, i) not in seen)[:3]
