@@ -304,11 +304,69 @@ def test_lm_rare_words_are_joined(docs, monkeypatch):
 
 
 def test_lm_class_softmax_sums_to_one():
-    model = lm_scoring.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), 0, 0, np.zeros(lm_scoring.CLASSES), np.zeros(lm_scoring.CLASSES, np.float32), np.random.default_rng(0).normal(size=(lm_scoring.ROWS, lm_scoring.CLASSES)).astype(np.float32))
+    model = lm_scoring.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), 0, 0, np.zeros(lm_scoring.CLASSES), np.zeros(lm_scoring.CLASSES, np.float32), np.random.default_rng(0).normal(size=(64, lm_scoring.CLASSES)).astype(np.float32))
     p = lm_scoring._softmax(lm_scoring._logits(model, np.arange(40).reshape(10, 4)))
     assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
 
 
+def lm_scores_by_hand(texts, trained, classes_of, rows):
+    """Scores of all texts with the model's steps written out, one token after the other; classes_of: word -> class."""
+    c = Counter(w for part in trained for t in part for w in split(lower(t)) + [None])
+    n_c, v_c = Counter(), Counter()
+    for w, n in c.items():
+        n_c[classes_of(w)] += n
+        v_c[classes_of(w)] += 1
+    size = lm_scoring.CLASSES
+    share = np.array([n_c[k] + 1 for k in range(size)]) / (sum(n_c.values()) + size)
+    weights = np.zeros((rows, size))
+
+    def walk(t):
+        tokens, _, sizes = lm_scoring.tokens_of([None if t is None else t.encode()])
+        return zip(split(lower(t)) + [None], lm_scoring.features(tokens, sizes, rows).tolist(), strict=True)
+
+    def probabilities(at):
+        e = np.exp(np.log(share) + sum(weights[i] for i in at))
+        return e / e.sum()
+
+    for part in trained:
+        seen, expected = np.zeros((rows, size)), np.zeros((rows, size))
+        for t in part:
+            for w, at in walk(t):
+                p = probabilities(at)
+                for i in at:
+                    seen[i, classes_of(w)] += 1
+                    expected[i] += p
+        weights = weights + lm_scoring.STEP * np.log((seen + lm_scoring.PRIOR * share) / (expected + lm_scoring.PRIOR * share))
+    inside = lambda w: math.log10((c[w] + 0.5) / (n_c[classes_of(w)] + 0.5 * (v_c[classes_of(w)] + 1)))
+    return [sum(math.log10(probabilities(at)[classes_of(w)]) + inside(w) for w, at in walk(t)) for t in texts]
+
+
+def test_lm_scores_against_steps_by_hand(docs):
+    rows = [r.asDict() for r in docs.where("doc_id is null or doc_id <> 12").select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(lm_scoring.STEPS)).alias("step")).collect()]
+    some = docs.where("doc_id is null or doc_id <> 12")
+    model, counts, least = lm_scoring.fit(some, F.lit(True))
+
+    def classes_of(w):
+        tokens, own, _ = lm_scoring.tokens_of([None if w is None else w.encode()])
+        return 0 if w is None else int(model.classes(tokens[:1], own[:1])[0])
+
+    trained = [[r["text"] for r in rows if r["step"] == k] for k in range(lm_scoring.STEPS)]
+    want = lm_scores_by_hand([r["text"] for r in rows], trained, classes_of, len(model.weights))
+    got = lm_scoring.score_texts(some, model, counts, least).collect()
+    key = lambda pair: (pair[0] is None, pair[0] or 0, pair[1])
+    for (a, x), (b, y) in zip(sorted([(r["doc_id"], w) for r, w in zip(rows, want, strict=True)], key=key), sorted([(r.doc_id, r.score) for r in got], key=key), strict=True):
+        assert a == b and math.isclose(x, y, rel_tol=1e-4)
+
+
+def test_lm_partitions_change_nothing(docs):
+    found = [{(r.doc_id, r.n_tokens): r.score for r in lm_scoring.score_texts(docs, *lm_scoring.fit(docs.repartition(n), F.lit(True))).collect()} for n in (1, 16)]
+    assert found[0].keys() == found[1].keys() and all(math.isclose(found[0][k], found[1][k], rel_tol=1e-5) for k in found[0])
+
+
+def test_lm_rows_follow_the_vocabulary():
+    assert [lm_scoring.table_rows(v) for v in (0, 1, 1 << 17, (1 << 17) + 32, 1 << 18, 1 << 30)] == [1 << 12, 1 << 12, 1 << 12, 1 << 13, 1 << 13, 1 << 14]
+
+
 LETTERS = {"aa": "abcde", "bb": "vwxyz", "cc": "éèçàô"}
 
 
