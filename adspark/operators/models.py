@@ -3,6 +3,8 @@ outputs and invariants (README)."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import FMClassifier, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import FeatureHasher, VectorAssembler
@@ -48,13 +50,21 @@ def fit_isotonic(df: DataFrame, label: str, score: str) -> tuple[list[float], li
 
 
 def apply_isotonic(df: DataFrame, curve: tuple[list[float], list[float]], score: str, out: str, epsilon: float = 1e-7) -> DataFrame:
-    """Linear between boundaries and constant beyond, as an expression over the two arrays."""
-    b, v = F.array(*map(F.lit, curve[0])), F.array(*map(F.lit, curve[1]))
-    at = F.size(F.filter(b, lambda x: x <= F.col(score)))
-    low, high = F.greatest(at, F.lit(1)), F.least(at + 1, F.lit(len(curve[0])))
-    x0, x1, y0, y1 = F.element_at(b, low), F.element_at(b, high), F.element_at(v, low), F.element_at(v, high)
-    between = F.when(x1 > x0, y0 + (y1 - y0) * clip((F.col(score) - x0) / F.when(x1 > x0, x1 - x0), 0.0, 1.0)).otherwise(y0)
-    return df.withColumn(out, clip(between, epsilon, 1 - epsilon))
+    """Linear between boundaries and constant beyond, null for a null score. The curve, which the fit holds on the driver, is
+    sent once to each executor; a score finds its boundaries by binary search."""
+    shared = df.sparkSession.sparkContext.broadcast(tuple(np.asarray(part, float) for part in curve))
+
+    @F.pandas_udf("double")
+    def between(scores: pd.Series) -> pd.Series:
+        x, (b, v) = scores.to_numpy(float), shared.value
+        at = np.searchsorted(b, x, "right")
+        low, high = np.maximum(at - 1, 0), np.minimum(at, len(b) - 1)
+        wide = b[high] > b[low]
+        share = np.where(wide, (x - b[low]) / np.where(wide, b[high] - b[low], 1.0), 0.0)
+        return pd.Series(v[low] + (v[high] - v[low]) * np.clip(share, 0.0, 1.0))
+
+    value = F.col(score).cast("double")
+    return df.withColumn(out, F.when(value.isNotNull(), clip(between(value), epsilon, 1 - epsilon)))
 
 
 def select_calibrator(fit: DataFrame, later: DataFrame, label: str, score: str, bins: int = 10) -> tuple[str, DataFrame]:

@@ -312,3 +312,20 @@ def test_running_popularity_stream(spark, tmp_path):
     q = running.writeStream.outputMode("complete").format("memory").queryName("pop").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert rows(spark.table("pop"), "candidate_ad_id") == [("a", 4.0), ("b", 1.0)]
+
+
+def test_isotonic_curve_of_many_boundaries(spark):
+    bounds = [0.1 + i / 50_000 for i in range(40_000)]
+    values = [0.2 + i / 80_000 for i in range(40_000)]
+    asked = [None, 0.0, 0.1, bounds[7], (bounds[7] + bounds[8]) / 2, bounds[-1], 5.0]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(asked)], "i int, p double")
+    got = [r.c for r in models.apply_isotonic(df, (bounds, values), "p", "c").orderBy("i").collect()]
+    want = [None, 0.2, 0.2, values[7], (values[7] + values[8]) / 2, values[-1], values[-1]]
+    assert got[0] is None and all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip(got[1:], want[1:], strict=True))
+
+
+def test_isotonic_steps_and_ends(spark):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([0.1, 0.3, 0.5, 0.7])], "i int, p double")
+    got = [r.c for r in models.apply_isotonic(df, ([0.2, 0.5, 0.5, 0.6], [0.0, 0.4, 0.8, 1.0]), "p", "c").orderBy("i").collect()]
+    assert all(math.isclose(a, b, abs_tol=1e-6) for a, b in zip(got, [1e-7, 0.4 / 3, 0.8, 1 - 1e-7], strict=True))
+    assert [r.c for r in models.apply_isotonic(df, ([0.4], [0.3]), "p", "c").collect()] == [0.3] * 4
