@@ -40,8 +40,9 @@ PERCENTILE = 0.9
 SEGMENT = 1 << 18
 #: New pieces that are encoded in one call.
 JOINED = 4096
-#: Pieces whose ids a task remembers.
+#: Pieces whose ids a task remembers, and the bytes that they, their ids and their places may take.
 REMEMBERED = 600_000
+HELD = 64 << 20
 
 _HEAD = np.dtype([("magic", "S4"), ("n", "<u8"), ("blocks", "<u4"), ("exceptions", "<u4")])
 _INDEX = np.dtype([("start", "<u4"), ("least", "<u4"), ("width", "u1"), ("first", "<u4")])
@@ -197,6 +198,11 @@ class Encoder:
         self.begins, self.sizes, self.flat = _Growing(np.uint32), _Growing(np.uint32), _Growing(np.uint32)
         self.from_, self.raw = _Growing(np.uint32), _Growing(np.uint8)
 
+    def held(self) -> int:
+        """Bytes of all that is remembered, room to grow included."""
+        grown = (self.begins, self.sizes, self.flat, self.from_, self.raw)
+        return sum(x.room.nbytes for x in grown) + sum(x.nbytes for level in self.levels for x in level)
+
     def _letter_table(self) -> dict | None:
         """How the tokenizer spells a space and the letters of U+00C0 to U+00FF, if it takes a run of letters, after one space at
         most, as one word; None otherwise."""
@@ -273,7 +279,7 @@ class Encoder:
                 out = np.where(hashes[at] == found, place[at], out)
         return out
 
-    def encode(self, data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, data: bytes | memoryview, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids of each text) of texts laid end to end; ends are their ends in bytes."""
         raw = np.frombuffer(data, np.uint8)
         edge = np.zeros(len(raw) + 1, bool)
@@ -283,7 +289,7 @@ class Encoder:
         edges = np.flatnonzero(edge)
         start, end = edges[:-1], edges[1:]
         found, first, which = np.unique(span_hash(raw, start, end), return_index=True, return_inverse=True)
-        if len(self.sizes.held) + len(found) > REMEMBERED:
+        if len(self.sizes.held) + len(found) > REMEMBERED or self.held() > HELD:
             self._forget()
         place = self._places(found)
         new = np.flatnonzero(place < 0)
@@ -299,9 +305,9 @@ class Encoder:
         upto = np.concatenate([[0], np.cumsum(each)])[np.searchsorted(end, ends, "right")]
         return ids, np.diff(upto, prepend=0)
 
-    def _whole(self, data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _whole(self, data: bytes | memoryview, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """As encode, each text in one piece."""
-        lists = self._encoded([data[a:b].decode() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)])
+        lists = self._encoded([bytes(data[a:b]).decode() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)])
         return np.fromiter(chain.from_iterable(lists), np.uint32), np.array([len(x) for x in lists], np.int64)
 
 
@@ -338,7 +344,7 @@ def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
 
 
-def _safe_pieces(text: bytes) -> list[bytes]:
+def _safe_pieces(text: memoryview) -> list[memoryview]:
     """A text in pieces of at most 2 * PIECE bytes where safe cuts are that near."""
     cut, at, reach = [], 0, 2 * PIECE
     while len(text) - at > reach:
@@ -369,19 +375,19 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str
         end = np.array([end_id], np.uint32)
         for batch in batches:
             kind = batch.column("_key").type
-            texts = batch.column("_text").cast(pa.binary()).to_pylist()
+            texts = batch.column("_text").cast(pa.large_binary())  # laid end to end already, so runs of them are not copied
+            edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            data = memoryview(texts.buffers()[2] or b"")
             names = batch.column("_key").to_pylist()
             at = 0
             while at < len(texts):
-                to, held = at, 0
-                while to < len(texts) and (to == at or held + len(texts[to] or b"") <= PIECE):
-                    held += len(texts[to] or b"")
-                    to += 1
+                to = max(at + 1, int(np.searchsorted(edges, edges[at] + PIECE, "right")) - 1)
+                run = data[edges[at] : edges[to]]
                 if to - at > 1:
-                    got, counts = encoder.encode(b"".join(t or b"" for t in texts[at:to]), np.cumsum([len(t or b"") for t in texts[at:to]]))
+                    got, counts = encoder.encode(run, edges[at + 1 : to + 1] - edges[at])
                     split = np.split(got, np.cumsum(counts)[:-1])
                 else:
-                    split = [np.concatenate([encoder.encode(p, np.array([len(p)]))[0] for p in _safe_pieces(texts[at] or b"")])]
+                    split = [np.concatenate([encoder.encode(p, np.array([len(p)]))[0] for p in _safe_pieces(run)])]
                 for name, own in zip(names[at:to], split, strict=True):
                     keys.append(name)
                     ids += [own.astype(np.uint32), end]

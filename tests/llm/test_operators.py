@@ -544,6 +544,20 @@ def test_pieces_of_one_hash_are_told_apart(monkeypatch):
         assert e.encode(t.encode(), np.array([len(t)]))[0].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_what_an_encoder_remembers_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(token_output, "HELD", 1 << 14)
+    e = token_output.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    most = 0
+    for k in range(40):
+        texts = [text(60, 100 * k + i) + f" w{k}x{i}" + "y" * (500 if i == 3 else 0) for i in range(5)] + [""]
+        raw = [t.encode() for t in texts]
+        got, counts = e.encode(memoryview(b"".join(raw)), np.cumsum([len(r) for r in raw]))
+        want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == [len(w) for w in want] and got.tolist() == [i for w in want for i in w]
+        most = max(most, e.held())
+    assert most < 4 * (1 << 14)
+
+
 def test_words_of_long_texts(monkeypatch):
     texts = [text(4000, 3).encode(), b"x" * 9000, b"", None, b"a " * 3000 + "é".encode()]
     want = common.hashed_words(texts)
