@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from adspark import queries, queries_learned, queries_ranking  # noqa: F401
+from adspark import queries, queries_learned, queries_ranking, queries_temporal  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
