@@ -60,3 +60,17 @@ def test_rows_go_only_where_they_are_needed(spark):
     asked = entries.groupBy("user_id").agg(F.collect_list(F.struct("i", F.col("weight").alias("x"))).alias("row"), F.sum("n").alias("load"))
     asked = asked.withColumn("block", F.substring_index(F.substring("user_id", 2, 9), "_", 1).cast("int"))  # a block a community
     assert neighbours.needed(asked, entries).count() == rows.count() == len({u for u, *_ in data})
+
+
+def test_sweep_makes_variants_after_the_shuffle(spark):
+    """Each variant's order by hand, and no shuffle of rows that are there once a variant."""
+    lists = [("u", "a", "itemcf", 1), ("u", "b", "itemcf", 2), ("u", "b", "popularity", 1), ("v", "c", "popularity", 1), ("u", "d", "popularity", 2)]
+    every = spark.createDataFrame(lists, "user_id string, candidate_ad_id string, source string, rank long")
+    top = recall.swept(every, [("even", 10.0, 1.0, 1.0, 1.0), ("items", 10.0, 9.0, 1.0, 1.0)], 2)
+    assert "hashpartitioning(variant" not in top._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.variant, r.user_id, r["rank"], r.candidate_ad_id, r.score) for r in top.collect())
+    even = [("even", "u", 1, "b", round(1 / 12 + 1 / 11, 12)), ("even", "u", 2, "a", round(1 / 11, 12)), ("even", "v", 1, "c", round(1 / 11, 12))]
+    assert got == [*even, ("items", "u", 1, "b", round(9 / 12 + 1 / 11, 12)), ("items", "u", 2, "a", round(9 / 11, 12)), ("items", "v", 1, "c", round(1 / 11, 12))]
+    positives = spark.createDataFrame([("u", "a"), ("u", "z"), ("w", "a")], "user_id string, product_id string")
+    found = {(r.variant, r.cutoff): (r.recall, r.hit_rate) for r in recall.fusion_sweep(every, positives, [("even", 10.0, 1.0, 1.0, 1.0)], (1, 2)).collect()}
+    assert found == {("even", 1): (0.0, 0.0), ("even", 2): (0.25, 0.5)}
