@@ -246,6 +246,7 @@ def selection(df: DataFrame, policies: dict[str, Column], fractions: tuple[float
     value_lift, capture_lift): the best ceil(n * fraction) rows by each policy, ties by key. Values below 0 and missing ones
     count as 0. Lifts are over random_baseline, rows in the order of a hash of the seed and the key."""
     base = df.select(F.col(key).alias("k"), F.coalesce(F.col(label), F.lit(0)).alias("y"), F.greatest(F.coalesce(F.col(value), F.lit(0.0)), F.lit(0.0)).alias("v"), *(F.round(F.coalesce(s, F.lit(0.0)), 9).alias(f"s_{n}") for n, s in policies.items()))
+    base = staged(base, "selection")  # each order and the totals read it
     totals = F.broadcast(base.agg(F.count(F.lit(1)).alias("_n"), F.sum("y").alias("_c"), F.sum("v").alias("_v")))
     orders = {"random_baseline": numbered_by_hash(base.select("k", "y", "v"), stable_hash(F.lit(seed), F.col("k")), "k", "place")}
     orders |= {n: numbered(base.select("k", "y", "v", f"s_{n}"), [F.desc(f"s_{n}"), F.col("k")], "place") for n in policies}
