@@ -10,7 +10,7 @@ head also has the inner products of all pairs of fields. The value counts only w
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -182,11 +182,14 @@ def _refuse(network: Network, outcomes: set[str]) -> None:
         raise ValueError(f"inputs that leak the outcome: {own}")
 
 
-def _learn(rows: DataFrame, network: Network, targets: dict[str, Column], scales: dict[str, tuple[float, float]], key: Column) -> JointModel:
+def _steps(rows: DataFrame, network: Network, targets: dict[str, Column], scales: dict[str, tuple[float, float]], key: Column, hashed: bool = False) -> Callable[[int], DataFrame]:
+    made = encoded(rows, network, scales).select("_fields", "_numbers", key.alias("_key"), *(c.alias(n) for n, c in targets.items()))
+    return by_step(made, F.col("_key"), network.steps, ("_key",), hashed)
+
+
+def _learn(step_rows: Callable[[int], DataFrame], network: Network, scales: dict[str, tuple[float, float]]) -> JointModel:
     rng = np.random.default_rng(network.seed)
     start = {n: rng.normal(0, 0.05 if n == "rows" else 1 / np.sqrt(s[0]), s) * (0.1 if n.startswith("cross") else 1.0) for n, s in network.shapes().items()}
-    made = encoded(rows, network, scales).select("_fields", "_numbers", key.alias("_key"), *(c.alias(n) for n, c in targets.items()))
-    step_rows = by_step(made, F.col("_key"), network.steps)
     parameters, losses = descend(step_rows, network.steps, network.epochs, start, gradient_of(network), network.rate)
     return JointModel(network, parameters, scales, losses)
 
@@ -194,19 +197,32 @@ def _learn(rows: DataFrame, network: Network, targets: dict[str, Column], scales
 def fit_esmm(rows: DataFrame, network: Esmm, key: str, click: str = "click", both: str = "click_and_conversion") -> JointModel:
     """The joint model of clicks and conversions over all impressions."""
     _refuse(network, {click, both})
-    return _learn(rows, network, {"_click": F.col(click), "_both": F.col(both)}, _scales(rows, network.numbers), F.col(key))
+    scales = _scales(rows, network.numbers)
+    return _learn(_steps(rows, network, {"_click": F.col(click), "_both": F.col(both)}, scales, F.col(key)), network, scales)
 
 
 def fit_value_network(rows: DataFrame, network: ValueNetwork, key: str, label: str, log_value: str, mask: str) -> JointModel:
     """The joint model of conversions and, where mask is 1, of the log value."""
-    _refuse(network, {label, log_value, mask})
-    scales = _scales(rows, network.numbers) | {"": _scales(rows.where(F.col(mask) == 1), (log_value,))[log_value]}
+    return fit_value_networks(rows, [network], key, label, log_value, mask)[0]
+
+
+def fit_value_networks(rows: DataFrame, networks: list[ValueNetwork], key: str, label: str, log_value: str, mask: str, hashed: bool = False) -> list[JointModel]:
+    """fit_value_network of several networks that read the same inputs in the same steps: these are written once. hashed: the
+    key is xxhash64 of a key."""
+    first = networks[0]
+    for network in networks:
+        _refuse(network, {label, log_value, mask})
+        if (network.fields, network.numbers, network.rows, network.steps) != (first.fields, first.numbers, first.rows, first.steps):
+            raise ValueError("networks that are fitted together must have the same inputs and steps")
+    scales = _scales(rows, first.numbers) | {"": _scales(rows.where(F.col(mask) == 1), (log_value,))[log_value]}
     target = F.coalesce((F.col(log_value) - F.lit(scales[""][0])) / F.lit(scales[""][1]), F.lit(0.0))
-    return _learn(rows, network, {"_y": F.col(label), "_target": target, "_known": F.col(mask)}, scales, F.col(key))
+    step_rows = _steps(rows, first, {"_y": F.col(label), "_target": target, "_known": F.col(mask)}, scales, F.col(key), hashed)
+    return [_learn(step_rows, network, scales) for network in networks]
 
 
-def predict(model: JointModel, rows: DataFrame, key: str, log_max: float = 20.0) -> DataFrame:
-    """key with raw_pctr, raw_pcvr and raw_pctcvr, or with pCVR, predicted_conversion_value and expected_value_score."""
+def predict(model: JointModel, rows: DataFrame, key: str, log_max: float = 20.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key with raw_pctr, raw_pcvr and raw_pctcvr, or with pCVR, predicted_conversion_value and expected_value_score; then the
+    columns of rows to keep, so that outcomes need not be joined."""
     shared = rows.sparkSession.sparkContext.broadcast((model.network, model.parameters, model.scales))
     kind = rows.schema[key].dataType.simpleString()
     names = ["raw_pctr", "raw_pcvr", "raw_pctcvr"] if isinstance(model.network, Esmm) else ["pCVR", "predicted_conversion_value", "expected_value_score"]
@@ -223,7 +239,8 @@ def predict(model: JointModel, rows: DataFrame, key: str, log_max: float = 20.0)
                 mean, deviation = scales[""]
                 value = np.expm1(np.clip(out["value"] * deviation + mean, 0, log_max))
                 values = [out["pcvr"], value, out["pcvr"] * value]
-            yield pd.DataFrame({key: df[key], **dict(zip(names, values, strict=True))})
+            yield pd.DataFrame({key: df[key], **dict(zip(names, values, strict=True)), **{n: df[n] for n in keep}})
 
-    made = encoded(rows, model.network, model.scales).select(key, "_fields", "_numbers")
-    return made.mapInPandas(score, f"{key} {kind}, " + ", ".join(f"{n} double" for n in names))
+    made = encoded(rows, model.network, model.scales).select(key, "_fields", "_numbers", *keep)
+    kept = "".join(f", {n} {rows.schema[n].dataType.simpleString()}" for n in keep)
+    return made.mapInPandas(score, f"{key} {kind}, " + ", ".join(f"{n} double" for n in names) + kept)
