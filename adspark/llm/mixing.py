@@ -155,13 +155,19 @@ def pieces(texts: DataFrame, block_words: int) -> DataFrame:
     return texts.where(F.col("size") > 0).withColumn("block", blocks).withColumns({"begin": begin, "n": end - begin})
 
 
+def placed_pieces(texts: DataFrame, slots: DataFrame, block_words: int) -> DataFrame:
+    """pieces of the blocks that some slot takes, with times. Both sides are shuffled: what Spark knows of their sizes is that of
+    compressed texts before they are cut, so it would send all pieces through the driver."""
+    times = slots.groupBy("index", "block").agg(F.count(F.lit(1)).alias("times"))
+    return pieces(texts, block_words).hint("merge").join(times.hint("merge"), ["index", "block"])
+
+
 def taken_words(texts: DataFrame, slots: DataFrame, block_words: int = 64) -> DataFrame:
     """texts with taken, the words that the mix takes of each, repeats counted."""
-    times = slots.groupBy("index", "block").agg(F.count(F.lit(1)).alias("times"))
-    whole = pieces(texts, block_words).join(times, ["index", "block"]).groupBy("index", "start").agg(F.sum(F.col("times") * F.col("n")).alias("_taken"))
+    whole = placed_pieces(texts, slots, block_words).groupBy("index", "start").agg(F.sum(F.col("times") * F.col("n")).alias("_taken"))
     named = whole.withColumnRenamed("index", "_index").withColumnRenamed("start", "_start")
     on = (F.col("index") == F.col("_index")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0)
-    return texts.join(named, on, "left").withColumn("taken", F.coalesce(F.col("_taken"), F.lit(0)).cast("long")).drop("_index", "_start", "_taken")
+    return texts.join(named.hint("merge"), on, "left").withColumn("taken", F.coalesce(F.col("_taken"), F.lit(0)).cast("long")).drop("_index", "_start", "_taken")
 
 
 def _cut(text: bytes, places: list[dict]) -> list[bytes]:
@@ -185,8 +191,7 @@ def mixed_documents(df: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0),
     connected; a row that is taken whole n times comes n times. n_chars, where there is such a column, is set anew.
     White space within a part is the text's own. Rows alike in key, source and text count as often as they come."""
     texts, slots = mix_sources(df, weights, key, text, block_words, shards, seed, keep_hash=True)
-    times = slots.groupBy("index", "block").agg(F.count(F.lit(1)).alias("times"))
-    places = pieces(texts, block_words).join(times, ["index", "block"])
+    places = placed_pieces(texts, slots, block_words)
     mine = places.groupBy(F.col(key).alias("_key"), F.col("_text").alias("_hash"), F.col("source").alias("_source")).agg(F.collect_list(F.struct("start", "begin", "n", "times")).alias("_places"))
     on = F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_hash")) & F.col("source").eqNullSafe(F.col("_source"))
     rows = df.join(mine, on).drop("_key", "_source").dropDuplicates([key, "_hash", "source"]).drop("_hash")
