@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adspark.functions.expressions import clip, safe_divide, stable_hash
-from adspark.operators.ordering import exact_quantiles, numbered, numbered_by_hash, running
+from adspark.operators.ordering import HASH_PARTS_SHIFT, exact_quantiles, numbered, running
 from adspark.sources.staging import shared_folder, staged
 
 EPSILON = 1e-12
@@ -248,16 +250,12 @@ def selection(df: DataFrame, policies: dict[str, Column], fractions: tuple[float
     base = df.select(F.col(key).alias("k"), F.coalesce(F.col(label), F.lit(0)).alias("y"), F.greatest(F.coalesce(F.col(value), F.lit(0.0)), F.lit(0.0)).alias("v"), *(F.round(F.coalesce(s, F.lit(0.0)), 9).alias(f"s_{n}") for n, s in policies.items()))
     base = staged(base, "selection")  # each order and the totals read it
     totals = F.broadcast(base.agg(F.count(F.lit(1)).alias("_n"), F.sum("y").alias("_c"), F.sum("v").alias("_v")))
-    orders = {"random_baseline": numbered_by_hash(base.select("k", "y", "v"), stable_hash(F.lit(seed), F.col("k")), "k", "place")}
-    orders |= {n: numbered(base.select("k", "y", "v", f"s_{n}"), [F.desc(f"s_{n}"), F.col("k")], "place") for n in policies}
-    out = None
-    for name, placed in orders.items():
-        rows = placed.select("place", "y", "v").crossJoin(totals)
-        taken = lambda f: F.col("place") < F.greatest(F.ceil(F.col("_n") * f), F.lit(1))
-        sums = rows.groupBy("_n", "_c", "_v").agg(*(F.struct(F.count_if(taken(f)).alias("selected"), F.sum(F.when(taken(f), F.col("y"))).cast("long").alias("conversions"), F.sum(F.when(taken(f), F.col("v"))).alias("value")).alias(f"f{i}") for i, f in enumerate(fractions)))
-        each = F.explode(F.array(*(F.struct(F.lit(f).alias("fraction"), F.col(f"f{i}").alias("x")) for i, f in enumerate(fractions)))).alias("p")
-        one = sums.select(F.lit(name).alias("policy"), "_c", "_v", each).select("policy", "p.fraction", "p.x.selected", "p.x.conversions", "p.x.value", "_c", "_v")
-        out = one if out is None else out.unionByName(one)
+    hashed = stable_hash(F.lit(seed), F.col("k"))
+    out = _first_sums(base.select("k", "y", "v", F.shiftright(hashed, HASH_PARTS_SHIFT).alias("g")), F.col("g"), [hashed, F.col("k")], totals, fractions).withColumn("policy", F.lit("random_baseline"))
+    for name in policies:
+        rows = base.select("k", "y", "v", F.col(f"s_{name}").alias("g"))
+        out = out.unionByName(_first_sums(rows, F.desc("g"), [F.col("k")], totals, fractions).withColumn("policy", F.lit(name)))
+    out = out.select("policy", "fraction", "selected", "conversions", "value", "_c", "_v")
     rates = {"conversion_rate": ("conversions", "selected"), "value_per_click": ("value", "selected"), "value_capture": ("value", "_v"), "conversion_capture": ("conversions", "_c")}
     out = out.withColumns({n: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")) for n, (a, b) in rates.items()})
     first = Window.partitionBy("fraction")  # one row a policy
@@ -265,6 +263,26 @@ def selection(df: DataFrame, policies: dict[str, Column], fractions: tuple[float
     return out.withColumns({"value_lift": F.try_divide("value_per_click", baseline("value_per_click")), "capture_lift": F.try_divide("value_capture", baseline("value_capture"))}).drop("_c", "_v")
 
 
+def _first_sums(rows: DataFrame, order: Column, ties: list[Column], totals: DataFrame, fractions: tuple[float, ...]) -> DataFrame:
+    """(fraction, selected, conversions, value, _c, _v): sums of y and v over the first ceil(n * fraction) rows (k, y, v, g) by g and
+    then by ties. Rows are counted by g, and only those of the few g that a fraction cuts are put in order."""
+    sums = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("y"), F.sum("v").alias("v"))
+    placed = staged(running(sums, [order], {"upto": "n"}), "placed").crossJoin(totals).where("_n > 0")
+    most = {i: F.greatest(F.ceil(F.col("_n") * f), F.lit(1)).cast("long") for i, f in enumerate(fractions)}
+    before = F.col("upto") - F.col("n")
+    wholly = lambda c: [F.sum(F.when(F.col("upto") <= m, F.col(c))).alias(f"{c}{i}") for i, m in most.items()]
+    whole = placed.groupBy("_n", "_c", "_v").agg(*wholly("n"), *wholly("y"), *wholly("v"))
+    cut = placed.where(reduce(or_, ((before < m) & (F.col("upto") > m) for m in most.values())))  # at most one g a fraction
+    cut = cut.select("g", "upto", "n", "_n", F.sum("n").over(Window.orderBy("upto").rowsBetween(Window.unboundedPreceding, -1)).alias("_ahead"))
+    tied = numbered(rows.join(F.broadcast(cut.select("g")), "g"), [order, *ties], "place").join(F.broadcast(cut), "g")
+    place = before + F.col("place") - F.coalesce("_ahead", F.lit(0))
+    taken = {i: (before < m) & (F.col("upto") > m) & (place < m) for i, m in most.items()}
+    part = tied.agg(*(x for i, t in taken.items() for x in (F.count_if(t).alias(f"pn{i}"), F.sum(F.when(t, F.col("y"))).cast("long").alias(f"py{i}"), F.sum(F.when(t, F.col("v"))).alias(f"pv{i}"))))
+    both = lambda c, i: F.coalesce(f"{c}{i}", F.lit(0)) + F.coalesce(f"p{c}{i}", F.lit(0))
+    rows_out = F.explode(F.array(*(F.struct(F.lit(f).alias("fraction"), both("n", i).alias("selected"), both("y", i).alias("conversions"), both("v", i).alias("value")) for i, f in enumerate(fractions)))).alias("x")
+    return whole.crossJoin(F.broadcast(part)).select("_c", "_v", rows_out).select("x.*", "_c", "_v")  # single rows
+
+
 def winner_changes(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: auctions, and how many have another winner under b than under a."""
     both = a.select("auction_id", F.col("winner").alias("x")).join(b.select("auction_id", F.col("winner").alias("y")), "auction_id")
